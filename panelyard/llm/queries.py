@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, substrings
+from . import decontam, jaccard, quality, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,28 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+often AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+s2 AS (SELECT s.* FROM s SEMI JOIN often USING (k)),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s2 a JOIN s2 b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(quality.ledger(table(spark, sf_dir, "documents")))
     base = F.col("failures").bitwiseAND(F.lit(quality.mask("base"))) != 0
@@ -83,10 +105,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 QUERIES: dict[str, Query] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
 }
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op6_ngram_jaccard_join": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
 }
