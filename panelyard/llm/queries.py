@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, quality, substrings
+from . import decontam, jaccard, pieces, quality, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,11 +102,17 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, (failures & 47) = 0 AS kept, failures FROM f
 """
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, pieces.load(), verify=True).select("doc_id", F.size("ids").alias("n_pieces"), "ids", "round_trip")
+
+
 QUERIES: dict[str, Query] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": OP3_SQL,
