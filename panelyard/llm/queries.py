@@ -7,12 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, pieces, quality, substrings
+from . import decontam, extraction, jaccard, pieces, quality, quotes, shards, substrings, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), urls.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE
+raw AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS t FROM pages),
+p AS (SELECT page_id, u, t, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM raw),
+named AS (
+  SELECT u, host, path, regexp_extract(regexp_extract(t, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS g FROM p WHERE contains(u, '://')
+  UNION ALL
+  SELECT u, host, path, regexp_extract(regexp_extract(t, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM p WHERE contains(u, '://')),
+target AS (SELECT u, CASE WHEN contains(g, '://') THEN g WHEN starts_with(g, '//') THEN 'http:' || g WHEN starts_with(g, '/') THEN 'http://' || host || g ELSE 'http://' || host || regexp_extract(path, '(?s)^(.*/)?') || g END AS g FROM named WHERE g <> ''),
+url_of AS (SELECT DISTINCT u FROM p WHERE contains(u, '://') UNION SELECT u FROM target UNION SELECT g FROM target),
+parsed AS (SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM url_of),
+node AS (SELECT u, host, host || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS node, regexp_extract(CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END, '(?s)^[^?]*') AS path FROM parsed),
+link AS (SELECT a.node AS a, b.node AS b FROM target JOIN node a ON a.u = target.u JOIN node b ON b.u = target.g WHERE a.node <> b.node),
+sym AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a AS n, a AS c FROM sym UNION SELECT sym.b, reach.c FROM reach JOIN sym ON sym.a = reach.n),
+comp AS (SELECT n, min(c) AS c FROM reach GROUP BY n),
+rules(rh, rp, allowed) AS (VALUES ('org', '/', true), ('example.org', '/es/', false), ('example.org', '/en/1', false), ('com', '/fr/', true), ('com', '/de/', false)),
+ruled AS (SELECT DISTINCT node, host, path FROM node),
+known AS (SELECT n, c, arg_max(allowed, 2 * (length(rh) + length(rp)) + CAST(allowed AS INT)) AS allowed FROM comp JOIN ruled ON node = n LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY n, c),
+class AS (SELECT c, coalesce(bool_or(allowed), false) AS some_allow, coalesce(bool_or(NOT allowed), false) AS some_block FROM known GROUP BY c),
+hit AS (SELECT page_id, arg_max(rh || rp, 2 * (length(rh) + length(rp)) + CAST(allowed AS INT)) AS rule, arg_max(allowed, 2 * (length(rh) + length(rp)) + CAST(allowed AS INT)) AS allowed FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, hit.rule,
+  CASE WHEN hit.rule IS NOT NULL THEN CASE WHEN hit.allowed THEN 'allow' ELSE 'block' END WHEN NOT some_allow AND some_block THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN hit USING (page_id) LEFT JOIN node ON node.u = p.u LEFT JOIN comp ON comp.n = node.node LEFT JOIN class USING (c)
+"""
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -56,6 +87,27 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "body", "reply_to", "n_quoted", "n_linked", "depth", "position")
+
+
+OP5_SQL = r"""
+WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER () AS k, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM conversations),
+l AS (SELECT k, conv_id, turn, i, ls[i] AS x FROM (SELECT k, conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM m)),
+q AS (
+  SELECT k, conv_id, turn, i, length(regexp_replace(regexp_extract(x, '^[ \t]*>(?:[ \t]?>)*[ \t]?'), '[^>]', '', 'g')) AS level, regexp_replace(x, '^[ \t]*>(?:[ \t]?>)*[ \t]?', '') AS line,
+    regexp_matches(x, '^[^>].*\bwrote:\s*$') AS announces FROM l),
+n AS (SELECT *, translate(trim(regexp_replace(line, '[ \x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, lead(level) OVER (PARTITION BY k ORDER BY i) AS next FROM q),
+first AS (SELECT conv_id, key, min(turn) AS origin FROM n WHERE level = 0 AND key <> '' GROUP BY ALL),
+met AS (SELECT n.k, n.level, CASE WHEN origin < n.turn THEN origin END AS origin FROM n LEFT JOIN first ON first.conv_id IS NOT DISTINCT FROM n.conv_id AND first.key = n.key WHERE level > 0 AND n.key <> ''),
+links AS (SELECT k, max(CASE WHEN level = 1 THEN origin END) AS reply_to, count(*) AS n_quoted, count(origin) AS n_linked, max(level) AS depth FROM met GROUP BY k),
+body AS (SELECT k, string_agg(line, chr(10) ORDER BY i) AS body FROM n WHERE level = 0 AND NOT (announces AND coalesce(next, 0) > 0) GROUP BY k)
+SELECT m.conv_id, m.turn, m.role, trim(coalesce(body, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, reply_to, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
+  CAST(coalesce(depth, 0) AS INTEGER) AS depth, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn NULLS FIRST, m.role NULLS FIRST, m.text NULLS FIRST) AS position
+FROM m LEFT JOIN links USING (k) LEFT JOIN body USING (k)
+"""
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -78,6 +130,10 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.c) AS com
 """
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(quality.ledger(table(spark, sf_dir, "documents")))
     base = F.col("failures").bitwiseAND(F.lit(quality.mask("base"))) != 0
@@ -102,21 +158,35 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, (failures & 47) = 0 AS kept, failures FROM f
 """
 
+#: Production parameters of op9: the shards' names.
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.place(table(spark, sf_dir, "documents"), SHARDS, "doc_id", "text").select("doc_id", "slot", "shard")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, pieces.load(), verify=True).select("doc_id", F.size("ids").alias("n_pieces"), "ids", "round_trip")
 
 
 QUERIES: dict[str, Query] = {
+    "op2_url_filters": op2_url_filters,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_html_extraction": op7_html_extraction,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
 }
 SQL: dict[str, str] = {
+    "op2_url_filters": OP2_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op5_chat_formatting": OP5_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
 }
