@@ -49,21 +49,21 @@ def ngrams(text: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.
 
 def _incidence(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: int) -> DataFrame:
     """One row a document: id, n, sig (of the set), and for candidates prefix and body."""
-    n = packed.FACTOR * common.partitions(docs.sparkSession)
+    groups, n = packed.numbers(docs.sparkSession)
     ids, texts = F.col(common.quoted(doc_id)), F.col(common.quoted(text))
-    grouped = docs.select(ids.alias("id"), texts.alias("text")).withColumns({"key": F.xxhash64("id", "text"), "digest": F.xxhash64("text")}).withColumn("grp", F.pmod("key", F.lit(n)).cast("int"))
+    grouped = docs.select(ids.alias("id"), texts.alias("text")).withColumns({"key": F.xxhash64("id", "text"), "digest": F.xxhash64("text")}).withColumn("grp", F.pmod("key", F.lit(groups)).cast("int"))
 
     def emit(key: tuple, rows: pa.Table) -> pa.Table:
         unique, counts = np.unique(ngrams(rows.column("text"), size)[0], return_counts=True)
         return packed.shipped(key[0].as_py(), unique, n, np.minimum(counts, 255).astype(np.uint8))
 
     def resolve(key: tuple, rows: pa.Table) -> pa.Table:
-        groups, starts, parts, order = packed.gathered(rows)
+        senders, starts, parts, order = packed.gathered(rows)
         extra = rows.column("extra").to_pylist()
         every, own = np.concatenate(parts), np.frombuffer(b"".join(extra[k] for k in order), np.uint8)
         _, inverse = np.unique(every, return_inverse=True)
         counts = np.minimum(np.bincount(inverse, weights=own)[inverse], 255).astype(np.uint8)
-        return packed.answered(groups, key[0].as_py(), [counts[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)])
+        return packed.answered(senders, key[0].as_py(), [counts[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)])
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         found, owner = ngrams(rows.column("text"), size)

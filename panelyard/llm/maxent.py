@@ -96,8 +96,8 @@ def _classes(hist: list, n_classes: int) -> Classes:
 
 def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
     """One row a document: its counts, base score and codes; and the classes."""
-    n = packed.FACTOR * common.partitions(docs.sparkSession)
-    grouped = docs.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    groups, n = packed.numbers(docs.sparkSession)
+    grouped = docs.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int"))
 
     def emit(key: tuple, rows: pa.Table) -> pa.Table:
         hashes, offsets = _tokens(rows.column("text"))
@@ -109,7 +109,7 @@ def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
         return sent.set_column(3, "extra", pa.array([squeeze(counts[at[k] : at[k + 1]]) for k in range(n) if at[k] < at[k + 1]], pa.binary()))
 
     def resolve(key: tuple, rows: pa.Table) -> pa.Table:
-        groups, starts, parts, order = packed.gathered(rows)
+        senders, starts, parts, order = packed.gathered(rows)
         extra = rows.column("extra").to_pylist()
         unique, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         counts = np.zeros(len(unique), np.int64)
@@ -121,7 +121,7 @@ def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
         hist = np.stack([keys, np.bincount(which, minlength=len(keys)), mass]).astype("<i8").tobytes()
         back = counts[inverse]
         answers = [squeeze(back[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        return packed.answered(np.append(groups, -1), key[0].as_py(), [*answers, hist])
+        return packed.answered(np.append(senders, -1), key[0].as_py(), [*answers, hist])
 
     def histogram(batches):  # noqa: ANN001, ANN202
         for batch in batches:

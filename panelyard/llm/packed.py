@@ -5,9 +5,9 @@ unique, sorted, cut into buckets by value and shipped as difference-coded blobs,
 for each group and bucket, so a hash costs six or seven bytes instead of a row. A bucket
 meets all groups' hashes of its range, and answers each blob in its own order.
 
-Groups and buckets both number FACTOR times the session's shuffle partitions, so their
-size is set by that setting at any input size. A hash that is in every text is one entry
-a group, so frequent hashes don't load a bucket.
+There are as many buckets as the session has shuffle partitions, and GROUPS times as many
+groups, so their size is set by that setting at any input size. A hash that is in every
+text is one entry a group, so frequent hashes don't load a bucket.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-FACTOR = 4
+GROUPS = 2
 #: Odd multipliers of the polynomial hashes, modulo 2 to the 64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53
 SLICE = 1 << 20
@@ -140,6 +141,12 @@ SHIPPED = "bucket int, grp int, blob binary, extra binary"
 ANSWER = "grp int, bucket int, answer binary"
 
 
+def numbers(spark: SparkSession) -> tuple[int, int]:
+    """How many groups and how many buckets."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return GROUPS * n, n
+
+
 def gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """A bucket's groups in order, where each one's hashes start, the hashes, and row order."""
     groups = np.asarray(rows.column("grp"))

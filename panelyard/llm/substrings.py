@@ -73,10 +73,9 @@ def cut(text: str, runs: list[tuple[int, int]]) -> str:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """docs with repeated windows cut from the text, and n_words, n_removed and removed
     (the intervals of word numbers, from 0, end excluded)."""
-    spark = docs.sparkSession
-    n = packed.FACTOR * common.partitions(spark)
+    groups, n = packed.numbers(docs.sparkSession)
     docs = docs.select(*(common.quoted(c) for c in docs.columns if c.lower() not in (*ADDED, "__grp", "__tie")))
-    grouped = ranged(docs, doc_id, text, n)
+    grouped = ranged(docs, doc_id, text, groups)
 
     def emit(key: tuple, rows: pa.Table) -> pa.Table:
         hashes, offsets = packed.word_hashes(rows.column(text))
@@ -84,14 +83,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         return packed.shipped(key[0].as_py(), np.unique(found), n)
 
     def resolve(key: tuple, rows: pa.Table) -> pa.Table:
-        groups, starts, parts, _ = packed.gathered(rows)
+        senders, starts, parts, _ = packed.gathered(rows)
         every = np.concatenate(parts)
         order = np.argsort(every, kind="stable")  # equal hashes stay in the order of groups
         ranked = every[order]
         later = np.zeros(len(every), bool)
         later[order[1:]] = ranked[1:] == ranked[:-1]
         bits = [later[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        return packed.answered(groups, key[0].as_py(), [np.packbits(x).tobytes() if x.any() else None for x in bits])
+        return packed.answered(senders, key[0].as_py(), [np.packbits(x).tobytes() if x.any() else None for x in bits])
 
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words bigint, n_removed bigint, removed array<struct<first:int,last:int>>").fields])
 
