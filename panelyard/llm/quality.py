@@ -67,7 +67,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_bangs": F.regexp_count(t, F.lit("!!")),
         "n_repeat_words": _repeat_words(F.col(ordered)),
     }
-    return out.withColumns({k: v.cast("bigint") for k, v in counts.items()}).drop(words, hashes, lines, ordered)
+    # A generated row keeps later filters from being moved below, where they would count again.
+    kept = [common.quoted(c) for c in docs.columns if c.lower() not in counts]
+    return out.select(*kept, F.inline(F.array(F.struct(*(v.cast("bigint").alias(k) for k, v in counts.items())))))
 
 
 def failures() -> Column:
