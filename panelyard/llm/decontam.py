@@ -15,7 +15,7 @@ joined by shuffled hashes and candidates then meet their document's words by key
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,14 +34,21 @@ def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return parts.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("len", F.size("words"))
 
 
-def _shingles(words: Column, size: int) -> Column:
-    return common.windows(words, size)
+def _exploded(rows: DataFrame, words: str, kept: list[str], sizes: list[int]) -> DataFrame:
+    """kept, pos (from 1) and h of each shingle of every size that the windows need.
 
+    The hash reads the array's cells in place, so this is compiled code without copies.
+    """
+    each = rows.select(*kept, F.posexplode(words).alias("__at", "__word")) if words in kept else rows.select(*kept, words, F.posexplode(words).alias("__at", "__word"))
+
+    def of(k: int) -> DataFrame:
+        cells = [F.col("__word"), *(F.get(words, F.col("__at") + i) for i in range(1, k))]
+        return each.where(F.col("__at") + k <= F.size(words)).select(*kept, (F.col("__at") + 1).alias("pos"), F.xxhash64(*cells).alias("h"))
 
-def _doc_shingles(words: Column, sizes: list[int]) -> Column:
-    """(pos, h) of the document's shingles of every size that the windows need."""
-    parts = [F.transform(_shingles(words, k), lambda h, i: F.struct((i + 1).alias("pos"), h.alias("h"))) for k in sizes]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    out = of(sizes[0])
+    for k in sizes[1:]:
+        out = out.unionByName(of(k))
+    return out
 
 
 def matches(docs: DataFrame, text: str, keys: list[str], items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -53,11 +60,14 @@ def matches(docs: DataFrame, text: str, keys: list[str], items: DataFrame, item_
     small = stats["n"] <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
 
-    d = docs.select(*keys, common.folded_words(F.col(common.quoted(text))).alias("w")).where("size(w) > 0")
-    cells = F.coalesce(*(F.when(F.least("len", F.lit(SHINGLE)) == k, F.transform(_shingles(F.col("words"), k), lambda h, i: F.struct(i.alias("off"), h.alias("h")))) for k in sizes))
-    shingled = wins.select("words", "items", "len", F.explode(cells).alias("s")).select("words", "items", "len", "s.*")
+    d = docs.select(*keys, common.folded_words(F.col(common.quoted(text))).alias("w"))
+    parts = [_exploded(wins.where(F.least("len", F.lit(SHINGLE)) == k), "words", ["words", "items", "len"], [k]) for k in sizes]
+    shingled = parts[0]
+    for more in parts[1:]:
+        shingled = shingled.unionByName(more)
+    shingled = shingled.withColumn("off", F.col("pos") - 1).drop("pos")
     vocabulary = shingled.select("h").distinct()
-    seen = d.select(F.explode(_doc_shingles(F.col("w"), sizes)).alias("s")).select("s.h").join(hint(vocabulary), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
+    seen = _exploded(d, "w", [], sizes).select("h").join(hint(vocabulary), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
     # The rarest shingle of each window; a window with a shingle that no document has can't occur.
     ranked = shingled.join(hint(seen) if small else seen, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     prefix = common.written(
@@ -67,9 +77,9 @@ def matches(docs: DataFrame, text: str, keys: list[str], items: DataFrame, item_
     fits = (F.col("start") >= 1) & (F.col("start") + F.col("len") - 1 <= F.size("w"))
     same = F.slice("w", F.col("start"), F.col("len")) == F.col("words")
     if small:
-        met = d.select(*keys, "w", F.explode(_doc_shingles(F.col("w"), sizes)).alias("s")).select(*keys, "w", F.col("s.pos").alias("pos"), F.col("s.h").alias("h")).join(F.broadcast(prefix), "h")
+        met = _exploded(d, "w", [*keys, "w"], sizes).join(F.broadcast(prefix), "h")
     else:
-        met = d.select(*keys, F.explode(_doc_shingles(F.col("w"), sizes)).alias("s")).select(*keys, "s.*").join(prefix, "h").join(d.dropDuplicates(keys), [*keys])
+        met = _exploded(d, "w", keys, sizes).join(prefix, "h").join(d.dropDuplicates(keys), [*keys])
     return met.withColumn("start", F.col("pos") - F.col("off")).where(fits).where(same).select(*keys, "start", "len", "items")
 
 
