@@ -145,7 +145,7 @@ def vecm_ols(df: DataFrame, columns: list[str], k_max: int, system: list[str], d
                 for k in range(1, k_max + 1):
                     x = [*range(p, 2 * p + (k - 1) * p), *range(2 * p + (k_max - 1) * p, size)]
                     _, ee = solve(g, list(range(p)), x)
-                    ll, m = loglik(ee, r.n), p * len(x)
+                    ll, m = loglik(ee, r.n), p * len(x) + p * (p + 1) // 2  # the covariance counts
                     out.append({**{c: getattr(r, c) for c in system}, "k": k, "n": r.n, "loglik": ll, "aic": 2 * m - 2 * ll, "bic": m * math.log(r.n) - 2 * ll, "hq": 2 * m * math.log(math.log(r.n)) - 2 * ll})
             yield pd.DataFrame(out, columns=[*system, "k", "n", "loglik", "aic", "bic", "hq"])
 
@@ -157,17 +157,20 @@ def lag_table(fits: DataFrame, system: list[str]) -> DataFrame:
     return fits.groupBy(*system).agg(*(F.min_by("k", c).alias(f"k_{c}") for c in ("aic", "bic", "hq")))
 
 
-def seasonal_table(df: DataFrame, columns: list[str], k: int, system: list[str], kinds: list[str], date: str = "d", first: int | None = None) -> DataFrame:
-    """(system, seasonal, loglik, m) of a k-lag VECM with each block, from one superset Gram."""
+def seasonal_table(df: DataFrame, columns: list[str], k: int, system: list[str], kinds: list[str], date: str = "d", first: int | None = None, season_lag: int = 1) -> DataFrame:
+    """(system, seasonal, loglik, m) of a k-lag VECM with each block, from one superset Gram.
+
+    Seasonal terms are those of the date season_lag rows before, as in the lag table.
+    """
     blocks = {kind: panel.seasonal_columns(kind) for kind in kinds}
     every = list(dict.fromkeys(c for cs in blocks.values() for c in cs))
-    full = df
+    full = df.withColumn("__season", F.lag(date, season_lag).over(panel.ordered(system, date)) if season_lag else F.col(date))
     for kind in ("quarter", "month"):
         if kind in kinds:
-            full = panel.dummies(full, kind, date)
+            full = panel.dummies(full, kind, "__season")
     waves = max((int(kind[7:]) for kind in kinds if kind.startswith("fourier")), default=0)
     if waves:
-        full = panel.fourier(full, waves, date)
+        full = panel.fourier(full, waves, "__season")
     grams, names = vecm_gram(full, columns, k, system, date, first=first if first is not None else k, seasonal=every)
     p, size, base = len(columns), len(names), len(names) - len(every) - 1
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*system).schema.fields)
@@ -180,7 +183,7 @@ def seasonal_table(df: DataFrame, columns: list[str], k: int, system: list[str],
                 for kind, cs in blocks.items():
                     x = [*range(p, base + 1), *(base + 1 + every.index(c) for c in cs)]
                     _, ee = solve(g, list(range(p)), x)
-                    out.append({**{c: getattr(r, c) for c in system}, "seasonal": kind, "loglik": loglik(ee, r.n), "m": p * len(x), "n": r.n})
+                    out.append({**{c: getattr(r, c) for c in system}, "seasonal": kind, "loglik": loglik(ee, r.n), "m": p * len(x) + p * (p + 1) // 2, "n": r.n})
             yield pd.DataFrame(out, columns=[*system, "seasonal", "loglik", "m", "n"])
 
     return grams.mapInPandas(run, ", ".join(filter(None, [head, "seasonal string, loglik double, m int, n bigint"])))

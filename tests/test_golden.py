@@ -91,6 +91,7 @@ def test_lags_and_seasons(logs, seasonal):
     df, cs = seasonal
     lags = unitroot.vecm_ols(df, COLUMNS, 5, [], fixed=cs, first=6).orderBy("k").collect()
     assert [round(r["loglik"], 2) for r in lags] == [5965.40, 6012.81, 6024.97, 6034.30, 6046.30]
+    assert [round(lags[4][c], 1) for c in ("aic", "bic", "hq")] == [-11872.6, -11419.6, -11694.1]
     table = {r["seasonal"]: r["loglik"] for r in unitroot.seasonal_table(logs, COLUMNS, 2, [], ["none", "quarter", "fourier1", "fourier2", "fourier3", "month"], first=6).collect()}
     assert [round(table[k], 2) for k in ("none", "quarter", "fourier1", "fourier2", "fourier3", "month")] == [5993.97, 6015.75, 6002.45, 6012.81, 6024.67, 6043.41]
 
