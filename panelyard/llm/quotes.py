@@ -59,9 +59,10 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         own["text"].alias("__x"),
         _parsed(own["text"]).alias("__lines"),
     )
-    lines = base.select("__c", "__t", "__d", F.explode("__lines").alias("l")).select("__c", "__t", "__d", F.col("l.level").alias("level"), F.xxhash64(_normal(F.col("l.line"))).alias("h"), _normal(F.col("l.line")).alias("n")).where("n <> ''").drop("n")
+    lines = base.select("__c", "__t", "__d", F.posexplode("__lines").alias("at", "l")).select("__c", "__t", "__d", "at", F.col("l.level").alias("level"), F.xxhash64(_normal(F.col("l.line"))).alias("h"), _normal(F.col("l.line")).alias("n")).where("n <> ''").drop("n")
     first = lines.where("level = 0").groupBy("__c", "h").agg(F.min("__t").alias("origin"))
-    quotes = lines.where("level > 0").groupBy("__c", "__t", "__d", "level", "h").agg(F.count("*").alias("times"))
+    # Repeated rows of a message have the same lines at the same places, which count once.
+    quotes = lines.where("level > 0").distinct().groupBy("__c", "__t", "__d", "level", "h").agg(F.count("*").alias("times"))
     met = quotes.join(first, ["__c", "h"], "left").withColumn("origin", F.when(F.col("origin") < F.col("__t"), F.col("origin")))
     links = met.groupBy("__c", "__t", "__d").agg(
         F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("reply_to"),
