@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import dist
-from .operators import moments, panel, rank, replication, resample, unitroot
+from .operators import covariance, moments, panel, rank, replication, resample, unitroot
 from .plans import fits
 from .sources import panels, results
 
@@ -721,3 +721,74 @@ def g13(spark, d):  # noqa: ANN001, ANN201
 def h1(spark, d):  # noqa: ANN001, ANN201
     x = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x")).distinct()
     return x.select("x", F.round(dist.chi2_sf(F.col("x"), 4), 9).alias("df4"), F.round(dist.chi2_sf(F.col("x"), 3), 9).alias("df3"))
+
+
+# Covariances that move with a driver
+
+W2 = [[900.0, -50.0], [-50.0, 700.0]]
+
+
+def _resid(spark: SparkSession, d: str) -> DataFrame:
+    """Two residual columns e1, e2 (changes less nothing) and a driver v."""
+    rows = panel.volatility_driver(panel.diffs(log5(spark, d), ["l_s1", "l_s2"], []), ["l_s1", "l_s2"], [])
+    return rows.select("d", F.col("d_l_s1").alias("e1"), F.col("d_l_s2").alias("e2"), "v").where("v is not null")
+
+
+RES = DRIVER + ", res AS (SELECT d, y1 AS e1, y2 AS e2, v FROM drv JOIN diff5 USING (d) WHERE v IS NOT NULL AND y1 IS NOT NULL)"
+
+
+@query("e21_ar1", f"WITH {RES}, l AS (SELECT e1, e2, lag(e1) OVER (ORDER BY d) AS a, lag(e2) OVER (ORDER BY d) AS b FROM res), r AS (SELECT count(*) AS n, greatest(least(sum(e1 * a + e2 * b) / sum(a * a + b * b), 0.98), -0.98) AS rho FROM l WHERE a IS NOT NULL) SELECT any_value(n) AS n, round(any_value(rho), 7) AS rho, round(avg((e1 - rho * a) * (e1 - rho * a)), 9) AS o11, round(avg((e1 - rho * a) * (e2 - rho * b)), 9) AS o12 FROM l, r WHERE a IS NOT NULL")
+def e21(spark, d):  # noqa: ANN001, ANN201
+    out = covariance.ar1(_resid(spark, d), ["e1", "e2"], [])
+    return out.select("n", F.round("rho", 7).alias("rho"), F.round(F.col("omega")[0], 9).alias("o11"), F.round(F.col("omega")[1], 9).alias("o12"))
+
+
+@query("e22_scale_profile", f"WITH {RES}, c AS (SELECT *, v - avg(v) OVER () AS u FROM res), g AS (SELECT CAST(unnest([-1.0, -0.5, 0.0, 0.5, 1.0]) AS DOUBLE) AS b), m AS (SELECT b, count(*) AS n, avg(exp(b * u) * e1 * e1) AS p, avg(exp(b * u) * e1 * e2) AS q, avg(exp(b * u) * e2 * e2) AS r FROM c, g GROUP BY b) SELECT b, round(-n / 2.0::DOUBLE * (2 * (1 + ln(2 * pi())) + ln(p * r - q * q)), 5) AS loglik FROM m")
+def e22_profile(spark, d):  # noqa: ANN001, ANN201
+    return rounded(covariance.scale_profile(_resid(spark, d), ["e1", "e2"], "v", [-1.0, -0.5, 0.0, 0.5, 1.0], []), "loglik", digits=5)
+
+
+@query("e23_quadratic_loglik", f"WITH {RES}, w AS (SELECT *, 60 + v * 6 + v * v * 4 AS a, -5 + v * 5 + v * v * 4 AS b, 50 + v * 4 + v * v * 4 AS c FROM res) SELECT count(*) AS n, round(sum((ln(a * c - b * b) - (a * e1 * e1 + 2 * b * e1 * e2 + c * e2 * e2) - 2 * ln(2 * pi())) / 2), 5) AS loglik FROM w")
+def e23(spark, d):  # noqa: ANN001, ANN201
+    path = covariance.quadratic_path([[60.0, -5.0, 3.0], [-5.0, 50.0, 2.0], [3.0, 2.0, 4.0]], F.col("v"))
+    return rounded(covariance.gaussian_loglik(_resid(spark, d), ["e1", "e2"], path, []), "loglik", digits=5)
+
+
+@query("e25_log_precision_loglik", f"WITH {RES}, h AS (SELECT *, exp((3.5 + 0.2 * v) / 2) AS l1, exp((3.1 - 0.1 * v) / 2) AS l2 FROM res), w AS (SELECT *, l1 * l1 AS a, 0.3 * l1 * l2 AS b, l2 * l2 AS c FROM h) SELECT count(*) AS n, round(sum((ln(a * c - b * b) - (a * e1 * e1 + 2 * b * e1 * e2 + c * e2 * e2) - 2 * ln(2 * pi())) / 2), 5) AS loglik FROM w")
+def e25(spark, d):  # noqa: ANN001, ANN201
+    path = covariance.log_precision_path([3.5, 3.1], [0.2, -0.1], [[1.0, 0.3], [0.3, 1.0]], F.col("v"))
+    return rounded(covariance.gaussian_loglik(_resid(spark, d), ["e1", "e2"], path, []), "loglik", digits=5)
+
+
+@query("e26_gaussian_loglik", f"WITH {RES} SELECT count(*) AS n, round(sum((ln(40.0 * 30 - 25) - (40 * e1 * e1 - 10 * e1 * e2 + 30 * e2 * e2) - 2 * ln(2 * pi())) / 2), 5) AS loglik FROM res")
+def e26(spark, d):  # noqa: ANN001, ANN201
+    return rounded(covariance.gaussian_loglik(_resid(spark, d), ["e1", "e2"], covariance.constant_path([[40.0, -5.0], [-5.0, 30.0]]), []), "loglik", digits=5)
+
+
+@query("e28_precision_path", f"WITH {RES}, c AS (SELECT *, v - avg(v) OVER () AS u FROM res) SELECT d, round(900 * exp(0.4 * u), 4) AS w11, round(-50 * exp(0.4 * u), 4) AS w12 FROM c")
+def e28(spark, d):  # noqa: ANN001, ANN201
+    rows = _resid(spark, d).withColumn("u", F.col("v") - F.avg("v").over(Window.partitionBy()))
+    path = covariance.scale_path(W2, 0.4, F.col("u"))
+    return rows.select("d", F.round(path[0][0], 4).alias("w11"), F.round(path[0][1], 4).alias("w12"))
+
+
+@query("e32_vecm_path", f"WITH {DIFF} SELECT d, round(-0.2 * x1 + 0.1 * x2 + 0.5 * z1 + 1, 6) AS f0, round(0.1 * x1 - 0.3 * x2 - 0.2 * z1 + 2, 6) AS f1 FROM des WHERE z1 IS NOT NULL")
+def e32(spark, d):  # noqa: ANN001, ANN201
+    rows = panel.lag_design(log5(spark, d), ["l_s1", "l_s2"], 2, []).withColumn("one", F.lit(1.0)).na.drop(subset=["z1_l_s1"])
+    out = covariance.vecm_path(rows, ["x_l_s1", "x_l_s2"], ["z1_l_s1", "one"], [[-0.2, 0.1], [0.1, -0.3]], [[0.5, 1.0], [-0.2, 2.0]])
+    return rounded(out.select("d", "f0", "f1"), "f0", "f1")
+
+
+@query("e34_validity_screen")
+def e34(spark, d):  # noqa: ANN001, ANN201
+    path = covariance.quadratic_path([[60.0, -5.0, 3.0], [-5.0, 50.0, 2.0], [3.0, 2.0, 4.0]], F.col("v"))
+    return covariance.validity_screen(_resid(spark, d), path, [])
+
+
+@query("e38_numeraire_compare")
+def e38(spark, d):  # noqa: ANN001, ANN201
+    """The same system with two first series, as two systems of one job."""
+    base = log5(spark, d)
+    names = ["n1", "n2", "n3"]
+    parts = [base.select("d", F.lit(first).alias("numeraire"), *(F.col(c).alias(n) for c, n in zip([first, *L5[2:4]], names, strict=True))) for first in L5[:2]]
+    return fits.iid(parts[0].unionByName(parts[1]), names, ["numeraire"])
