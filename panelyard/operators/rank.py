@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .covariance import info_se
 from .unitroot import square
 
 #: 90, 95 and 99 percent quantiles of the trace statistic with an unrestricted
@@ -215,9 +216,11 @@ def spec_fits(grams: DataFrame, keys: list[str], s: Shape, spec: str = "iid") ->
 
     def job(row):  # noqa: ANN001, ANN202
         free, one = both_fits([square(row.g, s.size)], [row.n], s)
-        return [{"spec": spec, "loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik), "b": implied_b(free.beta).tolist(), "iters": free.iters}]
+        g = square(row.g, s.size)
+        se = info_se(g[np.ix_(s.x, s.x)], free.alpha, np.linalg.inv(free.omegas[0]), basis_restriction(s.p1 - 1)[0])
+        return [{"spec": spec, "se": se.tolist(), "loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik), "b": implied_b(free.beta).tolist(), "iters": free.iters}]
 
-    return _per_row(grams, keys, "spec string, loglik_free double, loglik_one double, lr double, b array<double>, iters int, error string", job)
+    return _per_row(grams, keys, "spec string, loglik_free double, loglik_one double, lr double, b array<double>, se array<double>, iters int, error string", job)
 
 
 def segment_fits(grams: DataFrame, keys: list[str], s: Shape, segment: str = "segment", spec: str = "regime") -> DataFrame:

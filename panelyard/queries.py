@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .functions import dist
 from .operators import covariance, moments, panel, rank, replication, resample, unitroot
-from .plans import fits
+from .plans import driven, fits
 from .sources import panels, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,15 +525,20 @@ def e22(spark, d):  # noqa: ANN001, ANN201
     return fits.scale(rows, L5[:4], [], "v", rounds=2, points=9)
 
 
-@query("e17_many_systems")
-def e17(spark, d):  # noqa: ANN001, ANN201
-    """One fit a region, of three order-status series."""
+def _region_system(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly logs of three priorities' mean order price, for each region."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     o = table(spark, d, "orders").select("o_custkey", F.date_trunc("month", "o_orderdate").cast("date").alias("d"), F.concat(F.lit("s"), F.substring("o_orderpriority", 1, 1)).alias("series"), "o_totalprice")
     long = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "d", "series").agg(_mean("o_totalprice").alias("value"))
     wide = long.groupBy("n_regionkey", "d").pivot("series", S5[:3]).agg(F.first("value")).na.drop(subset=S5[:3])
-    return fits.iid(panel.logs(wide, S5[:3]).drop(*S5[:3]), L5[:3], ["n_regionkey"])
+    return panel.logs(wide, S5[:3]).drop(*S5[:3])
+
+
+@query("e17_many_systems")
+def e17(spark, d):  # noqa: ANN001, ANN201
+    """One fit a region."""
+    return fits.iid(_region_system(spark, d), L5[:3], ["n_regionkey"])
 
 
 @query("e29_lr_test", "WITH f AS (SELECT event_type AS spec, CAST(user_id % 50 AS BIGINT) AS j, max(value) FILTER (event_id % 2 = 0) AS free, max(value) FILTER (event_id % 2 = 1) AS one FROM events GROUP BY 1, 2) SELECT spec, j, free, one, 2 * (free - one) AS lr FROM f")
@@ -624,6 +629,15 @@ def f7(spark, d):  # noqa: ANN001, ANN201
     return replication.bootstrap_pvalue(draws.withColumn("r0", F.lit(3)), ["r0"], "observed")
 
 
+@query("f4_bootstrap_lr")
+def f4(spark, d):  # noqa: ANN001, ANN201
+    """LR of equal loadings in each region, with wild-bootstrap p-values."""
+    rows = _region_system(spark, d)
+    draws = resample.bootstrap_lr(rows, L5[:3], ["n_regionkey"], [], 40, 17, chunk=10)
+    observed = fits.iid(rows, L5[:3], ["n_regionkey"]).select("n_regionkey", F.col("lr").alias("observed"))
+    return replication.bootstrap_pvalue(draws.join(observed, "n_regionkey"), ["n_regionkey"], "observed")
+
+
 # Replication tables
 
 E0 = "rep AS (SELECT event_type AS spec, event_id AS j, value - 50 AS e FROM events)"
@@ -792,3 +806,15 @@ def e38(spark, d):  # noqa: ANN001, ANN201
     names = ["n1", "n2", "n3"]
     parts = [base.select("d", F.lit(first).alias("numeraire"), *(F.col(c).alias(n) for c, n in zip([first, *L5[2:4]], names, strict=True))) for first in L5[:2]]
     return fits.iid(parts[0].unionByName(parts[1]), names, ["numeraire"])
+
+
+@query("e23_fit_quadratic")
+def e23_fit(spark, d):  # noqa: ANN001, ANN201
+    rows = panel.volatility_driver(log5(spark, d).select("d", *L5[:2]), L5[:2], [])
+    return driven.fit(rows, L5[:2], [], "v", "quadratic", tol=1e-6, most=6)
+
+
+@query("e25_fit_log_precision")
+def e25_fit(spark, d):  # noqa: ANN001, ANN201
+    rows = panel.volatility_driver(log5(spark, d).select("d", *L5[:2]), L5[:2], [])
+    return driven.fit(rows, L5[:2], [], "v", "log-precision", tol=1e-6, most=4)

@@ -101,3 +101,15 @@ def test_rank_bootstrap(logs):
 
     draws = resample.bootstrap_rank(logs, COLUMNS, [], 3, 200, 5).withColumn("observed", F.lit(1.632)).withColumn("r0", F.lit(3))
     assert 0.3 < replication.bootstrap_pvalue(draws, ["r0"], "observed").first()["p"] < 0.75
+
+
+def test_driven(logs, seasonal):
+    from panelyard.operators import panel
+    from panelyard.plans import driven
+
+    df, cs = seasonal
+    level = panel.volatility_driver(df, COLUMNS, []).coalesce(1)
+    r = driven.fit(level, COLUMNS, [], "v", "log-precision", fixed=cs).first()
+    assert abs(r["loglik_free"] - 6430.6578) < 0.05 and abs(r["loglik_one"] - 6429.7169) < 0.05
+    r = driven.fit(level, COLUMNS, [], "v", "quadratic", fixed=cs).first()
+    assert abs(r["loglik_free"] - 6209.4137) < 0.05 and abs(r["loglik_one"] - 6204.4114) < 0.05
