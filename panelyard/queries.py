@@ -818,3 +818,9 @@ def e23_fit(spark, d):  # noqa: ANN001, ANN201
 def e25_fit(spark, d):  # noqa: ANN001, ANN201
     rows = panel.volatility_driver(log5(spark, d).select("d", *L5[:2]), L5[:2], [])
     return driven.fit(rows, L5[:2], [], "v", "log-precision", tol=1e-6, most=4)
+
+
+@query("c3_anti_join", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def c3(spark, d):  # noqa: ANN001, ANN201
+    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return results.todo(table(spark, d, "customer").select("c_custkey", "c_nationkey"), done, ["c_custkey"])
