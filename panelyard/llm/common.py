@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,7 +78,3 @@ def written(df: DataFrame, stem: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{stem}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def row_bytes_bound(rows: int, width: int) -> int:
-    return int(math.ceil(rows * width))

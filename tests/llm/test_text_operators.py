@@ -1,6 +1,5 @@
 """Text operators against brute force, on small documents with every awkward case."""
 
-import hashlib
 import itertools
 import math
 import re
@@ -151,7 +150,7 @@ def test_decontamination(spark, docs, rows):
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["item_ids"]), r["contaminated"]) for r in got) == want
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({k[0]: 0 for k in want if False}) + Counter(k[0] for k, n in want.items() for _ in range(n) if not k[5])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(k[0] for k, n in want.items() for _ in range(n) if not k[5])
     assert decontam.scan(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
@@ -284,4 +283,3 @@ def test_hashing_matches_text():
     at = packed.cuts(some, 7)
     assert all((packed.unpack(packed.pack(some[a:b])) == some[a:b]).all() for a, b in zip(at[:-1], at[1:], strict=True))
     assert len(packed.unpack(packed.pack(some[:0]))) == 0
-    assert hashlib.sha256(b"").hexdigest()
