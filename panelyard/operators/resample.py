@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rank
-from .unitroot import square
 
 
 def sign(seed: int, j: Column, t: Column) -> Column:
@@ -117,6 +116,3 @@ def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], break
 
     head = rank._head(levels, system)
     return blocks.groupBy(*system, "block").applyInPandas(run, ", ".join(filter(None, [head, "j int, lr double, b array<double>"])))
-
-
-__all__ = ["bootstrap_lr", "bootstrap_rank", "replicates", "sign", "square", "wild_fixed", "wild_weights"]
