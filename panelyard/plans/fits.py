@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import moments, panel, rank
 from ..operators.unitroot import square
+from ..sources import tables
 
 #: The moments that each covariance specification needs.
 REQUIRES = {"iid": "one Gram a system", "regime": "one Gram a segment", "break_grid": "one Gram an elementary segment", "scale": "one weighted Gram for each b of a grid"}
@@ -74,30 +75,38 @@ def grid_summary(grid: DataFrame, system: list[str]) -> DataFrame:
     )
 
 
-def scale(df: DataFrame, columns: list[str], system: list[str], driver: str, date: str = "d", fixed: list[str] | None = None, rounds: int = 4, points: int = 17) -> DataFrame:
+def scale(df: DataFrame, columns: list[str], system: list[str], driver: str, date: str = "d", fixed: list[str] | None = None, rounds: int = 40, points: int = 17, tol: float = 1e-6) -> DataFrame:
     """Covariance scaled by exp(b (u - mean u)): the profile likelihood over b in [-5, 5].
 
-    Each round computes the weighted Grams of a grid of b in one pass, then narrows the grid
-    around each restriction's best point (one driver for all systems' grids is kept wide
-    enough to hold every system's best).
+    Every (system, restriction) has its own bracket, a row of a small table. Each round joins
+    the brackets' grids to the rows, computes the weighted Grams in one pass and closes each
+    bracket around its own best point, until all are no wider than tol or rounds are used up.
     """
     rows, names, s = design(df, columns, system, date, fixed)
-    mean = rows.groupBy(*system).agg(F.avg(driver).alias("__mean"))
-    rows = (rows.join(mean, system) if system else rows.crossJoin(F.broadcast(mean))).withColumn("__u", F.col(driver) - F.col("__mean"))
-    spark, lo, hi, best = df.sparkSession, -5.0, 5.0, None
+    keys = system or ["whole"]
+    rows = rows if system else rows.withColumn("whole", F.lit(0))
+    mean = rows.groupBy(*keys).agg(F.avg(driver).alias("__mean"))
+    rows = rows.join(mean, keys).withColumn("__u", F.col(driver) - F.col("__mean")).where("__u is not null").select(*keys, *names, "__u").persist()
+    both = F.explode(F.array(F.lit("free"), F.lit("one"))).alias("restriction")
+    at = tables.written(rows.select(*keys).distinct().select(*keys, both, F.lit(-5.0).alias("lo"), F.lit(5.0).alias("hi")), "brackets")
+    span, free = 10.0, F.col("restriction") == "free"
     for _ in range(rounds):
-        step = (hi - lo) / (points - 1)
-        grid = spark.createDataFrame([(lo + k * step,) for k in range(points)], "bb double")
-        each = rows.crossJoin(F.broadcast(grid))
-        grams = moments.gram_rows(each, names, [*system, "bb"], F.exp(-F.col("bb") * F.col("__u")))
-        fits = rank.spec_fits(grams, [*system, "bb"], s, "scale")
-        own = fits.groupBy(*system).agg(*(F.max(f"loglik_{k}").alias(f"loglik_{k}") for k in ("free", "one")), *(F.max_by("bb", f"loglik_{k}").alias(f"b_{k}") for k in ("free", "one")), F.max_by("b", "loglik_free").alias("b"))
-        own = own.withColumn("lr", 2 * (F.col("loglik_free") - F.col("loglik_one"))).persist()
-        span = own.agg(F.min(F.least("b_free", "b_one")).alias("lo"), F.max(F.greatest("b_free", "b_one")).alias("hi")).first()
-        if best is not None:
-            best.unpersist()
-        best, lo, hi = own, max(-5.0, span["lo"] - step), min(5.0, span["hi"] + step)
-    return best
+        step = (F.col("hi") - F.col("lo")) / (points - 1)
+        grid = at.select(*keys, "restriction", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
+        grid = grid.select(*keys, "restriction", (F.col("lo") + F.col("k") * step).alias("bb"))
+        grams = moments.gram_rows(rows.join(grid, keys), names, [*keys, "restriction", "bb"], F.exp(-F.col("bb") * F.col("__u")))
+        found = F.when(free, F.col("loglik_free")).otherwise(F.col("loglik_one"))
+        each = rank.spec_fits(grams, [*keys, "restriction", "bb"], s, "scale").withColumn("loglik", F.when(~F.isnan(found), found))
+        own = each.groupBy(*keys, "restriction").agg(F.max("loglik").alias("loglik"), F.max_by("bb", "loglik").alias("best"), F.max_by("b", "loglik").alias("b"), F.max("error").alias("error"))
+        near = [F.greatest(F.lit(-5.0), F.col("best") - step).alias("lo"), F.least(F.lit(5.0), F.col("best") + step).alias("hi")]
+        at = tables.written(at.select(*keys, "restriction", "lo", "hi").join(own, [*keys, "restriction"]).select(*keys, "restriction", *near, "loglik", "best", "b", "error"), "brackets")
+        span *= 2 / (points - 1)  # the widest that a bracket can be now
+        if span <= tol:
+            break
+    rows.unpersist()
+    pick = [F.max(F.when(F.col("restriction") == k, F.col(c))).alias(f"{a}_{k}") for a, c in (("loglik", "loglik"), ("b", "best")) for k in ("free", "one")]
+    out = at.groupBy(*keys).agg(*pick, F.max(F.when(free, F.col("b"))).alias("b"), F.bool_and(F.coalesce(F.col("hi") - F.col("lo") <= tol, F.lit(False))).alias("converged"), F.max(F.when(F.col("loglik").isNull(), F.col("error"))).alias("error"))
+    return out.withColumn("lr", 2 * (F.col("loglik_free") - F.col("loglik_one"))).drop("whole")
 
 
 def seasonal_grid(df: DataFrame, columns: list[str], system: list[str], kinds: list[str], date: str = "d") -> DataFrame:

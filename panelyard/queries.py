@@ -522,7 +522,7 @@ def e19(spark, d):  # noqa: ANN001, ANN201
 @query("e22_fit_scale")
 def e22(spark, d):  # noqa: ANN001, ANN201
     rows = panel.volatility_driver(_system(spark, d), L5[:4], [])
-    return fits.scale(rows, L5[:4], [], "v", rounds=2, points=9)
+    return fits.scale(rows, L5[:4], [], "v")
 
 
 def _region_system(spark: SparkSession, d: str) -> DataFrame:

@@ -119,3 +119,23 @@ def test_bootstrap_rank_has_right_size(spark):
     rows = out.collect()
     assert sorted(r["j"] for r in rows) == list(range(1, 31)) and all(math.isfinite(r["lr"]) and r["lr"] >= 0 for r in rows)
     assert {r["j"]: r["lr"] for r in rows} == {r["j"]: r["lr"] for r in resample.bootstrap_rank(_walk(spark, n=80, systems=1), ["x0", "x1", "x2"], ["sys"], 2, 30, 3, chunk=30).collect()}
+
+
+def test_scale_brackets_are_each_systems_own(spark):
+    from panelyard.plans import fits
+
+    rng, rows = np.random.default_rng(4), []
+    n, columns = 200, ["x0", "x1"]
+    for name, b in ((0, 2.0), (1, -2.0)):
+        v = np.abs(rng.normal(size=n))
+        common = np.cumsum(rng.normal(size=n) * np.exp(b * v / 2))
+        x = np.stack([common + rng.normal(size=n) * np.exp(b * v / 2) for _ in columns], 1)
+        rows += [(name, t, float(v[t]), *map(float, x[t])) for t in range(n)]
+    df = spark.createDataFrame(rows, "sys int, d int, v double, x0 double, x1 double")
+    joint = {r["sys"]: r for r in fits.scale(df, columns, ["sys"], "v").collect()}
+    assert all(r["converged"] for r in joint.values()) and joint[0]["b_free"] - joint[1]["b_free"] > 2
+    for k in (0, 1):
+        alone = fits.scale(df.where(F.col("sys") == k), columns, [], "v").first()
+        for kind in ("free", "one"):
+            assert abs(alone[f"b_{kind}"] - joint[k][f"b_{kind}"]) < 1e-3
+            assert abs(alone[f"loglik_{kind}"] - joint[k][f"loglik_{kind}"]) < 1e-6
