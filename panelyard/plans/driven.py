@@ -187,7 +187,8 @@ def _log_trials(f: dict) -> list[dict]:
 
 
 def fit(df: DataFrame, columns: list[str], system: list[str], driver: str, model: str = "quadratic", date: str = "d", fixed: list[str] | None = None, tol: float = 1e-8, most: int = 60) -> DataFrame:
-    """(system key, loglik_free, loglik_one, lr, b) of the quadratic or log-precision model."""
+    """(system key, loglik_free, loglik_one, lr, b) of the quadratic or log-precision model, with
+    the outer rounds of each restriction and whether they met tol before `most` of them."""
     rows, names, s = fits.design(df, columns, system, date, fixed)
     key = F.concat_ws("|", *system) if system else F.lit("all")
     rows = rows.select(key.alias("__k"), *names, F.col(driver).alias("__v")).na.drop().persist()
@@ -209,7 +210,7 @@ def fit(df: DataFrame, columns: list[str], system: list[str], driver: str, model
         fixed_beta = (np.zeros((len(h), 0)), rank.spread_basis(np.ones(s.p1 - 1)).ravel("F"))
         last: dict[str, float] = {}
         open_keys = set(state)
-        for _ in range(most):
+        for step in range(1, most + 1):
             live = {k: state[k] for k in open_keys}
             if model == "quadratic":
                 sums = passed(rows, names, _quadratic_kernel, live)
@@ -228,13 +229,15 @@ def fit(df: DataFrame, columns: list[str], system: list[str], driver: str, model
                 if abs(now - last.get(k, -np.inf)) <= tol * abs(now):
                     open_keys.discard(k)
                 last[k] = now
+                results[k][f"iters_{kind}"] = step
                 state[k].pop("trials", None)
             if not open_keys:
                 break
         for k in start:
             results[k][f"loglik_{kind}"] = last[k]
+            results[k][f"converged_{kind}"] = k not in open_keys
             if kind == "free":
                 results[k]["b"] = rank.implied_b(state[k]["beta"]).tolist()
     rows.unpersist()
-    out = [(k, model, float(r["loglik_free"]), float(r["loglik_one"]), 2 * float(r["loglik_free"] - r["loglik_one"]), [float(x) for x in r["b"]]) for k, r in results.items()]
-    return df.sparkSession.createDataFrame(out, "system string, spec string, loglik_free double, loglik_one double, lr double, b array<double>")
+    out = [(k, model, float(r["loglik_free"]), float(r["loglik_one"]), 2 * float(r["loglik_free"] - r["loglik_one"]), [float(x) for x in r["b"]], r["iters_free"], r["iters_one"], r["converged_free"], r["converged_one"]) for k, r in results.items()]
+    return df.sparkSession.createDataFrame(out, "system string, spec string, loglik_free double, loglik_one double, lr double, b array<double>, iters_free int, iters_one int, converged_free boolean, converged_one boolean")

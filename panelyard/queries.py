@@ -811,13 +811,13 @@ def e38(spark, d):  # noqa: ANN001, ANN201
 @query("e23_fit_quadratic")
 def e23_fit(spark, d):  # noqa: ANN001, ANN201
     rows = panel.volatility_driver(log5(spark, d).select("d", *L5[:2]), L5[:2], [])
-    return driven.fit(rows, L5[:2], [], "v", "quadratic", tol=1e-6, most=6)
+    return driven.fit(rows, L5[:2], [], "v", "quadratic")
 
 
 @query("e25_fit_log_precision")
 def e25_fit(spark, d):  # noqa: ANN001, ANN201
     rows = panel.volatility_driver(log5(spark, d).select("d", *L5[:2]), L5[:2], [])
-    return driven.fit(rows, L5[:2], [], "v", "log-precision", tol=1e-6, most=4)
+    return driven.fit(rows, L5[:2], [], "v", "log-precision")
 
 
 @query("c3_anti_join", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

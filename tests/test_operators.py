@@ -139,3 +139,16 @@ def test_scale_brackets_are_each_systems_own(spark):
         for kind in ("free", "one"):
             assert abs(alone[f"b_{kind}"] - joint[k][f"b_{kind}"]) < 1e-3
             assert abs(alone[f"loglik_{kind}"] - joint[k][f"loglik_{kind}"]) < 1e-6
+
+
+@pytest.mark.parametrize("model", ["quadratic", "log-precision"])
+def test_driven_fit_says_whether_it_converged(spark, model):
+    from panelyard.operators import panel
+    from panelyard.plans import driven
+
+    rows = panel.volatility_driver(_walk(spark, p=2, systems=1).drop("sys").coalesce(1), ["x0", "x1"], [])
+    short = driven.fit(rows, ["x0", "x1"], [], "v", model, most=1).first()
+    assert not short["converged_free"] and not short["converged_one"] and short["iters_free"] == 1
+    whole = driven.fit(rows, ["x0", "x1"], [], "v", model).first()
+    assert whole["converged_free"] and whole["converged_one"] and 1 < whole["iters_free"] <= 60
+    assert whole["loglik_free"] >= short["loglik_free"]
