@@ -95,6 +95,7 @@ def scale(df: DataFrame, columns: list[str], system: list[str], driver: str, dat
         grid = at.select(*keys, "restriction", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
         grid = grid.select(*keys, "restriction", (F.col("lo") + F.col("k") * step).alias("bb"))
         grams = moments.gram_rows(rows.join(grid, keys), names, [*keys, "restriction", "bb"], F.exp(-F.col("bb") * F.col("__u")))
+        grams = grams.repartition(tables.partitions(df.sparkSession))  # a fit is long, its row short
         found = F.when(free, F.col("loglik_free")).otherwise(F.col("loglik_one"))
         each = rank.spec_fits(grams, [*keys, "restriction", "bb"], s, "scale").withColumn("loglik", F.when(~F.isnan(found), found))
         own = each.groupBy(*keys, "restriction").agg(F.max("loglik").alias("loglik"), F.max_by("bb", "loglik").alias("best"), F.max_by("b", "loglik").alias("b"), F.max("error").alias("error"))

@@ -152,3 +152,18 @@ def test_driven_fit_says_whether_it_converged(spark, model):
     whole = driven.fit(rows, ["x0", "x1"], [], "v", model).first()
     assert whole["converged_free"] and whole["converged_one"] and 1 < whole["iters_free"] <= 60
     assert whole["loglik_free"] >= short["loglik_free"]
+
+
+def test_specifications_in_one_table(spark):
+    from panelyard.plans import compare
+
+    df = _walk(spark, n=120, p=2, systems=2)
+    recorded = spark.createDataFrame([("iid", 1.0, 2.0)], "spec string, loglik_free double, loglik_one double")
+    got = compare.with_recorded(compare.spec_fits(df, ["x0", "x1"], ["sys"], [60]), recorded, ["spec"]).collect()
+    assert {(r["system"], r["spec"]) for r in got} == {(k, n) for k in "01" for n, _ in compare.SPECS}
+    for r in got:
+        assert r["error"] is None and len(r["b"]) == 1 and abs(r["lr"] - 2 * (r["loglik_free"] - r["loglik_one"])) < 1e-6 and r["lr"] > -1e-4
+        assert (r["diff_free"] is None) == (r["spec"] != "iid")
+        assert r["diff_free"] is None or abs(r["diff_free"] - (r["loglik_free"] - 1)) < 1e-9
+    by = {(r["system"], r["spec"]): r["loglik_free"] for r in got}
+    assert all(by[(k, "regime")] >= by[(k, "iid")] - 1e-6 for k in "01")
