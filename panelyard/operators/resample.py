@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from . import rank
 
 
@@ -40,6 +41,7 @@ def bootstrap_rank(levels: DataFrame, columns: list[str], system: list[str], r0:
     s = rank.Shape(p, p, p + 1)
     blocks = levels.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // chunk))))
     keys = [*system, "block"]
+    blocks = blocks.repartition(tables.partitions(levels.sparkSession), *keys)  # a block is long work on few rows
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(order)[columns].to_numpy(float)
@@ -83,6 +85,7 @@ def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], break
     p = len(columns)
     s = rank.Shape(p, p, p + 1)
     blocks = levels.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // chunk))))
+    blocks = blocks.repartition(tables.partitions(levels.sparkSession), *system, "block")
 
     def grams_of(x: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
         d = np.diff(x, axis=0)

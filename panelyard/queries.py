@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .functions import dist
 from .operators import covariance, moments, panel, rank, replication, resample, unitroot
-from .plans import compare, driven, fits
+from .plans import boot, compare, driven, fits
 from .sources import panels, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -636,17 +636,14 @@ def f6(spark, d):  # noqa: ANN001, ANN201
 
 @query("f3_f7_bootstrap_rank")
 def f7(spark, d):  # noqa: ANN001, ANN201
-    draws = resample.bootstrap_rank(_system(spark, d), L5[:4], [], 3, 100, 11, chunk=25).withColumn("observed", F.lit(3.8415))
-    return replication.bootstrap_pvalue(draws.withColumn("r0", F.lit(3)), ["r0"], "observed")
+    return boot.rank_pvalues(_system(spark, d), L5[:4], [], 999, 11)
 
 
 @query("f4_bootstrap_lr")
 def f4(spark, d):  # noqa: ANN001, ANN201
-    """LR of equal loadings in each region, with wild-bootstrap p-values."""
+    """LR of equal loadings in each region, iid and by regime, with wild-bootstrap p-values."""
     rows = _region_system(spark, d)
-    draws = resample.bootstrap_lr(rows, L5[:3], ["n_regionkey"], [], 40, 17, chunk=10)
-    observed = fits.iid(rows, L5[:3], ["n_regionkey"]).select("n_regionkey", F.col("lr").alias("observed"))
-    return replication.bootstrap_pvalue(draws.join(observed, "n_regionkey"), ["n_regionkey"], "observed")
+    return boot.lr_pvalues(rows, L5[:3], ["n_regionkey"], [26, 52], 999, 17)
 
 
 # Replication tables

@@ -167,3 +167,18 @@ def test_specifications_in_one_table(spark):
         assert r["diff_free"] is None or abs(r["diff_free"] - (r["loglik_free"] - 1)) < 1e-9
     by = {(r["system"], r["spec"]): r["loglik_free"] for r in got}
     assert all(by[(k, "regime")] >= by[(k, "iid")] - 1e-6 for k in "01")
+
+
+def test_bootstraps_use_the_panels_own_statistics(spark):
+    from panelyard.operators import moments, rank
+    from panelyard.plans import boot, fits
+
+    df, columns = _walk(spark, n=90, p=2), ["x0", "x1"]
+    rows, names, s = fits.design(df, columns, ["sys"])
+    trace = {(r["sys"], r["r"]): r["trace"] for r in rank.trace_test(moments.gram_rows(rows, names, ["sys"]), ["sys"], s).collect()}
+    got = {(r["sys"], r["r0"]): r for r in boot.rank_pvalues(df, columns, ["sys"], 39, 3).collect()}
+    assert set(got) == set(trace) and all(r["n"] == 39 and abs(r["observed"] - trace[k]) < 1e-9 for k, r in got.items())
+    assert all(got[(k, 0)]["p"] <= 0.05 for k in (0, 1))
+    lr = boot.lr_pvalues(df, columns, ["sys"], [45], 8, 3).collect()
+    assert sorted((r["sys"], r["spec"]) for r in lr) == [(0, "iid"), (0, "regime"), (1, "iid"), (1, "regime")]
+    assert all(r["n"] == 8 and r["observed"] >= -1e-6 for r in lr)
