@@ -44,8 +44,9 @@ def driver_power_gram(df: DataFrame, columns: list[str], driver: str, keys: list
     return gram(each, columns, [*keys, "power"], F.pow(F.col(driver), F.col("power")))
 
 
-def prefix_gram(df: DataFrame, a: str, b: str, system: list[str], at: list[int], block: int = 1000) -> DataFrame:
-    """Sums of a * b over rows 1 to k, for each k in `at` (rows numbered by t).
+def prefix_gram(df: DataFrame, a: str, b: str, system: list[str], at: list[int] | DataFrame, block: int = 1000) -> DataFrame:
+    """Sums of a * b over rows 1 to k, for each k in `at` (rows numbered by t): a list, or a
+    table (system, k) of each system's own.
 
     Blocks of rows are summed first; only blocks and the rows of cut blocks are ordered.
     """
@@ -53,8 +54,9 @@ def prefix_gram(df: DataFrame, a: str, b: str, system: list[str], at: list[int],
     blocks = rows.groupBy(*system, "__b").agg(F.sum("p").alias("s"))
     w = Window.partitionBy(*system).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(*system, "__b", F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias("before"))
-    edges = df.sparkSession.createDataFrame([(k,) for k in at], "k int").withColumn("__b", F.floor((F.col("k") - 1) / block))
-    part = rows.join(F.broadcast(edges), "__b").where("t <= k").groupBy(*system, "__b", "k").agg(F.sum("p").alias("part"))
+    own = isinstance(at, DataFrame)
+    edges = (at if own else df.sparkSession.createDataFrame([(k,) for k in at], "k int")).withColumn("__b", F.floor((F.col("k") - 1) / block))
+    part = (rows.join(edges, [*system, "__b"]) if own else rows.join(F.broadcast(edges), "__b")).where("t <= k").groupBy(*system, "__b", "k").agg(F.sum("p").alias("part"))
     return part.join(before, [*system, "__b"]).select(*system, "k", (F.col("before") + F.col("part")).alias("value"))
 
 

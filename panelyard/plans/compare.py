@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dist
 from ..operators import panel
 from . import driven, fits
 
@@ -52,3 +53,23 @@ def with_recorded(found: DataFrame, recorded: DataFrame, keys: list[str]) -> Dat
     old = recorded.select(*keys, *(F.col(f"loglik_{k}").alias(f"recorded_{k}") for k in ("free", "one")))
     each = found.join(old, keys, "left")
     return each.withColumns({f"diff_{k}": F.col(f"loglik_{k}") - F.col(f"recorded_{k}") for k in ("free", "one")})
+
+
+def seasonal_grid(df: DataFrame, columns: list[str], system: list[str], breaks: list[int], kinds: list[str], names: list[str] | None = None, date: str = "d") -> DataFrame:
+    """spec_fits with each seasonal block, with the p-value of b = 1."""
+    out = None
+    for kind in kinds:
+        one = spec_fits(panel.dummies(df, kind, date), columns, system, breaks, date, panel.seasonal_columns(kind), names)
+        one = one.withColumns({"seasonal": F.lit(kind), "p": dist.chi2_sf(F.col("lr"), len(columns) - 1)})
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def seasonal_summary(grid: DataFrame) -> DataFrame:
+    """(system, spec, n, spread, n_rejects, gap): the p-values' range over the blocks, how many
+    are under 0.05, and the smallest distance to another specification's in the same block."""
+    grid = grid.select("system", "spec", "seasonal", "p")
+    other = grid.select("system", "seasonal", F.col("spec").alias("other"), F.col("p").alias("q"))
+    gaps = grid.join(other, ["system", "seasonal"]).where("spec <> other").groupBy("system", "spec").agg(F.min(F.abs(F.col("p") - F.col("q"))).alias("gap"))
+    own = grid.groupBy("system", "spec").agg(F.count("p").alias("n"), (F.max("p") - F.min("p")).alias("spread"), F.count_if(F.col("p") < 0.05).alias("n_rejects"))
+    return own.join(gaps, ["system", "spec"], "left")

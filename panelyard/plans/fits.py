@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dist
 from ..operators import moments, panel, rank
 from ..operators.unitroot import square
 from ..sources import tables
@@ -48,7 +49,7 @@ def break_grid(df: DataFrame, columns: list[str], system: list[str], breaks: tup
     grid = df.sparkSession.createDataFrame([(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)], "s1 int, s2 int")
     tail = "loglik_free double, loglik_one double, lr double, error string"
     keys = [*system, "s1", "s2"]
-    each = pieces.crossJoin(F.broadcast(grid))
+    each = pieces.crossJoin(F.broadcast(grid)).repartition(tables.partitions(df.sparkSession), *keys)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         base = {c: part[c].iloc[0] for c in keys}
@@ -69,9 +70,12 @@ def break_grid(df: DataFrame, columns: list[str], system: list[str], breaks: tup
     return each.groupBy(*keys).applyInPandas(run, f"{rank._head(each, keys)}, {tail}")
 
 
-def grid_summary(grid: DataFrame, system: list[str]) -> DataFrame:
+def grid_summary(grid: DataFrame, system: list[str], df: int | None = None) -> DataFrame:
+    """Extremes of the LR over a grid; with df, also of its p-value and how many exceed 0.05."""
+    p = dist.chi2_sf(F.col("lr"), df) if df else None
+    more = [] if p is None else [F.max(p).alias("max_p"), F.min(p).alias("min_p"), F.count_if(p > 0.05).alias("n_above"), F.count_if(F.col("lr").isNull()).alias("n_failed")]
     return grid.groupBy(*system).agg(
-        F.min("lr").alias("min_lr"), F.max("lr").alias("max_lr"), F.median("lr").alias("median_lr"), F.min_by(F.struct("s1", "s2"), "lr").alias("at_min"), F.max_by(F.struct("s1", "s2"), "lr").alias("at_max"), F.count("lr").alias("n")
+        F.min("lr").alias("min_lr"), F.max("lr").alias("max_lr"), F.median("lr").alias("median_lr"), F.min_by(F.struct("s1", "s2"), "lr").alias("at_min"), F.max_by(F.struct("s1", "s2"), "lr").alias("at_max"), F.count("lr").alias("n"), *more
     )
 
 

@@ -561,12 +561,17 @@ def e33(spark, d):  # noqa: ANN001, ANN201
 
 @query("e35_break_grid")
 def e35(spark, d):  # noqa: ANN001, ANN201
-    return fits.grid_summary(fits.break_grid(_system(spark, d), L5[:4], [], (120, 240), 2), [])
+    return fits.grid_summary(fits.break_grid(_system(spark, d), L5[:4], [], (120, 240), 6), [], 3)
 
 
 @query("e37_seasonal_grid")
 def e37(spark, d):  # noqa: ANN001, ANN201
-    return fits.seasonal_grid(_system(spark, d), L5[:4], [], ["none", "quarter", "fourier1", "fourier2", "month"])
+    return compare.seasonal_grid(_system(spark, d), L5[:4], [], [120, 240], ["none", "quarter", "fourier2", "fourier3", "month"], ["regime", "scale"])
+
+
+@query("e37_seasonal_summary")
+def e37_summary(spark, d):  # noqa: ANN001, ANN201
+    return compare.seasonal_summary(e37(spark, d))
 
 
 BREAK = f"""WITH {REGION}, m AS (SELECT n_regionkey, t, x - avg(x) OVER (PARTITION BY n_regionkey) AS e, count(*) OVER (PARTITION BY n_regionkey) AS n FROM logr),
@@ -579,7 +584,8 @@ def e36(spark, d):  # noqa: ANN001, ANN201
     w = Window.partitionBy("n_regionkey")
     m = logr(spark, d).withColumns({"e": F.col("x") - F.avg("x").over(w)})
     whole = m.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("tot"))
-    sums = moments.prefix_gram(m, "e", "e", ["n_regionkey"], list(range(12, 400, 6)), block=24).join(whole, "n_regionkey").where("k <= n - 12")
+    cuts = whole.where("n >= 24").select("n_regionkey", F.explode(F.sequence(F.lit(12), F.col("n").cast("int") - 12, F.lit(6))).alias("k"))
+    sums = moments.prefix_gram(m, "e", "e", ["n_regionkey"], cuts, block=24).join(whole, "n_regionkey")
     q, k, n = F.col("value"), F.col("k"), F.col("n")
     ll = -0.5 * (k * F.ln(q / k) + (n - k) * F.ln((F.col("tot") - q) / (n - k)))
     return sums.withColumn("ll", ll).groupBy("n_regionkey").agg(F.max_by("k", "ll").alias("k"), F.round(F.max("ll"), 6).alias("ll"))
@@ -813,7 +819,7 @@ def e38(spark, d):  # noqa: ANN001, ANN201
     base = log5(spark, d)
     names = ["n1", "n2", "n3"]
     parts = [base.select("d", F.lit(first).alias("numeraire"), *(F.col(c).alias(n) for c, n in zip([first, *L5[2:4]], names, strict=True))) for first in L5[:2]]
-    return fits.iid(parts[0].unionByName(parts[1]), names, ["numeraire"])
+    return compare.spec_fits(parts[0].unionByName(parts[1]), names, ["numeraire"], [120, 240])
 
 
 @query("e23_fit_quadratic")

@@ -182,3 +182,19 @@ def test_bootstraps_use_the_panels_own_statistics(spark):
     lr = boot.lr_pvalues(df, columns, ["sys"], [45], 8, 3).collect()
     assert sorted((r["sys"], r["spec"]) for r in lr) == [(0, "iid"), (0, "regime"), (1, "iid"), (1, "regime")]
     assert all(r["n"] == 8 and r["observed"] >= -1e-6 for r in lr)
+
+
+def test_grids_count_p_values_and_own_cuts(spark):
+    from panelyard.operators import moments, panel
+    from panelyard.plans import compare, fits
+
+    grid = spark.createDataFrame([(0, 0, 1.0), (0, 1, 20.0), (1, 0, None)], "s1 int, s2 int, lr double")
+    r = fits.grid_summary(grid, [], 3).first()
+    assert (r["n"], r["n_above"], r["n_failed"]) == (2, 1, 1) and abs(r["max_p"] - 0.801252) < 1e-5
+    df = panel.numbered(_walk(spark, n=500), ["sys"])
+    at = spark.createDataFrame([(0, 30), (1, 480)], "sys int, k int")
+    got = {(r["sys"], r["k"]) for r in moments.prefix_gram(df, "x0", "x0", ["sys"], at, block=32).collect()}
+    assert got == {(0, 30), (1, 480)}
+    p = [("all", s, k, x) for s, xs in (("regime", (0.01, 0.2)), ("scale", (0.04, 0.5))) for k, x in zip("ab", xs)]
+    said = {r["spec"]: r for r in compare.seasonal_summary(spark.createDataFrame(p, "system string, spec string, seasonal string, p double")).collect()}
+    assert said["regime"]["n_rejects"] == said["scale"]["n_rejects"] == 1 and abs(said["scale"]["gap"] - 0.03) < 1e-9 and abs(said["regime"]["spread"] - 0.19) < 1e-9
