@@ -1,11 +1,13 @@
 """Main text of HTML pages by the distribution of text over lines.
 
 Markup becomes lines, one a block. Scripts, styles, comments, forms and elements whose
-tag, role, class or id marks them as page furniture are dropped with all they hold. Every
+tag, role, class or id marks them as page furniture are dropped with all they hold, unless
+they hold an article or main element or most of the page's text outside links. Every
 remaining line weighs as many characters as it has outside links; if the page marks an
 article or main element, lines outside it weigh nothing. Sums over sliding windows of
 WINDOW lines rise from nothing at surge points and fall back at dive points; of the
-stretches between them the heaviest is the main text, with all its lines, short ones too.
+stretches between them the heaviest is the main text, with all its lines, short ones too;
+stretches of one container with only link lines between them are one.
 
 Defined cases: null and empty html give an empty text; unclosed elements end where their
 parent's end tag or the page ends; character references are decoded after tags are gone;
@@ -33,6 +35,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details div
 SPACED = frozenset(("br", "td", "th"))
 #: Words in class, id and role that mark page furniture.
 FURNITURE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related replies responses share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words of place in front of them.
+PLACES = frozenset("site page global top bottom".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
@@ -50,24 +54,71 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
         value = value.strip("\"'").lower()
         if name.lower() == "role" and value in ROLES:
             return True
-        if not FURNITURE_WORDS.isdisjoint(re.split(r"[\s_-]+", value)) and not (inside and tag == "header"):
+        if any(_named(token, inside) for token in value.split()) and not (inside and tag == "header"):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, in a marked article) of each non-empty line."""
+def _named(token: str, inside: bool) -> bool:
+    """All parts of a class or id mark furniture; outside an article, after words of place."""
+    parts = re.split(r"[_-]+", token)
+    while not inside and len(parts) > 1 and parts[0] in PLACES:
+        parts = parts[1:]
+    return FURNITURE_WORDS.issuperset(parts)
+
+
+def _bodies(page: str) -> set[int]:
+    """Starts of elements that hold an article or main, or most of the page's text outside links."""
+    stack: list[tuple[str, int, int, int]] = []
+    sizes: list[tuple[int, int, bool]] = []
+    size, marks, link, at = 0, 0, 0, 0
+
+    def close(k: int) -> None:
+        nonlocal link
+        for tag, start, before, marked in stack[k:]:
+            sizes.append((start, size - before, marks > marked))
+            link -= tag == "a"
+        del stack[k:]
+
+    for m in TAG.finditer(page):
+        if not link:
+            size += len(page[at : m.start()].strip())
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if k is not None:
+                close(k)
+        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            if tag == "p":
+                while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span"):
+                    close(len(stack) - 1)
+            marks += tag in ("article", "main")
+            stack.append((tag, m.start(), size, marks))
+            link += tag == "a"
+    if not link and not page[at:].lstrip().startswith("<"):
+        size += len(page[at:].strip())
+    close(0)
+    return {start for start, own, marked in sizes if marked or 2 * own > size}
+
+
+def lines(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+    """(text, characters outside links, in a marked article, starts of its blocks) of each non-empty line."""
     page = RAW_OUT.sub(" ", COMMENT.sub(" ", page))
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    kept = _bodies(page)
     text: list[str] = []
     bare: list[str] = []
     stack: list[str] = []
+    starts: list[int] = []
     skip, link, article, at = 0, 0, 0, 0
 
     def flush() -> None:
         joined = " ".join(htmllib.unescape("".join(text)).split())
         if joined:
-            out.append((joined, len(" ".join(htmllib.unescape("".join(bare)).split())), article > 0))
+            out.append((joined, len(" ".join(htmllib.unescape("".join(bare)).split())), article > 0, tuple(x for t, x in zip(stack, starts, strict=True) if t in BLOCKS)))
         text.clear()
         bare.clear()
 
@@ -95,12 +146,13 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     skip -= gone.endswith(" skip")
                     article -= gone in ("article", "main")
                     link -= gone == "a"
-                del stack[k:]
+                del stack[k:], starts[k:]
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             if tag == "p":  # a paragraph ends an open one
                 while stack and stack[-1] in ("p", "b", "i", "em", "strong", "span"):
-                    stack.pop()
-            hides = _furniture(tag, m[3], article > 0)
+                    del stack[-1], starts[-1]
+            hides = m.start() not in kept and _furniture(tag, m[3], article > 0)
+            starts.append(m.start())
             stack.append(f"{tag} skip" if hides else tag)
             skip += hides
             article += not hides and tag in ("article", "main")
@@ -110,21 +162,32 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _joins(found: list[tuple[str, int, bool, tuple[int, ...]]], last: int, first: int) -> bool:
+    """The lines between two stretches are link lines of the container that holds both ends."""
+    box = found[last][3][:-1]
+    return box == found[first][3][:-1] and all(x[3][: len(box)] == box and 2 * x[1] < len(x[0]) for x in found[last + 1 : first])
+
+
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    marked = any(inside and weight for _, weight, inside in found)
-    weights = [(len(t) if inside else 0) if marked else (w if 2 * w >= len(t) else 0) for t, w, inside in found]
+    marked = any(inside and weight for _, weight, inside, _ in found)
+    weights = [(len(t) if inside else 0) if marked else (w if 2 * w >= len(t) else 0) for t, w, inside, _ in found]
     sums = [sum(weights[max(0, k - WINDOW + 1) : k + 1]) for k in range(len(weights))]  # the window that ends at k
-    best, surge = (0, 0, 0), None
+    spans: list[tuple[int, int]] = []
+    surge = None
     for k in range(len(sums) + 1):
         full = k < len(sums) and sums[k] > 0
         if full and surge is None:
             surge = k
         elif not full and surge is not None:
             dive = max(j for j in range(surge, k) if weights[j]) + 1
-            best = max(best, (sum(weights[surge:dive]), -surge, dive))
+            if spans and not marked and _joins(found, spans[-1][1] - 1, surge):
+                spans[-1] = (spans[-1][0], dive)
+            else:
+                spans.append((surge, dive))
             surge = None
-    return "\n\n".join(t for t, _, inside in found[-best[1] : best[2]] if inside or not marked)
+    surge, dive = max(spans, key=lambda x: (sum(weights[x[0] : x[1]]), -x[0]), default=(0, 0))
+    return "\n\n".join(t for t, _, inside, _ in found[surge:dive] if inside or not marked)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

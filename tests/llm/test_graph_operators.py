@@ -135,3 +135,22 @@ def test_pipeline(spark):
         assert not own & seen
         seen |= own
     assert out.where(F.col("n_chars") != F.char_length("text")).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["class='content has-sidebar'", "class=with-ads", "class='main no-comments'", "id=skip-target", "class=sidebar"])
+def test_extraction_keeps_what_holds_the_article(mark):
+    from panelyard.llm import extraction
+
+    inner = "<div class='article-header'><h1>Title</h1></div><p>" + "Long text. " * 20 + "</p>"
+    want = "Title\n\n" + ("Long text. " * 20).strip()
+    assert extraction.main_text(f"<body><nav><a href=a>Home</a></nav><div {mark}><article>{inner}</article></div><div class='site-footer'>foot</div></body>") == want
+    assert extraction.main_text(f"<body><nav><a href=a>Home</a></nav><div {mark}>{inner}</div></body>") == want
+
+
+def test_extraction_goes_on_after_a_list_of_links():
+    from panelyard.llm import extraction
+
+    links = "<ul>" + "".join(f"<li><a href={k}>Reference {k}</a></li>" for k in range(5)) + "</ul>"
+    page = f"<body><div><p>{'First part. ' * 30}</p>{links}<p>{'Last part. ' * 20}</p></div><div>{links}</div><div><p>other</p></div></body>"
+    got = extraction.main_text(page).split("\n\n")
+    assert got[0].startswith("First part.") and got[1] == "Reference 0" and got[-1].startswith("Last part.") and len(got) == 7
