@@ -31,8 +31,9 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+LINK, META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+CANONICAL = r"""(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
+REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 GOTO = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
@@ -51,13 +52,29 @@ def address(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host(url), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
+def decoded(text: Column) -> Column:
+    """Text with &amp; and numeric character references decoded, each once."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?is)&amp;|&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});|[^&]+|&"), F.lit(0))
+
+    def one(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"(?i)^&#x?([0-9a-f]+);$", 1)
+        code = F.when(F.lower(x).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(F.lower(x) == "&amp;", "&").when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(x)
+
+    return F.array_join(F.transform(parts, one), "")
+
+
+def _named(body: Column, tag: str, mark: str, value: str) -> Column:
+    """The values of all tags that carry the mark."""
+    tags = F.filter(F.regexp_extract_all(body, F.lit(tag), F.lit(0)), lambda x: F.rlike(x, F.lit(mark)))
+    return F.transform(tags, lambda x: decoded(F.regexp_extract(x, value, 1)))
+
+
 def edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): addresses that a page's canonical link or redirect joins."""
+    """(a, b): addresses that a page's canonical links and redirects join."""
     body, own = F.col(common.quoted(html)), F.col(common.quoted(url))
-    named = F.array(
-        F.regexp_extract(F.regexp_extract(body, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(body, REFRESH, 0), GOTO, 1),
-    )
+    named = F.concat(_named(body, LINK, CANONICAL, HREF), _named(body, META, REFRESH, GOTO))
     hinted = pages.where(own.contains("://")).where(F.lower(body).contains("canonical") | F.lower(body).contains("refresh"))
     found = hinted.select(own.alias("u"), F.explode(named).alias("t")).where("t <> ''")
     t = F.col("t")

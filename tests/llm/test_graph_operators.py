@@ -154,3 +154,20 @@ def test_extraction_goes_on_after_a_list_of_links():
     page = f"<body><div><p>{'First part. ' * 30}</p>{links}<p>{'Last part. ' * 20}</p></div><div>{links}</div><div><p>other</p></div></body>"
     got = extraction.main_text(page).split("\n\n")
     assert got[0].startswith("First part.") and got[1] == "Reference 0" and got[-1].startswith("Last part.") and len(got) == 7
+
+
+def test_url_filters_take_every_link_decoded(spark):
+    from panelyard.llm import urls
+
+    link = lambda u, rel="canonical": f'<link rel="{rel}" href="{u}">'
+    pages = [
+        (1, "http://a.net/1", link("http://b.net/x?p=1&amp;q=2")),
+        (2, "http://b.net/x?p=1&q=2", link("http://x.com/de/z", "alternate canonical")),
+        (3, "http://a.net/3", link("http://c.net/3") + link("http://x.com/de/&#x7a;&#38;amp;")),
+        (4, "http://a.net/4", '<meta http-equiv=refresh content="5"><meta http-equiv=refresh content="1;url=http://x.com/de/y">'),
+        (5, "http://a.net/5", link("http://x.com/de/y", "canonical-not")),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, urls.RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+    assert {r["b"] for r in urls.edges(df).collect()} == {"b.net/x?p=1&q=2", "x.com/de/z", "c.net/3", "x.com/de/z&amp;", "x.com/de/y"}
