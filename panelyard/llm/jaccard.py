@@ -43,14 +43,14 @@ def ngrams(text: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.
     owner = np.searchsorted(offsets, starts, "right") - 1
     counts = np.diff(offsets)
     short = np.flatnonzero((counts > 0) & (counts < size))
-    whole = packed.spans_hash(hashes, offsets[short], offsets[short + 1], packed.WORD_BASE)
+    whole = packed.whole_hashes(hashes, offsets, short)
     return np.concatenate((found, whole)), np.concatenate((owner, short))
 
 
 def _incidence(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: int) -> DataFrame:
     """One row a document: id, n, sig (of the set), and for candidates prefix and body."""
-    groups, n = packed.numbers(docs.sparkSession)
     ids, texts = F.col(common.quoted(doc_id)), F.col(common.quoted(text))
+    groups, n = packed.numbers(docs.sparkSession, packed.text_bytes(docs, texts))
     grouped = docs.select(ids.alias("id"), texts.alias("text")).withColumns({"key": F.xxhash64("id", "text"), "digest": F.xxhash64("text")}).withColumn("grp", F.pmod("key", F.lit(groups)).cast("int"))
 
     def emit(key: tuple, rows: pa.Table) -> pa.Table:

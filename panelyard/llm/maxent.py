@@ -1,27 +1,31 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). Classes hold words of similar
-counts, in parts of about equal mass; a word's share of its class is (count + 1) over the
-class's sum of it, and the last class also holds one unknown word. P(class | context) is
-a softmax over a bias (the classes' log masses) and three hashed features: the word
-before, the pair of words before, and the word before that one (a skip). Without training
-the model is the add-one unigram model; gradients then move the class part away from it.
+P(word | context) = P(class | context) P(cell | class, context) P(word | cell). Classes
+hold words of similar counts, in parts of about equal mass, so a frequent word is a class
+or nearly one; a class's words are dealt into cells by their hash. Both first factors are
+softmaxes with hashed n-gram and skip features. That of the class has a bias (the log
+masses), the word before, the word before that one (a skip), and the pair of both; that of
+the cell has a bias, the word before with the class, and the pair with the class. Words
+that share a cell split it by (count + 1); the last class's first cell also holds one
+unknown word. Without training the model is the add-one unigram model; gradients move both
+softmaxes away from it.
 
 Counts come from all training tokens by the packed exchange: a group of documents sends
-each distinct word once and gets its count back. Documents then become class and feature
-codes, a few bytes a token, written to the shared folder. Training takes ROUNDS rounds
+each distinct word once and gets its count back. Documents then become code and class
+numbers, three bytes a token, written to the shared folder. Training takes ROUNDS rounds
 over disjoint parts of all training documents: tasks start from the broadcast weights
 (whose size is a parameter), take mini-batch steps with row-wise adaptive rates, and send
 what they moved; Spark averages that by how often each row was updated. Scoring gathers
-only the feature rows of a batch's tokens.
+only the feature rows of a slice's tokens; slices have SLICE tokens however long texts are.
 
 Defined cases: null text is empty (its one token is the end); null ids count as training;
-repeated rows count and are scored each; without training tokens every score is 0. Words
-are compared by 64-bit hashes.
+repeated rows count and are scored each; an empty table gives an empty result; without
+training tokens every score is 0. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +35,16 @@ from pyspark.sql import functions as F
 
 from . import common, packed
 
-CLASSES, ROUNDS, BATCH, RATE = 32, 2, 8192, 0.5
-#: Rows of the features: word before, word before that, and both.
+#: Classes, and cells of each; the softmaxes are equally wide.
+CLASSES = 24
+ROUNDS, BATCH, RATE, SLICE = 2, 8192, 0.5, 1 << 17
+#: Rows of the features: word before, word before that, and both; then both kinds with the class.
 ROWS = (1 << 14, 1 << 14, 1 << 15)
+CELL_ROWS = (1 << 15, 1 << 15)
 BLOCK = 512
 END = np.uint64(0x5851F42D4C957F2D)
+#: Marks an unknown word in the byte that holds its class.
+UNKNOWN = 128
 
 
 @dataclass
@@ -45,7 +54,7 @@ class Classes:
     total: int  # training tokens
     distinct: int
     lowest: np.ndarray  # smallest rounded count of each class, falling
-    mass: np.ndarray  # sum of count + 1, and 1 for the unknown word in the last
+    mass: np.ndarray  # sum of count + 1 of each class and cell, and 1 for the unknown word
 
     def of(self, counts: np.ndarray) -> np.ndarray:
         k = np.searchsorted(-self.lowest.astype(np.int64), -rounded(counts).astype(np.int64), "left")
@@ -78,25 +87,29 @@ def _tokens(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _classes(hist: list, n_classes: int) -> Classes:
-    """hist: (rounded count, words, tokens) of the training words."""
+    """Classes of about equal mass, from (rounded count, words, tokens) of the training words."""
     keys = sorted(((r["key"], r["n"], r["mass"]) for r in hist), reverse=True)
     total, distinct = sum(k[2] for k in keys), sum(k[1] for k in keys)
-    lowest, mass, own = [], [], 0
+    lowest, own = [], 0
     left, part = total + distinct + 1, n_classes
     for key, n, m in keys:
         own += m + n
         if own >= left / part and part > 1:
             lowest.append(key)
-            mass.append(own)
             left, part, own = left - own, part - 1, 0
     lowest.append(0)
-    mass.append(own + 1)
-    return Classes(total, distinct, np.array(lowest, np.int64), np.array(mass, np.float64))
+    mass = np.zeros((len(lowest), CLASSES))
+    mass[-1, 0] = 1
+    return Classes(total, distinct, np.array(lowest, np.int64), mass)
+
+
+def cell_of(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return np.where(kinds >= UNKNOWN, 0, codes % CLASSES)
 
 
 def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
     """One row a document: its counts, base score and codes; and the classes."""
-    groups, n = packed.numbers(docs.sparkSession)
+    groups, n = packed.numbers(docs.sparkSession, packed.text_bytes(docs, F.col("text")))
     grouped = docs.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int"))
 
     def emit(key: tuple, rows: pa.Table) -> pa.Table:
@@ -115,10 +128,11 @@ def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
         counts = np.zeros(len(unique), np.int64)
         np.add.at(counts, inverse, np.concatenate([unsqueeze(extra[k]) for k in order]))
         seen = counts[counts > 0]
-        keys, which = np.unique(rounded(seen), return_inverse=True)
+        both = rounded(seen) * CLASSES + ((unique[counts > 0] >> np.uint64(48)) % np.uint64(CLASSES)).astype(np.int64)
+        keys, which = np.unique(both, return_inverse=True)
         mass = np.zeros(len(keys), np.int64)
         np.add.at(mass, which, seen)
-        hist = np.stack([keys, np.bincount(which, minlength=len(keys)), mass]).astype("<i8").tobytes()
+        hist = np.stack([keys // CLASSES, keys % CLASSES, np.bincount(which, minlength=len(keys)), mass]).astype("<i8").tobytes()
         back = counts[inverse]
         answers = [squeeze(back[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
         return packed.answered(np.append(senders, -1), key[0].as_py(), [*answers, hist])
@@ -126,12 +140,16 @@ def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
     def histogram(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             for blob in batch.column("answer").to_pylist():
-                k, c, m = np.frombuffer(blob, "<i8").reshape(3, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(m)], ["key", "n", "mass"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(blob, "<i8").reshape(4, -1)], ["key", "cell", "n", "mass"])
 
     answers = common.written(grouped.groupBy("grp").applyInArrow(emit, packed.SHIPPED).groupBy("bucket").applyInArrow(resolve, packed.ANSWER), "counts")
-    hist = answers.where("grp = -1").select("answer").mapInArrow(histogram, "key bigint, n bigint, mass bigint")
+    hist = common.written(answers.where("grp = -1").select("answer").mapInArrow(histogram, "key bigint, cell bigint, n bigint, mass bigint"), "histogram")
+    # Rounded counts are a few thousand at any input size, classes times cells a few hundred.
     classes = _classes(hist.groupBy("key").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect(), n_classes)
+    lowest = F.array(*(F.lit(int(x)) for x in classes.lowest))
+    kind = F.least(F.size(F.filter(lowest, lambda x: x > F.col("key"))), F.lit(len(classes.lowest) - 1))
+    for r in hist.groupBy(kind.alias("kind"), "cell").agg(F.sum(F.col("n") + F.col("mass")).alias("mass")).collect():
+        classes.mass[r["kind"], r["cell"]] += r["mass"]
 
     def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
         hashes, offsets = _tokens(rows.column("text"))
@@ -141,9 +159,11 @@ def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
             counts[at[bucket] : at[bucket + 1]] = unsqueeze(answer)
         kind = classes.of(counts)
         base = np.log10((counts + 1) / (classes.total + classes.distinct + 1))
-        inner = np.log10((counts + 1) / classes.mass[kind])
+        short = (unique >> np.uint64(48)).astype("<u2")
+        marked = (kind + np.where(counts > 0, 0, UNKNOWN)).astype(np.uint8)
+        inner = np.log10((counts + 1) / classes.mass[kind, cell_of(short, marked)])
         sums = lambda x: np.add.reduceat(x[inverse], offsets[:-1]) if len(rows) else np.zeros(0)
-        codes, kinds = ((unique >> np.uint64(48)).astype("<u2")[inverse]).tobytes(), kind.astype(np.uint8)[inverse].tobytes()
+        codes, kinds = short[inverse].tobytes(), marked[inverse].tobytes()
         return pa.table(
             {
                 "id": rows.column("id"),
@@ -164,8 +184,11 @@ def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
     return common.written(coded, "coded"), classes
 
 
-def features(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Feature rows of each token, one column a feature; starts: whether a text begins there."""
+def features(codes: np.ndarray, starts: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of each token for its class and for its cell, a line a feature.
+
+    starts: whether a text begins at the token.
+    """
     none = np.zeros(1, np.uint64)
     one = np.concatenate((none, codes[:-1].astype(np.uint64))) + np.uint64(1)
     one[starts] = 0
@@ -173,17 +196,17 @@ def features(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     two[starts] = 0  # a text's second token already sees 0 here
     pair = packed.mix(one * np.uint64(0x10001) + two)
     skip = packed.mix(two + np.uint64(77))
-    return np.stack(
-        [
-            (packed.mix(one) % np.uint64(ROWS[0])).astype(np.int64),
-            (skip % np.uint64(ROWS[1])).astype(np.int64) + ROWS[0],
-            (pair % np.uint64(ROWS[2])).astype(np.int64) + ROWS[0] + ROWS[1],
-        ]
-    )
+    own = (kinds & np.uint8(UNKNOWN - 1)).astype(np.uint64) << np.uint64(32)
+    hashes = (packed.mix(one), skip, pair, packed.mix(one + own + np.uint64(1 << 40)), packed.mix((pair >> np.uint64(24)) + own))
+    first, rows = 0, []
+    for h, n in zip(hashes, (*ROWS, *CELL_ROWS), strict=True):
+        rows.append((h % np.uint64(n)).astype(np.int64) + first)
+        first += n
+    return np.stack(rows[:3]), np.stack(rows[3:])
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of the classes for each token."""
+    """Log probabilities of the outcomes for each token; bias is one line, or one a token."""
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
@@ -193,23 +216,33 @@ def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarr
     return z
 
 
-def _stream(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, classes and text starts of a batch's tokens, one text after the other."""
-    sizes = np.asarray(batch.column("n_tokens"))
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of SLICE tokens at a time: which text, class, cell, and both kinds of feature rows."""
+    ends = np.cumsum(np.asarray(batch.column("n_tokens")))
     codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "<u2")
     kinds = np.frombuffer(b"".join(batch.column("kinds").to_pylist()), np.uint8)
-    return codes, kinds, np.concatenate(([0], np.cumsum(sizes)))
+    for k in range(0, len(codes), SLICE):
+        a, b = max(k - 2, 0), min(k + SLICE, len(codes))  # features look two tokens back
+        text = np.searchsorted(ends, np.arange(a, b), "right")
+        begins = np.concatenate(([True], text[1:] != text[:-1]))
+        first, second = features(codes[a:b], begins, kinds[a:b])
+        own, named = slice(k - a, None), kinds[k:b]
+        yield text[own], (named & np.uint8(UNKNOWN - 1)).astype(np.int64), cell_of(codes[k:b], named), first[:, own], second[:, own]
 
 
-def _bias(classes: Classes) -> np.ndarray:
-    return np.log(classes.mass / classes.mass.sum()).astype(np.float32)
+def _bias(classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Log shares of the classes, and of each class's cells; -inf for those that are empty."""
+    mass, out = classes.mass.sum(1), np.full(CLASSES, -np.inf, np.float32)
+    out[: len(mass)] = np.log(mass / mass.sum())
+    with np.errstate(divide="ignore"):
+        return out, np.log(classes.mass / mass[:, None]).astype(np.float32)
 
 
 def train(coded: DataFrame, classes: Classes, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the feature rows; each training document is in one round."""
-    spark, width = coded.sparkSession, len(classes.mass)
-    weights, bias = np.zeros((sum(ROWS), width), np.float32), _bias(classes)
-    if width == 1:
+    spark = coded.sparkSession
+    weights, (bias, cells) = np.zeros((sum(ROWS) + sum(CELL_ROWS), CLASSES), np.float32), _bias(classes)
+    if not classes.total:
         return weights
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
@@ -217,35 +250,37 @@ def train(coded: DataFrame, classes: Classes, rounds: int = ROUNDS) -> np.ndarra
         def learn(batches):  # noqa: ANN001, ANN202
             w, start = sent.value.copy(), sent.value  # noqa: B023
             scale, used = np.full(len(w), 1e-8, np.float32), np.zeros(len(w), np.float32)
+
+            def step(rows: np.ndarray, prior: np.ndarray, y: np.ndarray) -> None:
+                grad = np.exp(_logits(w, prior, rows))
+                grad[np.arange(len(y)), y] -= 1
+                for r in rows:
+                    order = np.argsort(r, kind="stable")
+                    ranked = r[order]
+                    heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+                    own, g = ranked[heads], np.add.reduceat(grad[order], heads)
+                    scale[own] += np.einsum("ij,ij->i", g, g)
+                    used[own] += np.diff(np.concatenate((heads, [len(r)])))
+                    w[own] -= RATE * g / np.sqrt(scale[own])[:, None]
+
             for batch in batches:
-                codes, kinds, texts = _stream(batch)
-                begins = np.zeros(len(codes), bool)
-                begins[texts[:-1]] = True
-                rows = features(codes, begins)
-                for k in range(0, len(codes), BATCH):
-                    part, y = rows[:, k : k + BATCH], kinds[k : k + BATCH]
-                    grad = np.exp(_logits(w, bias, part))
-                    grad[np.arange(len(y)), y] -= 1
-                    for r in part:
-                        order = np.argsort(r, kind="stable")
-                        ranked = r[order]
-                        heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                        own, g = ranked[heads], np.add.reduceat(grad[order], heads)
-                        scale[own] += np.einsum("ij,ij->i", g, g)
-                        used[own] += np.diff(np.concatenate((heads, [len(r)])))
-                        w[own] -= RATE * g / np.sqrt(scale[own])[:, None]
+                for _, kind, cell, first, second in _slices(batch):
+                    for k in range(0, len(kind), BATCH):
+                        at = slice(k, k + BATCH)
+                        step(first[:, at], bias, kind[at])
+                        step(second[:, at], cells[kind[at]], cell[at])
             for k in range(0, len(w), BLOCK):
                 n = used[k : k + BLOCK]
                 if n.any():
-                    moved = ((w[k : k + BLOCK] - start[k : k + BLOCK])).astype(np.float16)
+                    moved = (w[k : k + BLOCK] - start[k : k + BLOCK]).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([moved.tobytes()]), pa.array([n.tobytes()])], ["block", "moved", "used"])
 
         def average(key: tuple, parts: pa.Table) -> pa.Table:
-            total = np.zeros((BLOCK, width), np.float64)
+            total = np.zeros((BLOCK, CLASSES), np.float64)
             count = np.zeros(BLOCK, np.float64)
             for m, n in zip(parts.column("moved").to_pylist(), parts.column("used").to_pylist(), strict=True):
                 n = np.frombuffer(n, np.float32)
-                total += np.frombuffer(m, np.float16).reshape(BLOCK, width) * n[:, None]
+                total += np.frombuffer(m, np.float16).reshape(BLOCK, CLASSES) * n[:, None]
                 count += n
             mean = total / np.maximum(count, 1)[:, None]
             return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "moved": [mean.astype(np.float32).tobytes()]})
@@ -255,26 +290,26 @@ def train(coded: DataFrame, classes: Classes, rounds: int = ROUNDS) -> np.ndarra
         weights = weights.copy()
         for row in moved.toLocalIterator():  # as many rows as the model has blocks
             k = row["block"] * BLOCK
-            weights[k : k + BLOCK] += np.frombuffer(row["moved"], np.float32).reshape(BLOCK, width)
+            weights[k : k + BLOCK] += np.frombuffer(row["moved"], np.float32).reshape(BLOCK, CLASSES)
     return weights
 
 
 def score(coded: DataFrame, classes: Classes, weights: np.ndarray) -> DataFrame:
-    sent, bias = coded.sparkSession.sparkContext.broadcast(weights), _bias(classes)
+    sent, (bias, cells) = coded.sparkSession.sparkContext.broadcast(weights), _bias(classes)
     kept = ["id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches):  # noqa: ANN001, ANN202
         w = sent.value
         for batch in batches:
-            codes, kinds, texts = _stream(batch)
-            begins = np.zeros(len(codes), bool)
-            begins[texts[:-1]] = True
-            rows, own = features(codes, begins), np.empty(len(codes))
-            for k in range(0, len(codes), BATCH):
-                z = _logits(w, bias, rows[:, k : k + BATCH])
-                own[k : k + BATCH] = z[np.arange(len(z)), kinds[k : k + BATCH]]
-            log10 = np.add.reduceat(own, texts[:-1]) / np.log(10) if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.asarray(batch.column("inner")) + log10)], [*kept, "score"])
+            log = np.zeros(len(batch))
+            for text, kind, cell, first, second in _slices(batch):
+                for k in range(0, len(kind), BATCH):
+                    at = slice(k, k + BATCH)
+                    line = np.arange(len(kind[at]))
+                    own = _logits(w, bias, first[:, at])[line, kind[at]] + _logits(w, cells[kind[at]], second[:, at])[line, cell[at]]
+                    log += np.bincount(text[at], weights=own, minlength=len(batch))
+            total = np.asarray(batch.column("inner")) + log / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(total)], [*kept, "score"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema.fields if f.name in kept)
     return coded.select(*kept, "inner", "codes", "kinds").mapInArrow(run, f"{fields}, score double").withColumn("train_tokens", F.lit(classes.total).cast("bigint"))

@@ -5,9 +5,21 @@ unique, sorted, cut into buckets by value and shipped as difference-coded blobs,
 for each group and bucket, so a hash costs six or seven bytes instead of a row. A bucket
 meets all groups' hashes of its range, and answers each blob in its own order.
 
-There are as many buckets as the session has shuffle partitions, and GROUPS times as many
-groups, so their size is set by that setting at any input size. A hash that is in every
-text is one entry a group, so frequent hashes don't load a bucket.
+Cost and bounds. Every hash is packed, shipped and answered once, so bytes and CPU are
+linear in the text. Groups are bounded by GROUP_BYTES of text and buckets by BUCKET_BYTES
+of the text behind their hashes, whatever spark.sql.shuffle.partitions is; where that
+setting asks for more of them, they are smaller. So a task holds one group or one bucket
+(some 15 bytes a byte of text) at any input size. Groups and buckets are keys, not
+partitions: the shuffle has as many blocks as its partitions make, each of many blobs.
+100 TB are 400,000 groups and 200,000 buckets, with blobs of 1.4 KB on average; a blob's
+own cost (a row, some microseconds) is a few hundredths of what its hashes cost, and stays
+so down to about 200 bytes. Beyond that, raise GROUP_BYTES with the executors' memory. A
+hash that is in every text is one entry a group, so frequent hashes don't load a bucket.
+
+Hashes. A string's hash sums its bytes, each mixed with its place, and mixes the sum with
+the length. A window's is a Rabin-Karp polynomial over its words' hashes modulo the prime
+2^61 - 1, built by doubling. Both are mixed to 64 bits; unlike polynomials modulo 2^64
+they have no families of texts that always collide.
 """
 
 from __future__ import annotations
@@ -15,11 +27,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GROUPS = 2
-#: Odd multipliers of the polynomial hashes, modulo 2 to the 64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53
+GROUP_BYTES, BUCKET_BYTES = 1 << 28, 1 << 29
+PRIME = np.uint64((1 << 61) - 1)
+#: Base of the window polynomials, below the prime.
+BASE = 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 SLICE = 1 << 20
 
 
@@ -30,19 +45,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 1 to n of an odd base and of its inverse."""
-    both = (base, pow(base, -1, 1 << 64))
-    return tuple(np.multiply.accumulate(np.full(max(n, 1), b, np.uint64)) for b in both)
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo the prime, but for up to seven too much."""
+    return (x & PRIME) + (x >> np.uint64(61))
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, seed: int = 0) -> np.ndarray:
-    """Polynomial hashes of values[s:e], each mixed with its length."""
-    up, down = powers(base, len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    at = np.minimum(starts, max(len(values) - 1, 0))
-    return mix((sums[ends] - sums[starts]) * down[at] + (ends - starts + seed).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def times(x: np.ndarray, y: int) -> np.ndarray:
+    """x * y modulo the prime, by halves of 31 bits; x as `reduced` gives it, y below the prime."""
+    low, high = np.uint64(y & 0x7FFFFFFF), np.uint64(y >> 31)
+    a, b = x & np.uint64(0x7FFFFFFF), x >> np.uint64(31)
+    middle = a * high + b * low
+    return reduced(a * low + np.uint64(2) * (b * high) + (middle >> np.uint64(30)) + ((middle & np.uint64(0x3FFFFFFF)) << np.uint64(31)))
+
+
+def rolled(values: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hashes of every run of `size` values, one for each start; doubles the length.
+
+    A run's hash is that of its first part times BASE to the second's length, plus the second's.
+    """
+    if len(values) < size:
+        return np.zeros(0, np.uint64)
+    own, length, out, done = reduced(values), 1, None, 0
+    while True:
+        if size & length:
+            if out is None:
+                out, done = own, length
+            else:
+                n = len(values) - (done + length) + 1
+                out = reduced(times(own[:n], pow(BASE, done, int(PRIME))) + out[length : length + n])
+                done += length
+        if done == size:
+            out = np.where(out >= PRIME, out - PRIME, out)
+            return mix(out + np.uint64(size * 0xD6E8FEB86659FD93 % 2**64))
+        n = len(own) - length
+        own = reduced(times(own[:n], pow(BASE, length, int(PRIME))) + own[length : length + n])
+        length *= 2
 
 
 def hash_strings(strings: pa.Array) -> np.ndarray:
@@ -59,8 +96,12 @@ def hash_strings(strings: pa.Array) -> np.ndarray:
     while k < len(strings):  # slices bound the memory; one long string is a slice of its own
         j = max(k + 1, int(np.searchsorted(cuts, cuts[k] + SLICE, "right")) - 1)
         j = min(j, len(strings))
-        part = raw[cuts[k] : cuts[j]].astype(np.uint64) + np.uint64(1)
-        out[k:j] = spans_hash(part, cuts[k:j] - cuts[k], cuts[k + 1 : j + 1] - cuts[k], BYTE_BASE)
+        own = cuts[k : j + 1] - cuts[k]
+        sizes = np.diff(own)
+        part = np.arange(own[-1], dtype=np.uint64) - np.repeat(own[:-1], sizes).astype(np.uint64)
+        part = mix((part << np.uint64(8)) + raw[cuts[k] : cuts[j]] + np.uint64(1))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part)))
+        out[k:j] = mix(sums[own[1:]] - sums[own[:-1]] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         k = j
     return out
 
@@ -92,8 +133,23 @@ def word_hashes(text: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[
 def window_hashes(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Rolling hashes of all runs of `size` words within a text, and where each starts."""
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    starts = np.flatnonzero(np.arange(len(hashes)) + size <= ends)
-    return spans_hash(hashes, starts, starts + size, WORD_BASE), starts
+    inside = np.arange(len(hashes)) + size <= ends
+    found = np.empty(len(hashes), np.uint64)
+    for k in range(0, len(hashes), 1 << 16):  # slices that stay in the processor's cache
+        part = rolled(hashes[k : k + (1 << 16) + size - 1], size)
+        found[k : k + len(part)] = part
+    starts = np.flatnonzero(inside)
+    return found[starts], starts
+
+
+def whole_hashes(hashes: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Hashes of whole texts' words, for the texts `which` of few words each."""
+    out, sizes = np.zeros(len(which), np.uint64), np.diff(offsets)[which]
+    for n in np.unique(sizes):
+        own = which[sizes == n]
+        flat = hashes[(offsets[own][:, None] + np.arange(n)).ravel()]
+        out[sizes == n] = rolled(flat, int(n))[:: int(n)] if n else 0
+    return out
 
 
 def pack(hashes: np.ndarray) -> bytes:
@@ -141,10 +197,14 @@ SHIPPED = "bucket int, grp int, blob binary, extra binary"
 ANSWER = "grp int, bucket int, answer binary"
 
 
-def numbers(spark: SparkSession) -> tuple[int, int]:
-    """How many groups and how many buckets."""
+def text_bytes(texts: DataFrame, text: Column) -> int:
+    return int(texts.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)
+
+
+def numbers(spark: SparkSession, size: int) -> tuple[int, int]:
+    """How many groups and how many buckets, for so many bytes of text."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return GROUPS * n, n
+    return max(GROUPS * n, -(-size // GROUP_BYTES)), max(n, -(-size // BUCKET_BYTES))
 
 
 def gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:

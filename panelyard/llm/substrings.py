@@ -7,12 +7,15 @@ group has. Covered words merge into maximal intervals, which are cut from the te
 Documents are ordered by id, then by a digest of the text. Groups are ranges of that
 order (a heavily repeated id spans several groups), so a hash's earliest place is decided
 by group number alone and no places are shipped; inside a group the order is exact.
-Windows are compared by 64-bit hashes.
-
-Defined cases: null, empty and short texts have no windows and stay as they are; null ids
-come last; of rows with equal id and text one is first. A text without removals is
-unchanged. Elsewhere a cut takes the white space after it, or before it at the end of the
-text. Extra columns pass through; added columns replace those of the same name.
+Windows are compared by 61-bit Rabin-Karp hashes modulo a prime. Cost is linear in the
+text and tasks are bounded by bytes, as packed.py states.
+
+Defined cases: null, empty and short texts have no windows and stay as they are, in any
+group, so that many of them don't load one; ids are integers or their decimal text, and
+null ids and ids that are neither come last, in the order of their texts' digests; of rows
+with equal id and text one is first, and such rows share a group. A text without removals
+is unchanged. Elsewhere a cut takes the white space after it, or before it at the end of
+the text. Extra columns pass through; added columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -31,27 +34,29 @@ SIZE = 20
 ADDED = ("n_words", "n_removed", "removed")
 
 
-def ranged(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """docs with `__grp`, a range of (id, digest), and `__tie`, the digest."""
-    key = F.col(common.quoted(doc_id)).cast("bigint")
+def ranged(docs: DataFrame, doc_id: str, text: str, n: int, size: int, names: tuple[str, str, str]) -> DataFrame:
+    """docs with three more columns: a range of (id, digest), the id as a number, and the digest."""
+    grp, order, tie = names
+    key, body = F.col(common.quoted(doc_id)).try_cast("bigint"), F.col(common.quoted(text))
     marks = [k / n for k in range(1, n)]
-    found = docs.agg(F.percentile_approx(key, marks, 50 * n).alias("m")).first()["m"] if marks else None
+    found = docs.agg(F.percentile_approx(key, marks, max(10_000, 4 * n)).alias("m")).first()["m"] if marks else None
     edges = np.array(found or [], np.int64)
 
     @F.pandas_udf("int")
-    def place(ids, tie):  # noqa: ANN001, ANN202
+    def place(ids, digests):  # noqa: ANN001, ANN202
         v = ids.fillna(np.iinfo(np.int64).max).to_numpy("int64")
         lo, hi = np.searchsorted(edges, v, "left"), np.searchsorted(edges, v, "right")
-        share = tie.to_numpy("int64").astype(np.float64) / 2.0**64 + 0.5
+        share = digests.to_numpy("int64").astype(np.float64) / 2.0**64 + 0.5
         return ids.__class__(np.minimum(lo + (share * (hi - lo + 1)).astype(np.int64), hi).astype("int32"))
 
-    tied = docs.withColumn("__tie", F.xxhash64(F.col(common.quoted(text))))
-    return tied.withColumn("__grp", place(F.coalesce(key, F.lit(2**63 - 1)), "__tie"))
+    tied = docs.withColumns({order: key, tie: F.xxhash64(body)})
+    # A text of fewer characters than `size` words need has no windows, so its group doesn't matter.
+    short = F.coalesce(F.octet_length(body), F.lit(0)) < 2 * size - 1
+    return tied.withColumn(grp, F.when(short, F.floor(F.rand(1) * n).cast("int")).otherwise(place(F.coalesce(F.col(order), F.lit(2**63 - 1)), F.col(tie))))
 
 
-def _ordered(rows: pa.Table, doc_id: str) -> pa.Table:
-    ids = rows.column(doc_id).cast(pa.int64())
-    keys = pa.table({"id": ids, "tie": rows.column("__tie")})
+def _ordered(rows: pa.Table, order: str, tie: str) -> pa.Table:
+    keys = pa.table({"id": rows.column(order), "tie": rows.column(tie)})
     return rows.take(pa.compute.sort_indices(keys, sort_keys=[("id", "ascending"), ("tie", "ascending")], null_placement="at_end"))
 
 
@@ -73,9 +78,10 @@ def cut(text: str, runs: list[tuple[int, int]]) -> str:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """docs with repeated windows cut from the text, and n_words, n_removed and removed
     (the intervals of word numbers, from 0, end excluded)."""
-    groups, n = packed.numbers(docs.sparkSession)
-    docs = docs.select(*(common.quoted(c) for c in docs.columns if c.lower() not in (*ADDED, "__grp", "__tie")))
-    grouped = ranged(docs, doc_id, text, groups)
+    docs = docs.select(*(common.quoted(c) for c in docs.columns if c.lower() not in ADDED))
+    groups, n = packed.numbers(docs.sparkSession, packed.text_bytes(docs, F.col(common.quoted(text))))
+    grp, order, tie = (common.fresh(docs, k) for k in ("grp", "order", "tie"))
+    grouped = ranged(docs, doc_id, text, groups, size, (grp, order, tie))
 
     def emit(key: tuple, rows: pa.Table) -> pa.Table:
         hashes, offsets = packed.word_hashes(rows.column(text))
@@ -95,7 +101,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words bigint, n_removed bigint, removed array<struct<first:int,last:int>>").fields])
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = _ordered(rows, doc_id)
+        rows = _ordered(rows, order, tie)
         hashes, offsets = packed.word_hashes(rows.column(text))
         found, starts = packed.window_hashes(hashes, offsets, size)
         unique, first, inverse = np.unique(found, return_index=True, return_inverse=True)
@@ -117,12 +123,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
             edges = np.flatnonzero(own[1:] != own[:-1]).tolist()
             runs = list(zip(edges[::2], edges[1::2], strict=True))
             texts[k], spans[k] = cut(texts[k], runs), [{"first": a, "last": b} for a, b in runs]
-        out = {c: rows.column(c) for c in rows.column_names if c not in ("__grp", "__tie")}
+        out = {c: rows.column(c) for c in rows.column_names if c not in (grp, order, tie)}
         out[text] = pa.array(texts, pa.string())
         out["n_words"], out["n_removed"] = pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64())
         out["removed"] = pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
         return pa.table(out)
 
-    hashes = grouped.groupBy("__grp").applyInArrow(emit, packed.SHIPPED)
+    hashes = grouped.groupBy(grp).applyInArrow(emit, packed.SHIPPED)
     answers = hashes.groupBy("bucket").applyInArrow(resolve, packed.ANSWER)
-    return grouped.groupBy("__grp").cogroup(answers.groupBy("grp")).applyInArrow(finish, schema)
+    return grouped.groupBy(grp).cogroup(answers.groupBy("grp")).applyInArrow(finish, schema)

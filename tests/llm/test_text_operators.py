@@ -244,18 +244,48 @@ def test_model_is_a_distribution():
 
     from panelyard.llm import maxent
 
-    counts = np.array([500, 300, 40, 40, 7, 3, 2, 2, 1, 1, 1, 1])
-    hist = [{"key": int(k), "n": int((counts == k).sum()), "mass": int(k * (counts == k).sum())} for k in np.unique(counts)]
+    counts = np.array([500, 300, 40, 40, 7, 3, 2, 2, 1, 1, 1, 1, 0])
+    known = counts[:-1]
+    hist = [{"key": int(k), "n": int((known == k).sum()), "mass": int(k * (known == k).sum())} for k in np.unique(known)]
     classes = maxent._classes(hist, 4)
-    kinds = classes.of(counts)
-    shares = np.zeros(len(classes.mass))
-    np.add.at(shares, kinds, (counts + 1) / classes.mass[kinds])
-    shares[classes.of(np.array([0]))[0]] += 1 / classes.mass[-1]
-    assert np.allclose(shares, 1) and abs(classes.mass.sum() - (counts.sum() + len(counts) + 1)) < 1e-9
+    kinds = classes.of(counts).astype(np.uint8)
+    codes = np.random.default_rng(3).integers(0, 65536, len(counts)).astype(np.uint16)
+    marked = kinds + np.where(counts > 0, 0, maxent.UNKNOWN).astype(np.uint8)
+    cells = maxent.cell_of(codes, marked)
+    for k, c, n in zip(kinds[:-1], cells[:-1], known, strict=True):
+        classes.mass[k, c] += n + 1
+    assert abs(classes.mass.sum() - (known.sum() + len(known) + 1)) < 1e-9
     rng = np.random.default_rng(0)
-    w = rng.normal(size=(sum(maxent.ROWS), len(classes.mass))).astype(np.float32)
-    z = maxent._logits(w, maxent._bias(classes), maxent.features(rng.integers(0, 65536, 50), np.arange(50) % 10 == 0))
-    assert np.allclose(np.exp(z).sum(1), 1, atol=1e-5)
+    w = rng.normal(size=(sum(maxent.ROWS) + sum(maxent.CELL_ROWS), maxent.CLASSES)).astype(np.float32)
+    bias, inner = maxent._bias(classes)
+    for seed in range(5):  # one context, every word after it
+        context = np.random.default_rng(seed).integers(0, 65536, 2)
+        total = 0.0
+        for word in range(len(counts)):
+            line, start = np.array([*context, codes[word]], np.uint16), np.array([True, False, False])
+            first, second = maxent.features(line, start, np.array([0, 0, marked[word]], np.uint8))
+            k, c = kinds[word], cells[word]
+            log = maxent._logits(w, bias, first[:, 2:])[0, k] + maxent._logits(w, inner[[k]], second[:, 2:])[0, c]
+            total += np.exp(log) * (counts[word] + 1) / classes.mass[k, c]
+        assert abs(total - 1) < 1e-4
+
+
+def test_model_slices_change_nothing(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from panelyard.llm import maxent
+
+    rng = np.random.default_rng(5)
+    sizes = [1, 7, 1, 2, 40, 3]
+    codes = [rng.integers(0, 65536, n).astype("<u2").tobytes() for n in sizes]
+    kinds = [rng.integers(0, maxent.CLASSES, n).astype(np.uint8).tobytes() for n in sizes]
+    batch = pa.RecordBatch.from_pydict({"n_tokens": sizes, "codes": codes, "kinds": kinds})
+    whole = [np.concatenate(x, -1) for x in zip(*maxent._slices(batch), strict=True)]
+    for size in (1, 2, 3, 10):
+        monkeypatch.setattr(maxent, "SLICE", size)
+        parts = [np.concatenate(x, -1) for x in zip(*maxent._slices(batch), strict=True)]
+        assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
 def test_model_without_training(spark):
@@ -283,3 +313,59 @@ def test_hashing_matches_text():
     at = packed.cuts(some, 7)
     assert all((packed.unpack(packed.pack(some[a:b])) == some[a:b]).all() for a, b in zip(at[:-1], at[1:], strict=True))
     assert len(packed.unpack(packed.pack(some[:0]))) == 0
+
+
+def test_hashes_tell_thue_morse_words_and_windows_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from panelyard.llm import packed
+
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    one, two, again = packed.hash_strings(pa.array([word, word.translate(str.maketrans("ab", "ba")), word]))
+    assert one == again != two
+    letters = np.array([5 if c == "a" else 9 for c in word], np.uint64)
+    assert packed.rolled(letters, 1024)[0] != packed.rolled(letters, 1024)[1024]
+    p, rng = (1 << 61) - 1, np.random.default_rng(0)
+    values = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    for size in (1, 2, 3, 4, 5, 8, 20, 23):
+        found = packed.rolled(values, size)
+        assert len(found) == 61 - size
+        for k in (0, 7, 60 - size):
+            h = 0
+            for x in values[k : k + size]:
+                h = (h * packed.BASE + int(x) % p) % p
+            assert found[k] == packed.mix(np.array([(h + size * 0xD6E8FEB86659FD93) % 2**64], np.uint64))[0]
+    offsets = np.array([0, 3, 3, 10])
+    assert packed.whole_hashes(values, offsets, np.array([2, 1, 0])).tolist() == [packed.rolled(values[3:10], 7)[0], 0, packed.rolled(values[:3], 3)[0]]
+
+
+def test_groups_are_bounded_by_bytes(spark):
+    from panelyard.llm import packed
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert packed.numbers(spark, 0) == packed.numbers(spark, 10**6) == (2 * n, n)
+    assert packed.numbers(spark, 100 * 10**12) == (372530, 186265)
+
+
+@pytest.mark.parametrize("size", [1, 10**9])
+def test_group_numbers_change_nothing(spark, docs, size, monkeypatch):
+    from panelyard.llm import packed, substrings
+
+    some = docs.where("doc_id is not null")
+    want = Counter(tuple(map(str, r)) for r in substrings.dedup(some).collect())
+    monkeypatch.setattr(packed, "GROUP_BYTES", size if size > 1 else 900)
+    monkeypatch.setattr(packed, "BUCKET_BYTES", size if size > 1 else 700)
+    assert Counter(tuple(map(str, r)) for r in substrings.dedup(some).collect()) == want
+
+
+def test_substrings_take_text_ids_and_any_names(spark):
+    from panelyard.llm import substrings
+
+    a, b = passage(1, 30), passage(2, 30)
+    rows = [("10", a, 1, 2, 3), ("9", a, 1, 2, 3), ("x", b, 1, 2, 3), (None, b, 1, 2, 3)]
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id string, text string, __grp int, `__TIE` int, hit int")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] in ("9", "10")} == {"9": 0, "10": 30}
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] in ("x", None)) == [0, 30] and got[0]["__TIE"] == 2
