@@ -111,6 +111,46 @@ def test_jaccard(spark, docs, rows, size, num):
     assert Counter((r["id"], r["n_shingles"], r["component_id"]) for r in got) == want
 
 
+def test_sparse_product_counts_overlaps():
+    import numpy as np
+    import pyarrow as pa
+
+    from panelyard.llm import jaccard, packed
+
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (0, 1, 5, 30, 60, 60, 17)]
+    blobs = [packed.pack(s) for s in sets]
+    pairs = [(a, b) for a in range(7) for b in range(7)]
+    got = jaccard.overlaps(pa.array([blobs[a] for a, _ in pairs], pa.binary()), pa.array([blobs[b] for _, b in pairs], pa.binary()))
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in pairs]
+    assert len(jaccard.overlaps(pa.array([], pa.binary()), pa.array([], pa.binary()))) == 0
+    counts = np.arange(1, 10**6, 7)
+    assert (np.diff(jaccard.coarse(counts).astype(int)) >= 0).all() and (jaccard.coarse(np.arange(33)) == np.arange(33)).all()
+    assert np.abs(jaccard.COUNTS[jaccard.coarse(counts)] / counts - 1).max() < 0.15 and jaccard.coarse(np.array([2**40]))[0] <= 255
+
+
+@pytest.mark.parametrize("part", [1, 3])
+def test_jaccard_parts_change_nothing(spark, part, monkeypatch):
+    from panelyard.llm import jaccard
+
+    # Short texts of one template: many share a rare n-gram and most aren't linked.
+    rows = [(k, " ".join([*passage(3, 12).split(), f"a{k % 9}", f"b{k % 4}", *(["c"] * (k % 3))])) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = Counter(tuple(r) for r in jaccard.join(df, size=4, num=85).select("id", "n_shingles", "component_id").collect())
+    sets = _sets(rows, 4)
+    comp = {k: k for k in range(120)}
+    for a, b in itertools.combinations(range(120), 2):
+        if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            lo, hi = sorted((comp[a], comp[b]))
+            comp = {k: lo if v == hi else v for k, v in comp.items()}
+    assert want == Counter((k, len(sets[k]), comp[k]) for k in range(120))
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "ROWS", 5)
+    monkeypatch.setattr(jaccard, "SLICE", 300)
+    assert Counter(tuple(r) for r in jaccard.join(df, size=4, num=85).select("id", "n_shingles", "component_id").collect()) == want
+
+
 def test_jaccard_representatives(spark, docs):
     from panelyard.llm import jaccard
 
