@@ -1,18 +1,25 @@
 """Main text of HTML pages by the distribution of text over lines.
 
-Markup becomes lines, one a block. Scripts, styles, comments, forms and elements whose
-tag, role, class or id marks them as page furniture are dropped with all they hold, unless
-they hold an article or main element or most of the page's text outside links. Every
-remaining line weighs as many characters as it has outside links; if the page marks an
-article or main element, lines outside it weigh nothing. Sums over sliding windows of
-WINDOW lines rise from nothing at surge points and fall back at dive points; of the
-stretches between them the heaviest is the main text, with all its lines, short ones too;
-stretches of one container with only link lines between them are one.
+Markup becomes lines, one a block. A line's weight is its text outside links, or nothing
+if links are most of it. Sums of weights over sliding windows of WINDOW lines rise from
+nothing at surge points and fall back at dive points; what lies between is a stretch, with
+all its lines, short ones too. Link lists between two stretches of one container belong to
+both, and make one stretch of them. Windows don't reach into or out of a marked article
+(the article and main elements). The distribution decides what is kept: the stretches of
+all marked articles together, unless one stretch outside is more than TRUST times as heavy
+(articles that are only teasers); without marks, the heaviest stretch.
+
+Scripts, styles, comments and forms weigh nothing, as do elements whose tag, role, class
+or id marks them as page furniture: their lines are no part of a stretch. An element that
+holds the page's heaviest article or most of its text outside links is never furniture. A
+class or id marks furniture if all its parts say so ("site-footer", "comment-list"), not
+if one does ("share-price-note", "has-sidebar").
 
 Defined cases: null and empty html give an empty text; unclosed elements end where their
 parent's end tag or the page ends; character references are decoded after tags are gone;
 white space (also U+00A0) inside a line becomes one blank; equal stretches: the first.
-Extra columns pass through; added columns replace those of the same name.
+Extra columns pass through; added columns replace those of the same name. Pages are read
+in slices of about SLICE bytes, so a batch of long ones isn't held as lines at once.
 """
 
 from __future__ import annotations
@@ -24,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import common
+from . import common, packed
 
-WINDOW = 3
+WINDOW, TRUST, SLICE = 3, 3, 1 << 23
 #: HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select")
@@ -35,8 +42,11 @@ BLOCKS = frozenset("address article aside blockquote body center dd details div
 SPACED = frozenset(("br", "td", "th"))
 #: Words in class, id and role that mark page furniture.
 FURNITURE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related replies responses share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
-#: Words of place in front of them.
+#: Words of place in front of them, of what remarks belong to, and of form behind.
 PLACES = frozenset("site page global top bottom".split())
+OWNERS = frozenset("post article entry user reader".split())
+REMARKS = frozenset("comment comments replies responses".split())
+FORMS = frozenset("area block body box container content holder inner item items list section thread wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
@@ -48,7 +58,7 @@ MARK = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 def _furniture(tag: str, attributes: str, inside: bool) -> bool:
     if tag in FURNITURE_TAGS or (tag == "header" and not inside):
         return True
-    if tag in ("body", "html", "article", "main"):
+    if tag in ("body", "html", "main"):
         return False
     for name, value in MARK.findall(attributes):
         value = value.strip("\"'").lower()
@@ -60,23 +70,30 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def _named(token: str, inside: bool) -> bool:
-    """All parts of a class or id mark furniture; outside an article, after words of place."""
+    """All parts of a class or id mark furniture, but for words of form behind them; outside
+    an article, also after words of place."""
     parts = re.split(r"[_-]+", token)
-    while not inside and len(parts) > 1 and parts[0] in PLACES:
+    while len(parts) > 1 and parts[-1] in FORMS:
+        parts = parts[:-1]
+    while not inside and len(parts) > 1 and (parts[0] in PLACES or (parts[0] in OWNERS and parts[-1] in REMARKS)):
         parts = parts[1:]
     return FURNITURE_WORDS.issuperset(parts)
 
 
 def _bodies(page: str) -> set[int]:
-    """Starts of elements that hold an article or main, or most of the page's text outside links."""
-    stack: list[tuple[str, int, int, int]] = []
-    sizes: list[tuple[int, int, bool]] = []
-    size, marks, link, at = 0, 0, 0, 0
+    """Starts of elements that aren't furniture whatever their names say.
 
-    def close(k: int) -> None:
+    These are the heaviest article or main and all that hold it, if one is outside furniture;
+    else elements that hold the heaviest of all, or most of the page's text outside links.
+    """
+    stack: list[tuple[str, int, int, bool]] = []
+    sizes: list[tuple[int, int, int, str, bool]] = []
+    size, link, at = 0, 0, 0
+
+    def close(k: int, end: int) -> None:
         nonlocal link
-        for tag, start, before, marked in stack[k:]:
-            sizes.append((start, size - before, marks > marked))
+        for tag, start, before, named in stack[k:]:
+            sizes.append((start, end, size - before, tag, named))
             link -= tag == "a"
         del stack[k:]
 
@@ -90,35 +107,42 @@ def _bodies(page: str) -> set[int]:
         if m[1]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if k is not None:
-                close(k)
+                close(k, m.end())
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             if tag == "p":
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span"):
-                    close(len(stack) - 1)
-            marks += tag in ("article", "main")
-            stack.append((tag, m.start(), size, marks))
+                    close(len(stack) - 1, m.start())
+            inside = any(x[0] in ("article", "main") and not x[3] for x in stack)
+            stack.append((tag, m.start(), size, (stack[-1][3] if stack else False) or _furniture(tag, m[3], inside)))
             link += tag == "a"
     if not link and not page[at:].lstrip().startswith("<"):
         size += len(page[at:].strip())
-    close(0)
-    return {start for start, own, marked in sizes if marked or 2 * own > size}
+    close(0, len(page))
+    marked = [x for x in sizes if x[3] in ("article", "main") and x[2]]
+    top = max(marked, key=lambda x: (not x[4], x[2], -x[0]), default=None)
+    clear = top is not None and not top[4]
+    return {start for start, end, own, _, _ in sizes if (2 * own > size and not clear) or (top and start <= top[0] and end >= top[1])}
+
+
+Line = tuple[str, int, int, tuple[int, ...]]
 
 
-def lines(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
-    """(text, characters outside links, in a marked article, starts of its blocks) of each non-empty line."""
+def lines(page: str) -> list[Line]:
+    """(text, characters outside links, number of its marked article or 0, starts of its blocks) of each
+    line with text that isn't furniture's."""
     page = RAW_OUT.sub(" ", COMMENT.sub(" ", page))
-    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    out: list[Line] = []
     kept = _bodies(page)
     text: list[str] = []
     bare: list[str] = []
     stack: list[str] = []
     starts: list[int] = []
-    skip, link, article, at = 0, 0, 0, 0
+    skip, link, article, number, at = 0, 0, 0, 0, 0
 
     def flush() -> None:
         joined = " ".join(htmllib.unescape("".join(text)).split())
         if joined:
-            out.append((joined, len(" ".join(htmllib.unescape("".join(bare)).split())), article > 0, tuple(x for t, x in zip(stack, starts, strict=True) if t in BLOCKS)))
+            out.append((joined, len(" ".join(htmllib.unescape("".join(bare)).split())), number if article else 0, tuple(x for t, x in zip(stack, starts, strict=True) if t in BLOCKS)))
         text.clear()
         bare.clear()
 
@@ -155,39 +179,54 @@ def lines(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
             starts.append(m.start())
             stack.append(f"{tag} skip" if hides else tag)
             skip += hides
-            article += not hides and tag in ("article", "main")
+            if not hides and tag in ("article", "main"):
+                number += not article and not skip
+                article += 1
             link += not hides and tag == "a"
     put(page[at:] if not page[at:].lstrip().startswith("<") else "")
     flush()
     return out
 
 
-def _joins(found: list[tuple[str, int, bool, tuple[int, ...]]], last: int, first: int) -> bool:
+def _joins(found: list[Line], last: int, first: int) -> bool:
     """The lines between two stretches are link lines of the container that holds both ends."""
     box = found[last][3][:-1]
     return box == found[first][3][:-1] and all(x[3][: len(box)] == box and 2 * x[1] < len(x[0]) for x in found[last + 1 : first])
 
 
+def stretches(found: list[Line]) -> list[tuple[int, int, int, int]]:
+    """(first line, line after the last, weight, article number) between surge and dive points."""
+    # In a marked article links are text too, so that its lists of them are kept.
+    weights = [len(t) if inside else w if 2 * w >= len(t) else 0 for t, w, inside, _ in found]
+    spans: list[tuple[int, int, int, int]] = []
+    start = 0
+    while start < len(found):
+        region, stop = found[start][2], start
+        while stop < len(found) and found[stop][2] == region:
+            stop += 1
+        surge, own = None, sum(weights[start : min(start + WINDOW, stop)])
+        for k in range(start, stop + 1):  # own: the window's sum that starts at k
+            if own > 0 and surge is None and k < stop and weights[k]:
+                surge = k
+            elif own == 0 and surge is not None:
+                dive = max(j for j in range(surge, k) if weights[j]) + 1
+                if spans and not region and not spans[-1][3] and _joins(found, spans[-1][1] - 1, surge):
+                    surge = spans.pop()[0]
+                spans.append((surge, dive, sum(weights[surge:dive]), region))
+                surge = None
+            if k < stop:
+                own += (weights[k + WINDOW] if k + WINDOW < stop else 0) - weights[k]
+        start = stop
+    return spans
+
+
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    marked = any(inside and weight for _, weight, inside, _ in found)
-    weights = [(len(t) if inside else 0) if marked else (w if 2 * w >= len(t) else 0) for t, w, inside, _ in found]
-    sums = [sum(weights[max(0, k - WINDOW + 1) : k + 1]) for k in range(len(weights))]  # the window that ends at k
-    spans: list[tuple[int, int]] = []
-    surge = None
-    for k in range(len(sums) + 1):
-        full = k < len(sums) and sums[k] > 0
-        if full and surge is None:
-            surge = k
-        elif not full and surge is not None:
-            dive = max(j for j in range(surge, k) if weights[j]) + 1
-            if spans and not marked and _joins(found, spans[-1][1] - 1, surge):
-                spans[-1] = (spans[-1][0], dive)
-            else:
-                spans.append((surge, dive))
-            surge = None
-    surge, dive = max(spans, key=lambda x: (sum(weights[x[0] : x[1]]), -x[0]), default=(0, 0))
-    return "\n\n".join(t for t, _, inside, _ in found[surge:dive] if inside or not marked)
+    spans = stretches(found)
+    heaviest = max((x for x in spans if not x[3]), key=lambda x: (x[2], -x[0]), default=(0, 0, 0, 0))
+    marked = [x for x in spans if x[3]]
+    kept = marked if marked and TRUST * sum(x[2] for x in marked) >= heaviest[2] else [heaviest]
+    return "\n\n".join(t for first, last, _, _ in kept for t, _, _, _ in found[first:last])
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
@@ -197,7 +236,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     schema = T.StructType([*pages.schema.fields, T.StructField(text, T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
+        for batch in (part for whole in batches for part in packed.sliced(whole, html, SLICE)):
             found = [main_text(x) for x in batch.column(html).to_pylist()]
             columns = [*batch.columns, pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, text, "n_chars"])

@@ -152,6 +152,17 @@ def whole_hashes(hashes: np.ndarray, offsets: np.ndarray, which: np.ndarray) ->
     return out
 
 
+def sliced(batch: pa.RecordBatch, column: str, limit: int) -> list[pa.RecordBatch]:
+    """The batch in parts of about `limit` bytes of text, at least one row each."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)))
+    out, k = [], 0
+    while k < len(batch):
+        j = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + limit, "right")))
+        out.append(batch.slice(k, j - k))
+        k = j
+    return out
+
+
 def pack(hashes: np.ndarray) -> bytes:
     """Sorted unique hashes as fixed-width differences; the first byte is the width."""
     if len(hashes) == 0:

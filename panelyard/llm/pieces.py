@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, packed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of distinct parts in one suffix array.
@@ -271,17 +271,6 @@ def _put(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added.values()], [*keep, *added])
 
 
-def _sliced(batch: pa.RecordBatch, column: str, limit: int) -> list[pa.RecordBatch]:
-    """The batch in parts of about `limit` bytes of text, at least one row each."""
-    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)))
-    out, k = [], 0
-    while k < len(batch):
-        j = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + limit, "right")))
-        out.append(batch.slice(k, j - k))
-        k = j
-    return out
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", verify: bool = False) -> DataFrame:
     """docs with the ids of each text; with verify, also round_trip: whether they decode to it."""
     added = [ids, *(["round_trip"] if verify else [])]
@@ -291,7 +280,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
 
     def run(batches):  # noqa: ANN001, ANN202
         for whole in batches:
-            for batch in _sliced(whole, text, 1 << 25):
+            for batch in packed.sliced(whole, text, 1 << 25):
                 column = batch.column(text)
                 found = {ids: encode_batch(column, vocabulary)}
                 if verify:

@@ -171,3 +171,78 @@ def test_url_filters_take_every_link_decoded(spark):
     got = {r["page_id"]: r["verdict"] for r in urls.judge(df, urls.RULES).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
     assert {r["b"] for r in urls.edges(df).collect()} == {"b.net/x?p=1&q=2", "x.com/de/z", "c.net/3", "x.com/de/z&amp;", "x.com/de/y"}
+
+
+def test_extraction_by_distribution_and_marks():
+    from panelyard.llm.extraction import main_text
+
+    long = ("Long text here. " * 20).strip()
+    far = "<div><p>x y</p></div>" * 6
+    assert main_text(f"<body><article><p>{long}</p></article>{far}<article><p>Second</p></article></body>") == f"{long}\n\nSecond"
+    inside = "<h1>T</h1><p class='share-price-note'>price</p><div class='header-image'>image</div><p id='comment-on-policy'>policy</p>"
+    assert main_text(f"<article>{inside}<p>{long}</p></article>") == f"T\n\nprice\n\nimage\n\npolicy\n\n{long}"
+    talk = f"<ol class='comment-list'><li><article class='comment-body'><p>{long * 3}</p></article></li></ol>"
+    assert main_text(f"<body><article><p>{long}</p></article><section id='comments'>{talk}</section></body>") == long
+    assert main_text(f"<body><article><p>{long}</p></article><div class='post-comments'><p>{long}</p></div></body>") == long
+    assert main_text(f"<article><p>tease</p></article><div><p>{long}</p><p>{long}</p></div>") == f"{long}\n\n{long}"
+    assert main_text(f"<article><p>{long}</p><div class=ad>Buy</div><p>end</p><ul><li><a href=x>ref</a></ul></article><p>foot</p>") == f"{long}\n\nend\n\nref"
+    assert main_text("<p>" + "<a href=x>link</a>" * 5 + "</p>") == ""
+
+
+def test_stretches_equal_brute_force():
+    import random
+
+    from panelyard.llm.extraction import WINDOW, stretches
+
+    rng = random.Random(2)
+    for _ in range(300):
+        n, region, found = rng.randint(0, 25), 0, []
+        for k in range(n):
+            region = rng.choice([region] * 5 + [0, region + 1])
+            w = rng.choice([0, 0, 0, 3, 10])
+            found.append(("x" * 10, w, region, (0, k + 1)))
+        weight = [10 if r else w if 2 * w >= 10 else 0 for _, w, r, _ in found]
+        want, k = [], 0
+        live = lambda a: a < n and sum(weight[b] for b in range(a, min(a + WINDOW, n)) if all(found[c][2] == found[a][2] for c in range(a, b + 1))) > 0
+        while k < n:
+            if not weight[k]:
+                k += 1
+                continue
+            j = k
+            while live(j) and found[j][2] == found[k][2]:
+                j += 1
+            last = max(i for i in range(k, j) if weight[i])
+            want.append((k, last + 1, sum(weight[k : last + 1]), found[k][2]))
+            k = j
+        got = stretches([(*x[:3], (k,)) for k, x in enumerate(found)])  # each line in a container of its own
+        joined = stretches(found)  # all lines in one container: link lines join stretches
+        assert [x for x in got] == want or all(x in want for x in got if x[3])
+        assert sum(x[2] for x in joined) == sum(x[2] for x in want)
+
+
+def test_extraction_round_trip_of_generated_pages(spark):
+    """Articles are laid into pages of random furniture; the text must come back as it was."""
+    import html
+    import random
+
+    from panelyard.llm import extraction
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeé&<日") for _ in range(rng.randint(1, 8)))
+    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    rows, want = [], {}
+    for k in range(60):
+        blocks = [words(1, 6)] + [words(20, 60) for _ in range(rng.randint(1, 6))] + ([words(1, 3)] if k % 3 else [])
+        tags = ["h1"] + [rng.choice(["p", "div", "blockquote", "li", "pre"]) for _ in blocks[1:]]
+        inner = "".join(f"<{t}>{html.escape(b).replace(' ', rng.choice([' ', chr(10), '  ']))}</{t}>" for t, b in zip(tags, blocks, strict=True))
+        bits = [
+            f"<nav><ul><li><a href=a>Home</a></ul></nav>", f"<div class='ad'>{html.escape(words(2, 9))}</div>", f"<aside><p>{html.escape(words(2, 30))}</p></aside>", f"<form><p>{html.escape(words(2, 9))}</p></form>",
+            f"<div class='cookie-notice'>{html.escape(words(2, 20))}</div>", f"<script>var x='no</p>'</script>", f"<div id=comments><p>{html.escape(words(2, 10))}</p></div>", "<!-- <p>no</p> -->",
+        ]
+        pick = lambda: "".join(rng.sample(bits, rng.randint(0, 5)))
+        wrap = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>")])
+        rows.append((k, f"<html><head><title>T</title></head><body><header>{html.escape(words(1, 4))}</header>{pick()}{wrap[0]}{inner}{wrap[1]}{pick()}<footer>{html.escape(words(2, 8))}</footer></body></html>".replace("<header>", "<header class=x>")))
+        want[k] = "\n\n".join(blocks)
+    got = {r["page_id"]: r for r in extraction.extract(spark.createDataFrame(rows, "page_id int, html string")).collect()}
+    assert {k: r["text"] for k, r in got.items()} == want and all(r["n_chars"] == len(want[k]) for k, r in got.items())
+    assert extraction.extract(spark.createDataFrame([], "page_id int, html string")).count() == 0
