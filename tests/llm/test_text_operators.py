@@ -231,6 +231,20 @@ def test_pieces_equal_the_library(spark, docs, rows):
     assert pieces.encode(docs.limit(0), vocabulary).count() == 0
 
 
+def test_long_parts_without_blanks_equal_the_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    import random
+
+    import pyarrow as pa
+
+    from panelyard.llm import pieces
+
+    v, sp, rng = pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), random.Random(0)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    texts = [letters, "x" * 50_000, "the" * 5000 + " a " + "日本" * 3000, "\U0001f600" * 700, letters[:257], letters[:256], "short " * 9 + letters[:300]]
+    assert pieces.encode_batch(pa.array(texts), v).to_pylist() == [sp.encode(t) for t in texts]
+
+
 def test_unigram_path_is_the_best_sum():
     import numpy as np
     import pyarrow as pa
