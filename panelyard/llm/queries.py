@@ -97,19 +97,36 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER () AS k, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM conversations),
-l AS (SELECT k, conv_id, turn, i, ls[i] AS x FROM (SELECT k, conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM m)),
+WITH RECURSIVE
+m AS (SELECT conv_id, turn, role, text, coalesce(CAST(turn AS BIGINT), -9223372036854775808) AS t, row_number() OVER () AS k, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM conversations),
+l AS (SELECT k, i, ls[i] AS x FROM (SELECT k, ls, unnest(range(1, len(ls) + 1)) AS i FROM m)),
 q AS (
-  SELECT k, conv_id, turn, i, length(regexp_replace(regexp_extract(x, '^[ \t]*>(?:[ \t]?>)*[ \t]?'), '[^>]', '', 'g')) AS level, regexp_replace(x, '^[ \t]*>(?:[ \t]?>)*[ \t]?', '') AS line,
+  SELECT k, i, length(regexp_replace(regexp_extract(x, '^[ \t]*>(?:[ \t]?>)*[ \t]?'), '[^>]', '', 'g')) AS level, regexp_replace(x, '^[ \t]*>(?:[ \t]?>)*[ \t]?', '') AS line,
     regexp_matches(x, '^[^>].*\bwrote:\s*$') AS announces FROM l),
-n AS (SELECT *, translate(trim(regexp_replace(line, '[ \x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, lead(level) OVER (PARTITION BY k ORDER BY i) AS next FROM q),
-first AS (SELECT conv_id, key, min(turn) AS origin FROM n WHERE level = 0 AND key <> '' GROUP BY ALL),
-met AS (SELECT n.k, n.level, CASE WHEN origin < n.turn THEN origin END AS origin FROM n LEFT JOIN first ON first.conv_id IS NOT DISTINCT FROM n.conv_id AND first.key = n.key WHERE level > 0 AND n.key <> ''),
-links AS (SELECT k, max(CASE WHEN level = 1 THEN origin END) AS reply_to, count(*) AS n_quoted, count(origin) AS n_linked, max(level) AS depth FROM met GROUP BY k),
-body AS (SELECT k, string_agg(line, chr(10) ORDER BY i) AS body FROM n WHERE level = 0 AND NOT (announces AND coalesce(next, 0) > 0) GROUP BY k)
-SELECT m.conv_id, m.turn, m.role, trim(coalesce(body, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, reply_to, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
-  CAST(coalesce(depth, 0) AS INTEGER) AS depth, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn NULLS FIRST, m.role NULLS FIRST, m.text NULLS FIRST) AS position
-FROM m LEFT JOIN links USING (k) LEFT JOIN body USING (k)
+n AS (SELECT *, level = 0 AND announces AND coalesce(lead(level) OVER (PARTITION BY k ORDER BY i), 0) > 0 AS telling FROM q),
+e AS (SELECT *, CASE WHEN telling OR NOT regexp_matches(line, '[^\x20\x09-\x0D]') THEN '' ELSE line END AS own FROM n),
+f AS (SELECT *, CASE WHEN own <> '' AND lag(own) OVER w <> '' AND lag(level) OVER w = level THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY k ORDER BY i)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS nr FROM f),
+p AS (SELECT k, nr, any_value(level) AS level, regexp_extract_all(translate(string_agg(own, ' ' ORDER BY i), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM g WHERE own <> '' GROUP BY k, nr),
+own AS (
+  SELECT DISTINCT conv_id, t, array_to_string(w, ' ') AS h FROM p JOIN m USING (k) WHERE level = 0
+  UNION SELECT conv_id, t, array_to_string(regexp_extract_all(translate(own, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') FROM e JOIN m USING (k) WHERE level = 0 AND own <> ''),
+quoted AS (SELECT k, nr, level, conv_id, t, w FROM p JOIN m USING (k) WHERE level > 0),
+same AS (SELECT q.k, q.nr, max(own.t) AS origin FROM quoted q JOIN own ON own.conv_id IS NOT DISTINCT FROM q.conv_id AND own.h = array_to_string(q.w, ' ') AND own.t < q.t GROUP BY ALL),
+rest AS (SELECT k, nr, conv_id, t, array_to_string(w[i:i + 7], ' ') AS h FROM (
+  SELECT *, unnest(list_distinct(list_append(range(1, len(w) - 6, 8), len(w) - 7))) AS i FROM quoted ANTI JOIN same USING (k, nr) WHERE len(w) >= 8)),
+seen AS (SELECT conv_id, h, min(t) AS origin FROM (SELECT conv_id, t, array_to_string(w[i:i + 7], ' ') AS h FROM (SELECT conv_id, t, w, unnest(range(1, len(w) - 6)) AS i FROM p JOIN m USING (k) WHERE level = 0 AND len(w) >= 8)) GROUP BY ALL),
+part AS (SELECT rest.k, rest.nr, max(origin) AS origin FROM rest LEFT JOIN seen ON seen.conv_id IS NOT DISTINCT FROM rest.conv_id AND seen.h = rest.h GROUP BY ALL HAVING bool_and(coalesce(origin < rest.t, false))),
+links AS (SELECT k, max(CASE WHEN level = 1 THEN coalesce(s.origin, o.origin) END) AS reply_to, count(*) AS n_quoted, count(coalesce(s.origin, o.origin)) AS n_linked, max(level) AS depth
+  FROM quoted LEFT JOIN same s USING (k, nr) LEFT JOIN part o USING (k, nr) GROUP BY k),
+edge AS (SELECT coalesce(CAST(conv_id AS VARCHAR), chr(0)) AS c, t AS a, reply_to AS b FROM links JOIN m USING (k) WHERE reply_to IS NOT NULL),
+sym AS (SELECT c, a, b FROM edge UNION SELECT c, b, a FROM edge),
+reach AS (SELECT DISTINCT c, a AS n, a AS r FROM sym UNION SELECT sym.c, sym.b, reach.r FROM reach JOIN sym ON sym.c = reach.c AND sym.a = reach.n),
+root AS (SELECT c, n, min(r) AS root FROM reach GROUP BY c, n),
+body AS (SELECT k, string_agg(line, chr(10) ORDER BY i) AS body FROM n WHERE level = 0 AND NOT telling GROUP BY k)
+SELECT m.conv_id, m.turn, m.role, trim(coalesce(body, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, CASE WHEN reply_to > -9223372036854775808 THEN reply_to END AS reply_to, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
+  CAST(coalesce(depth, 0) AS INTEGER) AS depth, row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(root, t), t, m.role NULLS FIRST, m.text NULLS FIRST) AS position
+FROM m LEFT JOIN links USING (k) LEFT JOIN body USING (k) LEFT JOIN root ON root.c = coalesce(CAST(m.conv_id AS VARCHAR), chr(0)) AND root.n = m.t
 """
 
 

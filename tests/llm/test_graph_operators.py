@@ -62,7 +62,7 @@ def test_quotes(spark):
     got = quotes.link(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).orderBy("conv_id", "position").collect()
     one = [r for r in got if r["conv_id"] == 1]
     assert [r["body"] for r in one] == ["Hello World\nsecond  line", "my answer", "thanks", "ok", "ok"]
-    assert [(r["reply_to"], r["n_quoted"], r["n_linked"], r["depth"]) for r in one] == [(None, 0, 0, 0), (0, 1, 1, 1), (1, 3, 3, 2), (2, 2, 1, 1), (2, 2, 1, 1)]
+    assert [(r["reply_to"], r["n_quoted"], r["n_linked"], r["depth"]) for r in one] == [(None, 0, 0, 0), (0, 1, 1, 1), (1, 2, 2, 2), (None, 1, 0, 1), (None, 1, 0, 1)]
     assert [r["position"] for r in one] == [1, 2, 3, 4, 5]
     two = [r for r in got if r["conv_id"] == 2]
     assert [(r["body"], r["reply_to"], r["n_linked"]) for r in two] == [("no link across conversations", None, 0), ("", None, 0)]
@@ -246,3 +246,68 @@ def test_extraction_round_trip_of_generated_pages(spark):
     got = {r["page_id"]: r for r in extraction.extract(spark.createDataFrame(rows, "page_id int, html string")).collect()}
     assert {k: r["text"] for k, r in got.items()} == want and all(r["n_chars"] == len(want[k]) for k, r in got.items())
     assert extraction.extract(spark.createDataFrame([], "page_id int, html string")).count() == 0
+
+
+QUOTED = """Thanks for the plan. I have read all of it twice now and I agree with most of what
+it says about the second part."""
+
+
+def _conversations():
+    rewrapped = "\n".join("> " + x for x in ["Thanks for the plan. I have read all", "of it twice now and I agree with", "most of what it says about the second part."])
+    part = "> read all of it twice now and I agree with most of"
+    return [
+        (1, 1, "a", QUOTED),
+        (1, 2, "b", "yes"),
+        (1, 3, "c", "Someone else"),
+        (1, 4, "a", f"A wrote:\n{rewrapped}\n\nFine."),
+        (1, 5, "b", f"{part}\nWhich one?"),
+        (1, 6, "c", "yes"),
+        (1, 7, "a", "> yes\nGood."),
+        (1, 8, "b", "> Fine.\n> > " + QUOTED.replace("\n", "\n> > ") + "\nend"),
+        (1, 9, "c", "> read all of it twice but I do not agree with most of\nno source"),
+        (1, 9, "d", "> no source\nsame turn"),
+        (2, None, "a", "null turn text that is quite long enough for a window of words"),
+        (2, 5, "b", "> null turn text that is quite long enough for a window of words\nok"),
+        (None, 1, None, None),
+        (None, None, "x", "> yes"),
+        (3, 2000, "a", "far"),
+        (3, 5000, "b", "> far"),
+        (3, 1, "c", "first"),
+        (3, 4999, "d", "between"),
+    ]
+
+
+def test_passages_are_linked_rewrapped_and_in_part(spark):
+    from panelyard.llm import quotes
+
+    df = spark.createDataFrame(_conversations(), "conv_id int, turn int, role string, text string")
+    got = quotes.link(df.repartition(5)).collect()
+    one = {(r["turn"], r["role"]): (r["reply_to"], r["n_quoted"], r["n_linked"], r["depth"]) for r in got if r["conv_id"] == 1}
+    assert one[4, "a"] == (1, 1, 1, 1) and one[5, "b"] == (1, 1, 1, 1)
+    assert one[7, "a"] == (6, 1, 1, 1)  # the latest message that says so
+    assert one[8, "b"] == (4, 2, 2, 2) and one[9, "c"] == (None, 1, 0, 1) and one[9, "d"] == (None, 1, 0, 1)
+    order = [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["position"])]
+    assert order == [1, 4, 5, 8, 2, 3, 6, 7, 9, 9]  # threads by their first message
+    two = {r["turn"]: (r["reply_to"], r["n_linked"], r["position"]) for r in got if r["conv_id"] == 2}
+    assert two == {None: (None, 0, 1), 5: (None, 1, 2)}
+    assert [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 3), key=lambda r: r["position"])] == [1, 2000, 5000, 4999]
+    assert next(r["body"] for r in got if r["turn"] == 4) == "Fine."
+
+
+def test_quotes_equal_their_sql_and_take_any_names(spark, tmp_path):
+    import duckdb
+
+    from panelyard.llm import queries, quotes
+
+    rows = _conversations() * 2
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    columns = ["conv_id", "turn", "role", "body", "reply_to", "n_quoted", "n_linked", "depth", "position"]
+    got = Counter(tuple(r) for r in quotes.link(df).select(columns).collect())
+    df.write.parquet(str(tmp_path / "c"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    assert Counter(db.execute(f"SELECT {', '.join(columns)} FROM ({queries.OP5_SQL})").fetchall()) == got
+    clash = df.selectExpr("*", "1 AS c", "2 AS t", "3 AS __c", "4 AS `h`", "5 AS root", "6 AS k0", "7 AS DEPTH", "8 AS ls")
+    more = quotes.link(clash)
+    assert more.columns[:4] == ["conv_id", "turn", "role", "text"] and Counter(tuple(r) for r in more.select(columns).collect()) == got
+    assert more.select("c", "t", "__c", "h", "root", "k0", "ls").distinct().collect() == [(1, 2, 3, 4, 5, 6, 8)]
