@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Abramowitz and Stegun 7.1.26.
-ERFC_P = 0.3275911
-ERFC_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+#: Terms of the Chebyshev series behind erfc.
+TERMS = 28
+
+
+def _scaled_erfc(x: float) -> float:
+    """exp(x x) erfc(x), by a continued fraction where erfc itself is small."""
+    if x < 2:
+        return math.exp(x * x) * math.erfc(x)
+    tail = 0.0
+    for k in range(200, 0, -1):
+        tail = k / 2 / (x + tail)
+    return 1 / math.sqrt(math.pi) / (x + tail)
+
+
+@functools.cache
+def _erfc_series() -> list[float]:
+    """Chebyshev coefficients of ln(exp(x x) erfc(x) / t) in t = 2 / (2 + x), for t from 0 to 1."""
+    nodes = np.cos(np.pi * (np.arange(4 * TERMS) + 0.5) / (4 * TERMS))
+    t = (nodes + 1) / 2
+    values = [math.log(_scaled_erfc(2 / u - 2) / u) for u in t]
+    return np.polynomial.chebyshev.chebfit(nodes, values, TERMS - 1).tolist()
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0, absolute error below 1.5e-7."""
-    t = 1 / (1 + ERFC_P * x)
-    poly = F.lit(0.0)
-    for a in reversed(ERFC_A):
-        poly = (poly + a) * t
-    return poly * F.exp(-x * x)
+    """Complementary error function for x >= 0, relative error about 1e-12."""
+    t = 2 / (2 + x)
+    y, (first, *rest) = 4 * t - 2, _erfc_series()
+    d, dd = F.lit(0.0), F.lit(0.0)
+    cells = F.array(*(F.lit(c) for c in reversed(rest)))
+    # Clenshaw's recurrence as a fold, so that no expression is written out twice.
+    state = F.aggregate(cells, F.struct(d.alias("d"), dd.alias("e")), lambda a, c: F.struct((y * a["d"] - a["e"] + c).alias("d"), a["d"].alias("e")))
+    return t * F.exp(-x * x + first + y / 2 * state["d"] - state["e"])
 
 
 def normal_cdf(z: Column) -> Column:

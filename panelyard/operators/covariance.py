@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import tables
+
+#: A likelihood this far above its reference runs away to a singular covariance.
+GUARD = 5000.0
 Path = list[list[Column]]
 
 
@@ -74,7 +78,8 @@ def gaussian_loglik(df: DataFrame, e: list[str], w: Path, keys: list[str]) -> Da
 
 
 def log_precision_sums(df: DataFrame, e: list[str], a: list[float], b: list[float], v: Column, keys: list[str]) -> DataFrame:
-    """The sums that the log-precision objective and its gradient need: of h, u u' and v u u'."""
+    """(keys, n, sum_h, uu, vuu, sum_v): the sums of which the log-precision objective and its
+    derivatives are made, h = a + b v and u = exp(h / 2) e; uu and vuu as upper triangles."""
     p = len(e)
     h = [F.lit(x) + F.lit(y) * v for x, y in zip(a, b, strict=True)]
     u = [F.exp(h[i] / 2) * F.col(e[i]) for i in range(p)]
@@ -84,22 +89,10 @@ def log_precision_sums(df: DataFrame, e: list[str], a: list[float], b: list[floa
     )
 
 
-def log_precision_objective(row, corr: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
-    """f, df/da, df/db and df/dC from one row of those sums (f = -log|Sigma| - e'We, summed)."""
-    p = len(corr)
-    uu, vuu = np.zeros((p, p)), np.zeros((p, p))
-    for m, g in ((uu, row["uu"]), (vuu, row["vuu"])):
-        m[np.triu_indices(p)] = g
-        m += np.triu(m, 1).T
-    f = row["sum_h"] + row["n"] * np.linalg.slogdet(corr)[1] - float((uu * corr).sum())
-    return f, row["n"] - (uu * corr).sum(1), row["sum_v"] - (vuu * corr).sum(1), row["n"] * np.linalg.inv(corr) - uu
-
-
 def scale_profile(df: DataFrame, e: list[str], u: str, grid: list[float], keys: list[str]) -> DataFrame:
     """(keys, b, loglik) of the scale model for every b of a grid, in one pass (two residuals at most)."""
     spark, p = df.sparkSession, len(e)
-    whole = Window.partitionBy(*keys)
-    rows = df.na.drop(subset=[*e, u]).withColumn("__u", F.col(u) - F.avg(u).over(whole))
+    rows = tables.with_mean(df.na.drop(subset=[*e, u]), keys, u, "__mean").withColumn("__u", F.col(u) - F.col("__mean"))
     each = rows.crossJoin(F.broadcast(spark.createDataFrame([(float(b),) for b in grid], "b double")))
     w = F.exp(F.col("b") * F.col("__u"))
     m = {(i, j): F.avg(w * F.col(e[i]) * F.col(e[j])) for i in range(p) for j in range(i, p)}
@@ -149,6 +142,47 @@ def validity_screen(df: DataFrame, w: Path, keys: list[str], floor: float = 1e-8
     return each.groupBy(*keys).agg((F.min("smallest") / F.avg("smallest")).alias("ratio")).withColumn("valid", F.col("ratio") >= floor)
 
 
+def block_guard(screen: DataFrame, fits: DataFrame, keys: list[str], reference: str = "reference", loglik: str = "loglik") -> DataFrame:
+    """A screen joined with fits: valid only if the ratio is, and the log-likelihood is finite
+    and no more than GUARD above a reference (the eigenvalue solution's)."""
+    ll = F.col(loglik)
+    sane = ll.isNotNull() & ~F.isnan(ll) & (F.abs(ll) < F.lit(float("inf"))) & (ll <= F.col(reference) + GUARD)
+    return tables.joined(fits, screen, keys).withColumn("valid", F.col("valid") & F.coalesce(sane, F.lit(False)))
+
+
+def flat_directions(df: DataFrame, v: str, loadings: list[list[float]], keys: list[str], cutoff: float = 1e-10) -> DataFrame:
+    """(keys, n, nullity): how many directions of a symmetric D leave every precision Q D Q' as it is,
+    for Q = [I, v A] with loadings A of one row a residual and q columns: q (q - 1) / 2 of full rank.
+
+    The Gram of the map over rows needs the sums of the driver's first four powers only.
+    """
+    a = np.array(loadings, float)
+    p, q = a.shape
+    m = p + q
+    units = []
+    for i in range(m):
+        for j in range(i, m):
+            d = np.zeros((m, m))
+            d[i, j] = d[j, i] = 1 if i == j else math.sqrt(0.5)
+            units.append([d[:p, :p], d[:p, p:] @ a.T + a @ d[p:, :p], a @ d[p:, p:] @ a.T])
+    parts = np.array(units)  # direction, power of v, p, p
+    cross = np.einsum("iaxy,jbxy->ijab", parts, parts)
+    powers = df.where(F.col(v).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.array(*(F.sum(F.pow(F.col(v), F.lit(k))) for k in range(5))).alias("__s"))
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in powers.drop("__s").schema.fields)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            found = []
+            for s in batch["__s"]:
+                unit = math.sqrt(s[2] / s[0]) or 1.0  # the driver's scale changes no dimension
+                weight = np.array([[s[i + j] / s[0] / unit ** (i + j) for j in range(3)] for i in range(3)])
+                size = np.linalg.eigvalsh(np.einsum("ijab,ab->ij", cross, weight))
+                found.append(int((size <= cutoff * size[-1]).sum()))
+            yield batch.drop(columns="__s").assign(nullity=np.array(found, np.int32))
+
+    return powers.mapInPandas(run, f"{head}, nullity int")
+
+
 def vecm_path(df: DataFrame, x: list[str], z: list[str], pi: list[list[float]], psi: list[list[float]]) -> DataFrame:
     """Fitted differences Pi x + Psi z as columns f0, f1, ..."""
     fit = lambda i: _sum([F.lit(a) * F.col(c) for a, c in zip(pi[i], x, strict=True)] + [F.lit(a) * F.col(c) for a, c in zip(psi[i], z, strict=True)])

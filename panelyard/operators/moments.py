@@ -6,12 +6,16 @@ come from one aggregation with partial sums on the map side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Sums in one aggregation; more are computed in chunks of one cached pass.
-CHUNK = 400
+from . import covariance
+from .quantiles import quantiles
 
 
 def _pairs(n: int) -> list[tuple[int, int]]:
@@ -38,6 +42,25 @@ def gram_rows(df: DataFrame, columns: list[str], keys: list[str], weight: Column
     return df.na.drop(subset=columns).groupBy(*keys).agg(F.count("*").alias("n"), sums.alias("g"))
 
 
+def kernel_sums(df: DataFrame, columns: list[str], keys: list[str], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(keys, sums): the sum over rows of a kernel's vector, for more sums than one aggregation takes.
+
+    The kernel sees a batch's rows of one key at once; batches' vectors are added up by Spark.
+    """
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for _, part in batch.groupby(keys, dropna=False, sort=False):
+                found = kernel(part[columns].to_numpy(float))
+                yield pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, "vector": [found.tolist()]})[[*keys, "vector"]].astype({k: object for k in keys})
+
+    each = df.select(*keys, *columns).mapInPandas(run, f"{head}, vector array<double>")
+    summed = each.select(*keys, F.posexplode("vector").alias("pos", "value")).groupBy(*keys, "pos").agg(F.sum("value").alias("value"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))  # as many as the kernel has sums
+    return summed.groupBy(*keys).agg(F.transform(ordered, lambda x: x["value"]).alias("sums"))
+
+
 def driver_power_gram(df: DataFrame, columns: list[str], driver: str, keys: list[str], powers: int = 2) -> DataFrame:
     """Grams weighted by the driver's powers 0 to `powers`, as rows with a column power."""
     each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(powers))).alias("power"))
@@ -76,18 +99,37 @@ def residual_cov(df: DataFrame, residuals: list[str], keys: list[str]) -> DataFr
 
 
 def correlations(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Smallest off-diagonal correlation of the columns."""
-    pairs = [F.corr(columns[i], columns[j]) for i, j in _pairs(len(columns)) if i < j]
-    return df.groupBy(*keys).agg((F.least(*pairs) if len(pairs) > 1 else pairs[0]).alias("min_corr"))
+    """Smallest off-diagonal correlation of the columns, and the condition number of their covariance."""
+    k = len(columns)
+    pairs = [F.corr(columns[i], columns[j]) for i, j in _pairs(k) if i < j]
+    cells = F.array(*(F.covar_pop(columns[i], columns[j]) for i, j in _pairs(k)))
+    table = df.groupBy(*keys).agg((F.least(*pairs) if len(pairs) > 1 else pairs[0]).alias("min_corr"), cells.alias("__cov"))
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.drop("__cov").schema.fields)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            out = []
+            for cov in batch["__cov"]:
+                m = np.zeros((k, k))
+                m[np.triu_indices(k)] = [np.nan if x is None else x for x in cov]
+                size = np.linalg.eigvalsh(m.T) if np.isfinite(m).all() else np.array([np.nan])
+                out.append(float(size[-1] / size[0]) if size[0] > 0 else None)
+            yield batch.drop(columns="__cov").assign(condition=pd.array(out, dtype="Float64"))
+
+    return table.mapInPandas(run, f"{head}, condition double")
 
 
 def regime_variances(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Rows, log of the variances' product, and mean variance of each segment."""
-    variances = [F.var_pop(c) for c in columns]
-    total = lambda xs: sum(xs[1:], xs[0])
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), total([F.ln(v) for v in variances]).alias("log_product"), (total(variances) / len(columns)).alias("mean_variance"))
+    """Rows, log determinant of the columns' covariance, and mean variance of each segment."""
+    cells = {(i, j): F.covar_pop(columns[i], columns[j]).alias(f"__c{i}_{j}") for i, j in _pairs(len(columns))}
+    table = df.groupBy(*keys).agg(F.count("*").alias("n"), *cells.values())
+    at = lambda i, j: F.col(f"__c{min(i, j)}_{max(i, j)}")
+    k = range(len(columns))
+    total = sum((at(i, i) for i in k), F.lit(0.0))
+    det = covariance.determinant([[at(i, j) for j in k] for i in k])
+    return table.select(*keys, "n", F.ln(det).alias("logdet"), (total / len(columns)).alias("mean_variance"))
 
 
 def weight_spread(df: DataFrame, weight: str, keys: list[str]) -> DataFrame:
     """Ratio of the 90th to the 10th percentile of a weight."""
-    return df.groupBy(*keys).agg((F.percentile(weight, F.lit(0.9)) / F.percentile(weight, F.lit(0.1))).alias("spread"))
+    return quantiles(df, keys, weight, {"__hi": 0.9, "__lo": 0.1}).select(*keys, (F.col("__hi") / F.col("__lo")).alias("spread"))

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..sources import tables
+from .quantiles import with_quantiles
+
 
 def ordered(system: list[str], date: str = "d") -> WindowSpec:
     return Window.partitionBy(*system).orderBy(date)
@@ -107,19 +110,16 @@ def volatility_driver(df: DataFrame, columns: list[str], system: list[str], date
     """v: mean absolute change a row before, over its mean; kind log: its centred log."""
     w = ordered(system, date)
     mean = sum((F.abs(F.lag(c).over(w) - F.lag(c, 2).over(w)) for c in columns), F.lit(0.0)) / len(columns)
-    whole = Window.partitionBy(*system)
-    out = df.withColumn("v", mean)
-    out = out.withColumn("v", F.col("v") / F.avg("v").over(whole))
+    out = tables.with_mean(df.withColumn("v", mean), system, "v", "__mean").withColumn("v", F.col("v") / F.col("__mean")).drop("__mean")
     if kind == "log":
-        out = out.withColumn("v", F.ln("v"))
-        out = out.withColumn("v", F.col("v") - F.avg("v").over(whole))
+        out = tables.with_mean(out.withColumn("v", F.ln("v")), system, "v", "__mean").withColumn("v", F.col("v") - F.col("__mean")).drop("__mean")
     return out
 
 
 def cap_driver(df: DataFrame, observed: DataFrame, system: list[str], column: str = "v") -> DataFrame:
     """The driver cut at the largest observed value of its system."""
     top = observed.groupBy(*system).agg(F.max(column).alias("__top"))
-    out = df.join(top, system) if system else df.crossJoin(F.broadcast(top))
+    out = tables.joined(df, top, system)
     return out.withColumn(column, F.least(column, "__top")).drop("__top")
 
 
@@ -159,13 +159,13 @@ def compare_series(df: DataFrame, a: str, b: str, system: list[str], date: str =
     """How close two log series are: gaps, equal values, and their changes."""
     w = ordered(system, date)
     out = df.withColumns({"gap": F.col(a) - F.col(b), "ra": F.col(a) - F.lag(a).over(w), "rb": F.col(b) - F.lag(b).over(w)})
-    return out.groupBy(*system).agg(
+    table = out.groupBy(*system).agg(
         F.stddev_samp("gap").alias("sd_gap"),
-        F.median(F.abs(F.expm1("gap"))).alias("median_gap"),
         F.count_if(F.col("gap") == 0).alias("n_equal"),
         F.corr("ra", "rb").alias("corr"),
         (F.stddev_samp("ra") / F.stddev_samp("rb")).alias("sd_ratio"),
     )
+    return with_quantiles(table, out.withColumn("__gap", F.abs(F.expm1("gap"))), system, "__gap", {"median_gap": 0.5})
 
 
 def bases_table(df: DataFrame, columns: list[str], system: list[str], date: str = "d") -> DataFrame:

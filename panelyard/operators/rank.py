@@ -19,8 +19,13 @@ from .unitroot import square
 
 #: 90, 95 and 99 percent quantiles of the trace statistic with an unrestricted
 #: constant, for 4, 3, 2 and 1 relations left.
+TRACE_AT = (90, 95, 99)
 TRACE = {4: (44.4929, 47.8545, 54.6815), 3: (27.0669, 29.7961, 35.4628), 2: (13.4294, 15.4943, 19.9349), 1: (2.7055, 3.8415, 6.6349)}
 
+#: 95 and 99 percent quantiles with the constant inside the relations, for 1 to 5.
+RESTRICTED_AT = (95, 99)
+RESTRICTED = {1: (9.24, 12.97), 2: (19.96, 24.60), 3: (34.91, 41.07), 4: (53.12, 60.16), 5: (76.07, 84.45)}
+
 
 @dataclass
 class Shape:
@@ -103,6 +108,18 @@ class Fit:
     iters: int
     converged: bool
 
+    @property
+    def loadings(self) -> np.ndarray:
+        return np.hstack([self.alpha, self.psi])
+
+
+def loadings_of(grams: list[np.ndarray], s: Shape, beta: np.ndarray) -> np.ndarray:
+    """Least-squares loadings (alpha, psi) for given relations."""
+    total, r = sum(grams), beta.shape[1]
+    k = np.zeros((r + s.p2, s.size))
+    k[:r, s.x], k[r:, s.z] = beta.T, np.eye(s.p2)
+    return np.linalg.solve(k @ total @ k.T, k @ total[:, s.y]).T
+
 
 def _omegas(grams: list[np.ndarray], counts: list[int], alpha: np.ndarray, beta: np.ndarray, psi: np.ndarray) -> list[np.ndarray]:
     b = np.hstack([np.eye(len(alpha)), -alpha @ beta.T, -psi])
@@ -114,13 +131,12 @@ def _loglik(omegas: list[np.ndarray], counts: list[int]) -> float:
     return sum(-n / 2 * (p * (1 + math.log(2 * math.pi)) + np.linalg.slogdet(o)[1]) for o, n in zip(omegas, counts, strict=True))
 
 
-def fit(grams: list[np.ndarray], counts: list[int], s: Shape, beta: np.ndarray, h_matrix: np.ndarray | None, h: np.ndarray | None, g_matrix: np.ndarray | None = None, g: np.ndarray | None = None, tol: float = 1e-10, most: int = 500) -> Fit:
-    """Three-block ascent from beta: covariances, then relations, then loadings.
+def fit(grams: list[np.ndarray], counts: list[int], s: Shape, beta: np.ndarray, h_matrix: np.ndarray | None, h: np.ndarray | None, g_matrix: np.ndarray | None = None, g: np.ndarray | None = None, tol: float = 1e-10, most: int = 500, first: np.ndarray | None = None) -> Fit:
+    """Three-block ascent from beta (and from loadings, if given): covariances, relations, loadings.
 
     One Gram a segment gives one covariance a segment; one Gram alone is the iid model.
     """
     r = beta.shape[1]
-    total = sum(grams)
 
     def loadings(weights: list[np.ndarray], beta: np.ndarray) -> np.ndarray:
         k = np.zeros((r + s.p2, s.size))
@@ -132,9 +148,7 @@ def fit(grams: list[np.ndarray], counts: list[int], s: Shape, beta: np.ndarray,
             m, v = m + np.kron(ff, w), v + (w @ yf).ravel("F")
         return affine(m, v, g_matrix, g).reshape(s.p, r + s.p2, order="F")
 
-    k0 = np.zeros((r + s.p2, s.size))
-    k0[:r, s.x], k0[r:, s.z] = beta.T, np.eye(s.p2)
-    a = np.linalg.solve(k0 @ total @ k0.T, k0 @ total[:, s.y]).T
+    a = loadings_of(grams, s, beta) if first is None else first
     alpha, psi = a[:, :r], a[:, r:]
     omegas, last, done = _omegas(grams, counts, alpha, beta, psi), -np.inf, False
     for step in range(1, most + 1):
@@ -155,17 +169,25 @@ def fit(grams: list[np.ndarray], counts: list[int], s: Shape, beta: np.ndarray,
     return Fit(alpha, beta, psi, omegas, now, step, done)
 
 
-def both_fits(grams: list[np.ndarray], counts: list[int], s: Shape, **limits: float) -> tuple[Fit, Fit]:
-    """With free b from the closed-form start, from b = 1, and from the best of those; and b at 1."""
+def fit_one(grams: list[np.ndarray], counts: list[int], s: Shape, **limits: float) -> Fit:
+    """With b at 1."""
+    r = s.p1 - 1
+    ones = spread_basis(np.ones(r))
+    return fit(grams, counts, s, ones, np.zeros((ones.size, 0)), ones.ravel("F"), **limits)
+
+
+def fit_free(grams: list[np.ndarray], counts: list[int], s: Shape, one: Fit | None = None, **limits: float) -> Fit:
+    """With free b, from the closed-form start and from b = 1; from `one` too if it is better than both."""
     r = s.p1 - 1
     hm, h = basis_restriction(r)
     start = implied_b(johansen(sum(grams), sum(counts), s)[1][:, :r])
-    one = fit(grams, counts, s, spread_basis(np.ones(r)), np.zeros((len(h), 0)), spread_basis(np.ones(r)).ravel("F"), **limits)
-    tries = [fit(grams, counts, s, spread_basis(b), hm, h, **limits) for b in (start, np.ones(r))]
-    free = max(tries, key=lambda f: f.loglik)
-    if one.loglik > free.loglik + 1e-8:
-        free = fit(grams, counts, s, one.beta, hm, h, **limits)
-    return free, one
+    best = max((fit(grams, counts, s, spread_basis(b), hm, h, **limits) for b in (start, np.ones(r))), key=lambda f: f.loglik)
+    return fit(grams, counts, s, one.beta, hm, h, **limits) if one is not None and one.loglik > best.loglik + 1e-8 else best
+
+
+def both_fits(grams: list[np.ndarray], counts: list[int], s: Shape, **limits: float) -> tuple[Fit, Fit]:
+    one = fit_one(grams, counts, s, **limits)
+    return fit_free(grams, counts, s, one, **limits), one
 
 
 def _head(df: DataFrame, keys: list[str]) -> str:
@@ -190,19 +212,26 @@ def _per_row(df: DataFrame, keys: list[str], tail: str, job) -> DataFrame:  # no
     return df.mapInPandas(run, ", ".join(filter(None, [_head(df, keys), tail])))
 
 
-def trace_test(grams: DataFrame, keys: list[str], s: Shape) -> DataFrame:
-    """(keys, r, eigenvalue, trace, cv95, rejects, loglik) for each rank r."""
+def trace_test(grams: DataFrame, keys: list[str], s: Shape, table: dict[int, tuple[float, ...]] | None = None, levels: tuple[int, ...] = TRACE_AT) -> DataFrame:
+    """(keys, r, eigenvalue, trace, loglik, and cv and decision at each level) for each rank r.
+
+    table: quantiles by the number of relations left (by default those of an unrestricted
+    constant); give RESTRICTED and RESTRICTED_AT for a constant inside the relations.
+    """
+    table = TRACE if table is None else table
 
     def job(row):  # noqa: ANN001, ANN202
         lam, _, logdet = johansen(square(row.g, s.size), row.n, s)
         out = []
         for r in range(s.p):
             trace = float(-row.n * np.log(1 - lam[r:]).sum())
-            cv = TRACE.get(s.p - r)
-            out.append({"r": r, "eigenvalue": float(lam[r]), "trace": trace, "cv95": cv and cv[1], "rejects": cv and bool(trace > cv[1]), "loglik": rank_loglik(lam, logdet, row.n, s.p, r + 1)})
+            cv = table.get(s.p - r, (None,) * len(levels))
+            said = {f"cv{p}": c for p, c in zip(levels, cv, strict=True)} | {f"rejects{p}": None if c is None else bool(trace > c) for p, c in zip(levels, cv, strict=True)}
+            out.append({"r": r, "eigenvalue": float(lam[r]), "trace": trace, "loglik": rank_loglik(lam, logdet, row.n, s.p, r + 1)} | said)
         return out
 
-    return _per_row(grams, keys, "r int, eigenvalue double, trace double, cv95 double, rejects boolean, loglik double, error string", job)
+    more = ", ".join([*(f"cv{p} double" for p in levels), *(f"rejects{p} boolean" for p in levels)])
+    return _per_row(grams, keys, f"r int, eigenvalue double, trace double, loglik double, {more}, error string", job)
 
 
 def restricted_const(names: list[str], s: Shape) -> tuple[list[str], Shape]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,13 +20,28 @@ def sign(seed: int, j: Column, t: Column) -> Column:
     return F.when(digit < "8", 1).otherwise(-1)
 
 
+def signs(seed: int, js: list[int], n: int) -> np.ndarray:
+    """The same weights as `sign` for rows 1 to n, a line a replicate."""
+    return np.array([[1.0 if hashlib.md5(f"{seed}|{j}|{t}".encode()).hexdigest()[0] < "8" else -1.0 for t in range(1, n + 1)] for j in js])
+
+
+def normal(seed: int, j: Column, t: Column) -> Column:
+    """Standard normal weight from two 48-bit parts of a digest (Box and Muller)."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), j.cast("string"), t.cast("string")))
+    part = lambda at: (F.conv(F.substring(digest, at, 12), 16, 10).cast("double") + 0.5) / 2.0**48
+    return F.sqrt(-2 * F.ln(part(1))) * F.cos(2 * math.pi * part(13))
+
+
 def replicates(df: DataFrame, b: int) -> DataFrame:
     """Every row with every replicate number 1 to b; rows are narrow and b is a parameter."""
     return df.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(b))))
 
 
-def wild_weights(df: DataFrame, b: int, seed: int, t: str = "t") -> DataFrame:
-    return replicates(df, b).withColumn("s", sign(seed, F.col("j"), F.col(t)))
+SCHEMES = {"rademacher": sign, "normal": normal}
+
+
+def wild_weights(df: DataFrame, b: int, seed: int, t: str = "t", scheme: str = "rademacher") -> DataFrame:
+    return replicates(df, b).withColumn("s", SCHEMES[scheme](seed, F.col("j"), F.col(t)))
 
 
 def wild_fixed(rows: DataFrame, keys: list[str], residual: str, regressor: str, b: int, seed: int, t: str = "t") -> DataFrame:
@@ -33,6 +51,37 @@ def wild_fixed(rows: DataFrame, keys: list[str], residual: str, regressor: str,
     return each.groupBy(*keys, "j").agg((F.sum(F.col("s") * F.col(residual) * x) / F.sum(x * x)).alias("slope"))
 
 
+def recursive_ar1(rows: DataFrame, keys: list[str], value: str, b: int, seed: int, order: str = "t") -> DataFrame:
+    """(keys, j, n, slope, last): first-order autoregressions of replicates rebuilt from the
+    first value, the fitted coefficients and sign-weighted residuals (row t uses sign t).
+
+    A replicate is a recursion over one series, so a series is a task's unit; all its
+    replicates advance together.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        x, base = part[value].to_numpy(float), {c: part[c].iloc[0] for c in keys}
+        if len(x) < 4 or np.ptp(x[:-1]) == 0:
+            return pd.DataFrame([], columns=[*keys, "j", "n", "slope", "last"])
+        lag = x[:-1] - x[:-1].mean()
+        slope = float(lag @ x[1:] / (lag @ lag))
+        start = float(x[1:].mean() - slope * x[:-1].mean())
+        e = x[1:] - start - slope * x[:-1]
+        js = list(range(1, b + 1))
+        s = signs(seed, js, len(x))
+        path = np.empty((b, len(x)))
+        path[:, 0] = x[0]
+        for t in range(1, len(x)):
+            path[:, t] = start + slope * path[:, t - 1] + s[:, t] * e[t - 1]
+        lag = path[:, :-1] - path[:, :-1].mean(1, keepdims=True)
+        slopes = (lag * path[:, 1:]).sum(1) / (lag * lag).sum(1)
+        return pd.DataFrame({**{c: [v] * b for c, v in base.items()}, "j": js, "n": len(x) - 1, "slope": slopes, "last": path[:, -1]})
+
+    head = rank._head(rows, keys)
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join(filter(None, [head, "j int, n bigint, slope double, last double"])))
+
+
 def bootstrap_rank(levels: DataFrame, columns: list[str], system: list[str], r0: int, b: int, seed: int, order: str = "d", chunk: int = 100) -> DataFrame:
     """Trace statistics of replicates with rank r0 imposed, rebuilt recursively from observed
     first values; (system, j, trace). The parallel axis is (system, block of replicates).
@@ -59,11 +108,11 @@ def bootstrap_rank(levels: DataFrame, columns: list[str], system: list[str], r0:
         e = y - lx @ pi.T - z @ psi.T
         first = int(rows["block"].iloc[0]) * chunk
         js = list(range(first + 1, min(first + chunk, b) + 1))
-        signs = np.stack([np.random.default_rng((seed, j)).choice([-1.0, 1.0], n) for j in js])
+        weights = signs(seed, js, n)
         path, out = np.empty((len(js), n + 2, p)), []
         path[:, :2] = x[:2]
         for t in range(n):
-            step = path[:, t + 1] @ pi.T + (path[:, t + 1] - path[:, t]) @ psi[:, :p].T + psi[:, p] + signs[:, t, None] * e[t]
+            step = path[:, t + 1] @ pi.T + (path[:, t + 1] - path[:, t]) @ psi[:, :p].T + psi[:, p] + weights[:, t, None] * e[t]
             path[:, t + 2] = path[:, t + 1] + step
         for j, q in zip(js, path, strict=True):
             dq = np.diff(q, axis=0)
@@ -79,11 +128,17 @@ def bootstrap_rank(levels: DataFrame, columns: list[str], system: list[str], r0:
 def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, order: str = "d", chunk: int = 25) -> DataFrame:
     """(system, j, lr, b): LR of b = 1 in replicates drawn under b = 1, one covariance a segment.
 
-    breaks [] is the iid model. Each task holds one system's rows and a block of replicates.
-    A replicate whose algebra fails has null lr.
+    breaks [] is the iid model. Each task holds one system's rows and a block of replicates,
+    whose paths advance together. A replicate is fitted from three free starts (the system's
+    own fit, its closed form, the replicate's restricted fit) and two restricted ones (the
+    system's own, the closed form's loadings), so LR is not negative but for rounding. A
+    replicate whose algebra fails has null lr.
     """
     p = len(columns)
     s = rank.Shape(p, p, p + 1)
+    hm, h = rank.basis_restriction(p - 1)
+    ones = rank.spread_basis(np.ones(p - 1))
+    pinned = (np.zeros((ones.size, 0)), ones.ravel("F"))
     blocks = levels.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // chunk))))
     blocks = blocks.repartition(tables.partitions(levels.sparkSession), *system, "block")
 
@@ -97,21 +152,28 @@ def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], break
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(order)[columns].to_numpy(float)
         base = {c: rows[c].iloc[0] for c in system}
-        grams, counts = grams_of(x)
-        _, one = rank.both_fits(grams, counts, s)
-        pi, psi = one.alpha @ one.beta.T, one.psi
+        try:
+            own_free, own_one = rank.both_fits(*grams_of(x), s)
+        except (np.linalg.LinAlgError, ValueError):
+            return pd.DataFrame([], columns=[*system, "j", "lr", "b"], dtype=object)
+        pi, psi = own_one.alpha @ own_one.beta.T, own_one.psi
         d = np.diff(x, axis=0)
         n = len(d) - 1
         e = d[1:] - x[1:-1] @ pi.T - np.hstack([d[:-1], np.ones((n, 1))]) @ psi.T
         first, out = int(rows["block"].iloc[0]) * chunk, []
-        for j in range(first + 1, min(first + chunk, b) + 1):
-            signs = np.random.default_rng((seed, j)).choice([-1.0, 1.0], n)
-            q = np.empty_like(x)
-            q[:2] = x[:2]
-            for t in range(n):
-                q[t + 2] = q[t + 1] + pi @ q[t + 1] + psi[:, :p] @ (q[t + 1] - q[t]) + psi[:, p] + signs[t] * e[t]
+        js = list(range(first + 1, min(first + chunk, b) + 1))
+        weights, path = signs(seed, js, n), np.empty((len(js), *x.shape))
+        path[:, :2] = x[:2]
+        for t in range(n):
+            path[:, t + 2] = path[:, t + 1] + path[:, t + 1] @ pi.T + (path[:, t + 1] - path[:, t]) @ psi[:, :p].T + psi[:, p] + weights[:, t, None] * e[t]
+        limits = {"tol": 1e-8, "most": 200}
+        best = lambda found: max(found, key=lambda f: f.loglik)
+        for j, q in zip(js, path, strict=True):
             try:
-                free, null = rank.both_fits(*grams_of(q), s, tol=1e-8, most=200)
+                grams, counts = grams_of(q)
+                closed = rank.implied_b(rank.johansen(sum(grams), sum(counts), s)[1][:, : p - 1])
+                null = best([rank.fit(grams, counts, s, ones, *pinned, first=a, **limits) for a in (own_one.loadings, rank.loadings_of(grams, s, rank.spread_basis(closed)))])
+                free = best([rank.fit(grams, counts, s, beta, hm, h, first=a, **limits) for beta, a in ((own_free.beta, own_free.loadings), (rank.spread_basis(closed), None), (ones, null.loadings))])
                 out.append(base | {"j": j, "lr": 2 * (free.loglik - null.loglik), "b": rank.implied_b(free.beta).tolist()})
             except (np.linalg.LinAlgError, ValueError):
                 out.append(base | {"j": j, "lr": None, "b": None})

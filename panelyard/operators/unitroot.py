@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.dist import chi2_sf_exact, normal_cdf_exact, TAU_LARGE, TAU_MAX, TAU_MIN, TAU_SMALL, TAU_STAR
+from ..functions.dist import chi2_sf, chi2_sf_exact, normal_cdf_exact, TAU_LARGE, TAU_MAX, TAU_MIN, TAU_SMALL, TAU_STAR
+from ..sources import tables
 from . import moments, panel
 
 
@@ -67,6 +68,42 @@ def adf0(long: DataFrame, keys: list[str], value: str = "value", date: str = "d"
     return fit.withColumn("t", F.col("slope") / F.col("se")).select(*keys, "n", "t", (F.col("t") < critical).alias("rejects"))
 
 
+#: Asymptotic quantiles of the t statistic at 1, 5 and 10 percent, with a
+#: constant (c), and with a constant and a trend (ct).
+ADF_AT = (1, 5, 10)
+ADF = {"c": (-3.43, -2.86, -2.57), "ct": (-3.96, -3.41, -3.13)}
+
+
+def adf(long: DataFrame, keys: list[str], lags: int, trend: str = "c", value: str = "value", date: str = "d") -> DataFrame:
+    """(keys, n, t, decisions): unit-root t statistic with a fixed number of lags, a constant and, with ct, a trend.
+
+    One Gram a series, of differences, the lagged level, its differences' lags and the terms.
+    """
+    w = Window.partitionBy(*keys).orderBy(date)
+    out = long.withColumns({"dx": F.col(value) - F.lag(value).over(w), "lx": F.lag(value).over(w), "one": F.lit(1.0), "at": (F.row_number().over(w) - 2 - lags).cast("double")})
+    more = [f"z{i}" for i in range(1, lags + 1)]
+    out = out.withColumns({z: F.lag("dx", i).over(w) for i, z in enumerate(more, 1)})
+    columns = ["dx", "lx", *more, "one", *(["at"] if trend == "ct" else [])]
+    k, head = len(columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*keys).schema.fields)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for rows in batches:
+            found = []
+            for r in rows.itertuples():
+                g, t = square(r.g, k), None
+                try:
+                    b, ee = solve(g, [0], list(range(1, k)))
+                    s2 = float(ee[0, 0]) / (r.n - (k - 1))
+                    t = float(b[0, 0]) / math.sqrt(s2 * np.linalg.inv(g[1:, 1:])[0, 0])
+                except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
+                    pass  # too few rows or constant values: no statistic
+                found.append({**{c: getattr(r, c) for c in keys}, "n": r.n, "t": t})
+            yield pd.DataFrame(found, columns=[*keys, "n", "t"])
+
+    stats = moments.gram_rows(out, columns, keys).mapInPandas(run, ", ".join(filter(None, [head, "n bigint, t double"])))
+    return stats.withColumns({f"rejects{p}": F.col("t") < c for p, c in zip(ADF_AT, ADF[trend], strict=True)})
+
+
 def schwert(n: int) -> int:
     return int(math.ceil(12 * (n / 100) ** 0.25))
 
@@ -189,6 +226,15 @@ def seasonal_table(df: DataFrame, columns: list[str], k: int, system: list[str],
     return grams.mapInPandas(run, ", ".join(filter(None, [head, "seasonal string, loglik double, m int, n bigint"])))
 
 
+def seasonal_lr(table: DataFrame, system: list[str], large: str, small: str, p: int) -> DataFrame:
+    """LR of one seasonal block against another in a table of them, with its degrees and p-value."""
+    pick = lambda kind, c: F.max(F.when(F.col("seasonal") == kind, F.col(c)))
+    out = table.groupBy(*system).agg((2 * (pick(large, "loglik") - pick(small, "loglik"))).alias("lr"), (pick(large, "m") - pick(small, "m")).alias("df"))
+    # The degrees are the block's columns times p, so few values occur.
+    degrees = p * len(panel.seasonal_columns(large)) - p * len(panel.seasonal_columns(small))
+    return out.withColumn("p", chi2_sf(F.greatest("lr", F.lit(0.0)), degrees))
+
+
 def residuals(df: DataFrame, columns: list[str], k: int, system: list[str], date: str = "d", fixed: list[str] | None = None) -> DataFrame:
     """df's rows with e_<column>: residuals of the k-lag VECM, coefficients joined by system."""
     fixed = ["one", *(fixed or [])]
@@ -202,8 +248,7 @@ def residuals(df: DataFrame, columns: list[str], k: int, system: list[str], date
 
     coefs = grams.mapInPandas(run, ", ".join(filter(None, [head, "b array<array<double>>"])))
     design = panel.numbered(panel.lag_design(df, columns, k, system, date), system, date).withColumn("one", F.lit(1.0)).where(F.col("t") > k)
-    # As many rows as systems: joined by key, so it may be large; with no key it is one row.
-    rows = design.join(coefs, system) if system else design.crossJoin(F.broadcast(coefs))
+    rows = tables.joined(design, coefs, system)
     fit = lambda i: sum((F.col("b")[i][j] * F.col(c) for j, c in enumerate(names[p:])), F.lit(0.0))
     return rows.withColumns({f"e_{c}": F.col(f"y_{c}") - fit(i) for i, c in enumerate(columns)}).drop("b")
 
@@ -234,7 +279,7 @@ def hosking(rows: DataFrame, columns: list[str], lags: int, k: int, system: list
 def ljung_box(long: DataFrame, keys: list[str], lags: int, value: str = "value", date: str = "d") -> DataFrame:
     """Portmanteau of one series, about its mean, in built-in aggregates."""
     w = Window.partitionBy(*keys).orderBy(date)
-    centred = long.withColumn("__e", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
+    centred = tables.with_mean(long, keys, value, "__mean").withColumn("__e", F.col(value) - F.col("__mean"))
     lagged = centred.withColumns({f"__l{s}": F.lag("__e", s).over(w) for s in range(1, lags + 1)})
     n = F.count("*")
     q = sum((F.pow(F.sum(F.col("__e") * F.col(f"__l{s}")) / F.sum(F.col("__e") * F.col("__e")), F.lit(2)) / (n - s) for s in range(1, lags + 1)), F.lit(0.0))

@@ -5,6 +5,10 @@ Each specification declares which moments it needs; everything else is shared.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +18,8 @@ from ..operators import moments, panel, rank
 from ..operators.unitroot import square
 from ..sources import tables
 
-#: The moments that each covariance specification needs.
-REQUIRES = {"iid": "one Gram a system", "regime": "one Gram a segment", "break_grid": "one Gram an elementary segment", "scale": "one weighted Gram for each b of a grid"}
+#: Rows of a system up to which an iterative search runs whole in one task (some 30 MB).
+LONG = 200_000
 
 
 def design(df: DataFrame, columns: list[str], system: list[str], date: str = "d", fixed: list[str] | None = None) -> tuple[DataFrame, list[str], rank.Shape]:
@@ -79,18 +83,103 @@ def grid_summary(grid: DataFrame, system: list[str], df: int | None = None) -> D
     )
 
 
-def scale(df: DataFrame, columns: list[str], system: list[str], driver: str, date: str = "d", fixed: list[str] | None = None, rounds: int = 40, points: int = 17, tol: float = 1e-6) -> DataFrame:
-    """Covariance scaled by exp(b (u - mean u)): the profile likelihood over b in [-5, 5].
+def by_length(rows: DataFrame, keys: list[str], long: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of systems of at most `long` rows, and of the others (None if there are none).
 
-    Every (system, restriction) has its own bracket, a row of a small table. Each round joins
-    the brackets' grids to the rows, computes the weighted Grams in one pass and closes each
-    bracket around its own best point, until all are no wider than tol or rounds are used up.
+    The first are searched whole in one task a system; the others are read by passes.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    if not counts.where(F.col("__n") > long).head(1):
+        return rows, None
+    marked = tables.joined(rows, counts, keys)
+    return marked.where(F.col("__n") <= long).drop("__n"), marked.where(F.col("__n") > long).drop("__n")
+
+
+def golden(f: Callable[[float], float], lo: float, hi: float, tol: float) -> float:
+    """The place of f's maximum in [lo, hi], where f rises and then falls."""
+    ratio = (math.sqrt(5) - 1) / 2
+    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+    fa, fb = f(a), f(b)
+    while hi - lo > tol:
+        if fa > fb:
+            hi, b, fb = b, a, fa
+            a = hi - ratio * (hi - lo)
+            fa = f(a)
+        else:
+            lo, a, fa = a, b, fb
+            b = lo + ratio * (hi - lo)
+            fb = f(b)
+    return (lo + hi) / 2
+
+
+def _scale_one(w: np.ndarray, u: np.ndarray, s: rank.Shape, points: int, tol: float) -> dict:
+    """One system's profile search over b, for both restrictions.
+
+    The grid tries every start; steps of the search start from the best fit of the grid.
+    """
+    u, out = u - u.mean(), {"converged": True}
+    hm, h = rank.basis_restriction(s.p1 - 1)
+    for kind, every in (("free", rank.fit_free), ("one", rank.fit_one)):
+
+        def gram(b: float) -> tuple[list[np.ndarray], list[int], rank.Shape]:
+            return [(w * np.exp(b * u)[:, None]).T @ w], [len(w)], s
+
+        def value(f: Callable[[], rank.Fit]) -> float:
+            try:
+                found = f().loglik
+            except np.linalg.LinAlgError:
+                return -math.inf
+            return found if math.isfinite(found) else -math.inf
+
+        grid, step = np.linspace(-5, 5, points), 10 / (points - 1)
+        top = grid[int(np.argmax([value(lambda: every(*gram(b), tol=1e-8)) for b in grid]))]  # noqa: B023
+        warm = every(*gram(top)).beta
+        near = (lambda b: rank.fit(*gram(b), warm, hm, h)) if kind == "free" else (lambda b: every(*gram(b)))  # noqa: B023
+        b = golden(lambda b: value(lambda: near(b)), max(-5, top - step), min(5, top + step), tol)  # noqa: B023
+        best = max(near(b), every(*gram(b)), key=lambda f: f.loglik)
+        out |= {f"loglik_{kind}": best.loglik, f"b_{kind}": b}
+        if kind == "free":
+            out["b"] = rank.implied_b(best.beta).tolist()
+    return out | {"lr": 2 * (out["loglik_free"] - out["loglik_one"])}
+
+
+SCALE = "loglik_free double, b_free double, loglik_one double, b_one double, b array<double>, converged boolean, error string, lr double"
+
+
+def scale(df: DataFrame, columns: list[str], system: list[str], driver: str, date: str = "d", fixed: list[str] | None = None, rounds: int = 40, points: int = 17, tol: float = 1e-8, long: int = LONG) -> DataFrame:
+    """Covariance scaled by exp(-b (u - mean u)): the profile likelihood over b in [-5, 5].
+
+    A system's answer depends on its own rows alone. Systems of up to `long` rows are searched
+    in one task each (a grid, then golden section). For longer ones every (system, restriction)
+    has its own bracket, a row of a small table: each round joins the brackets' grids to the
+    rows, computes the weighted Grams in one pass and closes each bracket around its own best
+    point, until all are no wider than tol or rounds are used up.
     """
     rows, names, s = design(df, columns, system, date, fixed)
     keys = system or ["whole"]
-    rows = rows if system else rows.withColumn("whole", F.lit(0))
-    mean = rows.groupBy(*keys).agg(F.avg(driver).alias("__mean"))
-    rows = rows.join(mean, keys).withColumn("__u", F.col(driver) - F.col("__mean")).where("__u is not null").select(*keys, *names, "__u").persist()
+    rows = (rows if system else rows.withColumn("whole", F.lit(0))).select(*keys, *names, F.col(driver).alias("__v")).where("__v is not null")
+    small, others = by_length(rows, keys, long)
+    head = rank._head(small, keys)
+    fields = [x.split()[0] for x in SCALE.split(", ")]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        row = dict.fromkeys(fields) | {c: part[c].iloc[0] for c in keys}
+        try:
+            row |= _scale_one(part[names].to_numpy(float), part["__v"].to_numpy(float), s, points, tol)
+        except (np.linalg.LinAlgError, ValueError) as e:
+            row["error"] = str(e)
+        return pd.DataFrame([row], columns=[*keys, *fields], dtype=object)
+
+    out = small.groupBy(*keys).applyInPandas(run, f"{head}, {SCALE}")
+    if others is not None:
+        out = out.unionByName(_scale_by_passes(others, names, keys, s, rounds, points, tol))
+    return out.drop("whole")
+
+
+def _scale_by_passes(rows: DataFrame, names: list[str], keys: list[str], s: rank.Shape, rounds: int, points: int, tol: float) -> DataFrame:
+    spark = rows.sparkSession
+    mean = rows.groupBy(*keys).agg(F.avg("__v").alias("__mean"))
+    rows = tables.joined(rows, mean, keys).withColumn("__u", F.col("__v") - F.col("__mean")).select(*keys, *names, "__u").persist()
     both = F.explode(F.array(F.lit("free"), F.lit("one"))).alias("restriction")
     at = tables.written(rows.select(*keys).distinct().select(*keys, both, F.lit(-5.0).alias("lo"), F.lit(5.0).alias("hi")), "brackets")
     span, free = 10.0, F.col("restriction") == "free"
@@ -98,20 +187,71 @@ def scale(df: DataFrame, columns: list[str], system: list[str], driver: str, dat
         step = (F.col("hi") - F.col("lo")) / (points - 1)
         grid = at.select(*keys, "restriction", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
         grid = grid.select(*keys, "restriction", (F.col("lo") + F.col("k") * step).alias("bb"))
-        grams = moments.gram_rows(rows.join(grid, keys), names, [*keys, "restriction", "bb"], F.exp(-F.col("bb") * F.col("__u")))
-        grams = grams.repartition(tables.partitions(df.sparkSession))  # a fit is long, its row short
+        grams = moments.gram_rows(tables.joined(rows, grid, keys), names, [*keys, "restriction", "bb"], F.exp(F.col("bb") * F.col("__u")))
+        grams = grams.repartition(tables.partitions(spark))  # a fit is long, its row short
         found = F.when(free, F.col("loglik_free")).otherwise(F.col("loglik_one"))
         each = rank.spec_fits(grams, [*keys, "restriction", "bb"], s, "scale").withColumn("loglik", F.when(~F.isnan(found), found))
         own = each.groupBy(*keys, "restriction").agg(F.max("loglik").alias("loglik"), F.max_by("bb", "loglik").alias("best"), F.max_by("b", "loglik").alias("b"), F.max("error").alias("error"))
         near = [F.greatest(F.lit(-5.0), F.col("best") - step).alias("lo"), F.least(F.lit(5.0), F.col("best") + step).alias("hi")]
-        at = tables.written(at.select(*keys, "restriction", "lo", "hi").join(own, [*keys, "restriction"]).select(*keys, "restriction", *near, "loglik", "best", "b", "error"), "brackets")
+        at = tables.written(tables.joined(at.select(*keys, "restriction", "lo", "hi"), own, [*keys, "restriction"]).select(*keys, "restriction", *near, "loglik", "best", "b", "error"), "brackets")
         span *= 2 / (points - 1)  # the widest that a bracket can be now
         if span <= tol:
             break
     rows.unpersist()
-    pick = [F.max(F.when(F.col("restriction") == k, F.col(c))).alias(f"{a}_{k}") for a, c in (("loglik", "loglik"), ("b", "best")) for k in ("free", "one")]
+    pick = [F.max(F.when(F.col("restriction") == k, F.col(c))).alias(f"{a}_{k}") for k in ("free", "one") for a, c in (("loglik", "loglik"), ("b", "best"))]
     out = at.groupBy(*keys).agg(*pick, F.max(F.when(free, F.col("b"))).alias("b"), F.bool_and(F.coalesce(F.col("hi") - F.col("lo") <= tol, F.lit(False))).alias("converged"), F.max(F.when(F.col("loglik").isNull(), F.col("error"))).alias("error"))
-    return out.withColumn("lr", 2 * (F.col("loglik_free") - F.col("loglik_one"))).drop("whole")
+    return out.withColumn("lr", 2 * (F.col("loglik_free") - F.col("loglik_one")))
+
+
+def ar1(df: DataFrame, columns: list[str], system: list[str], date: str = "d", fixed: list[str] | None = None, tol: float = 1e-8, most: int = 60) -> DataFrame:
+    """Residuals that follow an autoregression with one coefficient rho, cut at 0.98.
+
+    One pass sums products of rows with themselves and with the row before; then relations,
+    loadings and rho alternate on these tables.
+    """
+    rows, names, s = design(df, columns, system, date, fixed)
+    keys, k = system or ["whole"], s.size
+    lags = [f"__l{i}" for i in range(k)]
+    w = panel.ordered(system, date)
+    rows = rows.withColumns({x: F.lag(c).over(w) for x, c in zip(lags, names, strict=True)})
+    rows = rows if system else rows.withColumn("whole", F.lit(0))
+
+    def kernel(part: np.ndarray) -> np.ndarray:
+        later = part[~np.isnan(part[:, k])]
+        first = part[np.isnan(part[:, k])][:, :k]
+        return np.concatenate([[len(part)], (first.T @ first).ravel(), (later.T @ later).ravel()])
+
+    def job(row):  # noqa: ANN001, ANN202
+        n, sums = int(row.sums[0]), np.array(row.sums[1:])
+        one, both = sums[: k * k].reshape(k, k), sums[k * k :].reshape(2 * k, 2 * k)
+        now, cross, before = both[:k, :k], both[:k, k:], both[k:, k:]
+        out = {"spec": "ar1"}
+
+        def moved(rho: float) -> np.ndarray:  # of differenced rows, without the first
+            return now - rho * (cross + cross.T) + rho * rho * before
+
+        for kind, fitted in (("free", rank.fit_free), ("one", rank.fit_one)):
+            rho, last = 0.0, None
+            for step in range(1, most + 1):  # a root of (rho that the residuals have) - rho, by secants
+                f = fitted([moved(rho) + (1 - rho * rho) * one], [n], s, tol=1e-9)
+                b = np.hstack([np.eye(s.p), -f.alpha @ f.beta.T, -f.psi])
+                found = float(np.clip(np.trace(b @ cross @ b.T) / np.trace(b @ before @ b.T), -0.98, 0.98))
+                gap = found - rho
+                if abs(gap) <= tol:
+                    break
+                slope = (gap - last[1]) / (rho - last[0]) if last and rho != last[0] else 0.0
+                guess = rho - gap / slope if slope < 0 else found
+                last, rho = (rho, gap), guess if -0.98 <= guess <= 0.98 else found
+            rho = found
+            omega, spread = b @ moved(rho) @ b.T / (n - 1), b @ (moved(rho) + (1 - rho * rho) * one) @ b.T
+            value = -(n * s.p * math.log(2 * math.pi) + n * np.linalg.slogdet(omega)[1] - s.p * math.log(1 - rho * rho) + np.trace(np.linalg.solve(omega, spread))) / 2
+            out |= {f"loglik_{kind}": float(value), f"rho_{kind}": rho, f"converged_{kind}": abs(gap) <= tol}
+            if kind == "free":
+                out["b"] = rank.implied_b(f.beta).tolist()
+        return [out | {"lr": 2 * (out["loglik_free"] - out["loglik_one"])}]
+
+    tail = "spec string, loglik_free double, loglik_one double, lr double, b array<double>, rho_free double, rho_one double, converged_free boolean, converged_one boolean, error string"
+    return rank._per_row(moments.kernel_sums(rows, [*names, *lags], keys, kernel), keys, tail, job).drop("whole")
 
 
 def seasonal_grid(df: DataFrame, columns: list[str], system: list[str], kinds: list[str], date: str = "d") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .functions import dist
 from .operators import covariance, moments, panel, rank, replication, resample, unitroot
 from .plans import boot, compare, driven, fits
-from .sources import panels, results
+from .sources import panels, results, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,9 +107,8 @@ def a1(spark, d):  # noqa: ANN001, ANN201
 @query("a2_date_value", """SELECT event_type AS series, CAST(date_trunc('day', ts) AS DATE) AS d, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2""")
 def a2(spark, d):  # noqa: ANN001, ANN201
     e = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    lines = e.select("event_type", F.concat_ws(" ", F.col("day").cast("string"), F.col("n").cast("string")).alias("line"))
-    part = F.split("line", " ")
-    return lines.select(F.col("event_type").alias("series"), part[0].try_cast("date").alias("d"), part[1].try_cast("double").alias("value")).where("value is not null")
+    lines = e.select(F.col("event_type").alias("series"), F.concat_ws(" ", F.col("day").cast("string"), F.col("n").cast("string")).alias("value"))
+    return panels.parse_date_values(lines, ["series"], unit=None)
 
 
 @query("a3_panel_with_logs", f"WITH {WIDE} SELECT d, s1, s2, s3, s4, s5, round(ln(s1), 6) AS l_s1, round(ln(s2), 6) AS l_s2, round(ln(s3), 6) AS l_s3, round(ln(s4), 6) AS l_s4, round(ln(s5), 6) AS l_s5 FROM wide5")
@@ -371,13 +370,22 @@ def d7(spark, d):  # noqa: ANN001, ANN201
 
 @query("d8_min_correlation", f"WITH {LOGS} SELECT round(least(corr(l_s1, l_s2), corr(l_s1, l_s3), corr(l_s2, l_s3)), 7) AS min_corr FROM log5")
 def d8(spark, d):  # noqa: ANN001, ANN201
-    return rounded(moments.correlations(log5(spark, d), ["l_s1", "l_s2", "l_s3"], []), "min_corr", digits=7)
+    return rounded(moments.correlations(log5(spark, d), ["l_s1", "l_s2", "l_s3"], []).select("min_corr"), "min_corr", digits=7)
 
 
-@query("d9_regime_variances", f"WITH {LOGS} SELECT CAST(CASE WHEN t > 150 THEN 1 ELSE 0 END AS INTEGER) AS segment, count(*) AS n, round(ln(var_pop(l_s1)) + ln(var_pop(l_s2)), 6) AS log_product, round((var_pop(l_s1) + var_pop(l_s2)) / 2, 9) AS mean_variance FROM log5 GROUP BY 1")
+@query(
+    "d8_condition",
+    f"""WITH {LOGS}, c AS (SELECT corr(l_s1, l_s2) AS min_corr, var_pop(l_s1) AS a, var_pop(l_s2) AS b, covar_pop(l_s1, l_s2) AS c FROM log5),
+    e AS (SELECT min_corr, (a + b) / 2 AS m, sqrt((a - b) * (a - b) / 4 + c * c) AS r FROM c) SELECT round(min_corr, 7) AS min_corr, round((m + r) / (m - r), 6) AS condition FROM e""",
+)
+def d8_condition(spark, d):  # noqa: ANN001, ANN201
+    return rounded(rounded(moments.correlations(log5(spark, d), ["l_s1", "l_s2"], []), "min_corr", digits=7), "condition")
+
+
+@query("d9_regime_variances", f"WITH {LOGS} SELECT CAST(CASE WHEN t > 150 THEN 1 ELSE 0 END AS INTEGER) AS segment, count(*) AS n, round(ln(var_pop(l_s1) * var_pop(l_s2) - covar_pop(l_s1, l_s2) * covar_pop(l_s1, l_s2)), 6) AS logdet, round((var_pop(l_s1) + var_pop(l_s2)) / 2, 9) AS mean_variance FROM log5 GROUP BY 1")
 def d9(spark, d):  # noqa: ANN001, ANN201
     rows = log5(spark, d).withColumn("segment", panel.segment(F.col("t"), [150]))
-    return rounded(rounded(moments.regime_variances(rows, ["l_s1", "l_s2"], ["segment"]), "log_product"), "mean_variance", digits=9)
+    return rounded(rounded(moments.regime_variances(rows, ["l_s1", "l_s2"], ["segment"]), "logdet"), "mean_variance", digits=9)
 
 
 @query("d10_weight_spread", "SELECT event_type, round(quantile_cont(value, 0.9) / quantile_cont(value, 0.1), 6) AS spread FROM events WHERE value > 0 GROUP BY 1")
@@ -415,6 +423,24 @@ def e2(spark, d):  # noqa: ANN001, ANN201
     return rounded(unitroot.adf0(_spreads(spark, d), ["series"]), "t", digits=5)
 
 
+@query("e2_adf_trend")
+def e2_trend(spark, d):  # noqa: ANN001, ANN201
+    """Levels with two lags and a trend, as each region's log price."""
+    return unitroot.adf(logr(spark, d), ["n_regionkey"], 2, "ct", "x")
+
+
+ADF1 = f"""WITH {REGION}, y AS (SELECT n_regionkey, t, x - lag(x) OVER w AS y, lag(x) OVER w AS l FROM logr WINDOW w AS (PARTITION BY n_regionkey ORDER BY d)),
+  z AS (SELECT *, lag(y) OVER (PARTITION BY n_regionkey ORDER BY t) AS z FROM y),
+  c AS (SELECT n_regionkey, count(*) AS n, covar_pop(y, y) AS yy, covar_pop(y, l) AS yl, covar_pop(y, z) AS yz, covar_pop(l, l) AS ll, covar_pop(l, z) AS lz, covar_pop(z, z) AS zz FROM z WHERE z IS NOT NULL GROUP BY 1),
+  b AS (SELECT *, (yl * zz - yz * lz) / (ll * zz - lz * lz) AS bl, (yz * ll - yl * lz) / (ll * zz - lz * lz) AS bz FROM c),
+  t AS (SELECT n_regionkey, n, bl / sqrt((yy - bl * yl - bz * yz) / (n - 3) * zz / (ll * zz - lz * lz)) AS t FROM b)"""
+
+
+@query("e2_adf_one_lag", ADF1 + " SELECT n_regionkey, n, round(t, 5) AS t, t < -3.43 AS rejects1, t < -2.86 AS rejects5, t < -2.57 AS rejects10 FROM t")
+def e2_one_lag(spark, d):  # noqa: ANN001, ANN201
+    return rounded(unitroot.adf(logr(spark, d), ["n_regionkey"], 1, "c", "x"), "t", digits=5)
+
+
 @query("e3_adf_aic")
 def e3(spark, d):  # noqa: ANN001, ANN201
     return unitroot.adf_aic(_spreads(spark, d), ["series"])
@@ -424,13 +450,12 @@ def e3(spark, d):  # noqa: ANN001, ANN201
     "e4_mackinnon_p",
     """WITH g AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS q FROM lineitem), t AS (SELECT q, (q - 45) / 8 AS tau FROM g),
     z AS (SELECT q, tau, CASE WHEN tau <= -1.61 THEN 2.1659 + tau * (1.4412 + tau * 0.038269) ELSE 1.7339 + tau * (0.93202 + tau * (-0.12745 + tau * -0.010368)) END::DOUBLE AS z FROM t),
-    k AS (SELECT q, tau, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS s FROM z),
-    c AS (SELECT q, tau, z, s * (0.254829592 + s * (-0.284496736 + s * (1.421413741 + s * (-1.453152027 + s * 1.061405429)))) * exp(-z * z / 2) / 2 AS tail FROM k)
-    SELECT q, round(CASE WHEN tau > 2.74 THEN 1 WHEN tau < -18.83 THEN 0 WHEN z >= 0 THEN 1 - tail ELSE tail END, 8) AS p FROM c""",
+    s AS (SELECT q, tau, z, 2 / sqrt(pi()) * sum(exp((2 * n + 1) * ln(greatest(abs(z), 1e-300) / sqrt(2)) - z * z / 2 + 2 * n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2))) AS erf FROM z, (SELECT unnest(range(0, 200))::DOUBLE AS n) GROUP BY ALL)
+    SELECT q, round(CASE WHEN tau > 2.74 THEN 1 WHEN tau < -18.83 THEN 0 WHEN z >= 0 THEN (1 + erf) / 2 ELSE (1 - erf) / 2 END, 9) AS p FROM s""",
 )
 def e4(spark, d):  # noqa: ANN001, ANN201
     q = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("q")).distinct()
-    return q.select("q", F.round(dist.mackinnon_p((F.col("q") - 45) / 8), 8).alias("p"))
+    return q.select("q", F.round(dist.mackinnon_p((F.col("q") - 45) / 8), 9).alias("p"))
 
 
 @query("e5_vecm_ols")
@@ -438,6 +463,21 @@ def e5(spark, d):  # noqa: ANN001, ANN201
     return unitroot.vecm_ols(log5(spark, d).select("d", *L5), L5[:4], 5, [])
 
 
+@query(
+    "e5_vecm_two_series",
+    f"""WITH {DIFF}, u AS (SELECT y1, y2, x1, x2 FROM diff5 WHERE y1 IS NOT NULL),
+    c AS (SELECT count(*) AS n, covar_pop(y1, y1) AS a11, covar_pop(y1, y2) AS a12, covar_pop(y2, y2) AS a22, covar_pop(x1, x1) AS b11, covar_pop(x1, x2) AS b12, covar_pop(x2, x2) AS b22,
+      covar_pop(y1, x1) AS c11, covar_pop(y1, x2) AS c12, covar_pop(y2, x1) AS c21, covar_pop(y2, x2) AS c22 FROM u),
+    i AS (SELECT *, b11 * b22 - b12 * b12 AS db FROM c),
+    r AS (SELECT n, a11 - (c11 * c11 * b22 - 2 * c11 * c12 * b12 + c12 * c12 * b11) / db AS r11, a12 - (c11 * c21 * b22 - (c11 * c22 + c12 * c21) * b12 + c12 * c22 * b11) / db AS r12,
+      a22 - (c21 * c21 * b22 - 2 * c21 * c22 * b12 + c22 * c22 * b11) / db AS r22 FROM i),
+    l AS (SELECT n, -n / 2.0::DOUBLE * (2 * (1 + ln(2 * pi())) + ln(r11 * r22 - r12 * r12)) AS ll FROM r)
+    SELECT 1 AS k, n, round(ll, 5) AS loglik, round(18 - 2 * ll, 5) AS aic, round(9 * ln(n) - 2 * ll, 5) AS bic, round(18 * ln(ln(n)) - 2 * ll, 5) AS hq FROM l""",
+)
+def e5_two(spark, d):  # noqa: ANN001, ANN201
+    return rounded(unitroot.vecm_ols(log5(spark, d).select("d", *L5), L5[:2], 1, []), "loglik", "aic", "bic", "hq", digits=5)
+
+
 @query("e6_lag_table")
 def e6(spark, d):  # noqa: ANN001, ANN201
     return unitroot.lag_table(unitroot.vecm_ols(log5(spark, d).select("d", *L5), L5[:4], 5, []), [])
@@ -448,6 +488,13 @@ def e7(spark, d):  # noqa: ANN001, ANN201
     return unitroot.seasonal_table(log5(spark, d).select("d", *L5), L5[:4], 2, [], ["none", "quarter", "fourier1", "fourier2", "fourier3", "month"])
 
 
+@query("e7_seasonal_lr")
+def e7_lr(spark, d):  # noqa: ANN001, ANN201
+    """Two waves against no seasonal terms, on the sample of two lags and on that of five."""
+    parts = [unitroot.seasonal_lr(unitroot.seasonal_table(log5(spark, d).select("d", *L5), L5[:4], 2, [], ["none", "fourier2"], first=n), [], "fourier2", "none", 4).withColumn("first", F.lit(n)) for n in (2, 5)]
+    return parts[0].unionByName(parts[1])
+
+
 @query("e8_hosking")
 def e8(spark, d):  # noqa: ANN001, ANN201
     rows = unitroot.residuals(log5(spark, d).select("d", *L5), L5[:3], 2, [])
@@ -490,7 +537,28 @@ def e13(spark, d):  # noqa: ANN001, ANN201
 def e12(spark, d):  # noqa: ANN001, ANN201
     rows, names, s = fits.design(_system(spark, d), L5[:4], [])
     names, s = rank.restricted_const(names, s)
-    return rank.trace_test(moments.gram_rows(rows, names, []), [], s)
+    return rank.trace_test(moments.gram_rows(rows, names, []), [], s, rank.RESTRICTED, rank.RESTRICTED_AT)
+
+
+# With the constant among x and nothing partialled out, S00 is not centred and the fitted part
+# is n times the means' product plus that of the centred regression.
+RESTRICTED2 = DIFF + """, u AS (SELECT y1, y2, x1, x2 FROM diff5 WHERE y1 IS NOT NULL),
+  c AS (SELECT count(*) AS n, avg(y1) AS m1, avg(y2) AS m2, covar_pop(y1, y1) AS a11, covar_pop(y1, y2) AS a12, covar_pop(y2, y2) AS a22, covar_pop(x1, x1) AS b11, covar_pop(x1, x2) AS b12, covar_pop(x2, x2) AS b22,
+    covar_pop(y1, x1) AS c11, covar_pop(y1, x2) AS c12, covar_pop(y2, x1) AS c21, covar_pop(y2, x2) AS c22 FROM u),
+  i AS (SELECT *, b11 * b22 - b12 * b12 AS db FROM c),
+  f AS (SELECT n, a11 + m1 * m1 AS s11, a12 + m1 * m2 AS s12, a22 + m2 * m2 AS s22, m1 * m1 + (c11 * c11 * b22 - 2 * c11 * c12 * b12 + c12 * c12 * b11) / db AS f11,
+    m1 * m2 + (c11 * c21 * b22 - (c11 * c22 + c12 * c21) * b12 + c12 * c22 * b11) / db AS f12, m2 * m2 + (c21 * c21 * b22 - 2 * c21 * c22 * b12 + c22 * c22 * b11) / db AS f22 FROM i),
+  e AS (SELECT n, (f11 * s22 - 2 * f12 * s12 + f22 * s11) / (s11 * s22 - s12 * s12) AS tr, (f11 * f22 - f12 * f12) / (s11 * s22 - s12 * s12) AS de FROM f),
+  l AS (SELECT n, (tr + sqrt(tr * tr - 4 * de)) / 2 AS l1, (tr - sqrt(tr * tr - 4 * de)) / 2 AS l2 FROM e),
+  t AS (SELECT unnest([0, 1]) AS r, unnest([l1, l2]) AS eigenvalue, unnest([-n * (ln(1 - l1) + ln(1 - l2)), -n * ln(1 - l2)]) AS trace, unnest([19.96::DOUBLE, 9.24::DOUBLE]) AS cv95, unnest([24.60::DOUBLE, 12.97::DOUBLE]) AS cv99 FROM l)"""
+
+
+@query("e12_restricted_two_series", f"WITH {RESTRICTED2} SELECT CAST(r AS INTEGER) AS r, round(eigenvalue, 7) AS eigenvalue, round(trace, 4) AS trace, cv95, cv99, trace > cv95 AS rejects95, trace > cv99 AS rejects99 FROM t")
+def e12_two(spark, d):  # noqa: ANN001, ANN201
+    rows = panel.lag_design(_system(spark, d), L5[:2], 1, []).withColumn("one", F.lit(1.0))
+    names = [*(f"y_{c}" for c in L5[:2]), *(f"x_{c}" for c in L5[:2]), "one"]
+    out = rank.trace_test(moments.gram_rows(rows, names, []), [], rank.Shape(2, 3, 0), rank.RESTRICTED, rank.RESTRICTED_AT)
+    return out.select("r", F.round("eigenvalue", 7).alias("eigenvalue"), F.round("trace", 4).alias("trace"), "cv95", "cv99", "rejects95", "rejects99")
 
 
 TWO = DIFF + """, u AS (SELECT y1, y2, x1, x2 FROM diff5 WHERE y1 IS NOT NULL),
@@ -501,12 +569,12 @@ TWO = DIFF + """, u AS (SELECT y1, y2, x1, x2 FROM diff5 WHERE y1 IS NOT NULL),
   e AS (SELECT n, (b22 * s11 - 2 * b12 * s12 + b11 * s22) / db AS tr, (s11 * s22 - s12 * s12) / db AS de FROM m)"""
 
 
-@query("e13_trace_two_series", f"WITH {TWO} SELECT CAST(unnest([0, 1]) AS INTEGER) AS r, round(unnest([(tr + sqrt(tr * tr - 4 * de)) / 2, (tr - sqrt(tr * tr - 4 * de)) / 2]), 7) AS eigenvalue, round(unnest([-n * (ln(1 - (tr + sqrt(tr * tr - 4 * de)) / 2) + ln(1 - (tr - sqrt(tr * tr - 4 * de)) / 2)), -n * ln(1 - (tr - sqrt(tr * tr - 4 * de)) / 2)]), 4) AS trace FROM e")
+@query("e13_trace_two_series", f"WITH {TWO}, l AS (SELECT n, (tr + sqrt(tr * tr - 4 * de)) / 2 AS l1, (tr - sqrt(tr * tr - 4 * de)) / 2 AS l2 FROM e), t AS (SELECT unnest([0, 1]) AS r, unnest([l1, l2]) AS eigenvalue, unnest([-n * (ln(1 - l1) + ln(1 - l2)), -n * ln(1 - l2)]) AS trace, unnest([13.4294::DOUBLE, 2.7055::DOUBLE]) AS cv90, unnest([15.4943::DOUBLE, 3.8415::DOUBLE]) AS cv95, unnest([19.9349::DOUBLE, 6.6349::DOUBLE]) AS cv99 FROM l) SELECT CAST(r AS INTEGER) AS r, round(eigenvalue, 7) AS eigenvalue, round(trace, 4) AS trace, trace > cv90 AS rejects90, trace > cv95 AS rejects95, trace > cv99 AS rejects99 FROM t")
 def e13_two(spark, d):  # noqa: ANN001, ANN201
     rows = panel.lag_design(_system(spark, d), L5[:2], 1, []).withColumn("one", F.lit(1.0))
     names = [*(f"y_{c}" for c in L5[:2]), *(f"x_{c}" for c in L5[:2]), "one"]
     out = rank.trace_test(moments.gram_rows(rows, names, []), [], rank.Shape(2, 2, 1))
-    return out.select("r", F.round("eigenvalue", 7).alias("eigenvalue"), F.round("trace", 4).alias("trace"))
+    return out.select("r", F.round("eigenvalue", 7).alias("eigenvalue"), F.round("trace", 4).alias("trace"), "rejects90", "rejects95", "rejects99")
 
 
 @query("e14_e18_fit_iid")
@@ -541,10 +609,10 @@ def e17(spark, d):  # noqa: ANN001, ANN201
     return fits.iid(_region_system(spark, d), L5[:3], ["n_regionkey"])
 
 
-@query("e29_lr_test", "WITH f AS (SELECT event_type AS spec, CAST(user_id % 50 AS BIGINT) AS j, max(value) FILTER (event_id % 2 = 0) AS free, max(value) FILTER (event_id % 2 = 1) AS one FROM events GROUP BY 1, 2) SELECT spec, j, free, one, 2 * (free - one) AS lr FROM f")
+@query("e29_lr_test", "WITH f AS (SELECT event_type AS spec, CAST(user_id % 50 AS BIGINT) AS j, max(value) FILTER (event_id % 2 = 0) AS free, max(value) FILTER (event_id % 2 = 1) AS one FROM events GROUP BY 1, 2) SELECT spec, j, free, one, 2 * (free - one) AS lr, round(exp(-greatest(free - one, 0)), 9) AS p FROM f")
 def e29(spark, d):  # noqa: ANN001, ANN201
     e = table(spark, d, "events").select(F.col("event_type").alias("spec"), (F.col("user_id") % 50).alias("j"), F.when(F.col("event_id") % 2 == 0, "free").otherwise("one").alias("restriction"), F.col("value").alias("loglik"))
-    return replication.lr_test(e, ["spec", "j"])
+    return rounded(replication.lr_test(e, ["spec", "j"], 2), "p", digits=9)
 
 
 @query("e31_companion_roots")
@@ -559,6 +627,12 @@ def e33(spark, d):  # noqa: ANN001, ANN201
     return rounded(replication.best_start(e, ["event_type", "j"]), "spread", digits=9)
 
 
+@query("e33_restricted_check", "SELECT event_type AS spec, CAST(user_id % 50 AS BIGINT) AS j, max(value) FILTER (event_id % 2 = 0) AS free, max(value) FILTER (event_id % 2 = 1) AS one, max(value) FILTER (event_id % 2 = 1) <= max(value) FILTER (event_id % 2 = 0) + 1e-6 AS valid FROM events GROUP BY 1, 2")
+def e33_check(spark, d):  # noqa: ANN001, ANN201
+    e = table(spark, d, "events").select(F.col("event_type").alias("spec"), (F.col("user_id") % 50).alias("j"), F.when(F.col("event_id") % 2 == 0, "free").otherwise("one").alias("restriction"), F.col("value").alias("loglik"))
+    return replication.restricted_check(e, ["spec", "j"])
+
+
 @query("e35_break_grid")
 def e35(spark, d):  # noqa: ANN001, ANN201
     return fits.grid_summary(fits.break_grid(_system(spark, d), L5[:4], [], (120, 240), 6), [], 3)
@@ -571,7 +645,7 @@ def e37(spark, d):  # noqa: ANN001, ANN201
 
 @query("e37_seasonal_summary")
 def e37_summary(spark, d):  # noqa: ANN001, ANN201
-    return compare.seasonal_summary(e37(spark, d))
+    return compare.seasonal_summary(e37(spark, d), [])
 
 
 BREAK = f"""WITH {REGION}, m AS (SELECT n_regionkey, t, x - avg(x) OVER (PARTITION BY n_regionkey) AS e, count(*) OVER (PARTITION BY n_regionkey) AS n FROM logr),
@@ -591,15 +665,15 @@ def e36(spark, d):  # noqa: ANN001, ANN201
     return sums.withColumn("ll", ll).groupBy("n_regionkey").agg(F.max_by("k", "ll").alias("k"), F.round(F.max("ll"), 6).alias("ll"))
 
 
-@query("e39_spec_compare", "SELECT event_type AS spec, round(avg(value), 6) AS loglik, CAST(50 AS DOUBLE) AS recorded, round(avg(value) - 50, 6) AS diff FROM events WHERE event_type IN (SELECT event_type FROM events) GROUP BY 1")
+@query("e39_spec_compare", "WITH f AS (SELECT event_type AS spec, max(value) FILTER (event_id % 2 = 0) AS free, avg(value) FILTER (event_id % 2 = 0) AS one, max(value) FILTER (event_id % 2 = 1) AS rfree, avg(value) FILTER (event_id % 2 = 1) AS rone FROM events GROUP BY 1) SELECT spec, round(free - rfree, 6) AS diff_free, round(one - rone, 6) AS diff_one FROM f")
 def e39(spark, d):  # noqa: ANN001, ANN201
-    found = table(spark, d, "events").groupBy(F.col("event_type").alias("spec")).agg(F.avg("value").alias("loglik"))
-    recorded = found.select("spec", F.lit(50.0).alias("loglik"))
-    return rounded(replication.diff_vs_recorded(found, recorded, ["spec"], "loglik"), "loglik", "diff")
+    """Fits joined to recorded ones: each half of the events as a table of log-likelihoods."""
+    half = lambda k: table(spark, d, "events").where(F.col("event_id") % 2 == k).groupBy(F.col("event_type").alias("spec")).agg(F.max("value").alias("loglik_free"), F.avg("value").alias("loglik_one"))
+    return rounded(compare.with_recorded(half(0), half(1), ["spec"]).select("spec", "diff_free", "diff_one"), "diff_free", "diff_one")
 
 
 #: Published log-likelihoods of the monthly oil panel, by specification.
-RECORDED = [("iid", 6054.5765, 6050.8966), ("regime", 6402.0529, 6396.2563), ("quadratic", 6209.4137, 6204.4114), ("scale-log", 6211.1146, 6209.3834), ("log-precision-log", 6268.3376, 6267.0312), ("scale", 6406.4339, 6405.2891), ("log-precision", 6430.6578, 6429.7169)]
+RECORDED = [("iid", 6054.5765, 6050.8966), ("regime", 6402.0529, 6396.2563), ("quadratic", 6209.4137, 6204.4114), ("quadratic-factor", 6209.4137, 6204.4114), ("scale-log", 6211.1146, 6209.3834), ("log-precision-log", 6268.3376, 6267.0312), ("scale", 6406.4339, 6405.2891), ("log-precision", 6430.6578, 6429.7169)]
 
 
 @query("e39_spec_fits")
@@ -617,6 +691,25 @@ def f1(spark, d):  # noqa: ANN001, ANN201
     return resample.wild_weights(log5(spark, d).select(F.col("t").cast("int").alias("t")), 20, 7).select("j", "t", "s")
 
 
+@query("f1_normal_weights", f"WITH {LOGS}, j AS (SELECT unnest(range(1, 21)) AS j), h AS (SELECT j, t, md5('7|' || j || '|' || t) AS h FROM log5, j), u AS (SELECT j, t, (CAST('0x' || substr(h, 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656 AS a, (CAST('0x' || substr(h, 13, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656 AS b FROM h) SELECT CAST(j AS INTEGER) AS j, CAST(t AS INTEGER) AS t, round(sqrt(-2 * ln(a)) * cos(2 * pi() * b), 9) AS s FROM u")
+def f1_normal(spark, d):  # noqa: ANN001, ANN201
+    return rounded(resample.wild_weights(log5(spark, d).select(F.col("t").cast("int").alias("t")), 20, 7, scheme="normal").select("j", "t", "s"), "s", digits=9)
+
+
+@query(
+    "f3_recursive_ar1",
+    f"""WITH RECURSIVE {REGION}, m AS (SELECT n_regionkey, t, x, lag(x) OVER (PARTITION BY n_regionkey ORDER BY t) AS l FROM logr),
+    r AS (SELECT n_regionkey, regr_slope(x, l) AS b, regr_intercept(x, l) AS a FROM m WHERE l IS NOT NULL GROUP BY 1),
+    e AS (SELECT n_regionkey, t, a, b, x - a - b * l AS e FROM m JOIN r USING (n_regionkey) WHERE l IS NOT NULL),
+    j AS (SELECT unnest(range(1, 31)) AS j),
+    p AS (SELECT n_regionkey, j, 1::BIGINT AS t, x, NULL::DOUBLE AS l FROM m, j WHERE m.t = 1
+      UNION ALL SELECT p.n_regionkey, p.j, e.t, a + b * p.x + e * CASE WHEN substr(md5('5|' || p.j || '|' || e.t), 1, 1) < '8' THEN 1 ELSE -1 END, p.x FROM p JOIN e ON e.n_regionkey = p.n_regionkey AND e.t = p.t + 1)
+    SELECT n_regionkey, CAST(j AS INTEGER) AS j, CAST(count(l) AS BIGINT) AS n, round(regr_slope(x, l), 6) AS slope, round(arg_max(x, t), 6) AS last FROM p GROUP BY 1, 2""",
+)
+def f3_ar1(spark, d):  # noqa: ANN001, ANN201
+    return rounded(resample.recursive_ar1(logr(spark, d), ["n_regionkey"], "x", 30, 5), "slope", "last")
+
+
 @query("f2_wild_fixed", f"WITH {REGION}, m AS (SELECT n_regionkey, t, x - avg(x) OVER (PARTITION BY n_regionkey) AS e FROM logr), l AS (SELECT n_regionkey, t, e, lag(e) OVER (PARTITION BY n_regionkey ORDER BY t) AS x1 FROM m), j AS (SELECT unnest(range(1, 31)) AS j), s AS (SELECT n_regionkey, j, x1, e * CASE WHEN substr(md5('3|' || j || '|' || t), 1, 1) < '8' THEN 1 ELSE -1 END AS se FROM l, j WHERE x1 IS NOT NULL) SELECT n_regionkey, CAST(j AS INTEGER) AS j, round(sum(se * x1) / sum(x1 * x1), 7) AS slope FROM s GROUP BY 1, 2")
 def f2(spark, d):  # noqa: ANN001, ANN201
     w = Window.partitionBy("n_regionkey")
@@ -676,6 +769,20 @@ def g3(spark, d):  # noqa: ANN001, ANN201
     return rounded(replication.ss_concentration(_rep(spark, d), ["spec"], 5), "share", digits=9)
 
 
+@query(
+    "g3_low_decile",
+    f"""WITH {E0}, s AS (SELECT *, (j * 37) % 1009 AS smin FROM rep), r AS (SELECT *, row_number() OVER (PARTITION BY spec ORDER BY smin, j) AS k, count(*) OVER (PARTITION BY spec) AS n FROM s)
+    SELECT spec, round(sum(e * e) FILTER (k <= greatest(n // 10, 1)) / sum(e * e), 9) AS share_low FROM r GROUP BY 1""",
+)
+def g3_low(spark, d):  # noqa: ANN001, ANN201
+    return rounded(replication.low_share(_rep(spark, d).withColumn("smin", F.col("j") * 37 % 1009), ["spec"], "smin"), "share_low", digits=9)
+
+
+@query("g3_worst_median", f"WITH {E0}, r AS (SELECT spec, (j * 37) % 1009 AS smin, row_number() OVER (PARTITION BY spec ORDER BY abs(e) DESC, j DESC) AS k FROM rep) SELECT spec, CAST(median(smin) AS DOUBLE) AS median_worst FROM r WHERE k <= 3 GROUP BY 1")
+def g3_worst(spark, d):  # noqa: ANN001, ANN201
+    return replication.worst_median(_rep(spark, d).withColumn("smin", F.col("j") * 37 % 1009), ["spec"], 3, "smin")
+
+
 @query("g4_spearman", "WITH r AS (SELECT event_type AS spec, rank() OVER (PARTITION BY event_type ORDER BY value) AS a, rank() OVER (PARTITION BY event_type ORDER BY user_id) AS b FROM events) SELECT spec, round(corr(a, b), 7) AS rho FROM r GROUP BY 1")
 def g4(spark, d):  # noqa: ANN001, ANN201
     return rounded(replication.spearman(_rep(spark, d), "value", "user_id", ["spec"]), "rho", digits=7)
@@ -699,26 +806,26 @@ STARTS = "st AS (SELECT event_type AS spec, CAST(user_id % 60 AS BIGINT) AS j, v
 
 def _starts(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
-    return table(spark, d, "events").select(F.col("event_type").alias("spec"), (F.col("user_id") % 60).alias("j"), F.col("value").alias("ll"), (i % 5 != 0).alias("conv"), (i % 20).alias("iters"))
+    return table(spark, d, "events").select(F.col("event_type").alias("spec"), (F.col("user_id") % 60).alias("j"), F.col("value").alias("ll"), (i % 5 != 0).alias("conv"), (i % 20).alias("iters"), (i % 9 == 0).alias("closed"))
 
 
-@query("g7_multistart", f"WITH {STARTS}, s AS (SELECT spec, j, avg(CASE WHEN gap <= 1e-6 THEN 1.0 ELSE 0.0 END) AS share, max(gap) AS worst, count(*) FILTER (gap > 1e-3) AS far FROM gap GROUP BY 1, 2), r AS (SELECT spec, median(iters) AS median_iters, max(iters) AS max_iters FROM st GROUP BY 1) SELECT s.spec, count(*) AS n_sets, round(avg(share), 7) AS share_best, round(avg(CASE WHEN share = 1 THEN 1.0 ELSE 0.0 END), 7) AS all_agree, round(median(worst), 6) AS median_worst, round(max(worst), 6) AS max_worst, CAST(sum(far) AS BIGINT) AS n_far, CAST(any_value(median_iters) AS DOUBLE) AS median_iters, any_value(max_iters) AS max_iters FROM s JOIN r USING (spec) GROUP BY 1")
+@query("g7_multistart", f"WITH {STARTS}, s AS (SELECT spec, j, avg(CASE WHEN gap <= 1e-6 THEN 1.0 ELSE 0.0 END) AS share, max(gap) AS worst, count(*) FILTER (gap > 1e-3) AS far FROM gap GROUP BY 1, 2), r AS (SELECT spec, median(iters) AS median_iters, quantile_cont(iters, 0.95) AS iters95, max(iters) AS max_iters, CAST(count(*) FILTER (NOT conv) AS BIGINT) AS n_dropped FROM st GROUP BY 1) SELECT s.spec, count(*) AS n_sets, round(avg(share), 7) AS share_best, round(min(share), 7) AS least_share, round(avg(CASE WHEN share = 1 THEN 1.0 ELSE 0.0 END), 7) AS all_agree, round(median(worst), 6) AS median_worst, round(max(worst), 6) AS max_worst, CAST(sum(far) AS BIGINT) AS n_far, CAST(any_value(median_iters) AS DOUBLE) AS median_iters, any_value(max_iters) AS max_iters, CAST(any_value(iters95) AS DOUBLE) AS iters95, any_value(n_dropped) AS n_dropped FROM s JOIN r USING (spec) GROUP BY 1")
 def g7(spark, d):  # noqa: ANN001, ANN201
     out = replication.multistart_summary(_starts(spark, d), ["spec"], "j", "ll", "conv", "iters")
-    return rounded(rounded(out, "share_best", "all_agree", digits=7), "median_worst", "max_worst")
+    return rounded(rounded(out, "share_best", "least_share", "all_agree", digits=7), "median_worst", "max_worst")
 
 
-@query("g8_start_table", "WITH st AS (SELECT event_type AS spec, CAST(user_id % 60 AS BIGINT) AS j, value AS ll FROM events), g AS (SELECT spec, j, max(ll) OVER (PARTITION BY spec, j) - ll AS gap FROM st), s AS (SELECT spec, j, avg(gap) AS m, max(gap) AS t, median(gap) AS h FROM g GROUP BY 1, 2) SELECT spec, round(avg(m), 6) AS mean_gap, round(max(t), 6) AS max_gap, round(median(h), 6) AS median_of_medians FROM s GROUP BY 1")
+@query("g8_start_table", "WITH st AS (SELECT event_type AS spec, CAST(user_id % 60 AS BIGINT) AS j, value AS ll, event_id % 20 AS iters, event_id % 9 = 0 AS closed FROM events), g AS (SELECT spec, j, iters, closed, max(ll) OVER (PARTITION BY spec, j) - ll AS gap FROM st), s AS (SELECT spec, j, avg(gap) AS m, max(gap) AS t, median(gap) AS h, count(*) FILTER (iters >= 19) AS lim, max(gap) FILTER (closed) AS cg FROM g GROUP BY 1, 2) SELECT spec, CAST(sum(lim) AS BIGINT) AS n_limit, round(max(cg), 6) AS closed_gap, round(avg(m), 6) AS mean_gap, round(max(t), 6) AS max_gap, round(median(h), 6) AS median_of_medians FROM s GROUP BY 1")
 def g8(spark, d):  # noqa: ANN001, ANN201
-    return rounded(replication.start_table_summary(_starts(spark, d), ["spec"], "j", "ll"), "mean_gap", "max_gap", "median_of_medians")
+    return rounded(replication.start_table_summary(_starts(spark, d), ["spec"], "j", "ll", "iters", 19, "closed"), "mean_gap", "max_gap", "closed_gap", "median_of_medians")
 
 
-@query("g9_size_summary", "WITH s AS (SELECT event_type AS spec, value / 10 AS lr, CASE WHEN event_id % 17 = 0 THEN 1 WHEN event_id % 19 = 0 THEN 2 ELSE 0 END AS status FROM events), o AS (SELECT *, status = 0 AS ok FROM s) SELECT spec, count(*) FILTER (ok) AS usable, count(*) FILTER (status = 1) AS runaway, count(*) FILTER (status = 2) AS errors, round(avg((lr >= 6.2514)::INT) FILTER (ok), 9) AS rej10, round(avg((lr >= 7.8147)::INT) FILTER (ok), 9) AS rej5, round(avg((lr >= 11.3449)::INT) FILTER (ok), 9) AS rej1, round(quantile_cont(lr, 0.5) FILTER (ok), 6) AS q50, round(quantile_cont(lr, 0.95) FILTER (ok), 6) AS q95 FROM o GROUP BY 1")
+@query("g9_size_summary", "WITH s AS (SELECT event_type AS spec, value / 10 AS lr, CASE WHEN event_id % 17 = 0 THEN 1 WHEN event_id % 19 = 0 THEN 2 ELSE 0 END AS status, event_id % 3 AS won, value / 100 AS spread FROM events), o AS (SELECT *, status = 0 AS ok FROM s) SELECT spec, count(*) FILTER (ok) AS usable, count(*) FILTER (status = 1) AS runaway, count(*) FILTER (status = 2) AS errors, round(avg((lr >= 6.2514)::INT) FILTER (ok), 9) AS rej10, round(avg((lr >= 7.8147)::INT) FILTER (ok), 9) AS rej5, round(avg((lr >= 11.3449)::INT) FILTER (ok), 9) AS rej1, round(quantile_cont(lr, 0.5) FILTER (ok), 6) AS q50, round(quantile_cont(lr, 0.9) FILTER (ok), 6) AS q90, round(quantile_cont(lr, 0.95) FILTER (ok), 6) AS q95, round(quantile_cont(lr, 0.99) FILTER (ok), 6) AS q99, round(avg((won = 2)::INT) FILTER (ok), 9) AS won_closed, round(median(spread) FILTER (ok), 6) AS median_spread, round(max(spread) FILTER (ok), 6) AS max_spread FROM o GROUP BY 1")
 def g9(spark, d):  # noqa: ANN001, ANN201
     i = F.col("j")
-    rows = _rep(spark, d).select("spec", (F.col("value") / 10).alias("lr"), F.when(i % 17 == 0, 1).when(i % 19 == 0, 2).otherwise(0).alias("status"))
-    out = replication.size_summary(rows, ["spec"])
-    return rounded(rounded(out, "rej10", "rej5", "rej1", digits=9), "q50", "q95")
+    rows = _rep(spark, d).select("spec", (F.col("value") / 10).alias("lr"), F.when(i % 17 == 0, 1).when(i % 19 == 0, 2).otherwise(0).alias("status"), (i % 3).alias("won"), (F.col("value") / 100).alias("spread"))
+    out = replication.size_summary(rows, ["spec"], won="won", spread="spread")
+    return rounded(rounded(out, "rej10", "rej5", "rej1", "won_closed", digits=9), "q50", "q90", "q95", "q99", "median_spread", "max_spread")
 
 
 @query("g10_p_discrepancy", "WITH s AS (SELECT event_type AS spec, (event_id % 997) / 997.0::DOUBLE AS p FROM events), n AS (SELECT spec, count(*) AS m FROM s GROUP BY 1), g AS (SELECT unnest(range(1, 201)) AS k), c AS (SELECT spec, k, any_value(m) AS m, count(*) FILTER (p <= k * 0.2 / 200 + 1e-12) AS c FROM s JOIN n USING (spec), g GROUP BY 1, 2) SELECT spec, CAST(k AS INTEGER) AS k, round(c / m::DOUBLE - k * 0.2 / 200, 9) AS gap, round(2 * sqrt(k * 0.2 / 200 * (1 - k * 0.2 / 200) / m), 9) AS band FROM c")
@@ -727,16 +834,34 @@ def g10(spark, d):  # noqa: ANN001, ANN201
     return rounded(replication.p_discrepancy(rows, ["spec"], "p"), "gap", "band", digits=9)
 
 
-@query("g11_diff_vs_recorded", "WITH f AS (SELECT event_type AS spec, avg(value) AS v FROM events GROUP BY 1) SELECT round(max(abs(v - 49)), 6) AS worst, count(*) AS n FROM f")
+@query(
+    "g10_first_crossing",
+    """WITH s AS (SELECT event_type AS spec, pow((event_id % 997) / 997.0::DOUBLE, 1.1) AS p FROM events), n AS (SELECT spec, count(*) AS m FROM s GROUP BY 1), g AS (SELECT unnest(range(1, 201)) AS k), c AS (SELECT spec, k, any_value(m) AS m, count(*) FILTER (p <= k * 0.2 / 200 + 1e-12) AS c FROM s JOIN n USING (spec), g GROUP BY 1, 2),
+    d AS (SELECT spec, k, c / m::DOUBLE - k * 0.2 / 200 AS gap, 2 * sqrt(k * 0.2 / 200 * (1 - k * 0.2 / 200) / m) AS band FROM c)
+    SELECT spec, round(min(k) FILTER (gap > band) * 0.2 / 200, 6) AS clears_at, round(arg_max(gap, abs(gap)), 9) AS largest_gap, round(max(gap) FILTER (k = 10), 9) AS gap1, round(max(gap) FILTER (k = 50), 9) AS gap5, round(max(gap) FILTER (k = 100), 9) AS gap10, round(max(gap) FILTER (k = 200), 9) AS gap20 FROM d GROUP BY 1""",
+)
+def g10_first(spark, d):  # noqa: ANN001, ANN201
+    rows = _rep(spark, d).select("spec", F.pow(F.col("j") % 997 / 997.0, F.lit(1.1)).alias("p"))
+    out = replication.first_crossing(replication.p_discrepancy(rows, ["spec"], "p"), ["spec"])
+    return rounded(rounded(out, "largest_gap", "gap1", "gap5", "gap10", "gap20", digits=9), "clears_at")
+
+
+@query("g11_diff_vs_recorded", "WITH f AS (SELECT event_type AS spec, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), r AS (SELECT event_type AS spec, avg(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT round(max(abs(f.v - r.v)), 6) AS worst, count(*) AS n FROM f JOIN r USING (spec)")
 def g11(spark, d):  # noqa: ANN001, ANN201
-    f = _rep(spark, d).groupBy("spec").agg(F.avg("value").alias("v"))
-    return rounded(replication.worst_diff(replication.diff_vs_recorded(f, f.select("spec", F.lit(49.0).alias("v")), ["spec"], "v")), "worst")
+    """Means of one half of the events against those recorded from the other half."""
+    half = lambda k: _rep(spark, d).where(F.col("j") % 2 == k).groupBy("spec").agg(F.avg("value").alias("v"))
+    return rounded(replication.worst_diff(replication.diff_vs_recorded(half(0), half(1), ["spec"], "v")), "worst")
 
 
-@query("g12_paired_lr", "WITH s AS (SELECT event_type AS spec, 2 * (greatest(value, user_id * 0.01) - value * 0.9) AS lr FROM events) SELECT spec, count(*) AS n, round(avg(lr), 6) AS mean_lr, round(quantile_cont(lr, 0.95), 6) AS q95, count(*) FILTER (lr >= 7.8147) AS n_tail, count(*) FILTER (lr < 0) AS n_negative FROM s GROUP BY 1")
+@query(
+    "g12_paired_lr",
+    """WITH s AS (SELECT event_type AS spec, value AS a, user_id * 0.01::DOUBLE AS b, value * 0.9::DOUBLE AS c FROM events), l AS (SELECT *, 2 * (greatest(a, b) - c) AS lr FROM s)
+    SELECT spec, count(*) AS n, round(avg(lr), 6) AS mean_lr, round(max(lr), 6) AS max_lr, count(*) FILTER (lr >= 11.3449) AS n_far, count(*) FILTER (lr >= 7.8147) AS n_tail, count(*) FILTER (lr < 0) AS n_negative, count(*) FILTER (a >= b) AS won_free1, count(*) FILTER (a < b) AS won_free2,
+    count(*) AS won_one1, round(max(greatest(a, b) - least(a, b)), 6) AS spread_free, CAST(0 AS DOUBLE) AS spread_one, round(quantile_cont(lr, 0.5), 6) AS q50, round(quantile_cont(lr, 0.9), 6) AS q90, round(quantile_cont(lr, 0.95), 6) AS q95 FROM l GROUP BY 1""",
+)
 def g12(spark, d):  # noqa: ANN001, ANN201
     rows = _rep(spark, d).select("spec", "value", (F.col("user_id") * 0.01).alias("second"), (F.col("value") * 0.9).alias("one"))
-    return rounded(replication.paired_lr(rows, ["spec"], ["value", "second"], ["one"]), "mean_lr", "q95")
+    return rounded(replication.paired_lr(rows, ["spec"], ["value", "second"], ["one"]), "mean_lr", "max_lr", "spread_free", "q50", "q90", "q95")
 
 
 @query("g13_bootstrap_starts", "SELECT event_type AS spec, count(*) FILTER (user_id * 0.01 > value + 1e-6) AS second_better, CAST(0 AS BIGINT) AS n_dropped FROM events GROUP BY 1")
@@ -745,7 +870,12 @@ def g13(spark, d):  # noqa: ANN001, ANN201
     return replication.bootstrap_starts(rows, ["spec"], "value", "second")
 
 
-@query("h1_chi2_tail", "WITH g AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS x FROM lineitem), k AS (SELECT x, 1 / (1 + 0.3275911 * sqrt(x / 2)) AS s FROM g) SELECT x, round(exp(-x / 2) * (1 + x / 2), 9) AS df4, round(s * (0.254829592 + s * (-0.284496736 + s * (1.421413741 + s * (-1.453152027 + s * 1.061405429)))) * exp(-x / 2) + exp(-x / 2) * sqrt(x / 2) / 0.886226925452758, 9) AS df3 FROM k")
+@query(
+    "h1_chi2_tail",
+    """WITH g AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS x FROM lineitem),
+    s AS (SELECT x, 2 / sqrt(pi()) * sum(exp((2 * n + 1) * ln(x / 2) / 2 - x / 2 + 2 * n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2))) AS erf FROM g, (SELECT unnest(range(0, 200))::DOUBLE AS n) GROUP BY ALL)
+    SELECT x, round(exp(-x / 2) * (1 + x / 2), 9) AS df4, round(1 - erf + exp(-x / 2) * sqrt(2 * x / pi()), 9) AS df3 FROM s""",
+)
 def h1(spark, d):  # noqa: ANN001, ANN201
     x = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x")).distinct()
     return x.select("x", F.round(dist.chi2_sf(F.col("x"), 4), 9).alias("df4"), F.round(dist.chi2_sf(F.col("x"), 3), 9).alias("df3"))
@@ -795,11 +925,46 @@ def e26(spark, d):  # noqa: ANN001, ANN201
 
 @query("e28_precision_path", f"WITH {RES}, c AS (SELECT *, v - avg(v) OVER () AS u FROM res) SELECT d, round(900 * exp(0.4 * u), 4) AS w11, round(-50 * exp(0.4 * u), 4) AS w12 FROM c")
 def e28(spark, d):  # noqa: ANN001, ANN201
-    rows = _resid(spark, d).withColumn("u", F.col("v") - F.avg("v").over(Window.partitionBy()))
+    rows = tables.with_mean(_resid(spark, d), [], "v", "mean").withColumn("u", F.col("v") - F.col("mean"))
     path = covariance.scale_path(W2, 0.4, F.col("u"))
     return rows.select("d", F.round(path[0][0], 4).alias("w11"), F.round(path[0][1], 4).alias("w12"))
 
 
+@query("e28_regime_path", f"WITH {RES}, n AS (SELECT *, row_number() OVER (ORDER BY d) AS t FROM res), w AS (SELECT *, CASE WHEN t > 150 THEN 30.0 ELSE 50.0 END::DOUBLE AS a, CASE WHEN t > 150 THEN -4.0 ELSE 6.0 END::DOUBLE AS b, CASE WHEN t > 150 THEN 20.0 ELSE 45.0 END::DOUBLE AS c FROM n) SELECT count(*) AS n, round(sum((ln(a * c - b * b) - (a * e1 * e1 + 2 * b * e1 * e2 + c * e2 * e2) - 2 * ln(2 * pi())) / 2), 5) AS loglik FROM w")
+def e28_regime(spark, d):  # noqa: ANN001, ANN201
+    rows = panel.numbered(_resid(spark, d), []).withColumn("segment", panel.segment(F.col("t"), [150]))
+    path = covariance.regime_path([[[50.0, 6.0], [6.0, 45.0]], [[30.0, -4.0], [-4.0, 20.0]]], "segment")
+    return rounded(covariance.gaussian_loglik(rows, ["e1", "e2"], path, []), "loglik", digits=5)
+
+
+@query("e25_log_precision_sums", f"WITH {RES}, h AS (SELECT *, 3.5 + 0.2 * v AS h1, 3.1 - 0.1 * v AS h2 FROM res), u AS (SELECT *, exp(h1 / 2) * e1 AS u1, exp(h2 / 2) * e2 AS u2 FROM h) SELECT count(*) AS n, round(sum(h1 + h2), 5) AS sum_h, round(sum(u1 * u2), 5) AS u12, round(sum(v * u2 * u2), 5) AS vu22, round(sum(v), 5) AS sum_v FROM u")
+def e25_sums(spark, d):  # noqa: ANN001, ANN201
+    out = covariance.log_precision_sums(_resid(spark, d), ["e1", "e2"], [3.5, 3.1], [0.2, -0.1], F.col("v"), [])
+    return rounded(out.select("n", "sum_h", F.col("uu")[1].alias("u12"), F.col("vuu")[2].alias("vu22"), "sum_v"), "sum_h", "u12", "vu22", "sum_v", digits=5)
+
+
+@query("e34_positive_path", f"WITH {RES}, w AS (SELECT *, 60 + v * 6 + v * v * 4 AS a, -5 + v * 5 + v * v * 4 AS b, 50 + v * 4 + v * v * 4 AS c FROM res) SELECT count(*) AS n, round(min(least(a, a * c - b * b)), 5) AS least_minor FROM w")
+def e34_positive(spark, d):  # noqa: ANN001, ANN201
+    path = covariance.quadratic_path([[60.0, -5.0, 3.0], [-5.0, 50.0, 2.0], [3.0, 2.0, 4.0]], F.col("v"))
+    return rounded(covariance.positive_path(_resid(spark, d), path, []), "least_minor", digits=5)
+
+
+@query("e34_block_guard", f"WITH {RES}, w AS (SELECT *, 60 + v * 6 + v * v * 4 AS a, -5 + v * 5 + v * v * 4 AS b, 50 + v * 4 + v * v * 4 AS c FROM res), s AS (SELECT a, b, c, 2 / (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) AS low FROM w), r AS (SELECT min(low) / avg(low) AS ratio FROM s) SELECT CAST(k AS INTEGER) AS k, round(ratio, 7) AS ratio, ratio >= 1e-8 AND ll <= 10 + 5000 AS valid FROM r, (VALUES (1, 100.0), (2, 5010.5), (3, NULL)) f(k, ll) WHERE ll IS NOT NULL UNION ALL SELECT 3, round(ratio, 7), false FROM r")
+def e34_guard(spark, d):  # noqa: ANN001, ANN201
+    """The screen of a path for three fits: one sound, one run away, one without a likelihood."""
+    path = covariance.quadratic_path([[60.0, -5.0, 3.0], [-5.0, 50.0, 2.0], [3.0, 2.0, 4.0]], F.col("v"))
+    tried = spark.createDataFrame([(1, 100.0, 10.0), (2, 5010.5, 10.0), (3, None, 10.0)], "k int, loglik double, reference double")
+    out = covariance.block_guard(covariance.validity_screen(_resid(spark, d), path, []), tried, [])
+    return rounded(out.select("k", "ratio", "valid"), "ratio", digits=7)
+
+
+@query("e40_nullity", f"WITH {REGION} SELECT n_regionkey, count(*) - 2 AS n, 1::INTEGER AS nullity FROM logr GROUP BY 1")
+def e40(spark, d):  # noqa: ANN001, ANN201
+    """Two driver columns for three residuals leave one flat direction."""
+    rows = panel.volatility_driver(logr(spark, d), ["x"], ["n_regionkey"])
+    return covariance.flat_directions(rows, "v", [[1.0, 0.0], [0.5, 1.0], [0.2, -1.0]], ["n_regionkey"])
+
+
 @query("e32_vecm_path", f"WITH {DIFF} SELECT d, round(-0.2 * x1 + 0.1 * x2 + 0.5 * z1 + 1, 6) AS f0, round(0.1 * x1 - 0.3 * x2 - 0.2 * z1 + 2, 6) AS f1 FROM des WHERE z1 IS NOT NULL")
 def e32(spark, d):  # noqa: ANN001, ANN201
     rows = panel.lag_design(log5(spark, d), ["l_s1", "l_s2"], 2, []).withColumn("one", F.lit(1.0)).na.drop(subset=["z1_l_s1"])
@@ -819,6 +984,7 @@ def e38(spark, d):  # noqa: ANN001, ANN201
     base = log5(spark, d)
     names = ["n1", "n2", "n3"]
     parts = [base.select("d", F.lit(first).alias("numeraire"), *(F.col(c).alias(n) for c, n in zip([first, *L5[2:4]], names, strict=True))) for first in L5[:2]]
+    # Every specification of both, run side by side.
     return compare.spec_fits(parts[0].unionByName(parts[1]), names, ["numeraire"], [120, 240])
 
 
@@ -834,6 +1000,28 @@ def e25_fit(spark, d):  # noqa: ANN001, ANN201
     return driven.fit(rows, L5[:2], [], "v", "log-precision")
 
 
+@query("e24_fit_quadratic_factor")
+def e24_fit(spark, d):  # noqa: ANN001, ANN201
+    """D kept positive by its factor, one fit a region."""
+    rows = panel.volatility_driver(_region_system(spark, d), L5[:3], ["n_regionkey"])
+    return driven.fit(rows, L5[:3], ["n_regionkey"], "v", "quadratic-factor")
+
+
+@query("e20_fit_fixed")
+def e20(spark, d):  # noqa: ANN001, ANN201
+    """Known precisions: each region's constant one, scaled by its driver."""
+    system = ["n_regionkey"]
+    rows = panel.volatility_driver(_region_system(spark, d), L5[:3], system).where("v is not null")
+    base = [400.0, -20.0, -10.0, 380.0, -15.0, 390.0]
+    weights = rows.select(*system, "d", F.array(*(F.lit(x) / (0.5 + F.col("v")) for x in base)).alias("w"))
+    return driven.fixed_fits(rows, L5[:3], system, weights)
+
+
+@query("e21_fit_ar1")
+def e21_fit(spark, d):  # noqa: ANN001, ANN201
+    return fits.ar1(_region_system(spark, d), L5[:3], ["n_regionkey"])
+
+
 @query("c3_anti_join", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def c3(spark, d):  # noqa: ANN001, ANN201
     done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))

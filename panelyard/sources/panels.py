@@ -24,9 +24,21 @@ def read_year_month_matrix(spark: SparkSession, paths: dict[str, str]) -> DataFr
     return out
 
 
-def read_date_value(spark: SparkSession, path: str, series: str) -> DataFrame:
-    read = spark.read.csv(path, sep=" ", schema="d DATE, value DOUBLE", mode="DROPMALFORMED")
-    return read.select(F.lit(series).alias("series"), F.trunc("d", "month").alias("d"), "value").where("value is not null")
+def parse_date_values(lines: DataFrame, keys: list[str], line: str = "value", unit: str | None = "month") -> DataFrame:
+    """(keys, d, value) from lines of a date and a number; others are left out.
+
+    A monthly series may carry any day of its month, so dates are moved to the start of
+    their unit (None: kept as they are).
+    """
+    part = F.split(F.trim(F.col(line)), r"\s+")
+    d = F.get(part, F.lit(0)).try_cast("date")
+    out = lines.select(*keys, (F.trunc(d, unit) if unit else d).alias("d"), F.get(part, F.lit(1)).try_cast("double").alias("value"), F.size(part).alias("__n"))
+    return out.where("__n = 2 and d is not null and value is not null").drop("__n")
+
+
+def read_date_value(spark: SparkSession, path: str, series: str, unit: str | None = "month") -> DataFrame:
+    lines = spark.read.text(path).select(F.lit(series).alias("series"), "value")
+    return parse_date_values(lines, ["series"], unit=unit)
 
 
 def with_logs(panel: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:

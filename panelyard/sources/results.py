@@ -75,6 +75,16 @@ def namespaced(df: DataFrame, numeraire: str) -> DataFrame:
     return df.withColumn("numeraire", F.lit(numeraire))
 
 
+def write_namespaced(df: DataFrame, path: str, numeraire: str, mode: str = "append") -> None:
+    """Adds results under their numeraire's folder."""
+    namespaced(df, numeraire).write.mode(mode).partitionBy("numeraire").parquet(path)
+
+
+def read_namespaced(spark: SparkSession, path: str, numeraire: str) -> DataFrame:
+    """One numeraire's results; the others' folders aren't read."""
+    return spark.read.parquet(path).where(F.col("numeraire") == numeraire)
+
+
 def report(detail: DataFrame, summary: DataFrame) -> DataFrame:
     """Detail rows and a summary row in one table for display."""
     return detail.withColumn("kind", F.lit("detail")).unionByName(summary.withColumn("kind", F.lit("summary")), allowMissingColumns=True)

@@ -6,14 +6,17 @@ import uuid
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints, else one in the warehouse."""
+    """The folder that the cluster names for checkpoints; only local sessions may leave it unset."""
     try:
         at = spark.conf.get("spark.checkpoint.dir", None)
     except PySparkException:
         at = None
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse')}/checkpoints"
     return at.rstrip("/")
@@ -28,3 +31,16 @@ def written(df: DataFrame, stem: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; the columns are left's, then right's others."""
+    names = {k: f"__right_{k}" for k in keys}
+    other = right.withColumnsRenamed(names)
+    same = [left[k].eqNullSafe(other[n]) for k, n in names.items()]
+    return left.join(other, same or None, how if same else "cross").drop(*names.values())
+
+
+def with_mean(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """df with the column's mean by keys: an aggregate that is joined, so no task holds a whole key."""
+    return joined(df, df.groupBy(*keys).agg(F.avg(column).alias(name)), keys)

@@ -63,8 +63,10 @@ def test_scale(logs, seasonal):
     from panelyard.plans import fits
 
     df, cs = seasonal
-    r = fits.scale(panel.volatility_driver(df, COLUMNS, []), COLUMNS, [], "v", fixed=cs, rounds=4, points=15).first()
-    assert abs(r["loglik_free"] - 6406.4339) < 2e-2 and abs(r["loglik_one"] - 6405.2891) < 2e-2
+    r = fits.scale(panel.volatility_driver(df, COLUMNS, []), COLUMNS, [], "v", fixed=cs).first()
+    assert abs(r["loglik_free"] - 6406.4339) < 1e-3 and abs(r["loglik_one"] - 6405.2891) < 1e-3
+    r = fits.scale(panel.volatility_driver(df, COLUMNS, [], kind="log"), COLUMNS, [], "v", fixed=cs).first()
+    assert abs(r["loglik_free"] - 6211.1146) < 1e-3 and abs(r["loglik_one"] - 6209.3834) < 1e-3
 
 
 def test_break_grid(logs, seasonal):
@@ -103,13 +105,15 @@ def test_rank_bootstrap(logs):
     assert 0.3 < replication.bootstrap_pvalue(draws, ["r0"], "observed").first()["p"] < 0.75
 
 
-def test_driven(logs, seasonal):
+@pytest.mark.parametrize(
+    ("kind", "model", "free", "one"),
+    [("level", "log-precision", 6430.6578, 6429.7169), ("log", "log-precision", 6268.3376, 6267.0312), ("level", "quadratic", 6209.4137, 6204.4114), ("level", "quadratic-factor", 6209.4137, 6204.4114)],
+)
+def test_driven(logs, seasonal, kind, model, free, one):
     from panelyard.operators import panel
     from panelyard.plans import driven
 
     df, cs = seasonal
-    level = panel.volatility_driver(df, COLUMNS, []).coalesce(1)
-    r = driven.fit(level, COLUMNS, [], "v", "log-precision", fixed=cs).first()
-    assert abs(r["loglik_free"] - 6430.6578) < 0.05 and abs(r["loglik_one"] - 6429.7169) < 0.05
-    r = driven.fit(level, COLUMNS, [], "v", "quadratic", fixed=cs).first()
-    assert abs(r["loglik_free"] - 6209.4137) < 0.05 and abs(r["loglik_one"] - 6204.4114) < 0.05
+    rows = panel.volatility_driver(df, COLUMNS, [], kind=kind)
+    r = driven.fit(rows, COLUMNS, [], "v", model, fixed=cs).first()
+    assert abs(r["loglik_free"] - free) < 0.05 and abs(r["loglik_one"] - one) < 0.05, r

@@ -133,7 +133,7 @@ def test_scale_brackets_are_each_systems_own(spark):
         rows += [(name, t, float(v[t]), *map(float, x[t])) for t in range(n)]
     df = spark.createDataFrame(rows, "sys int, d int, v double, x0 double, x1 double")
     joint = {r["sys"]: r for r in fits.scale(df, columns, ["sys"], "v").collect()}
-    assert all(r["converged"] for r in joint.values()) and joint[0]["b_free"] - joint[1]["b_free"] > 2
+    assert all(r["converged"] for r in joint.values()) and joint[1]["b_free"] - joint[0]["b_free"] > 2  # covariance times exp(-b u)
     for k in (0, 1):
         alone = fits.scale(df.where(F.col("sys") == k), columns, [], "v").first()
         for kind in ("free", "one"):
@@ -160,13 +160,13 @@ def test_specifications_in_one_table(spark):
     df = _walk(spark, n=120, p=2, systems=2)
     recorded = spark.createDataFrame([("iid", 1.0, 2.0)], "spec string, loglik_free double, loglik_one double")
     got = compare.with_recorded(compare.spec_fits(df, ["x0", "x1"], ["sys"], [60]), recorded, ["spec"]).collect()
-    assert {(r["system"], r["spec"]) for r in got} == {(k, n) for k in "01" for n, _ in compare.SPECS}
+    assert {(r["sys"], r["spec"]) for r in got} == {(k, n) for k in (0, 1) for n in compare.EIGHT}
     for r in got:
         assert r["error"] is None and len(r["b"]) == 1 and abs(r["lr"] - 2 * (r["loglik_free"] - r["loglik_one"])) < 1e-6 and r["lr"] > -1e-4
         assert (r["diff_free"] is None) == (r["spec"] != "iid")
         assert r["diff_free"] is None or abs(r["diff_free"] - (r["loglik_free"] - 1)) < 1e-9
-    by = {(r["system"], r["spec"]): r["loglik_free"] for r in got}
-    assert all(by[(k, "regime")] >= by[(k, "iid")] - 1e-6 for k in "01")
+    by = {(r["sys"], r["spec"]): r["loglik_free"] for r in got}
+    assert all(by[(k, "regime")] >= by[(k, "iid")] - 1e-6 for k in (0, 1))
 
 
 def test_bootstraps_use_the_panels_own_statistics(spark):
@@ -196,5 +196,177 @@ def test_grids_count_p_values_and_own_cuts(spark):
     got = {(r["sys"], r["k"]) for r in moments.prefix_gram(df, "x0", "x0", ["sys"], at, block=32).collect()}
     assert got == {(0, 30), (1, 480)}
     p = [("all", s, k, x) for s, xs in (("regime", (0.01, 0.2)), ("scale", (0.04, 0.5))) for k, x in zip("ab", xs)]
-    said = {r["spec"]: r for r in compare.seasonal_summary(spark.createDataFrame(p, "system string, spec string, seasonal string, p double")).collect()}
+    said = {r["spec"]: r for r in compare.seasonal_summary(spark.createDataFrame(p, "system string, spec string, seasonal string, p double"), ["system"]).collect()}
     assert said["regime"]["n_rejects"] == said["scale"]["n_rejects"] == 1 and abs(said["scale"]["gap"] - 0.03) < 1e-9 and abs(said["regime"]["spread"] - 0.19) < 1e-9
+
+
+def _driven_panel(spark, b, system, seed=3, n=400):
+    """Two series whose covariance is scaled by exp(-b u), with a driver column v."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=n)
+    x, rows = np.zeros((n, 2)), []
+    common = np.cumsum(rng.normal(size=n))
+    for t in range(n):
+        x[t] = common[t] * 0 + (x[t - 1] if t else 0) + rng.normal(size=2) * math.exp(-b * v[t] / 2)
+        if t:
+            x[t, 1] = x[t, 1] - 0.4 * (x[t - 1, 1] - x[t - 1, 0])
+    for t in range(n):
+        rows.append((*system, t, *map(float, x[t]), float(v[t])))
+    return rows
+
+
+KEYED = "k1 string, k2 string, d int, x0 double, x1 double, v double"
+
+
+def test_scale_has_the_models_sign_and_depends_on_its_system_alone(spark):
+    from panelyard.plans import fits
+
+    rows = _driven_panel(spark, 2.0, ("p", None)) + _driven_panel(spark, -1.5, (None, "p"), 4) + _driven_panel(spark, 0.5, ("q", "r"), 5)
+    df = spark.createDataFrame(rows, KEYED)
+    both = {(r["k1"], r["k2"]): r for r in fits.scale(df, ["x0", "x1"], ["k1", "k2"], "v").collect()}
+    assert len(both) == 3 and all(r["converged"] and r["error"] is None for r in both.values())
+    for key, b in ((("p", None), 2.0), ((None, "p"), -1.5), (("q", "r"), 0.5)):
+        assert abs(both[key]["b_free"] - b) < 0.25
+    alone = fits.scale(df.where("k1 = 'p'").drop("k1", "k2"), ["x0", "x1"], [], "v").first()
+    assert abs(alone["loglik_free"] - both["p", None]["loglik_free"]) < 1e-9 and abs(alone["b_free"] - both["p", None]["b_free"]) < 1e-9
+    passes = {(r["k1"], r["k2"]): r for r in fits.scale(df, ["x0", "x1"], ["k1", "k2"], "v", tol=1e-5, long=0).collect()}
+    assert all(abs(passes[k]["loglik_free"] - r["loglik_free"]) < 1e-4 and abs(passes[k]["b_one"] - r["b_one"]) < 1e-3 for k, r in both.items())
+
+
+@pytest.mark.parametrize("model", ["quadratic", "quadratic-factor", "log-precision"])
+def test_driven_fits_keep_systems_apart_on_any_partitioning(spark, model):
+    from panelyard.plans import driven
+
+    rows = _driven_panel(spark, 0.3, ("p", None), n=150) + _driven_panel(spark, -0.2, (None, "p"), 4, 150) + [("z", "z", t, 1.0, 1.0, 0.1) for t in range(30)]
+    df = spark.createDataFrame(rows, KEYED)
+    a = {(r["k1"], r["k2"]): r for r in driven.fit(df.repartition(7), ["x0", "x1"], ["k1", "k2"], "v", model, most=40).collect()}
+    assert set(a) == {("p", None), (None, "p"), ("z", "z")} and a["z", "z"]["error"] and a["p", None]["loglik_free"] != a[None, "p"]["loglik_free"]
+    assert all(r["lr"] > -1e-4 for k, r in a.items() if k != ("z", "z"))
+    b = {(r["k1"], r["k2"]): r for r in driven.fit(df.repartition(2), ["x0", "x1"], ["k1", "k2"], "v", model, most=40, long=0).collect()}
+    assert all(abs(b[k]["loglik_free"] - a[k]["loglik_free"]) < 1e-5 and b[k]["iters_one"] == a[k]["iters_one"] for k in (("p", None), (None, "p")))
+
+
+def test_known_precisions_and_autoregression(spark):
+    from panelyard.plans import driven, fits
+
+    rng = np.random.default_rng(1)
+    e, rows = np.zeros(2), []
+    x = np.zeros(2)
+    for t in range(600):
+        e = 0.6 * e + rng.normal(size=2)
+        x = x + e + np.array([0, -0.3 * (x[1] - x[0])])
+        rows.append((t, *map(float, x)))
+    df = spark.createDataFrame(rows, "d int, x0 double, x1 double")
+    plain, auto = fits.iid(df, ["x0", "x1"], []).first(), fits.ar1(df, ["x0", "x1"], []).first()
+    assert auto["converged_free"] and auto["lr"] > -1e-6 and auto["loglik_free"] > plain["loglik_free"] - 1
+    one = df.withColumn("w", F.array(F.lit(1.0), F.lit(0.0), F.lit(1.0)))
+    known = driven.fixed_fits(df, ["x0", "x1"], [], one.select("d", "w")).first()
+    # With unit precisions the likelihood is that of least squares: check it on the rows.
+    found = {r["d"]: r for r in df.collect()}
+    y = np.array([[found[t]["x0"], found[t]["x1"]] for t in range(600)])
+    dy = np.diff(y, axis=0)
+    z = np.hstack([y[1:-1], dy[:-1], np.ones((598, 1))])
+    ss = ((dy[1:] - z @ np.linalg.lstsq(z, dy[1:], rcond=None)[0]) ** 2).sum()
+    free = -598 * math.log(2 * math.pi) - ss / 2  # full rank: an upper bound of one relation's
+    assert known["loglik_free"] <= free + 1e-6 and known["loglik_one"] <= known["loglik_free"] + 1e-6 and free - known["loglik_free"] < 20
+
+
+def test_flat_directions(spark):
+    from panelyard.operators import covariance
+
+    df = spark.createDataFrame([(k % 2, float(x)) for k, x in enumerate(np.random.default_rng(0).gamma(2, size=400))], "s int, v double")
+    rng = np.random.default_rng(3)
+    for q in (1, 2, 3):
+        got = covariance.flat_directions(df, "v", rng.normal(size=(4, q)).tolist(), ["s"]).collect()
+        assert [r["nullity"] for r in got] == [q * (q - 1) // 2] * 2
+
+
+def test_quantiles_equal_sorting(spark):
+    from panelyard.operators import quantiles
+
+    rng = np.random.default_rng(2)
+    data = {"a": rng.normal(size=30_000), "b": rng.integers(0, 5, 25_000).astype(float), "c": np.array([3.0]), None: rng.normal(size=11)}
+    rows = [(k, float(x)) for k, xs in data.items() for x in xs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    probs = {"q0": 0.0, "q01": 0.001, "q50": 0.5, "q95": 0.95, "q1": 1.0}
+    got = {r["k"]: r for r in quantiles.quantiles(df, ["k"], "x", probs).collect()}
+    assert set(got) == set(data)
+    for k, xs in data.items():
+        assert np.allclose([got[k][c] for c in probs], [np.quantile(xs, p) for p in probs.values()], rtol=0, atol=1e-12)
+
+
+def test_ranks_and_low_shares_equal_sorting(spark):
+    from panelyard.operators import replication
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=3000).round(2), rng.normal(size=3000)
+    df = spark.createDataFrame([("s", k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "k string, j int, x double, e double")
+    low = lambda v: np.searchsorted(np.sort(v), v, "left")
+    want = np.corrcoef(low(x), low(y))[0, 1]
+    assert abs(replication.spearman(df, "x", "e", ["k"], parts=7).first()["rho"] - want) < 1e-12
+    order = np.lexsort((np.arange(3000), x))[:300]
+    assert abs(replication.low_share(df, ["k"], "x").first()["share_low"] - (y[order] ** 2).sum() / (y**2).sum()) < 1e-12
+
+
+def test_unit_roots_with_trend_equal_least_squares(spark):
+    from panelyard.operators import unitroot
+
+    x = np.cumsum(np.random.default_rng(5).normal(size=90))
+    df = spark.createDataFrame([("s", t, float(v)) for t, v in enumerate(x)], "k string, d int, value double")
+    for lags, trend in ((0, "c"), (2, "ct"), (3, "c")):
+        dx = np.diff(x)
+        n = len(dx) - lags
+        z = np.column_stack([x[lags:-1], *(dx[lags - i : len(dx) - i] for i in range(1, lags + 1)), np.ones(n), *([np.arange(n)] if trend == "ct" else [])])
+        b, ss = np.linalg.lstsq(z, dx[lags:], rcond=None)[:2]
+        t = b[0] / math.sqrt(ss[0] / (n - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0])
+        got = unitroot.adf(df, ["k"], lags, trend).first()
+        assert got["n"] == n and abs(got["t"] - t) < 1e-8
+    flat = spark.createDataFrame([("s", t, 1.0) for t in range(9)], "k string, d int, value double")
+    assert unitroot.adf(flat, ["k"], 1).first()["t"] is None
+
+
+def test_accurate_tails(spark):
+    from panelyard.functions import dist
+
+    xs = [0.0, 1e-9, 0.3, 1.0, 2.0, 3.7, 8.0, 25.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(dist.erfc(F.col("x")).alias("e"), dist.chi2_sf(F.col("x"), 5).alias("c")).collect()
+    assert all(abs(r["e"] / math.erfc(x) - 1) < 1e-11 for r, x in zip(got, xs, strict=True) if x < 26)
+    assert all(abs(r["c"] - dist.chi2_sf_exact(x, 5)) < 1e-12 for r, x in zip(got, xs, strict=True))
+
+
+def test_bootstrap_lr_is_not_negative(spark):
+    from panelyard.operators import resample
+
+    out = resample.bootstrap_lr(_walk(spark, n=80, systems=2), ["x0", "x1", "x2"], ["sys"], [40], 12, 3, chunk=5).collect()
+    assert sorted((r["sys"], r["j"]) for r in out) == [(s, j) for s in (0, 1) for j in range(1, 13)]
+    assert all(r["lr"] > -1e-5 for r in out if r["lr"] is not None) and sum(r["lr"] is not None for r in out) > 20
+
+
+def test_panel_files_and_namespaces(spark, tmp_path):
+    from panelyard.sources import panels, results
+
+    df = spark.createDataFrame([("2001-01-17", 2.0), ("2001-02-11", 4.0)], "d string, x double").withColumn("d", F.col("d").cast("date"))
+    panels.write_panel(df, str(tmp_path / "p"), ["x"])
+    back = panels.load_panel(spark, str(tmp_path / "p"), ["l_x"]).orderBy("d").collect()
+    assert [round(r["l_x"], 6) for r in back] == [0.693147, 1.386294]
+    (tmp_path / "s.txt").write_text("2001-01-17 3.5\nbad line\n2001-02-29 1\n2001-03-02 x\n2001-02-11 4.5\n")
+    assert [str(r["d"]) for r in panels.read_date_value(spark, str(tmp_path / "s.txt"), "s", unit=None).orderBy("d").collect()] == ["2001-01-17", "2001-02-11"]
+    results.write_namespaced(df, str(tmp_path / "n"), "F1")
+    results.write_namespaced(df.limit(1), str(tmp_path / "n"), "spot")
+    one = results.read_namespaced(spark, str(tmp_path / "n"), "spot")
+    assert one.count() == 1 and len(one.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(numeraire" in one._jdf.queryExecution().toString()
+
+
+def test_registry_takes_new_specifications(spark):
+    from panelyard.plans import compare, fits
+
+    @compare.register("twice", None, "one Gram a system")
+    def twice(rows, columns, system, breaks, date, fixed):
+        return fits.iid(rows, columns, system, date, fixed).withColumn("loglik_free", F.col("loglik_free") * 2)
+
+    try:
+        got = {(r["sys"], r["spec"]): r for r in compare.spec_fits(_walk(spark), ["x0", "x1", "x2"], ["sys"], [150], names=["iid", "twice", "regime", "ar1"]).collect()}
+        assert len(got) == 8 and all(abs(got[s, "twice"]["loglik_free"] - 2 * got[s, "iid"]["loglik_free"]) < 1e-9 for s in (0, 1))
+        assert all(0 <= r["p"] <= 1 for r in got.values())
+    finally:
+        del compare.SPECS["twice"]
