@@ -2,15 +2,18 @@
 
 Benchmark items are cut into windows of ten consecutive words (an item with fewer words
 is one window). Each window is a set of five-word shingles (a window of fewer words is
-its own shingle). Containment must be full, so one shingle is a sufficient prefix: the
-one that is rarest in the documents. Documents meet the windows on that shingle alone;
-the window must fit between the document's ends; then its words are compared in full.
+its own shingle). One pass over the documents hashes their shingles and keeps the places
+of those that some window has. Containment must be full, so one shingle is a sufficient
+prefix: the one that is rarest in the documents. Places meet the windows on that shingle
+alone; the window must not start before the document does; then every shingle of the
+window must lie at its own place, which is exact containment (shingles are compared by
+64-bit hashes). No text takes part in a join.
 
 Defined cases: null, empty and wordless texts have no words and match nothing; a
 repeated document row gets the same result again; items may share windows, and each is
-named; null item ids take part in hits but aren't listed. A table of benchmark windows
-up to BROADCAST_ROWS rows (its size is counted first) is broadcast; a larger one is
-joined by shuffled hashes and candidates then meet their document's words by key.
+named; null item ids take part in hits but aren't listed; empty tables give no hits. The
+windows' shingles (hash and count) are broadcast if they take up to BROADCAST_BYTES, which
+is measured first; more are joined by shuffled hashes, with the same results.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from pyspark.sql.window import Window
 from . import common
 
 WINDOW, SHINGLE = 10, 5
-#: A window row is under about 1 KB, so this bounds what is broadcast to some 200 MB.
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 1 << 26
+#: What one hash takes in a broadcast table, about.
+HASH_BYTES = 64
 
 
 def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -34,53 +38,47 @@ def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return parts.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("len", F.size("words"))
 
 
-def _exploded(rows: DataFrame, words: str, kept: list[str], sizes: list[int]) -> DataFrame:
-    """kept, pos (from 1) and h of each shingle of every size that the windows need.
+def _shingles(rows: DataFrame, words: str, kept: list[str], sizes: list[int]) -> DataFrame:
+    """kept, pos (from 1), size and h of each shingle of the given sizes.
 
     The hash reads the array's cells in place, so this is compiled code without copies.
     """
-    each = rows.select(*kept, F.posexplode(words).alias("__at", "__word")) if words in kept else rows.select(*kept, words, F.posexplode(words).alias("__at", "__word"))
-
-    def of(k: int) -> DataFrame:
-        cells = [F.col("__word"), *(F.get(words, F.col("__at") + i) for i in range(1, k))]
-        return each.where(F.col("__at") + k <= F.size(words)).select(*kept, (F.col("__at") + 1).alias("pos"), F.xxhash64(*cells).alias("h"))
-
-    out = of(sizes[0])
-    for k in sizes[1:]:
-        out = out.unionByName(of(k))
-    return out
+    each = rows.select(*kept, words, F.posexplode(words).alias("__at", "__word"))
+    cells = lambda k: [F.col("__word"), *(F.get(words, F.col("__at") + i) for i in range(1, k))]
+    pos = (F.col("__at") + 1).alias("pos")
+    if len(sizes) == 1:
+        return each.where(F.col("__at") + sizes[0] <= F.size(words)).select(*kept, pos, F.lit(sizes[0]).alias("size"), F.xxhash64(*cells(sizes[0])).alias("h"))
+    made = F.array(*(F.struct(F.lit(k).alias("size"), F.when(F.col("__at") + k <= F.size(words), F.xxhash64(*cells(k))).alias("h")) for k in sizes))
+    return each.select(*kept, pos, F.explode(made).alias("__s")).select(*kept, "pos", "__s.size", "__s.h").where("h is not null")
 
 
 def matches(docs: DataFrame, text: str, keys: list[str], items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Every occurrence of a window in a document: the keys, start (from 1), len, items."""
-    spark = docs.sparkSession
-    wins = common.written(item_windows(items, item_id, item_text), "windows")
-    stats = wins.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("len") < SHINGLE, F.col("len")).otherwise(SHINGLE)).alias("sizes")).first()
-    sizes = sorted(stats["sizes"]) or [SHINGLE]
-    small = stats["n"] <= BROADCAST_ROWS
+    wins = common.written(item_windows(items, item_id, item_text).withColumn("id", F.xxhash64("words")), "windows")
+    need = F.least("len", F.lit(SHINGLE))
+    sizes = sorted(wins.agg(F.collect_set(need).alias("sizes")).first()["sizes"]) or [SHINGLE]  # at most SHINGLE
+    made = [_shingles(wins.where(need == k), "words", ["id", "len"], [k]) for k in sizes]
+    shingled = made[0]
+    for more in made[1:]:
+        shingled = shingled.unionByName(more)
+    shingled = common.written(shingled.select("id", "len", (F.col("pos") - 1).alias("off"), "size", "h"), "shingles")
+    vocabulary = shingled.select("size", "h").distinct()
+    small = HASH_BYTES * shingled.count() <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda x: x)
 
-    d = docs.select(*keys, common.folded_words(F.col(common.quoted(text))).alias("w"))
-    parts = [_exploded(wins.where(F.least("len", F.lit(SHINGLE)) == k), "words", ["words", "items", "len"], [k]) for k in sizes]
-    shingled = parts[0]
-    for more in parts[1:]:
-        shingled = shingled.unionByName(more)
-    shingled = shingled.withColumn("off", F.col("pos") - 1).drop("pos")
-    vocabulary = shingled.select("h").distinct()
-    seen = _exploded(d, "w", [], sizes).select("h").join(hint(vocabulary), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
+    d = docs.select(*keys, common.folded_words(F.col(common.quoted(text))).alias("__w"))
+    hits = common.written(_shingles(d, "__w", keys, sizes).join(hint(vocabulary), ["size", "h"], "left_semi").distinct(), "hits")
+    seen = hits.groupBy("size", "h").agg(F.count("*").alias("df"))
     # The rarest shingle of each window; a window with a shingle that no document has can't occur.
-    ranked = shingled.join(hint(seen) if small else seen, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    prefix = common.written(
-        ranked.groupBy("words").agg(F.min(F.struct("df", "off", "h")).alias("m"), F.first("items").alias("items"), F.first("len").alias("len")).where("m.df > 0").select("words", "items", "len", "m.off", "m.h"),
-        "prefix",
-    )
-    fits = (F.col("start") >= 1) & (F.col("start") + F.col("len") - 1 <= F.size("w"))
-    same = F.slice("w", F.col("start"), F.col("len")) == F.col("words")
-    if small:
-        met = _exploded(d, "w", [*keys, "w"], sizes).join(F.broadcast(prefix), "h")
-    else:
-        met = _exploded(d, "w", keys, sizes).join(prefix, "h").join(d.dropDuplicates(keys), [*keys])
-    return met.withColumn("start", F.col("pos") - F.col("off")).where(fits).where(same).select(*keys, "start", "len", "items")
+    ranked = shingled.join(seen, ["size", "h"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    prefix = ranked.groupBy("id").agg(F.min(F.struct("df", "off", "size", "h")).alias("m"), F.first("len").alias("len")).where("m.df > 0").select("id", "len", "m.off", "m.size", "m.h")
+    prefix = common.written(prefix, "prefix")
+    met = hits.join(hint(prefix), ["size", "h"]).withColumn("start", F.col("pos") - F.col("off")).where("start >= 1").select(*keys, "start", "id", "len")
+    own = shingled.select("id", "off", "size", "h")
+    wanted = met.join(hint(own), "id").select(*keys, "start", "id", "len", (F.col("start") + F.col("off")).alias("pos"), "size", "h")
+    found = wanted.join(hits, [*keys, "pos", "size", "h"], "left_semi").groupBy(*keys, "start", "id", "len").agg(F.count("*").alias("n"))
+    whole = found.where(F.col("n") == F.greatest(F.col("len") - (SHINGLE - 1), F.lit(1)))
+    return whole.join(wins.select("id", "items"), "id").select(*keys, "start", "len", "items")
 
 
 def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
