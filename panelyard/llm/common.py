@@ -28,6 +28,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def renamed(df: DataFrame, apart: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named k0, k1, ..., but for those of `apart`, and the names' own ones.
+
+    For operators whose columns may have the names of the user's.
+    """
+    names = {c if c in apart else f"k{n}": c for n, c in enumerate(df.columns)}
+    return df.select(*(F.col(quoted(c)).alias(n) for n, c in names.items())), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(quoted(n)).alias(c) for n, c in names.items()))
+
+
 def blank_words(text: Column) -> Column:
     """Maximal runs without ASCII white space, as an array; null text has none."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
@@ -58,7 +71,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; set here only where it is unset."""
+    """The folder that the cluster names for checkpoints; only local sessions may leave it unset."""
     from pyspark.errors import PySparkException
 
     try:
@@ -68,6 +81,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = current.get() if current.isDefined() else None
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse')}/checkpoints"
     return at.rstrip("/")
@@ -78,3 +93,14 @@ def written(df: DataFrame, stem: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{stem}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    at = files[0].rsplit("/", 1)[0] if files else ""
+    if f"{shared_dir(spark).split('://')[-1].rstrip('/')}/" not in f"{at}/":
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,8 @@
 
 Large-star and small-star steps in turn, each pair written to the shared folder. Every
 step pre-aggregates a node's smallest neighbour before it joins, so a node of very many
-links is joined in parts that Spark can split. Only counts reach the driver.
+links is joined in parts that Spark can split. Only counts reach the driver. A step's table
+is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        star = common.written(
+        before, star = star, common.written(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(),
             "links",
         )
+        common.dropped(before)
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -223,7 +223,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         least = rows.groupBy("h").agg(F.min(F.struct("pos", "n", "sig")).alias("m"), F.max("parts").alias("parts"), F.count("*").alias("c")).where("c > 1")
         return least.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("m.sig").alias("a"), F.col("m.n").alias("na"), F.col("m.pos").alias("pa"))
 
-    links, tested, open_rows, groups = None, None, posts, None
+    links, tested, open_rows, groups, spent = None, None, posts, None, []
     for step in range(3):
         if step < 2:
             pairs = pairs_of(leaders(open_rows), open_rows)
@@ -239,6 +239,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         good = common.written(_overlaps(pairs, bodies, num, den), "good")
         links = good if links is None else links.unionByName(good)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        spent += [pairs, good] + ([groups] if groups is not None else [])
         groups = common.written(connected(links), "components")
         if step == 2:
             break
@@ -248,6 +249,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         seen = seen.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("m.component").alias("main"))
         open_rows = named.join(seen, ["h", "part"])
         open_rows = common.written(open_rows.where("component <> main").drop("main") if step == 0 else open_rows.drop("main"), "open")
+        spent.append(open_rows)
+
+    for done in (posts, *spent):  # components are written, so nothing reads what they came from
+        common.dropped(done)
 
     # Of equal sets, then of a component, the row with the smallest id (nulls last) stands for all.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))

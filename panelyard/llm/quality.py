@@ -114,5 +114,6 @@ def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def keep(docs: DataFrame, text: str = "text", policy: str = "v1") -> DataFrame:
-    """The documents that the policy accepts, with their own columns alone."""
-    return judge(ledger(docs, text), policy).where("kept").select(*(common.quoted(c) for c in docs.columns))
+    """The documents that the policy accepts, with their own columns alone, as they were."""
+    rows, names = common.renamed(docs, (text,))
+    return common.restored(judge(ledger(rows, text), policy).where("kept"), names)

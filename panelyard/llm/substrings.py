@@ -132,3 +132,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     hashes = grouped.groupBy(grp).applyInArrow(emit, packed.SHIPPED)
     answers = hashes.groupBy("bucket").applyInArrow(resolve, packed.ANSWER)
     return grouped.groupBy(grp).cogroup(answers.groupBy("grp")).applyInArrow(finish, schema)
+
+
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """docs with repeated windows cut from the text and all else as it was."""
+    rows, names = common.renamed(docs, (doc_id, text))
+    return common.restored(dedup(rows, doc_id, text, size), names)

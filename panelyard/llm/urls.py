@@ -12,7 +12,9 @@ allows an alias, else block if a rule blocks one, else allow.
 Aliases compare host, path and query, without scheme, case of the host, or fragment.
 Defined cases: null URLs and those without "://" have empty host and path, fit no rule,
 are in no component and are allowed; null html has no edges; edges of unknown or relative
-targets count (a relative one starts at the page's host); repeated rows are judged each.
+targets count (a relative one starts at the page's host); repeated rows are judged each; an
+empty table gives an empty result. Extra columns pass through, whatever their names; added
+columns (host, path, rule, verdict) replace those of the same name.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
+ADDED = ("host", "path", "rule", "verdict")
 LINK, META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
 CANONICAL = r"""(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
 REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
@@ -104,8 +107,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     spark = pages.sparkSession
     listed = rules_of(spark, rules)
     own = F.col(common.quoted(url))
-    kept = [common.quoted(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "hit", "node")]
-    rows = pages.select(*kept, host(own).alias("host"), path(own).alias("path"), address(own).alias("node"))
+    kept = [c for c in pages.columns if c.lower() not in ADDED]
+    named = [f"k{n}" for n in range(len(kept))]  # free of any name used below
+    columns = [F.col(common.quoted(c)).alias(n) for c, n in zip(kept, named, strict=True)]
+    rows = pages.select(*columns, host(own).alias("host"), path(own).alias("path"), address(own).alias("node"))
     links = spark.createDataFrame([], "a string, b string") if html is None else edges(pages, url, html)
     if more is not None:
         links = links.unionByName(more.select(address(F.col("a")).alias("a"), address(F.col("b")).alias("b")))
@@ -116,4 +121,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     aliases = groups.join(verdicts, "component").select("node", F.when(~F.coalesce("some_allow", F.lit(False)) & F.coalesce("some_block", F.lit(False)), "block").otherwise("allow").alias("other"))
     found = matched(rows, listed).join(aliases, "node", "left")
     verdict = F.when(F.col("hit").isNotNull(), F.when(F.col("hit.allow"), "allow").otherwise("block")).otherwise(F.coalesce("other", F.lit("allow")))
-    return found.select(*kept, "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"))
+    return found.select(*(F.col(n).alias(c) for c, n in zip(kept, named, strict=True)), "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"))

@@ -1,10 +1,10 @@
 """Components, URL filters, quotation linking, sharding, extraction and the pipeline."""
 
+import re
 from collections import Counter
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 
 def test_components(spark):
@@ -109,32 +109,187 @@ def test_extraction(spark):
     assert got[4]["text"] == "\n\n".join([("long text here. " * 30).strip(), "short.", ("more text. " * 30).strip()])
 
 
-@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables here")
-def test_pipeline(spark):
-    import sys
+SPACE = re.compile("[^\x20\x09-\x0d]+")
+FOLD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+WORDS = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def _good(t):
+    """The current quality policy, by hand."""
+    w = SPACE.findall(t or "")
+    win = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    times = Counter(win)
+    repeated = {i + j for i, x in enumerate(win) if times[x] > 1 for j in range(8)}
+    n, chars = len(w), sum(map(len, w))
+    symbols, bangs = len(re.findall(r"[#*$%&|<>]", t or "")), (t or "").count("!!")
+    return n >= 20 and 100 * len(repeated) <= 30 * n and 100 * symbols <= 20 * n and 100 * bangs <= 30 * n and 2 * n <= chars <= 30 * n
+
+
+def _one_of_each(rows):
+    """The row with the smallest id of each component of near copies (five words, 0.8)."""
+    sets = []
+    for r in rows:
+        w = SPACE.findall(lower(r[1]))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)]))
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((comp[a], comp[b]))
+                comp = [lo if c == hi else c for c in comp]
+    first = {}
+    for r, c in zip(rows, comp, strict=True):
+        first[c] = min(first.get(c, r), r, key=lambda x: (x[0] is None, x[0] or 0))
+    return list(first.values())
+
+
+def _without_repeats(rows):
+    """Texts without windows of 20 words that come earlier; what the cut leaves between words stays."""
+    seen, out = set(), []
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        spans = [m.span() for m in WORDS.finditer(r[1])]
+        w = [r[1][a:b] for a, b in spans]
+        gone = set()
+        for i in range(len(w) - 19):
+            k = tuple(w[i : i + 20])
+            if k in seen:
+                gone.update(range(i, i + 20))
+            seen.add(k)
+        kept, text, at = [i for i in range(len(w)) if i not in gone], "", 0
+        if gone and kept:
+            for i in range(len(w)):
+                end = spans[i + 1][0] if i + 1 < len(w) else len(r[1])
+                if i not in gone:
+                    text += r[1][at:end] if at <= spans[i][0] else r[1][spans[i][0] : end]
+                at = max(at, end)
+            last = kept[-1]
+            if last + 1 < len(w):  # a cut at the end takes the blank before it
+                text = text[: len(text) - (spans[last + 1][0] - spans[last][1])]
+        out.append((r[0], text if gone else r[1], *r[2:]))
+    return out
+
+
+def _hit(t, items):
+    w = FOLD.findall(lower(t))
+    for _, x in items:
+        b = FOLD.findall(lower(x))
+        for win in [b[i : i + 10] for i in range(len(b) - 9)] if len(b) >= 10 else [b] if b else []:
+            if any(w[i : i + len(win)] == win for i in range(len(w) - len(win) + 1)):
+                return True
+    return False
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import random
+
+    import sentencepiece
 
-    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
     import corpus_pipeline
+    from panelyard.llm import pieces
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    base, shared, question = [prose(120) for _ in range(30)], prose(60), prose(14)
+    texts = [
+        *base, base[0], base[1].replace(" ", "  "), base[2].rsplit(" ", 2)[0], base[3] + " extra words", base[4].upper(), " ".join(["again and again"] * 60), prose(10), "", None, "# " * 80,
+        prose(40) + "\n" + shared + "\n" + prose(30), shared + " " + prose(50), prose(50) + " " + shared, prose(40) + " " + question + " " + prose(40), prose(30) + " " + question.upper().replace(" ", ", ") + ". " + prose(30),
+        prose(3000), "É à " + prose(40) + "\t日本\n", prose(25) + " ▁x", shared, prose(22) + "!!" * 3,
+    ]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts, strict=True)]
+    rows += [rows[0], rows[35], (None, base[7], None, None, None), (None, prose(70), None, None, None), (None, None, None, None, None)]
+    items = [("q1", question), ("q2", None), ("q3", prose(30)), ("q4", "two words")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    kept = [r for r in rows if _good(r[1])]
+    want = [r for r in _without_repeats(_one_of_each(kept)) if not _hit(r[1], items)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 25 < len(got) < len(kept) < len(rows)
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in want)
+    assert all(r["round_trip"] and r["n_chars"] == len(r["text"]) and r["ids"] == sp.encode(r["text"]) for r in got)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "text", "ids"} <= set(out.columns)
+
+
+def test_stages_pass_extra_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    text = " ".join(f"word{k}x" for k in range(40))
+    df = spark.createDataFrame([(k, text + f" tail{k}", k, k, k, k) for k in range(2)], "doc_id bigint, text string, n_chars bigint, `key` int, `H` int, __key int").selectExpr("*", "1 AS sig", "2 AS grp", "3 AS n_words", "4 AS pos", "5 AS __grp", "6 AS IDS")
+    spark.createDataFrame([("q", "nothing of the kind")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        assert out.count() == (1 if name == "ngram_jaccard_join" else 2)
+        if name != "sentencepiece_encoding":
+            assert out.columns == df.columns
+            assert out.select("sig", "grp", "n_words", "pos", "__grp", "IDS").distinct().collect() == [(1, 2, 3, 4, 5, 6)], name
+
+
+def test_url_filters_take_any_names(spark):
+    from panelyard.llm import urls
+
+    pages = [(1, "https://m.example.org/en/17", None), (2, "http://a.net/x", '<link rel="canonical" href="http://x.com/de/q">')]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    clash = df.selectExpr("*", "1 AS rules", "2 AS other", "3 AS hit", "4 AS node", "5 AS k0", "6 AS HOST", "7 AS labels", "8 AS component", "9 AS r_host")
+    out = urls.judge(clash, urls.RULES)
+    assert out.columns == ["page_id", "url", "html", "rules", "other", "hit", "node", "k0", "labels", "component", "r_host", "host", "path", "rule", "verdict"]
+    assert [(r["verdict"], r["rules"], r["other"], r["hit"], r["node"], r["k0"], r["r_host"], r["host"]) for r in out.orderBy("page_id").collect()] == [("block", 1, 2, 3, 4, 5, 9, "m.example.org"), ("block", 1, 2, 3, 4, 5, 9, "a.net")]
+
+
+def test_lookup_table_is_filled_in_turns_by_preference(spark):
+    import hashlib
+
+    from panelyard.llm import shards
+
+    names, size = ["red", "green", "blue"], 101
+    orders = []
+    for name in names:  # each shard's whole order of slots, written out
+        d = hashlib.sha256(name.encode()).digest()
+        start, step = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:16], "big") % (size - 1) + 1
+        orders.append([(start + k * step) % size for k in range(size)])
+        assert sorted(orders[-1]) == list(range(size))
+    want = {}
+    while len(want) < size:
+        for k, order in enumerate(orders):
+            if len(want) < size:
+                want[next(s for s in order if s not in want)] = k
+    assert shards.fill(names, size) == [want[s] for s in range(size)]
+
+
+def test_shards_are_written_and_counted(spark, tmp_path):
+    from panelyard.llm import shards
+
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(300)], "doc_id bigint, text string")
+    placed = shards.place(df, ["a", "b"], "doc_id", "text", 101)
+    shards.write(placed, str(tmp_path / "out"), 2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["shard"]: r["n_rows"] for r in shards.balance(placed).collect()} == {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()}
+    assert back.count() == 300
+
 
+def test_written_tables_are_deleted(spark):
     from panelyard.llm import common
 
-    d = "/root/testdata/sf0.001"
-    docs = common.table(spark, d, "documents")
-    kept, names = {r["doc_id"] for r in docs.collect()}, docs.columns
-    out = corpus_pipeline.run(spark, d)
-    rows = out.collect()
-    assert {r["doc_id"] for r in rows} <= kept and len(rows) == len({r["doc_id"] for r in rows}) and set(names) <= set(out.columns)
-    assert all(r["round_trip"] for r in rows)
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert all(len(r["text"]) <= len(texts[r["doc_id"]]) for r in rows)
-    seen = set()
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        w = r["text"].split()
-        own = {tuple(w[i : i + 20]) for i in range(len(w) - 19)}
-        # A cut may join words into windows that an earlier text has by chance; none does here.
-        assert not own & seen
-        seen |= own
-    assert out.where(F.col("n_chars") != F.char_length("text")).count() == 0
+    df = common.written(spark.range(5).toDF("a"), "gone")
+    at = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert Path(at).exists()
+    common.dropped(df)
+    assert not Path(at).exists()
 
 
 @pytest.mark.parametrize("mark", ["class='content has-sidebar'", "class=with-ads", "class='main no-comments'", "id=skip-target", "class=sidebar"])

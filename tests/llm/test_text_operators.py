@@ -164,12 +164,12 @@ def test_jaccard_representatives(spark, docs):
 def test_decontamination(spark, docs, rows):
     from panelyard.llm import decontam
 
-    items = [(1, passage(1, 30)), (2, passage(2, 12).upper()), (3, "One, two"), (4, None), (5, "..."), (10, passage(9, 10)), (1, passage(3, 11))]
+    items = [(1, passage(1, 30)), (2, passage(2, 12).upper()), (3, "One, two"), (4, None), (5, "..."), (10, passage(9, 10)), (1, passage(3, 11)), (11, "same " * 12), (12, "one"), (None, passage(5, 14))]
     windows = {}
     for i, t in items:
         w = FOLD.findall(lower(t))
         for x in [tuple(w[k : k + 10]) for k in range(len(w) - 9)] if len(w) >= 10 else [tuple(w)] if w else []:
-            windows.setdefault(x, set()).add(str(i))
+            windows.setdefault(x, set()).update([] if i is None else [str(i)])
     want = Counter()
     for r in rows:
         w = FOLD.findall(lower(r[1]))
@@ -181,12 +181,12 @@ def test_decontamination(spark, docs, rows):
                     named |= ids
         want[(r[0], len(w), len(hit), len(named), ",".join(sorted(named)), bool(hit))] += 1
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for limit in (decontam.BROADCAST_ROWS, 0):  # by broadcast, and by shuffled hashes
-        before, decontam.BROADCAST_ROWS = decontam.BROADCAST_ROWS, limit
+    for limit in (decontam.BROADCAST_BYTES, 0):  # by broadcast, and by shuffled hashes
+        before, decontam.BROADCAST_BYTES = decontam.BROADCAST_BYTES, limit
         try:
             got = decontam.scan(docs, bench).collect()
         finally:
-            decontam.BROADCAST_ROWS = before
+            decontam.BROADCAST_BYTES = before
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["item_ids"]), r["contaminated"]) for r in got) == want
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns
