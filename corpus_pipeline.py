@@ -26,10 +26,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that come earlier; n_chars follows, emptied documents stay."""
-    cut = substrings.dedup(docs).drop("n_words", "n_removed", "removed")
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    return cut.select(*(common.quoted(c) for c in docs.columns))
+    cut = substrings.cleaned(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else cut
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece_encoding", sentencepiece_encoding),
 ]
 
-#: The last stage's ids aren't an SQL expression; tests hold the rows against brute force.
+#: The last stage's ids aren't an SQL expression; tests hold run()'s rows against brute force.
 ORACLE_SQL = None
 
 
