@@ -43,33 +43,36 @@ def regime(df: DataFrame, columns: list[str], system: list[str], breaks: list[in
 
 
 def break_grid(df: DataFrame, columns: list[str], system: list[str], breaks: tuple[int, int], reach: int, date: str = "d", fixed: list[str] | None = None) -> DataFrame:
-    """Fits with both breaks moved by up to `reach` rows.
+    """(system, s1, s2, loglik_free, loglik_one, lr, error): both breaks moved by up to `reach` rows.
 
-    One pass sums the rows between neighbouring edges; each grid point adds the pieces up.
+    One pass sums the rows between neighbouring edges. A task takes a system's pieces and one
+    place of the first break, cumulates them, and fits every place of the second.
     """
     rows, names, s = design(df, columns, system, date, fixed)
     edges = sorted({b + k for b in breaks for k in range(-reach, reach + 1)})
     pieces = moments.gram_rows(rows.withColumn("piece", panel.segment(F.col("t"), edges)), names, [*system, "piece"])
-    grid = df.sparkSession.createDataFrame([(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)], "s1 int, s2 int")
-    tail = "loglik_free double, loglik_one double, lr double, error string"
-    keys = [*system, "s1", "s2"]
-    each = pieces.crossJoin(F.broadcast(grid)).repartition(tables.partitions(df.sparkSession), *keys)
+    tail = "s2 int, loglik_free double, loglik_one double, lr double, error string"
+    keys, steps = [*system, "s1"], range(-reach, reach + 1)
+    each = pieces.withColumn("s1", F.explode(F.array(*(F.lit(k) for k in steps)))).repartition(tables.partitions(df.sparkSession), *keys)
+    fields = [*keys, *(x.split()[0] for x in tail.split(", "))]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        base = {c: part[c].iloc[0] for c in keys}
-        cuts = [breaks[0] + int(base["s1"]), breaks[1] + int(base["s2"])]
-        where = [sum(e <= c for e in edges) for c in cuts]  # pieces before each cut
-        grams, counts = [], []
-        for lo, hi in zip([0, *where], [*where, len(edges) + 1], strict=True):
-            inside = part[(part["piece"] >= lo) & (part["piece"] < hi)]
-            grams.append(sum(square(g, s.size) for g in inside["g"]))
-            counts.append(int(inside["n"].sum()))
-        try:
-            free, one = rank.both_fits(grams, counts, s, tol=1e-8, most=200)
-            row = {"loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik)}
-        except Exception as e:  # noqa: BLE001  a grid point that fails is a row with its error
-            row = {"error": str(e)}
-        return pd.DataFrame([base | row], columns=[*keys, *(x.split()[0] for x in tail.split(", "))], dtype=object)
+        base, out = {c: part[c].iloc[0] for c in keys}, []
+        sums, counts = np.zeros((len(edges) + 2, s.size, s.size)), np.zeros(len(edges) + 2, np.int64)
+        for piece, g, n in zip(part["piece"], part["g"], part["n"], strict=True):
+            sums[piece + 1], counts[piece + 1] = square(g, s.size), n
+        sums, counts = sums.cumsum(0), counts.cumsum()
+        for s2 in steps:
+            row = dict.fromkeys(fields) | base | {"s2": s2}
+            ends = [0, *(sum(e <= c for e in edges) for c in (breaks[0] + int(base["s1"]), breaks[1] + s2)), len(edges) + 1]
+            at = list(zip(ends[:-1], ends[1:], strict=True))
+            try:
+                free, one = rank.both_fits([sums[b] - sums[a] for a, b in at], [int(counts[b] - counts[a]) for a, b in at], s, tol=1e-8, most=200)
+                row |= {"loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik)}
+            except Exception as e:  # noqa: BLE001  a grid point that fails is a row with its error
+                row["error"] = str(e)
+            out.append(row)
+        return pd.DataFrame(out, columns=fields, dtype=object)
 
     return each.groupBy(*keys).applyInPandas(run, f"{rank._head(each, keys)}, {tail}")
 

@@ -370,3 +370,80 @@ def test_registry_takes_new_specifications(spark):
         assert all(0 <= r["p"] <= 1 for r in got.values())
     finally:
         del compare.SPECS["twice"]
+
+
+def test_break_grid_equals_separate_fits(spark):
+    from panelyard.plans import fits
+
+    df = _walk(spark, n=160, p=2, systems=2)
+    grid = {(r["sys"], r["s1"], r["s2"]): r for r in fits.break_grid(df, ["x0", "x1"], ["sys"], (60, 110), 2).collect()}
+    assert len(grid) == 50
+    for s1, s2 in ((0, 0), (-2, 1), (2, 2)):
+        for r in fits.regime(df, ["x0", "x1"], ["sys"], [60 + s1, 110 + s2]).collect():
+            assert abs(grid[r["sys"], s1, s2]["loglik_free"] - r["loglik_free"]) < 1e-3 and abs(grid[r["sys"], s1, s2]["loglik_one"] - r["loglik_one"]) < 1e-3
+
+
+def test_portmanteau_and_arch_equal_their_formulas(spark):
+    from panelyard.functions import dist
+    from panelyard.operators import unitroot
+
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=(120, 2))
+    df = spark.createDataFrame([(t, *map(float, r)) for t, r in enumerate(e)], "d int, a double, b double")
+    n, lags, k = 120, 4, 2
+    c = [sum(np.outer(e[t], e[t - s]) for t in range(s, n)) / n for s in range(lags + 1)]
+    inv = np.linalg.inv(c[0])
+    q = n * n * sum(np.trace(c[s].T @ inv @ c[s] @ inv) / (n - s) for s in range(1, lags + 1))
+    got = unitroot.hosking(df, ["a", "b"], lags, k, []).first()
+    assert abs(got["q"] - q) < 1e-8 and got["df"] == 4 * (lags - 1) and abs(got["p"] - dist.chi2_sf_exact(q, 12)) < 1e-12
+    sq = e[:, 0] ** 2
+    z = np.column_stack([np.ones(n - 3), *(sq[3 - i : n - i] for i in range(1, 4))])
+    res = sq[3:] - z @ np.linalg.lstsq(z, sq[3:], rcond=None)[0]
+    lm = (n - 3) * (1 - (res**2).sum() / ((sq[3:] - sq[3:].mean()) ** 2).sum())
+    assert abs(unitroot.arch_lm_q(df.withColumn("k", F.lit(1)), ["k"], 3, "a").first()["lm"] - lm) < 1e-8
+
+
+def test_lag_choice_equals_least_squares(spark):
+    from panelyard.operators import unitroot
+
+    rng = np.random.default_rng(9)
+    x = np.zeros(150)
+    for t in range(2, 150):
+        x[t] = x[t - 1] + 0.5 * (x[t - 1] - x[t - 2]) + rng.normal()
+    df = spark.createDataFrame([("s", t, float(v)) for t, v in enumerate(x)], "k string, d int, value double")
+    top, dx = 6, np.diff(x)
+
+    def fit(p, first):
+        rows = range(first, len(dx))
+        z = np.array([[x[t], 1.0, *(dx[t - i] for i in range(1, p + 1))] for t in rows])
+        y = dx[first:]
+        b, ss = np.linalg.lstsq(z, y, rcond=None)[:2]
+        return b, ss[0], z, len(y)
+
+    aic = []
+    for p in range(top + 1):
+        _, ss, z, n = fit(p, top)
+        aic.append(n * (math.log(2 * math.pi * ss / n) + 1) + 2 * z.shape[1])
+    best = int(np.argmin(aic))
+    b, ss, z, n = fit(best, best)
+    t = b[0] / math.sqrt(ss / (n - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0])
+    got = unitroot.adf_aic(df, ["k"], max_lag=top).first()
+    assert (got["lag"], got["n"]) == (best, n) and abs(got["t"] - t) < 1e-8
+
+
+def test_companion_roots_equal_the_simulated_system(spark):
+    from panelyard.operators import moments, rank
+    from panelyard.operators.unitroot import square
+    from panelyard.plans import fits
+
+    rows, names, s = fits.design(_walk(spark, n=200, p=2, systems=1), ["x0", "x1"], ["sys"])
+    grams = moments.gram_rows(rows, names, ["sys"])
+    got = rank.companion_roots(grams, ["sys"], s, 1).first()["roots"]
+    r = grams.first()
+    g = square(r["g"], s.size)
+    f = rank.fit([g], [r["n"]], s, rank.johansen(g, r["n"], s)[1][:, :1], None, None)
+    pi, gamma = f.alpha @ f.beta.T, f.psi[:, :2]
+    # x_t = (I + Pi + G) x_{t-1} - G x_{t-2}: the roots of its determinant's polynomial.
+    grid = [np.linalg.det(np.eye(2) * z * z - (np.eye(2) + pi + gamma) * z + gamma) for z in (0, 1, -1, 2, -2)]
+    poly = np.polyfit([0, 1, -1, 2, -2], grid, 4)
+    assert np.allclose(sorted(np.abs(np.roots(poly)), reverse=True), got, atol=1e-6) and abs(got[0] - 1) < 1e-6
