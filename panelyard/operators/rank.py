@@ -63,6 +63,18 @@ def johansen(g: np.ndarray, n: int, s: Shape) -> tuple[np.ndarray, np.ndarray, f
     return np.clip(lam[order], 0, 1 - 1e-15), np.linalg.solve(left.T, v[:, order]), float(np.linalg.slogdet(s00)[1])
 
 
+def eigenvalues(w: np.ndarray, s: Shape) -> np.ndarray:
+    """Eigenvalues (falling) of many samples' rows y, x, z at once: samples, rows, columns."""
+    g = w.transpose(0, 2, 1) @ w
+    a = s.y + s.x
+    c = g[:, a][:, :, a]
+    if s.p2:
+        c = c - g[:, a][:, :, s.z] @ np.linalg.solve(g[:, s.z][:, :, s.z], g[:, s.z][:, :, a])
+    s00, s01, s11 = c[:, : s.p, : s.p], c[:, : s.p, s.p :], c[:, s.p :, s.p :]
+    half = np.linalg.solve(np.linalg.cholesky(s11), s01.transpose(0, 2, 1))
+    return np.clip(np.linalg.eigvalsh(half @ np.linalg.solve(s00, half.transpose(0, 2, 1)))[:, ::-1], 0, 1 - 1e-15)
+
+
 def rank_loglik(lam: np.ndarray, logdet: float, n: int, p: int, r: int) -> float:
     return -n / 2 * (p * (1 + math.log(2 * math.pi)) + logdet + float(np.log(1 - lam[:r]).sum()))
 

@@ -84,7 +84,8 @@ def recursive_ar1(rows: DataFrame, keys: list[str], value: str, b: int, seed: in
 
 def bootstrap_rank(levels: DataFrame, columns: list[str], system: list[str], r0: int, b: int, seed: int, order: str = "d", chunk: int = 100) -> DataFrame:
     """Trace statistics of replicates with rank r0 imposed, rebuilt recursively from observed
-    first values; (system, j, trace). The parallel axis is (system, block of replicates).
+    first values; (system, j, lr). The parallel axis is (system, block of replicates); a
+    block's replicates advance, and are decomposed, together.
     """
     p = len(columns)
     s = rank.Shape(p, p, p + 1)
@@ -100,39 +101,37 @@ def bootstrap_rank(levels: DataFrame, columns: list[str], system: list[str], r0:
         y, lx, z = d[1:], x[1:-1], np.hstack([d[:-1], np.ones((n, 1))])
         w = np.hstack([y, lx, z])
         g = w.T @ w
-        if r0:
-            f = rank.fit([g], [n], s, rank.johansen(g, n, s)[1][:, :r0], None, None)
-            pi, psi = f.alpha @ f.beta.T, f.psi
-        else:
-            pi, psi = np.zeros((p, p)), np.linalg.solve(g[np.ix_(s.z, s.z)], g[np.ix_(s.z, s.y)]).T
+        # With free relations the eigenvectors are the best, and loadings follow by least squares.
+        beta = rank.johansen(g, n, s)[1][:, :r0]
+        loadings = rank.loadings_of([g], s, beta)
+        pi, psi = loadings[:, :r0] @ beta.T, loadings[:, r0:]
         e = y - lx @ pi.T - z @ psi.T
         first = int(rows["block"].iloc[0]) * chunk
         js = list(range(first + 1, min(first + chunk, b) + 1))
         weights = signs(seed, js, n)
-        path, out = np.empty((len(js), n + 2, p)), []
+        path = np.empty((len(js), n + 2, p))
         path[:, :2] = x[:2]
         for t in range(n):
             step = path[:, t + 1] @ pi.T + (path[:, t + 1] - path[:, t]) @ psi[:, :p].T + psi[:, p] + weights[:, t, None] * e[t]
             path[:, t + 2] = path[:, t + 1] + step
-        for j, q in zip(js, path, strict=True):
-            dq = np.diff(q, axis=0)
-            w = np.hstack([dq[1:], q[1:-1], dq[:-1], np.ones((n, 1))])
-            lam = rank.johansen(w.T @ w, n, s)[0]
-            out.append(base | {"j": j, "lr": float(-n * np.log(1 - lam[r0:]).sum())})
-        return pd.DataFrame(out, columns=[*system, "j", "lr"])
+        dq = np.diff(path, axis=1)
+        lam = rank.eigenvalues(np.concatenate([dq[:, 1:], path[:, 1:-1], dq[:, :-1], np.ones((len(js), n, 1))], 2), s)
+        trace = -n * np.log(1 - lam[:, r0:]).sum(1)
+        return pd.DataFrame({**{c: [v] * len(js) for c, v in base.items()}, "j": js, "lr": trace})
 
     head = rank._head(levels, system)
     return blocks.groupBy(*keys).applyInPandas(run, ", ".join(filter(None, [head, "j int, lr double"])))
 
 
-def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, order: str = "d", chunk: int = 25) -> DataFrame:
+def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, order: str = "d", chunk: int = 25, only: DataFrame | None = None) -> DataFrame:
     """(system, j, lr, b): LR of b = 1 in replicates drawn under b = 1, one covariance a segment.
 
     breaks [] is the iid model. Each task holds one system's rows and a block of replicates,
     whose paths advance together. A replicate is fitted from three free starts (the system's
     own fit, its closed form, the replicate's restricted fit) and two restricted ones (the
     system's own, the closed form's loadings), so LR is not negative but for rounding. A
-    replicate whose algebra fails has null lr.
+    replicate whose algebra fails has null lr. only: (system, block) to draw, blocks of
+    `chunk` replicates from 0.
     """
     p = len(columns)
     s = rank.Shape(p, p, p + 1)
@@ -140,6 +139,8 @@ def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], break
     ones = rank.spread_basis(np.ones(p - 1))
     pinned = (np.zeros((ones.size, 0)), ones.ravel("F"))
     blocks = levels.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // chunk))))
+    if only is not None:
+        blocks = tables.joined(blocks, only, [*system, "block"], "left_semi")
     blocks = blocks.repartition(tables.partitions(levels.sparkSession), *system, "block")
 
     def grams_of(x: np.ndarray) -> tuple[list[np.ndarray], list[int]]:

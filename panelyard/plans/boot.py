@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import moments, rank, replication, resample
+from ..sources import results, tables
 from . import fits
 
 
-def rank_pvalues(levels: DataFrame, columns: list[str], system: list[str], b: int, seed: int, date: str = "d", chunk: int = 25) -> DataFrame:
+def rank_pvalues(levels: DataFrame, columns: list[str], system: list[str], b: int, seed: int, date: str = "d", chunk: int = 250) -> DataFrame:
     """P-values of the observed trace statistic for every rank r0 from 0 to p - 1, in one job."""
     draws = None
     for r0 in range(len(columns)):
@@ -18,8 +19,8 @@ def rank_pvalues(levels: DataFrame, columns: list[str], system: list[str], b: in
     rows, names, s = fits.design(levels, columns, system, date)
     observed = rank.trace_test(moments.gram_rows(rows, names, system), system, s).select(*system, F.col("r").alias("r0"), F.col("trace").alias("observed"))
     keys = [*system, "r0"]
-    found = replication.bootstrap_pvalue(draws.join(observed, keys), keys, "observed")
-    return found.join(observed, keys)
+    found = replication.bootstrap_pvalue(tables.joined(draws, observed, keys), keys, "observed")
+    return tables.joined(found, observed, keys)
 
 
 def lr_pvalues(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, date: str = "d", chunk: int = 25) -> DataFrame:
@@ -29,7 +30,20 @@ def lr_pvalues(levels: DataFrame, columns: list[str], system: list[str], breaks:
         fitted = fits.regime(levels, columns, system, cuts, date) if cuts else fits.iid(levels, columns, system, date)
         observed = fitted.select(*system, F.col("lr").alias("observed"))
         draws = resample.bootstrap_lr(levels, columns, system, cuts, b, seed, date, chunk)
-        each = draws.join(observed, system) if system else draws.crossJoin(F.broadcast(observed))
+        each = tables.joined(draws, observed, system)
         one = replication.bootstrap_pvalue(each, [*system, "observed"], "observed").withColumn("spec", F.lit(spec))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def resumed_lr(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, path: str, date: str = "d", chunk: int = 25) -> DataFrame:
+    """The draws of bootstrap_lr, kept as a table: only blocks with missing replicates are drawn
+    and appended, so a stopped job goes on and a larger b adds to a smaller one."""
+    plan = levels.select(*system).distinct().withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(b))))
+
+    def job(missing: DataFrame) -> DataFrame:
+        only = missing.select(*system, F.floor((F.col("j") - 1) / chunk).cast("int").alias("block")).distinct()
+        draws = resample.bootstrap_lr(levels, columns, system, breaks, b, seed, date, chunk, only)
+        return tables.joined(draws, missing, [*system, "j"], "left_semi")
+
+    return results.resume_append(plan, path, [*system, "j"], job, [])

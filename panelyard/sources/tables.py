@@ -38,7 +38,8 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     names = {k: f"__right_{k}" for k in keys}
     other = right.withColumnsRenamed(names)
     same = [left[k].eqNullSafe(other[n]) for k, n in names.items()]
-    return left.join(other, same or None, how if same else "cross").drop(*names.values())
+    met = left.join(other, same or None, how if same else "cross")
+    return met if how in ("left_semi", "left_anti") else met.drop(*names.values())
 
 
 def with_mean(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:

@@ -447,3 +447,26 @@ def test_companion_roots_equal_the_simulated_system(spark):
     grid = [np.linalg.det(np.eye(2) * z * z - (np.eye(2) + pi + gamma) * z + gamma) for z in (0, 1, -1, 2, -2)]
     poly = np.polyfit([0, 1, -1, 2, -2], grid, 4)
     assert np.allclose(sorted(np.abs(np.roots(poly)), reverse=True), got, atol=1e-6) and abs(got[0] - 1) < 1e-6
+
+
+def test_bootstrap_draws_are_resumed(spark, tmp_path):
+    from panelyard.operators import resample
+    from panelyard.plans import boot
+
+    df, columns = _walk(spark, n=70, p=2), ["x0", "x1"]
+    path = str(tmp_path / "draws")
+    assert boot.resumed_lr(df, columns, ["sys"], [], 5, 3, path, chunk=4).count() == 10
+    before = {(r["sys"], r["j"]): r["lr"] for r in spark.read.parquet(path).collect()}
+    after = {(r["sys"], r["j"]): r["lr"] for r in boot.resumed_lr(df, columns, ["sys"], [], 9, 3, path, chunk=4).collect()}
+    whole = {(r["sys"], r["j"]): r["lr"] for r in resample.bootstrap_lr(df, columns, ["sys"], [], 9, 3, chunk=4).collect()}
+    assert len(after) == 18 and all(after[k] == v for k, v in before.items()) and all(abs(after[k] - v) < 1e-9 for k, v in whole.items())
+
+
+def test_many_samples_decompose_as_one(spark):
+    from panelyard.operators import rank
+
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=(6, 80, 7))
+    s = rank.Shape(2, 3, 2)
+    for q, lam in zip(w, rank.eigenvalues(w, s), strict=True):
+        assert np.allclose(lam, rank.johansen(q.T @ q, 80, s)[0], atol=1e-12)
