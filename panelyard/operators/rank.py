@@ -63,16 +63,22 @@ def johansen(g: np.ndarray, n: int, s: Shape) -> tuple[np.ndarray, np.ndarray, f
     return np.clip(lam[order], 0, 1 - 1e-15), np.linalg.solve(left.T, v[:, order]), float(np.linalg.slogdet(s00)[1])
 
 
-def eigenvalues(w: np.ndarray, s: Shape) -> np.ndarray:
-    """Eigenvalues (falling) of many samples' rows y, x, z at once: samples, rows, columns."""
-    g = w.transpose(0, 2, 1) @ w
+def decomposed(g: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """As `johansen`, for many Grams at once: eigenvalues (falling) and vectors of each."""
     a = s.y + s.x
     c = g[:, a][:, :, a]
     if s.p2:
         c = c - g[:, a][:, :, s.z] @ np.linalg.solve(g[:, s.z][:, :, s.z], g[:, s.z][:, :, a])
     s00, s01, s11 = c[:, : s.p, : s.p], c[:, : s.p, s.p :], c[:, s.p :, s.p :]
-    half = np.linalg.solve(np.linalg.cholesky(s11), s01.transpose(0, 2, 1))
-    return np.clip(np.linalg.eigvalsh(half @ np.linalg.solve(s00, half.transpose(0, 2, 1)))[:, ::-1], 0, 1 - 1e-15)
+    left = np.linalg.cholesky(s11)
+    half = np.linalg.solve(left, s01.transpose(0, 2, 1))
+    lam, v = np.linalg.eigh(half @ np.linalg.solve(s00, half.transpose(0, 2, 1)))
+    return np.clip(lam[:, ::-1], 0, 1 - 1e-15), np.linalg.solve(left.transpose(0, 2, 1), v[:, :, ::-1])
+
+
+def eigenvalues(w: np.ndarray, s: Shape) -> np.ndarray:
+    """Eigenvalues of many samples' rows y, x, z: samples, rows, columns."""
+    return decomposed(w.transpose(0, 2, 1) @ w, s)[0]
 
 
 def rank_loglik(lam: np.ndarray, logdet: float, n: int, p: int, r: int) -> float:
@@ -181,6 +187,57 @@ def fit(grams: list[np.ndarray], counts: list[int], s: Shape, beta: np.ndarray,
     return Fit(alpha, beta, psi, omegas, now, step, done)
 
 
+def many_loadings(g: np.ndarray, s: Shape, beta: np.ndarray) -> np.ndarray:
+    """As `loadings_of`, for many Grams at once."""
+    k = np.zeros((len(g), beta.shape[2] + s.p2, s.size))
+    k[:, : beta.shape[2], s.x], k[:, beta.shape[2] :, s.z] = beta.transpose(0, 2, 1), np.eye(s.p2)
+    return np.linalg.solve(k @ g @ k.transpose(0, 2, 1), k @ g[:, :, s.y]).transpose(0, 2, 1)
+
+
+def many_fits(grams: list[np.ndarray], counts: list[int], s: Shape, beta: np.ndarray, restriction: tuple[np.ndarray, np.ndarray] | None, first: np.ndarray | None = None, tol: float = 1e-8, most: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `fit`, for many samples at once: relations, loadings and log-likelihood of each.
+
+    grams: for each segment, one Gram a sample; restriction: H and h of the relations (None:
+    they stay as given). All samples ascend until each has met tol, or `most` times.
+    """
+    j, r = len(beta), beta.shape[2]
+    q, p = r + s.p2, s.p
+    a = many_loadings(sum(grams), s, beta) if first is None else first
+    constant, last, done = p * (1 + math.log(2 * math.pi)), np.full(j, -np.inf), np.zeros(j, bool)
+
+    def omegas() -> list[np.ndarray]:
+        b = np.concatenate([np.broadcast_to(np.eye(p), (j, p, p)), -a[:, :, :r] @ beta.transpose(0, 2, 1), -a[:, :, r:]], 2)
+        return [b @ g @ b.transpose(0, 2, 1) / n for g, n in zip(grams, counts, strict=True)]
+
+    now = omegas()
+    for _ in range(most):
+        weights = [np.linalg.inv(o) for o in now]
+        if restriction is not None:
+            hm, h = restriction
+            m, v = 0.0, 0.0
+            alpha, psi = a[:, :, :r], a[:, :, r:]
+            for w, g in zip(weights, grams, strict=True):
+                gx = g[:, s.x]
+                m = m + np.einsum("jab,jxy->jaxby", alpha.transpose(0, 2, 1) @ w @ alpha, gx[:, :, s.x]).reshape(j, r * s.p1, r * s.p1)
+                v = v + ((gx[:, :, s.y] - gx[:, :, s.z] @ psi.transpose(0, 2, 1)) @ w @ alpha).transpose(0, 2, 1).reshape(j, -1)
+            f = np.linalg.solve(hm.T @ m @ hm, ((v - m @ h) @ hm)[:, :, None])[:, :, 0]
+            beta = (f @ hm.T + h).reshape(j, r, s.p1).transpose(0, 2, 1)
+        k = np.zeros((j, q, s.size))
+        k[:, :r, s.x], k[:, r:, s.z] = beta.transpose(0, 2, 1), np.eye(s.p2)
+        m, v = 0.0, 0.0
+        for w, g in zip(weights, grams, strict=True):
+            m = m + np.einsum("jcd,jik->jcidk", k @ g @ k.transpose(0, 2, 1), w).reshape(j, q * p, q * p)
+            v = v + (w @ g[:, s.y] @ k.transpose(0, 2, 1)).transpose(0, 2, 1).reshape(j, -1)
+        a = np.linalg.solve(m, v[:, :, None])[:, :, 0].reshape(j, q, p).transpose(0, 2, 1)
+        now = omegas()
+        value = sum(-n / 2 * (constant + np.linalg.slogdet(o)[1]) for o, n in zip(now, counts, strict=True))
+        done |= np.abs(value - last) <= tol * (1 + np.abs(value))
+        last = value
+        if done.all():
+            break
+    return beta, a, last
+
+
 def fit_one(grams: list[np.ndarray], counts: list[int], s: Shape, **limits: float) -> Fit:
     """With b at 1."""
     r = s.p1 - 1

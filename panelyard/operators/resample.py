@@ -123,7 +123,7 @@ def bootstrap_rank(levels: DataFrame, columns: list[str], system: list[str], r0:
     return blocks.groupBy(*keys).applyInPandas(run, ", ".join(filter(None, [head, "j int, lr double"])))
 
 
-def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, order: str = "d", chunk: int = 25, only: DataFrame | None = None) -> DataFrame:
+def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, order: str = "d", chunk: int = 250, only: DataFrame | None = None) -> DataFrame:
     """(system, j, lr, b): LR of b = 1 in replicates drawn under b = 1, one covariance a segment.
 
     breaks [] is the iid model. Each task holds one system's rows and a block of replicates,
@@ -135,49 +135,70 @@ def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], break
     """
     p = len(columns)
     s = rank.Shape(p, p, p + 1)
-    hm, h = rank.basis_restriction(p - 1)
+    free_basis = rank.basis_restriction(p - 1)
     ones = rank.spread_basis(np.ones(p - 1))
-    pinned = (np.zeros((ones.size, 0)), ones.ravel("F"))
     blocks = levels.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // chunk))))
     if only is not None:
         blocks = tables.joined(blocks, only, [*system, "block"], "left_semi")
     blocks = blocks.repartition(tables.partitions(levels.sparkSession), *system, "block")
 
     def grams_of(x: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-        d = np.diff(x, axis=0)
-        n = len(d) - 1
-        w = np.hstack([d[1:], x[1:-1], d[:-1], np.ones((n, 1))])
-        parts = np.split(w, [k for k in breaks if k < n])
-        return [q.T @ q for q in parts], [len(q) for q in parts]
+        """One Gram a segment for each path: paths, rows, series."""
+        d = np.diff(x, axis=1)
+        n = d.shape[1] - 1
+        w = np.concatenate([d[:, 1:], x[:, 1:-1], d[:, :-1], np.ones((len(x), n, 1))], 2)
+        parts = np.split(w, [k for k in breaks if k < n], 1)
+        return [q.transpose(0, 2, 1) @ q for q in parts], [q.shape[1] for q in parts]
+
+    def fitted(path: np.ndarray, free: rank.Fit, one: rank.Fit) -> tuple[np.ndarray, np.ndarray]:
+        """LR and b of each path."""
+        grams, counts = grams_of(path)
+        j = len(path)
+        same = lambda m: np.broadcast_to(m, (j, *m.shape))
+        null_of = lambda beta: np.linalg.svd(beta.transpose(0, 2, 1))[2][:, -1]
+        direction = null_of(rank.decomposed(sum(grams), s)[1][:, :, : p - 1])
+        closed = np.concatenate([-(direction[:, 1:] / direction[:, :1])[:, None, :], same(np.eye(p - 1))], 1)
+        pinned = rank.many_loadings(sum(grams), s, closed)
+        nulls = [rank.many_fits(grams, counts, s, same(ones), None, a) for a in (same(one.loadings), pinned)]
+        better = nulls[1][2] > nulls[0][2]
+        null = np.where(better, nulls[1][2], nulls[0][2])
+        own = np.where(better[:, None, None], nulls[1][1], nulls[0][1])
+        frees = [rank.many_fits(grams, counts, s, beta, free_basis, a) for beta, a in ((same(free.beta), same(free.loadings)), (closed, None), (same(ones), own))]
+        values = np.stack([f[2] for f in frees])
+        best = values.argmax(0)
+        direction = null_of(np.stack([f[0] for f in frees])[best, np.arange(j)])
+        return 2 * (values.max(0) - null), direction[:, 1:] / direction[:, :1]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(order)[columns].to_numpy(float)
         base = {c: rows[c].iloc[0] for c in system}
         try:
-            own_free, own_one = rank.both_fits(*grams_of(x), s)
+            grams, counts = grams_of(x[None])
+            own_free, own_one = rank.both_fits([g[0] for g in grams], counts, s)
         except (np.linalg.LinAlgError, ValueError):
             return pd.DataFrame([], columns=[*system, "j", "lr", "b"], dtype=object)
         pi, psi = own_one.alpha @ own_one.beta.T, own_one.psi
         d = np.diff(x, axis=0)
         n = len(d) - 1
         e = d[1:] - x[1:-1] @ pi.T - np.hstack([d[:-1], np.ones((n, 1))]) @ psi.T
-        first, out = int(rows["block"].iloc[0]) * chunk, []
+        first = int(rows["block"].iloc[0]) * chunk
         js = list(range(first + 1, min(first + chunk, b) + 1))
         weights, path = signs(seed, js, n), np.empty((len(js), *x.shape))
         path[:, :2] = x[:2]
         for t in range(n):
             path[:, t + 2] = path[:, t + 1] + path[:, t + 1] @ pi.T + (path[:, t + 1] - path[:, t]) @ psi[:, :p].T + psi[:, p] + weights[:, t, None] * e[t]
-        limits = {"tol": 1e-8, "most": 200}
-        best = lambda found: max(found, key=lambda f: f.loglik)
-        for j, q in zip(js, path, strict=True):
-            try:
-                grams, counts = grams_of(q)
-                closed = rank.implied_b(rank.johansen(sum(grams), sum(counts), s)[1][:, : p - 1])
-                null = best([rank.fit(grams, counts, s, ones, *pinned, first=a, **limits) for a in (own_one.loadings, rank.loadings_of(grams, s, rank.spread_basis(closed)))])
-                free = best([rank.fit(grams, counts, s, beta, hm, h, first=a, **limits) for beta, a in ((own_free.beta, own_free.loadings), (rank.spread_basis(closed), None), (ones, null.loadings))])
-                out.append(base | {"j": j, "lr": 2 * (free.loglik - null.loglik), "b": rank.implied_b(free.beta).tolist()})
-            except (np.linalg.LinAlgError, ValueError):
-                out.append(base | {"j": j, "lr": None, "b": None})
+        out = []
+        try:
+            parts = [(js, *fitted(path, own_free, own_one))]
+        except np.linalg.LinAlgError:  # one path at a time, so that only its own fails
+            parts = []
+            for j, q in zip(js, path, strict=True):
+                try:
+                    parts.append(([j], *fitted(q[None], own_free, own_one)))
+                except np.linalg.LinAlgError:
+                    out.append(base | {"j": j, "lr": None, "b": None})
+        for own, lr, bs in parts:
+            out += [base | {"j": j, "lr": float(v) if np.isfinite(v) else None, "b": x.tolist()} for j, v, x in zip(own, lr, bs, strict=True)]
         return pd.DataFrame(out, columns=[*system, "j", "lr", "b"], dtype=object)
 
     head = rank._head(levels, system)

@@ -23,7 +23,7 @@ def rank_pvalues(levels: DataFrame, columns: list[str], system: list[str], b: in
     return tables.joined(found, observed, keys)
 
 
-def lr_pvalues(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, date: str = "d", chunk: int = 25) -> DataFrame:
+def lr_pvalues(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, date: str = "d", chunk: int = 250) -> DataFrame:
     """P-values of each system's LR of b = 1 under the iid and the regime model."""
     out = None
     for spec, cuts in (("iid", []), ("regime", breaks)):
@@ -36,7 +36,7 @@ def lr_pvalues(levels: DataFrame, columns: list[str], system: list[str], breaks:
     return out
 
 
-def resumed_lr(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, path: str, date: str = "d", chunk: int = 25) -> DataFrame:
+def resumed_lr(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, path: str, date: str = "d", chunk: int = 250) -> DataFrame:
     """The draws of bootstrap_lr, kept as a table: only blocks with missing replicates are drawn
     and appended, so a stopped job goes on and a larger b adds to a smaller one."""
     plan = levels.select(*system).distinct().withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(b))))

@@ -255,13 +255,3 @@ def ar1(df: DataFrame, columns: list[str], system: list[str], date: str = "d", f
 
     tail = "spec string, loglik_free double, loglik_one double, lr double, b array<double>, rho_free double, rho_one double, converged_free boolean, converged_one boolean, error string"
     return rank._per_row(moments.kernel_sums(rows, [*names, *lags], keys, kernel), keys, tail, job).drop("whole")
-
-
-def seasonal_grid(df: DataFrame, columns: list[str], system: list[str], kinds: list[str], date: str = "d") -> DataFrame:
-    """iid fits with each seasonal block."""
-    out = None
-    for kind in kinds:
-        cs = panel.seasonal_columns(kind)
-        one = iid(panel.dummies(df, kind, date), columns, system, date, cs).withColumn("seasonal", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out

@@ -470,3 +470,21 @@ def test_many_samples_decompose_as_one(spark):
     s = rank.Shape(2, 3, 2)
     for q, lam in zip(w, rank.eigenvalues(w, s), strict=True):
         assert np.allclose(lam, rank.johansen(q.T @ q, 80, s)[0], atol=1e-12)
+
+
+def test_many_fits_equal_single_ones():
+    from panelyard.operators import rank
+
+    rng = np.random.default_rng(4)
+    s, n = rank.Shape(2, 2, 3), (70, 50)
+    grams = []
+    for k in n:
+        w = rng.normal(size=(5, k, 7)).cumsum(1) * 0.1 + rng.normal(size=(5, k, 7))
+        grams.append(w.transpose(0, 2, 1) @ w)
+    beta = np.broadcast_to(rank.spread_basis(np.ones(1)), (5, 2, 1))
+    hm, h = rank.basis_restriction(1)
+    for restriction, single in (((hm, h), (hm, h)), (None, (np.zeros((2, 0)), beta[0].ravel("F")))):
+        _, a, value = rank.many_fits(grams, list(n), s, beta, restriction, tol=1e-13, most=2000)
+        for k in range(5):
+            f = rank.fit([g[k] for g in grams], list(n), s, beta[k], *single, tol=1e-13, most=2000)
+            assert abs(value[k] - f.loglik) < 1e-6 and np.allclose(a[k], f.loadings, atol=1e-4)
