@@ -257,9 +257,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     # Of equal sets, then of a component, the row with the smallest id (nulls last) stands for all.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
     own = rows.where("sig is not null").groupBy("sig").agg(first.alias("m"), F.min("id").alias("least"))
-    named = own.join(groups.select(F.substring("node", 1, 16).alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("m").alias("m"))
-    by_class = named.select("sig", "component").join(least, "component").select("sig", "component_id", "m")
+    linked = own.join(groups.select(F.substring("node", 1, 16).alias("sig"), "component"), "sig")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.min("m").alias("top"))
+    # A component's smallest id goes to each of SALTS parts of it, so a large one is joined in parts.
+    least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = linked.select("sig", "component", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).alias("part")).join(least, ["component", "part"]).select("sig", "component_id", "top")
+    by_class = own.join(parts, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("top", "m").alias("m"))
     out = rows.select("id", "key", "digest", F.col("n").alias("n_shingles"), "sig").join(by_class, "sig", "left")
     alone = F.col("sig").isNull()
     stands = alone | (F.col("id").eqNullSafe(F.col("m.id")) & (F.col("digest") == F.col("m.digest")))

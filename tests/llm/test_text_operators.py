@@ -211,6 +211,11 @@ def test_quality(spark, docs, rows):
     found = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality.ablations(got, "base").collect()}
     bits = [r["failures"] & 3 for r in got.collect()]
     assert found == {"short": (sum(b & 1 for b in bits), bits.count(1)), "repeated_words": (sum(b >> 1 for b in bits), bits.count(2))}
+    for policy in ("v1", "strict"):
+        mask = quality.mask(policy)
+        rows = [r["failures"] & mask for r in got.collect()]
+        said = {r["rule"]: (r["bit"], r["n_failed"], r["n_only"]) for r in quality.ablations(got, policy).collect()}
+        assert said == {n: (quality.BIT[n], sum(b & quality.BIT[n] > 0 for b in rows), rows.count(quality.BIT[n])) for n in quality.POLICIES[policy]}
     assert quality.keep(docs).columns == docs.columns and quality.keep(docs.limit(0)).count() == 0
 
 
