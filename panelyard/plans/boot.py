@@ -19,6 +19,7 @@ def rank_pvalues(levels: DataFrame, columns: list[str], system: list[str], b: in
     rows, names, s = fits.design(levels, columns, system, date)
     observed = rank.trace_test(moments.gram_rows(rows, names, system), system, s).select(*system, F.col("r").alias("r0"), F.col("trace").alias("observed"))
     keys = [*system, "r0"]
+    draws = tables.written(draws, "draws")  # the summary reads them several times
     found = replication.bootstrap_pvalue(tables.joined(draws, observed, keys), keys, "observed")
     return tables.joined(found, observed, keys)
 
@@ -29,7 +30,7 @@ def lr_pvalues(levels: DataFrame, columns: list[str], system: list[str], breaks:
     for spec, cuts in (("iid", []), ("regime", breaks)):
         fitted = fits.regime(levels, columns, system, cuts, date) if cuts else fits.iid(levels, columns, system, date)
         observed = fitted.select(*system, F.col("lr").alias("observed"))
-        draws = resample.bootstrap_lr(levels, columns, system, cuts, b, seed, date, chunk)
+        draws = tables.written(resample.bootstrap_lr(levels, columns, system, cuts, b, seed, date, chunk), "draws")
         each = tables.joined(draws, observed, system)
         one = replication.bootstrap_pvalue(each, [*system, "observed"], "observed").withColumn("spec", F.lit(spec))
         out = one if out is None else out.unionByName(one)
