@@ -50,7 +50,7 @@ SALTS, PART = 64, 1024
 #: Bytes of incidence rows that are multiplied at once.
 SLICE = 1 << 22
 #: Rows of documents that are ordered at once.
-ROWS = 1 << 20
+ROWS = 1 << 9
 
 
 def ngrams(text: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
