@@ -64,20 +64,20 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
         value = value.strip("\"'").lower()
         if name.lower() == "role" and value in ROLES:
             return True
-        if any(_named(token, inside) for token in value.split()) and not (inside and tag == "header"):
+        if any(_named(token, inside) for token in value.split()):
             return True
     return False
 
 
 def _named(token: str, inside: bool) -> bool:
-    """All parts of a class or id mark furniture, but for words of form behind them; outside
-    an article, also after words of place."""
+    """All parts of a class or id mark furniture, but for words of place in front of them and of
+    form behind. A header inside an article is its own, as the header element is."""
     parts = re.split(r"[_-]+", token)
     while len(parts) > 1 and parts[-1] in FORMS:
         parts = parts[:-1]
-    while not inside and len(parts) > 1 and (parts[0] in PLACES or (parts[0] in OWNERS and parts[-1] in REMARKS)):
+    while len(parts) > 1 and (parts[0] in PLACES or (parts[0] in OWNERS and parts[-1] in REMARKS)):
         parts = parts[1:]
-    return FURNITURE_WORDS.issuperset(parts)
+    return FURNITURE_WORDS.issuperset(parts) and not (inside and parts == ["header"])
 
 
 def _bodies(page: str) -> set[int]:

@@ -342,6 +342,8 @@ def test_extraction_by_distribution_and_marks():
     assert main_text(f"<article><p>tease</p></article><div><p>{long}</p><p>{long}</p></div>") == f"{long}\n\n{long}"
     assert main_text(f"<article><p>{long}</p><div class=ad>Buy</div><p>end</p><ul><li><a href=x>ref</a></ul></article><p>foot</p>") == f"{long}\n\nend\n\nref"
     assert main_text("<p>" + "<a href=x>link</a>" * 5 + "</p>") == ""
+    head = f"<article><div class=header><h1>T</h1></div><header class='page-header'><p>by X</p></header><p>{long}</p><section class='reader-comments'><p>no</p></section><div class=comments>no</div></article>"
+    assert main_text(head) == f"T\n\nby X\n\n{long}"
 
 
 def test_stretches_equal_brute_force():
