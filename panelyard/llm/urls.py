@@ -2,7 +2,8 @@
 
 A rule (host, path) fits a URL whose host is the rule's or a subdomain of it and whose
 path starts with the rule's; the longest rule wins (of equally long ones, allow). Hosts
-are matched once each: the suffixes of every distinct host meet the rules' hosts.
+are matched once each: the suffixes of every distinct host meet the rules' hosts. Pages
+meet their host's rules in parts (by address and numbers of their rows), so a frequent host doesn't load a task.
 
 Pages name other addresses of themselves by canonical links and redirects (meta refresh);
 more edges may be given. Connected components over these edges are the aliases. A URL
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import connected
@@ -33,6 +35,8 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
+#: Parts that the pages of one host are dealt over when they meet its rules.
+PARTS = 32
 ADDED = ("host", "path", "rule", "verdict")
 LINK, META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
 CANONICAL = r"""(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
@@ -99,7 +103,11 @@ def matched(rows: DataFrame, rules: DataFrame) -> DataFrame:
     one = F.struct((F.length("r_host") + F.length("r_path")).alias("size"), (F.col("r_verdict") == "allow").alias("allow"), F.concat("r_host", "r_path").alias("rule"), F.col("r_path").alias("start"))
     own = hosts.select("host", F.explode(tails).alias("r_host")).join(rules, "r_host").groupBy("host").agg(F.collect_set(one).alias("rules"))
     fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"]))
-    return rows.join(own, "host", "left").withColumn("hit", F.array_max(fits)).drop("rules")
+    # A host's rules go to each of its parts, so the pages of a frequent host are many tasks' work.
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    told = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType)]
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node", *told), F.lit(PARTS)).cast("int"))
+    return dealt.join(own, ["host", "part"], "left").withColumn("hit", F.array_max(fits)).drop("rules", "part")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str | None = "html", more: DataFrame | None = None) -> DataFrame:
