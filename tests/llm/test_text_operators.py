@@ -351,6 +351,33 @@ def test_model_without_training(spark):
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (3, 0, 0, 0.0, 0.0)
 
 
+def test_model_of_an_empty_table(spark):
+    from panelyard.llm import maxent
+
+    out = maxent.fit_and_score(spark.createDataFrame([], "doc_id bigint, text string"))
+    assert out.count() == 0 and out.columns == ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "train_tokens"]
+
+
+def test_very_long_texts(spark):
+    from panelyard.llm import decontam, jaccard, maxent, quality, substrings
+
+    n = 60_000
+    words = [f"w{k}" for k in range(n)]
+    rows = [(1, " ".join(words)), (2, "start " + " ".join(words[500:600]) + " end"), (3, " ".join([*words[:-9], "x"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in substrings.dedup(df).collect()}
+    assert [(got[k]["n_words"], got[k]["n_removed"]) for k in (1, 2, 3)] == [(n, 0), (102, 100), (n - 8, n - 9)]
+    got = {r["id"]: r for r in jaccard.join(df).collect()}
+    assert [(got[k]["n_shingles"], got[k]["component_id"]) for k in (1, 2, 3)] == [(n - 4, 1), (98, 2), (n - 12, 1)]
+    items = spark.createDataFrame([("q", " ".join(words[n - 30 : n - 15]))], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontam.scan(df, items).collect()}
+    assert got == {1: (n, 15), 2: (102, 0), 3: (n - 8, 15)}
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"]) for r in quality.measure(df).collect()}
+    assert got == {1: (n, 0), 2: (102, 0), 3: (n - 8, 0)}
+    got = {r["id"]: r["n_tokens"] for r in maxent.fit_and_score(df).collect()}
+    assert got == {1: n + 1, 2: 103, 3: n - 7}
+
+
 def test_hashing_matches_text():
     import pyarrow as pa
 
