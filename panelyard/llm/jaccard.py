@@ -108,6 +108,7 @@ def _incidence(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den
         for k in range(0, len(rows), ROWS):
             a, b = np.searchsorted(owner, [k, k + ROWS])
             out.append(_rows(rows.slice(k, ROWS), owner[a:b] - k, inverse[a:b], unique, counts, seen))
+        packed.release()
         return pa.concat_tables(out) if out else _rows(rows, owner, inverse, unique, counts, seen)
 
     def _rows(rows: pa.Table, owner: np.ndarray, inverse: np.ndarray, unique: np.ndarray, counts: np.ndarray, seen: set) -> pa.Table:
@@ -178,6 +179,7 @@ def _overlaps(pairs: DataFrame, bodies: DataFrame, num: int, den: int) -> DataFr
                 good = np.flatnonzero(den * both >= num * (total - both))
                 yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
                 k = j
+            packed.release()
 
     return met.mapInArrow(count, "a binary, b binary")
 

@@ -38,6 +38,12 @@ BASE = 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 SLICE = 1 << 20
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system, so idle workers are small."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -192,6 +198,7 @@ def cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def shipped(grp: int, hashes: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.Table:
     """A group's sorted unique hashes as rows (bucket, grp, blob, extra), one a bucket."""
+    release()  # what the hashes were made of
     at = cuts(hashes, buckets)
     full = [k for k in range(buckets) if at[k] < at[k + 1]]
     return pa.table(
@@ -228,6 +235,7 @@ def gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray],
 
 
 def answered(groups: np.ndarray, bucket: int, answers: list[bytes | None]) -> pa.Table:
+    release()
     kept = [k for k, a in enumerate(answers) if a is not None]
     return pa.table(
         {

@@ -126,6 +126,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         out = {c: rows.column(c) for c in rows.column_names if c not in (grp, order, tie)}
         out[text] = pa.array(texts, pa.string())
         out["n_words"], out["n_removed"] = pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64())
+        packed.release()
         out["removed"] = pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
         return pa.table(out)
 
