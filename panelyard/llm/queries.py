@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extraction, jaccard, maxent, pieces, quality, quotes, shards, substrings, urls
+from . import decontam, extraction, jaccard, maxent, pieces, quality, quotes, shards, spelling, substrings, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +193,36 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, pieces.load(), verify=True).select("doc_id", F.size("ids").alias("n_pieces"), "ids", "round_trip")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE
+bits(k, c, step) AS (SELECT k, CAST(k AS BIGINT), 0 FROM range(256) r(k) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY k) AS t FROM bits WHERE step = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\xC0-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(id || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))), lambda a, b: xor(a >> 8, crc.t[CAST(xor(a & 255, b) + 1 AS INTEGER)]))) AS h
+  FROM each, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, word[1:i - 1] || chr(0) || word[i + 1:] AS hole, word[1:i - 1] || word[i + 1:] AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT less.word, words.word, words.n FROM less JOIN words ON words.word = less.short
+  UNION SELECT words.word, less.word, less.n FROM less JOIN words ON words.word = less.short),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS near, max(n) AS near_n FROM pairs GROUP BY word),
+found AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk(word, last, step) AS (SELECT word, word, 0 FROM found UNION ALL SELECT walk.word, found.form, step + 1 FROM walk JOIN found ON found.word = walk.last WHERE found.form IS NOT NULL),
+ends AS (SELECT word, arg_max(last, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN ends USING (word)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_url_filters": op2_url_filters,
@@ -204,6 +234,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 SQL: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
@@ -212,4 +243,5 @@ SQL: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
