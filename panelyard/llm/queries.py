@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extraction, jaccard, maxent, pieces, quality, quotes, shards, spelling, substrings, urls
+from . import audit, decontam, extraction, jaccard, maxent, pieces, quality, quotes, shards, spelling, substrings, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +223,34 @@ SELECT word, form, root, n, n_near, form_n FROM found JOIN ends USING (word)
 """
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+f(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p(o, step, before, own) AS (SELECT f, 1, 0, bit FROM f UNION ALL SELECT o || f, step + 1, before | own, bit FROM p, f WHERE (before | own) & bit = 0),
+steps AS (SELECT whole.o AS filter_order, p.step, p.before, p.own FROM p JOIN (SELECT o FROM p WHERE step = 5) whole ON starts_with(whole.o, p.o)),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+bits AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS bits
+  FROM d JOIN firsts USING (t)),
+l AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels GROUP BY doc_id),
+n AS (SELECT part, bits, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM bits LEFT JOIN l USING (doc_id) GROUP BY ALL),
+c AS (
+  SELECT part, filter_order, step, own,
+    CAST(sum(CASE WHEN bits & (before | own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN bits & before = 0 AND bits & own <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN bits & before <> 0 AND bits & own <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN bits = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN bits & before = 0 AND bits & own <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN bits & before = 0 AND bits & own <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM n, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_url_filters": op2_url_filters,
@@ -235,6 +263,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 SQL: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
@@ -244,4 +273,5 @@ SQL: dict[str, str] = {
     "op6_ngram_jaccard_join": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op12_spelling_variants": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
