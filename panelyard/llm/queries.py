@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, decontam, extraction, jaccard, maxent, pieces, quality, quotes, shards, spelling, substrings, urls
+from . import audit, decontam, extraction, jaccard, maxent, pieces, pii, quality, quotes, shards, spelling, substrings, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +193,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, pieces.load(), verify=True).select("doc_id", F.size("ids").alias("n_pieces"), "ids", "round_trip")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = (F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -262,6 +270,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_personal_data": op11_personal_data,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_filter_audit": op13_filter_audit,
 }
