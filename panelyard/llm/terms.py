@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import common, packed
 
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 
 
 def _narrow(values: np.ndarray) -> bytes:
