@@ -190,7 +190,7 @@ class Field:
     moves: np.ndarray  # label before x label
 
     def emissions(self, rows: list[list[str]]) -> np.ndarray:
-        ids = [self.names.get(f, -1) for row in rows for f in row]
+        ids = np.array([self.names.get(f, -1) for row in rows for f in row], np.int64)
         sizes = np.array([len(row) for row in rows])
         if not len(sizes):
             return np.zeros((0, LABELS))
@@ -277,7 +277,7 @@ def likelihood(emissions: np.ndarray, bounds: np.ndarray, moves: np.ndarray, lab
 
 def _columns(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
-    return np.frombuffer(b"".join(blobs), np.uint8), np.concatenate(([0], np.cumsum([len(b) for b in blobs])))
+    return np.frombuffer(b"".join(blobs), np.uint8), np.cumsum([0, *(len(b) for b in blobs)], dtype=np.int64)
 
 
 def _tokens(raw: np.ndarray, found: Chains) -> list[str]:
@@ -333,7 +333,7 @@ LINES = (
     "Call {phone} now.", "Tel. {phone}", "phone: {phone}", "my number is {phone}, ask for me", "Fax {phone} Mail {email}", "reach us at {phone} or at the door",
     "Server {ip} is down", "from {ip} to {ip}", "host {ip}, port 80", "login from {ip} failed", "the address {ip} was seen",
     "card {card} was charged", "paid with {card}.", "Visa {card} exp 12/27", "number {card} on the bill", "credit card: {card}",
-    "the {email} and the {phone} of it", "then {phone} and there {ip} for all", "le {phone} est ici", "die Nummer {phone} ist da", "el {email} es de la casa",
+    "{phone} {card}", "{card} {phone} {ip}", "{email} {card}", "{ip} {phone} {email} {card}", "the {phone} {card} and {ip} {card}", "the {email} and the {phone} of it", "then {phone} and there {ip} for all", "le {phone} est ici", "die Nummer {phone} ist da", "el {email} es de la casa",
     "Version {no} of the software", "in {no} there were {no} of them", "section {no} (see {no})", "released on {date} under it", "the hash {hex} is known", "key = \"{hex}\"", "token={hex}",
     "Licensed under the Apache License, Version 2.0.", "it cost {no} at the shop (or {no})", "order {long} was sent", "id {long} and id {long}", "ISBN {no}-{no}-{no}", "meet at {time} at the dot on the map",
     "see (a) and (b) at the end [1]", "the dot is at the end of it", "look at that [sic] and (at last) go", "@user said that @other was @ home", "a + b (c) is + d", "AKIA{hex} is a key", "{no}% of {no} in {no}", "pages {no}-{no}, table {no}.{no}",
@@ -372,7 +372,7 @@ def _filler(kind: str, r: random.Random) -> str:
     return r.choice([d(1), d(2), d(3), d(4), f"{d(1)}.{d(1)}", f"{d(2)}.{d(2)}", f"{d(1)},{d(3)}", f"{d(3)} {d(3)}"]).lstrip("0") or "7"
 
 
-def default_labels(copies: int = 12, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def default_labels(copies: int = 16, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """The default labelled table: each line filled `copies` times, between words of plain text."""
     r, out = random.Random(seed), []
     for line in LINES * copies:
