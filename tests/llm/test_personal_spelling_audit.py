@@ -177,6 +177,22 @@ def test_personal_data_query(spark, field):
     assert [s["base"] for r in pii.find(docs, field=pii.fit([])).collect() for s in r["spans"]] == [True] * 5
 
 
+def test_registered_query(spark, tmp_path):
+    import hashlib
+
+    from panelyard.llm import queries
+
+    texts = [None, "a@b.cd 1.2.3.4", "é 4111 1111 1111 1111 é a@b.cd", "call (213) 555-0199 now"]
+    spark.createDataFrame(rows_of(texts), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op11_personal_data(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        base = [f"{('email', 'ip', 'card', 'phone')[n]}:{a}:{b}" for a, n, b in plain_spans(t or "")]
+        assert got[k]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [got[k][f"n_{x}"] for x in ("email", "ip", "card", "phone")] == [sum(b.startswith(x) for b in base) for x in ("email", "ip", "card", "phone")]
+        assert set(base) <= set(got[k]["spans"].split(",")) | {""}
+    assert got[3]["spans"] == "phone:5:19"
+
+
 # Spelling
 
 
