@@ -8,6 +8,7 @@ matrices, so its parallel axis is systems.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -105,51 +106,108 @@ def adf(long: DataFrame, keys: list[str], lags: int, trend: str = "c", value: st
 
 
 def schwert(n: int) -> int:
-    return int(math.ceil(12 * (n / 100) ** 0.25))
+    """The largest lag that is tried for a series of n values."""
+    return max(min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2), 0)
+
+
+def _adf_choice(gram: Callable[[int], tuple[np.ndarray, int]], top: int) -> dict:
+    """Lag, rows, t and p of one series; gram(k): the Gram of difference, level, one and lags 1
+    to `top`, and the number, of the rows that have k lags. No statistic where rows are too few
+    or the values don't vary."""
+    none = {"lag": None, "n": None, "t": None, "p": None}
+    common, n = gram(top)
+    best, chosen = np.inf, None
+    for k in range(top + 1):
+        x = [1, 2, *range(3, 3 + k)]
+        if n <= len(x):
+            break
+        try:
+            _, ee = solve(common, [0], x)
+        except np.linalg.LinAlgError:
+            continue
+        if ee[0, 0] <= 1e-14 * max(common[0, 0], 1e-300):
+            continue
+        aic = n * (math.log(2 * math.pi * float(ee[0, 0]) / n) + 1) + 2 * len(x)
+        if aic < best - 1e-12:
+            best, chosen = aic, k
+    if chosen is None:
+        return none
+    g, m = gram(chosen)
+    x = [1, 2, *range(3, 3 + chosen)]
+    try:
+        b, ee = solve(g, [0], x)
+        variance = float(ee[0, 0]) / (m - len(x)) * np.linalg.inv(g[np.ix_(x, x)])[0, 0]
+    except np.linalg.LinAlgError:
+        return none
+    if not variance > 0:
+        return none
+    t = float(b[0, 0]) / math.sqrt(variance)
+    poly = TAU_SMALL if t <= TAU_STAR else TAU_LARGE
+    p = 1.0 if t > TAU_MAX else 0.0 if t < TAU_MIN else normal_cdf_exact(sum(c * t**i for i, c in enumerate(poly)))
+    return {"lag": chosen, "n": m, "t": t, "p": p}
+
+
+def _series_grams(x: np.ndarray, top: int) -> Callable[[int], tuple[np.ndarray, int]]:
+    """`gram` of `_adf_choice` from a series' values in order."""
+    dx = np.diff(x)
+    w = np.zeros((len(dx), 3 + top))
+    w[:, 0], w[:, 1], w[:, 2] = dx, x[:-1], 1.0
+    for k in range(1, top + 1):
+        w[k:, 2 + k] = dx[:-k]
+    return lambda k: (w[k:].T @ w[k:], len(w) - k)
+
+
+ADF_AIC = "lag int, n bigint, t double, p double"
+
+
+def adf_aic(series: DataFrame, keys: list[str], value: str = "value", date: str = "d", max_lag: int | None = None, long: int = tables.LONG) -> DataFrame:
+    """(keys, lag, n, t, p): lag by AIC on one common sample, then the t statistic on the longest sample.
+
+    The largest lag is a series' own (`schwert` of its length, and max_lag at most), so no
+    series' answer depends on others. Null and NaN values are left out, and so are series without
+    any other; a series that is too short or doesn't vary has a row without a statistic. Series of up to `long` values are one
+    task each, with Grams as wide as their own lags; of longer ones one pass sums, for every
+    number of lags, the Gram of the rows that have it, and only those sums meet in a task.
+    """
+    clean = series.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, date, F.col(value).cast("double").alias("__x"))
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.select(*keys).schema.fields)
+    fields, limit = [*keys, "lag", "n", "t", "p"], np.inf if max_lag is None else max_lag
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(date)["__x"].to_numpy(float)
+        top = int(min(schwert(len(x)), limit))
+        found = _adf_choice(_series_grams(x, top), top)
+        return pd.DataFrame([{**{c: rows[c].iloc[0] for c in keys}, **found}], columns=fields, dtype=object)
 
-def adf_aic(long: DataFrame, keys: list[str], value: str = "value", date: str = "d", max_lag: int | None = None) -> DataFrame:
-    """Lag by AIC on one common sample, then the t statistic on the longest sample.
+    short, others = tables.by_length(clean, keys, long)
+    out = short.groupBy(*keys).applyInPandas(run, f"{names}, {ADF_AIC}")
+    return out if others is None else out.unionByName(_adf_long(others, keys, date, limit, names, fields))
 
-    One pass sums, for every lag length, the Gram of that length's own sample; the common
-    sample is that of the largest lag.
-    """
+
+def _adf_long(rows: DataFrame, keys: list[str], date: str, limit: float, names: str, fields: list[str]) -> DataFrame:
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    most = int(min(schwert(counts.agg(F.max("__n")).first()[0]), limit))
+    own = F.least(F.greatest(F.least(F.ceil(12 * F.pow(F.col("__n") / 100, F.lit(0.25))), F.floor(F.col("__n") / 2) - 2), F.lit(0)), F.lit(most)).cast("int")
     w = Window.partitionBy(*keys).orderBy(date)
-    if max_lag is None:
-        n = long.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        max_lag = min(schwert(n), max(n // 2 - 2, 0))
-    out = long.withColumns({"dx": F.col(value) - F.lag(value).over(w), "lx": F.lag(value).over(w), "t": F.row_number().over(w)})
-    lags = [f"z{i}" for i in range(1, max_lag + 1)]
-    out = out.withColumns({z: F.lag("dx", i).over(w) for i, z in enumerate(lags, 1)})
-    columns = ["dx", "lx", "one", *lags]
-    filled = out.where("t >= 2").withColumns({"one": F.lit(1.0), **{z: F.coalesce(z, F.lit(0.0)) for z in lags}})
-    # Rows by how many lags they have: suffix sums over `have` give every sample's Gram.
-    have = filled.withColumn("have", F.least(F.col("t") - 2, F.lit(max_lag)))
-    grams = moments.gram_rows(have, columns, [*keys, "have"])
-    k = len(columns)
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*keys).schema.fields)
+    moved = rows.withColumns({"dx": F.col("__x") - F.lag("__x").over(w), "lx": F.lag("__x").over(w), "__t": F.row_number().over(w)})
+    lags = [f"z{i}" for i in range(1, most + 1)]
+    moved = tables.joined(moved.withColumns({z: F.lag("dx", i).over(w) for i, z in enumerate(lags, 1)}), counts.select(*keys, own.alias("__top")), keys)
+    columns, k = ["dx", "lx", "one", *lags], 3 + most
+    filled = moved.where("__t >= 2").withColumns({"one": F.lit(1.0), **{z: F.coalesce(z, F.lit(0.0)) for z in lags}})
+    # Rows by how many lags they have, their series' largest at most: sums over `have` give every sample's Gram.
+    grams = moments.gram_rows(filled.withColumn("have", F.least(F.col("__t") - 2, F.col("__top"))), columns, [*keys, "have"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        by = {int(h): (square(g, k), int(n)) for h, g, n in zip(rows["have"], rows["g"], rows["n"], strict=True)}
-        common, n = by[max_lag]
-        best, chosen = np.inf, 0
-        for p in range(max_lag + 1):
-            x = [1, 2, *range(3, 3 + p)]
-            _, ee = solve(common, [0], x)
-            aic = n * (math.log(2 * math.pi * float(ee[0, 0]) / n) + 1) + 2 * len(x)
-            if aic < best - 1e-12:
-                best, chosen = aic, p
-        parts = [v for h, v in by.items() if h >= chosen]
-        g, m = sum(v[0] for v in parts), sum(v[1] for v in parts)
-        x = [1, 2, *range(3, 3 + chosen)]
-        b, ee = solve(g, [0], x)
-        s2 = float(ee[0, 0]) / (m - len(x))
-        t = float(b[0, 0]) / math.sqrt(s2 * np.linalg.inv(g[np.ix_(x, x)])[0, 0])
-        poly = TAU_SMALL if t <= TAU_STAR else TAU_LARGE
-        p = 1.0 if t > TAU_MAX else 0.0 if t < TAU_MIN else normal_cdf_exact(sum(c * t**i for i, c in enumerate(poly)))
-        return pd.DataFrame([{**{c: rows[c].iloc[0] for c in keys}, "lag": chosen, "n": m, "t": t, "p": p}])
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        by = {int(h): (square(g, k), int(n)) for h, g, n in zip(part["have"], part["g"], part["n"], strict=True)}
+
+        def gram(lag: int) -> tuple[np.ndarray, int]:
+            parts = [v for h, v in by.items() if h >= lag]
+            return sum(v[0] for v in parts), sum(v[1] for v in parts)
+
+        found = _adf_choice(gram, max(by))
+        return pd.DataFrame([{**{c: part[c].iloc[0] for c in keys}, **found}], columns=fields, dtype=object)
 
-    return grams.groupBy(*keys).applyInPandas(run, f"{names}, lag int, n bigint, t double, p double")
+    return grams.groupBy(*keys).applyInPandas(run, f"{names}, {ADF_AIC}")
 
 
 def vecm_gram(df: DataFrame, columns: list[str], k_max: int, system: list[str], date: str = "d", first: int | None = None, seasonal: list[str] | None = None) -> tuple[DataFrame, list[str]]:

@@ -17,9 +17,7 @@ from ..functions import dist
 from ..operators import moments, panel, rank
 from ..operators.unitroot import square
 from ..sources import tables
-
-#: Rows of a system up to which an iterative search runs whole in one task (some 30 MB).
-LONG = 200_000
+from ..sources.tables import LONG, by_length
 
 
 def design(df: DataFrame, columns: list[str], system: list[str], date: str = "d", fixed: list[str] | None = None) -> tuple[DataFrame, list[str], rank.Shape]:
@@ -86,18 +84,6 @@ def grid_summary(grid: DataFrame, system: list[str], df: int | None = None) -> D
     )
 
 
-def by_length(rows: DataFrame, keys: list[str], long: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of systems of at most `long` rows, and of the others (None if there are none).
-
-    The first are searched whole in one task a system; the others are read by passes.
-    """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    if not counts.where(F.col("__n") > long).head(1):
-        return rows, None
-    marked = tables.joined(rows, counts, keys)
-    return marked.where(F.col("__n") <= long).drop("__n"), marked.where(F.col("__n") > long).drop("__n")
-
-
 def golden(f: Callable[[float], float], lo: float, hi: float, tol: float) -> float:
     """The place of f's maximum in [lo, hi], where f rises and then falls."""
     ratio = (math.sqrt(5) - 1) / 2

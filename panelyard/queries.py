@@ -396,6 +396,36 @@ def d10(spark, d):  # noqa: ANN001, ANN201
 # Tests and estimators
 
 
+def _det(rows: list[str], cols: list[str]) -> str:
+    """SQL of the determinant of covariances c_<row>_<column>, by its first row."""
+    if not rows:
+        return "1"
+    parts = [f"{'-' if k % 2 else '+'} c_{rows[0]}_{c} * ({_det(rows[1:], [x for x in cols if x != c])})" for k, c in enumerate(cols)]
+    return " ".join(parts).lstrip("+ ")
+
+
+def _covariances(y: str, x: list[str]) -> str:
+    """SQL columns of all covariances of a regression's columns."""
+    return ", ".join(f"covar_pop({a}, {b}) AS c_{a}_{b}" for a in [y, *x] for b in [y, *x])
+
+
+def _ss(y: str, x: list[str]) -> str:
+    """SQL of the residual sum of squares of y on x and a constant."""
+    return f"(n * ({_det([y, *x], [y, *x])}) / ({_det(x, x)}))"
+
+
+def _b(y: str, x: list[str], k: int) -> str:
+    return f"(({_det(x, [y if i == k else c for i, c in enumerate(x)])}) / ({_det(x, x)}))"
+
+
+def _se(y: str, x: list[str], k: int) -> str:
+    rest = [c for i, c in enumerate(x) if i != k]
+    return f"sqrt({_ss(y, x)} / (n - {len(x) + 1}) / n * ({_det(rest, rest)}) / ({_det(x, x)}))"
+
+
+LAGGED = f"""WITH {REGION}, m1 AS (SELECT n_regionkey, t, x - lag(x) OVER w AS y, lag(x) OVER w AS l FROM logr WINDOW w AS (PARTITION BY n_regionkey ORDER BY t)),
+  m AS (SELECT *, lag(y) OVER w AS z, lag(y, 2) OVER w AS z2 FROM m1 WINDOW w AS (PARTITION BY n_regionkey ORDER BY t))"""
+
 @query("e1_ols_one", f"WITH {REGION}, m AS (SELECT n_regionkey, x - lag(x) OVER w AS y, lag(x) OVER w AS l FROM logr WINDOW w AS (PARTITION BY n_regionkey ORDER BY d)) SELECT n_regionkey, CAST(regr_count(y, l) AS BIGINT) AS n, round(regr_slope(y, l), 6) AS slope, round(regr_intercept(y, l), 5) AS intercept, round(sqrt((regr_syy(y, l) - regr_sxy(y, l) * regr_sxy(y, l) / regr_sxx(y, l)) / (regr_count(y, l) - 2) / regr_sxx(y, l)), 6) AS se, round(regr_r2(y, l), 6) AS r2 FROM m GROUP BY 1")
 def e1(spark, d):  # noqa: ANN001, ANN201
     w = panel.ordered(["n_regionkey"])
@@ -403,10 +433,19 @@ def e1(spark, d):  # noqa: ANN001, ANN201
     return rounded(rounded(unitroot.ols_one(m, "y", "l", ["n_regionkey"]), "slope", "se", "r2"), "intercept", digits=5)
 
 
-@query("e1_ols_many")
+_X = ["l", "z", "tt"]
+
+
+@query(
+    "e1_ols_many",
+    f"""{LAGGED}, c AS (SELECT n_regionkey, count(*) AS n, {_covariances("y", _X)} FROM (SELECT *, CAST(t - 1 AS DOUBLE) AS tt FROM m WHERE z IS NOT NULL) GROUP BY 1)
+    SELECT n_regionkey, n, round({_b("y", _X, 0)}, 5) AS b_level, round({_se("y", _X, 0)}, 5) AS se_level, round({_b("y", _X, 1)}, 5) AS b_lag, round({_se("y", _X, 1)}, 5) AS se_lag, round({_b("y", _X, 2)}, 6) AS b_trend, round({_ss("y", _X)} / (n - 4), 7) AS s2 FROM c""",
+)
 def e1_many(spark, d):  # noqa: ANN001, ANN201
     rows = panel.deterministics(panel.lag_design(logr(spark, d), ["x"], 2, ["n_regionkey"]), ["n_regionkey"])
-    return unitroot.ols(rows, "y_x", ["x_x", "z1_x", "const", "trend"], ["n_regionkey"])
+    found = unitroot.ols(rows, "y_x", ["x_x", "z1_x", "const", "trend"], ["n_regionkey"])
+    at = lambda c, k, digits: F.round(F.col(c)[k], digits)
+    return found.select("n_regionkey", "n", at("b", 0, 5).alias("b_level"), at("se", 0, 5).alias("se_level"), at("b", 1, 5).alias("b_lag"), at("se", 1, 5).alias("se_lag"), at("b", 3, 6).alias("b_trend"), F.round("s2", 7).alias("s2"))
 
 
 ADF = f"""WITH {LOGS}, u AS (SELECT d, series, value FROM (SELECT d, l_s2 - l_s1 AS spread_l_s2, l_s3 - l_s1 AS spread_l_s3, l_s4 - l_s1 AS spread_l_s4, l_s5 - l_s1 AS spread_l_s5 FROM log5) UNPIVOT (value FOR series IN (spread_l_s2, spread_l_s3, spread_l_s4, spread_l_s5))),
@@ -423,10 +462,17 @@ def e2(spark, d):  # noqa: ANN001, ANN201
     return rounded(unitroot.adf0(_spreads(spark, d), ["series"]), "t", digits=5)
 
 
-@query("e2_adf_trend")
+_XT = ["l", "z", "z2", "tt"]
+
+
+@query(
+    "e2_adf_trend",
+    f"""{LAGGED}, c AS (SELECT n_regionkey, count(*) AS n, {_covariances("y", _XT)} FROM (SELECT *, CAST(t AS DOUBLE) AS tt FROM m WHERE z2 IS NOT NULL) GROUP BY 1),
+    r AS (SELECT n_regionkey, n, {_b("y", _XT, 0)} / {_se("y", _XT, 0)} AS t FROM c) SELECT n_regionkey, n, round(t, 5) AS t, t < -3.96 AS rejects1, t < -3.41 AS rejects5, t < -3.13 AS rejects10 FROM r""",
+)
 def e2_trend(spark, d):  # noqa: ANN001, ANN201
     """Levels with two lags and a trend, as each region's log price."""
-    return unitroot.adf(logr(spark, d), ["n_regionkey"], 2, "ct", "x")
+    return rounded(unitroot.adf(logr(spark, d), ["n_regionkey"], 2, "ct", "x"), "t", digits=5)
 
 
 ADF1 = f"""WITH {REGION}, y AS (SELECT n_regionkey, t, x - lag(x) OVER w AS y, lag(x) OVER w AS l FROM logr WINDOW w AS (PARTITION BY n_regionkey ORDER BY d)),
@@ -446,6 +492,25 @@ def e3(spark, d):  # noqa: ANN001, ANN201
     return unitroot.adf_aic(_spreads(spark, d), ["series"])
 
 
+def _aic_sql(x: list[str]) -> str:
+    return f"n * (ln(2 * pi() * {_ss('y', x)} / n) + 1) + 2 * {len(x) + 1}"
+
+
+_LAGS = [["l"], ["l", "z"], ["l", "z", "z2"]]
+_OWN = ", ".join(f"o{k} AS (SELECT n_regionkey, {k} AS lag, n, {_b('y', x, 0)} / {_se('y', x, 0)} AS t FROM (SELECT n_regionkey, count(*) AS n, {_covariances('y', x)} FROM m WHERE {x[-1]} IS NOT NULL GROUP BY 1))" for k, x in enumerate(_LAGS))
+
+
+@query(
+    "e3_adf_aic_two_lags",
+    f"""{LAGGED}, c AS (SELECT n_regionkey, count(*) AS n, {_covariances("y", _LAGS[2])} FROM m WHERE z2 IS NOT NULL GROUP BY 1),
+    a AS (SELECT n_regionkey, {", ".join(f"{_aic_sql(x)} AS a{k}" for k, x in enumerate(_LAGS))} FROM c),
+    best AS (SELECT n_regionkey, CASE WHEN a0 <= a1 AND a0 <= a2 THEN 0 WHEN a1 <= a2 THEN 1 ELSE 2 END AS lag FROM a),
+    {_OWN} SELECT n_regionkey, CAST(lag AS INTEGER) AS lag, n, round(t, 5) AS t FROM best JOIN (SELECT * FROM o0 UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o2) USING (n_regionkey, lag)""",
+)
+def e3_two(spark, d):  # noqa: ANN001, ANN201
+    return rounded(unitroot.adf_aic(logr(spark, d), ["n_regionkey"], "x", max_lag=2).drop("p"), "t", digits=5)
+
+
 @query(
     "e4_mackinnon_p",
     """WITH g AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS q FROM lineitem), t AS (SELECT q, (q - 45) / 8 AS tau FROM g),

@@ -45,3 +45,19 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
 def with_mean(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """df with the column's mean by keys: an aggregate that is joined, so no task holds a whole key."""
     return joined(df, df.groupBy(*keys).agg(F.avg(column).alias(name)), keys)
+
+
+#: Rows of a system up to which an iterative search runs whole in one task (some 30 MB).
+LONG = 200_000
+
+
+def by_length(rows: DataFrame, keys: list[str], long: int = LONG) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of systems of at most `long` rows, and of the others (None if there are none).
+
+    The first are searched whole in one task a system; the others are read by passes.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    if not counts.where(F.col("__n") > long).head(1):
+        return rows, None
+    marked = joined(rows, counts, keys)
+    return marked.where(F.col("__n") <= long).drop("__n"), marked.where(F.col("__n") > long).drop("__n")

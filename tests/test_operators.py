@@ -431,6 +431,32 @@ def test_lag_choice_equals_least_squares(spark):
     assert (got["lag"], got["n"]) == (best, n) and abs(got["t"] - t) < 1e-8
 
 
+def test_unit_root_of_a_series_is_its_own(spark):
+    """Largest lags come from each series' length: neighbours change nothing, short or flat series have no statistic."""
+    from panelyard.operators import unitroot
+
+    rng = np.random.default_rng(4)
+    sizes = {"a": 150, "long": 2000, "short": 20, "three": 3, "one": 1, None: 60}
+    rows = [(k, t, float(v)) for k, n in sizes.items() for t, v in enumerate(np.cumsum(rng.normal(size=n)))]
+    rows += [("flat", t, 1.0) for t in range(50)] + [("a", 500, None), ("a", 501, float("nan")), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "k string, d int, value double")
+    every = {r["k"]: r for r in unitroot.adf_aic(df, ["k"]).collect()}
+    assert set(every) == {*sizes, "flat"}
+    assert all(every[k]["t"] is None for k in ("three", "one", "flat"))
+    assert every["a"]["n"] == 149 - every["a"]["lag"] and every["short"]["t"] is not None
+    for k in ("a", "long", "short", None):
+        alone = unitroot.adf_aic(df.where(F.col("k").eqNullSafe(k)), ["k"]).first()
+        assert alone == every[k]
+    # By sums over rows, as for long series.
+    for limit in (None, 3):
+        whole = {r["k"]: r for r in unitroot.adf_aic(df, ["k"], max_lag=limit).collect()}
+        summed = {r["k"]: r for r in unitroot.adf_aic(df, ["k"], max_lag=limit, long=10).collect()}
+        assert set(summed) == set(whole)
+        for k, r in whole.items():
+            assert (summed[k]["lag"], summed[k]["n"]) == (r["lag"], r["n"]) and (r["t"] is None or abs(summed[k]["t"] - r["t"]) < 1e-7)
+    assert unitroot.schwert(150) == 14 and unitroot.schwert(20) == 8 and unitroot.schwert(3) == 0
+
+
 def test_companion_roots_equal_the_simulated_system(spark):
     from panelyard.operators import moments, rank
     from panelyard.operators.unitroot import square
