@@ -5,7 +5,7 @@ from all documents and tells each group of documents which of its windows an ear
 group has. Covered words merge into maximal intervals, which are cut from the text.
 
 Documents are ordered by id, then by a digest of the text. Groups are ranges of that
-order (a heavily repeated id spans several groups), so a hash's earliest place is decided
+order with about equal bytes (a heavily repeated id, or null, spans several groups), so a hash's earliest place is decided
 by group number alone and no places are shipped; inside a group the order is exact.
 Windows are compared by 61-bit Rabin-Karp hashes modulo a prime. Cost is linear in the
 text and tasks are bounded by bytes, as packed.py states.
@@ -34,12 +34,26 @@ SIZE = 20
 ADDED = ("n_words", "n_removed", "removed")
 
 
+#: Parts of the mean text's size in which texts are weighed.
+FINE = 4
+
+
 def ranged(docs: DataFrame, doc_id: str, text: str, n: int, size: int, names: tuple[str, str, str]) -> DataFrame:
-    """docs with three more columns: a range of (id, digest), the id as a number, and the digest."""
+    """docs with three more columns: a range of (id, digest), the id as a number, and the digest.
+
+    The ranges are n quantiles of bytes over ids. A text counts once and once more for each
+    unit of 1 / FINE of the mean size, so a range has at most 1 + 1 / FINE times its share of
+    bytes, half a share for the sketch's error, and one text.
+    """
     grp, order, tie = names
     key, body = F.col(common.quoted(doc_id)).try_cast("bigint"), F.col(common.quoted(text))
-    marks = [k / n for k in range(1, n)]
-    found = docs.agg(F.percentile_approx(key, marks, max(10_000, 4 * n)).alias("m")).first()["m"] if marks else None
+    octets = F.coalesce(F.octet_length(body), F.lit(0))
+    marks, found = [k / n for k in range(1, n)], None
+    if marks:
+        total = docs.agg(F.count("*").alias("n"), F.sum(octets).alias("size")).first()
+        unit = max(1, (total["size"] or 0) // max(1, FINE * total["n"]))
+        weighed = docs.select(F.explode(F.array_repeat(F.coalesce(key, F.lit(2**63 - 1)), (1 + F.floor(octets / unit)).cast("int"))).alias("key"))
+        found = weighed.agg(F.percentile_approx("key", marks, max(10_000, 4 * n)).alias("m")).first()["m"]
     edges = np.array(found or [], np.int64)
 
     @F.pandas_udf("int")
