@@ -15,7 +15,7 @@ each distinct word once and gets its count back. Documents then become code and
 numbers, three bytes a token, written to the shared folder. Training takes ROUNDS rounds
 over disjoint parts of all training documents: tasks start from the broadcast weights
 (whose size is a parameter), take mini-batch steps with row-wise adaptive rates, and send
-what they moved; Spark averages that by how often each row was updated. Scoring gathers
+what they moved; Spark averages that by how often each row was updated, WAY shares at a time. Scoring gathers
 only the feature rows of a slice's tokens; slices have SLICE tokens however long texts are.
 
 Defined cases: null text is empty (its one token is the end); null ids count as training;
@@ -238,6 +238,35 @@ def _bias(classes: Classes) -> tuple[np.ndarray, np.ndarray]:
         return out, np.log(classes.mass / mass[:, None]).astype(np.float32)
 
 
+MOVED = "block int, part int, moved binary, used binary"
+#: Shares of one block that one group averages.
+WAY = 64
+
+
+def averaged(moved: DataFrame, parts: int) -> DataFrame:
+    """One row a block from the shares of `parts` tasks: means by how often each row was used.
+
+    WAY shares are averaged at a time, in as many levels as that takes, so that no group
+    grows with the number of tasks.
+    """
+
+    def average(key: tuple, rows: pa.Table) -> pa.Table:
+        total, count = np.zeros((BLOCK, CLASSES), np.float64), np.zeros(BLOCK, np.float64)
+        for m, n in zip(rows.column("moved").to_pylist(), rows.column("used").to_pylist(), strict=True):
+            n = np.frombuffer(n, np.float32)
+            total += np.frombuffer(m, np.float16 if len(m) == 2 * BLOCK * CLASSES else np.float32).reshape(BLOCK, CLASSES) * n[:, None]
+            count += n
+        mean = total / np.maximum(count, 1e-300)[:, None]
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "moved": [mean.astype(np.float32).tobytes()], "used": [count.astype(np.float32).tobytes()]})
+
+    while True:
+        parts = -(-parts // WAY)
+        group = F.floor(F.col("part") / WAY).cast("int") if parts > 1 else F.lit(0)
+        moved = moved.withColumn("part", group).groupBy("block", "part").applyInArrow(average, MOVED)
+        if parts <= 1:
+            return moved
+
+
 def train(coded: DataFrame, classes: Classes, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the feature rows; each training document is in one round."""
     spark = coded.sparkSession
@@ -248,6 +277,8 @@ def train(coded: DataFrame, classes: Classes, rounds: int = ROUNDS) -> np.ndarra
         sent = spark.sparkContext.broadcast(weights)
 
         def learn(batches):  # noqa: ANN001, ANN202
+            from pyspark import TaskContext
+
             w, start = sent.value.copy(), sent.value  # noqa: B023
             scale, used = np.full(len(w), 1e-8, np.float32), np.zeros(len(w), np.float32)
 
@@ -273,20 +304,10 @@ def train(coded: DataFrame, classes: Classes, rounds: int = ROUNDS) -> np.ndarra
                 n = used[k : k + BLOCK]
                 if n.any():
                     moved = (w[k : k + BLOCK] - start[k : k + BLOCK]).astype(np.float16)
-                    yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([moved.tobytes()]), pa.array([n.tobytes()])], ["block", "moved", "used"])
-
-        def average(key: tuple, parts: pa.Table) -> pa.Table:
-            total = np.zeros((BLOCK, CLASSES), np.float64)
-            count = np.zeros(BLOCK, np.float64)
-            for m, n in zip(parts.column("moved").to_pylist(), parts.column("used").to_pylist(), strict=True):
-                n = np.frombuffer(n, np.float32)
-                total += np.frombuffer(m, np.float16).reshape(BLOCK, CLASSES) * n[:, None]
-                count += n
-            mean = total / np.maximum(count, 1)[:, None]
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "moved": [mean.astype(np.float32).tobytes()]})
+                    yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([moved.tobytes()]), pa.array([n.tobytes()])], ["block", "part", "moved", "used"])
 
         own = coded.where(~F.col("held_out")).where(F.pmod(F.xxhash64("id", "codes"), F.lit(rounds)) == turn).select("n_tokens", "codes", "kinds")
-        moved = own.mapInArrow(learn, "block int, moved binary, used binary").groupBy("block").applyInArrow(average, "block int, moved binary")
+        moved = averaged(own.mapInArrow(learn, MOVED), own.rdd.getNumPartitions())
         weights = weights.copy()
         for row in moved.toLocalIterator():  # as many rows as the model has blocks
             k = row["block"] * BLOCK

@@ -69,6 +69,42 @@ def test_substrings_with_null_ids_and_empty(spark, docs):
     assert substrings.dedup(docs.limit(0)).count() == 0
 
 
+def test_substring_groups_hold_like_bytes(spark):
+    """Long texts with neighbouring ids, one id on many rows, and null ids are spread over groups."""
+    from panelyard.llm import substrings
+
+    n = 20
+    long = [(100 + k, passage(k, 2000)) for k in range(300)]
+    rows = [*long, *((1000 + k, "a b") for k in range(3000)), *((5000, passage(k, 300)) for k in range(400)), *((None, passage(k, 200)) for k in range(300))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substrings.ranged(docs, "doc_id", "text", n, 20, ("grp", "order", "tie"))
+    sizes = [r["size"] for r in got.groupBy("grp").agg(F.sum(F.octet_length("text")).alias("size")).collect()]
+    share = sum(sizes) / n
+    assert max(sizes) < 2 * share + max(len(t) for _, t in rows)
+    marked = got.where("length(text) > 40").select("doc_id", "grp").collect()
+    order = sorted(marked, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    low = {}
+    for r in order:  # ranges of ids follow each other
+        low.setdefault(r["grp"], (r["doc_id"] is None, r["doc_id"] or 0))
+    for r in order:
+        later = [k for g, k in low.items() if g > r["grp"]]
+        assert all((r["doc_id"] is None, r["doc_id"] or 0) <= k for k in later)
+
+
+def test_shares_average_in_levels(spark):
+    import numpy as np
+
+    from panelyard.llm import maxent
+
+    share = lambda x, n: (np.full((maxent.BLOCK, maxent.CLASSES), x, np.float16).tobytes(), np.full(maxent.BLOCK, n, np.float32).tobytes())
+    two = spark.createDataFrame([(k, *share(x, n)) for k, (x, n) in enumerate(((1.0, 1), (4.0, 2)))], "k long, moved binary, used binary")
+    tasks = spark.range(0, 5000, numPartitions=8).select(F.lit(3).alias("block"), F.col("id").cast("int").alias("part"), (F.col("id") % 2).alias("k"))
+    got = maxent.averaged(tasks.join(F.broadcast(two), "k").select("block", "part", "moved", "used"), 5000).collect()
+    assert len(got) == 1 and got[0]["block"] == 3
+    assert np.allclose(np.frombuffer(got[0]["moved"], np.float32), 3.0) and np.allclose(np.frombuffer(got[0]["used"], np.float32), 7500)
+    assert maxent.averaged(tasks.limit(0).join(two, "k").select("block", "part", "moved", "used"), 1).count() == 0
+
+
 def test_cut():
     from panelyard.llm.substrings import cut
 
