@@ -349,7 +349,15 @@ def test_extraction_by_distribution_and_marks():
 def test_stretches_equal_brute_force():
     import random
 
-    from panelyard.llm.extraction import WINDOW, stretches
+    from panelyard.llm.extraction import WINDOW, Boxes, stretches
+
+    def spans(found, own):
+        """Stretches of lines in one container, or each in one of its own."""
+        boxes, placed, shared = Boxes(), [], None
+        for x in found:
+            shared = boxes.add(0) if own or shared is None else shared
+            placed.append((*x, boxes.add(shared)))
+        return stretches(placed, boxes)
 
     rng = random.Random(2)
     for _ in range(300):
@@ -357,8 +365,8 @@ def test_stretches_equal_brute_force():
         for k in range(n):
             region = rng.choice([region] * 5 + [0, region + 1])
             w = rng.choice([0, 0, 0, 3, 10])
-            found.append(("x" * 10, w, region, (0, k + 1)))
-        weight = [10 if r else w if 2 * w >= 10 else 0 for _, w, r, _ in found]
+            found.append(("x" * 10, w, region))
+        weight = [10 if r else w if 2 * w >= 10 else 0 for _, w, r in found]
         want, k = [], 0
         live = lambda a: a < n and sum(weight[b] for b in range(a, min(a + WINDOW, n)) if all(found[c][2] == found[a][2] for c in range(a, b + 1))) > 0
         while k < n:
@@ -371,12 +379,80 @@ def test_stretches_equal_brute_force():
             last = max(i for i in range(k, j) if weight[i])
             want.append((k, last + 1, sum(weight[k : last + 1]), found[k][2]))
             k = j
-        got = stretches([(*x[:3], (k,)) for k, x in enumerate(found)])  # each line in a container of its own
-        joined = stretches(found)  # all lines in one container: link lines join stretches
+        got = spans(found, True)
+        joined = spans(found, False)  # in one container link lines join stretches
         assert [x for x in got] == want or all(x in want for x in got if x[3])
         assert sum(x[2] for x in joined) == sum(x[2] for x in want)
 
 
+LONG = "Plain words of an article that go on and on for more than a line. " * 4
+SIDE = "<div id=side><p>short text of the side</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><svg-icon name=x></svg-icon><p>{LONG}</p></body>",
+        f"<body><template-part><select-x><p>{LONG}</p></body>",
+        f"<body><p title=it's>{LONG}</p></body>",
+        f"<body><p title=it's class=\"a\"\">{LONG}</p></body>",
+        f"<body><div><svg><path d='x'></div><p>{LONG}</p></body>",
+        f"<body><title><p>{LONG}</p></body>",
+        f"<body><p>{LONG}</p><a href=\"x",
+        f"<body><p class=\"a>{LONG}</p>",
+        f"<body><p data-x='>' title = \"a > b\">{LONG}</p></body>",
+        f"<body><p>{LONG}</p><script>var x = '<p>no</p>'",
+        f"<body><!-- <p>no</p> --><p>{LONG}</p><? php ?><![CDATA[ x ]]></body>",
+        f"<BODY><P CLASS=Text>{LONG}</P></span></BODY>",
+        f"<body><math><mi>x</mi></math><p>{LONG}</p><canvas>no</canvas></body>",
+    ],
+)
+def test_extraction_of_broken_pages(page):
+    from panelyard.llm.extraction import main_text
+
+    assert main_text(page) == LONG.strip()
+
+
+def test_extraction_takes_linear_time():
+    import time
+
+    from panelyard.llm.extraction import main_text
+
+    n = 1 << 20
+    broken = ["<a ", "<a x='", "<p ", "<!--", "<![", "</", "<title>", "<script", "<div>", "<div></span>", "<div><p>x", "<a x=\">\" ", "<p class='a b c'>y", "<b>z", "</div>", "<textarea><x", "<article><i>q", "&amp", "<svg>w"]
+    for piece in broken:
+        page = f"<body><p>{LONG}</p>" + piece * (n // len(piece))
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 12, piece
+
+
+@pytest.mark.parametrize("name", ["gdpr-banner", "ad-unit", "related-articles", "commentSection", "AdSlot", "share-buttons", "post_comments", "adBanner"])
+def test_furniture_inside_an_article(name):
+    from panelyard.llm.extraction import main_text
+
+    page = f"<body><article><p>{LONG}</p><div class='{name}'><p>{LONG} no</p></div><p class=share>Shares rose.</p><p class='intro-text'>So it was.</p></article></body>"
+    assert main_text(page) == f"{LONG.strip()}\n\nShares rose.\n\nSo it was."
+
+
+@pytest.mark.parametrize("name", ["topnav", "l-aside", "c-footer", "left-sidebar", "siteHeader"])
+def test_furniture_outside_an_article(name):
+    from panelyard.llm.extraction import main_text
+
+    assert main_text(f"<body><div class='{name}'><p>{LONG} no</p></div><div class=story><p>{LONG}</p><p>{LONG}</p></div></body>") == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_unmarked_articles_keep_all_their_stretches():
+    from panelyard.llm.extraction import main_text
+
+    links = "<figure><a href=x>picture</a></figure>" * 3
+    other = "<div><ul>" + "<li><a href=x>some link</a></li>" * 6 + "</ul></div>"
+    for cut in (links, other, other + links):
+        page = f"<body>{SIDE}{other}<div class=story><h1>Title</h1><p>{LONG}</p>{cut}<p>{LONG}</p><p>End.</p></div>{other}{SIDE}</body>"
+        got = [x for x in main_text(page).split("\n\n") if x not in ("picture", "some link")]
+        assert got == ["Title", LONG.strip(), LONG.strip(), "End."], cut
+
+
 def test_extraction_round_trip_of_generated_pages(spark):
     """Articles are laid into pages of random furniture; the text must come back as it was."""
     import html
