@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.dist import chi2_sf_exact
+from ..sources import tables
 from .covariance import info_se
 from .unitroot import square
 
@@ -116,6 +118,14 @@ def affine(m: np.ndarray, v: np.ndarray, r_matrix: np.ndarray | None, r: np.ndar
     return r_matrix @ f + r
 
 
+def affine_near(loadings: np.ndarray, g_matrix: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The loadings G q + g nearest to given ones."""
+    if not g_matrix.shape[1]:
+        return g.reshape(loadings.shape, order="F")
+    q = np.linalg.lstsq(g_matrix, loadings.ravel("F") - g, rcond=None)[0]
+    return (g_matrix @ q + g).reshape(loadings.shape, order="F")
+
+
 @dataclass
 class Fit:
     alpha: np.ndarray
@@ -238,6 +248,20 @@ def many_fits(grams: list[np.ndarray], counts: list[int], s: Shape, beta: np.nda
     return beta, a, last
 
 
+#: A fit's parameters as they stand in a row: loadings and relations (a line a series), one precision
+#: for each segment, the quadratic form d, driver slopes b, the driver's mean, and the autoregression.
+PARAMS = "struct<alpha:array<array<double>>,beta:array<array<double>>,psi:array<array<double>>,precisions:array<array<array<double>>>,d:array<array<double>>,b:array<double>,center:double,rho:double>"
+
+
+def params(alpha: np.ndarray, beta: np.ndarray, psi: np.ndarray, precisions: list[np.ndarray] | None = None, d: np.ndarray | None = None, b: np.ndarray | None = None, center: float | None = None, rho: float | None = None) -> dict:
+    listed = lambda x: None if x is None else np.asarray(x, float).tolist()
+    return {"alpha": listed(alpha), "beta": listed(beta), "psi": listed(psi), "precisions": None if precisions is None else [listed(w) for w in precisions], "d": listed(d), "b": listed(b), "center": center, "rho": rho}
+
+
+def fit_params(f: Fit, **more) -> dict:  # noqa: ANN003
+    return params(f.alpha, f.beta, f.psi, [np.linalg.inv(o) for o in f.omegas], **more)
+
+
 def fit_one(grams: list[np.ndarray], counts: list[int], s: Shape, **limits: float) -> Fit:
     """With b at 1."""
     r = s.p1 - 1
@@ -265,7 +289,7 @@ def _head(df: DataFrame, keys: list[str]) -> str:
 
 def _per_row(df: DataFrame, keys: list[str], tail: str, job) -> DataFrame:  # noqa: ANN001
     """job(row) -> list of dicts for each Gram row; failures become rows with an error."""
-    names = [x.split()[0] for x in tail.split(", ")]
+    names = [x.split()[0] for x in tail.split(", ")]  # types hold no blank after their commas
 
     def run(batches):  # noqa: ANN001, ANN202
         for rows in batches:
@@ -316,14 +340,14 @@ def spec_fits(grams: DataFrame, keys: list[str], s: Shape, spec: str = "iid") ->
         free, one = both_fits([square(row.g, s.size)], [row.n], s)
         g = square(row.g, s.size)
         se = info_se(g[np.ix_(s.x, s.x)], free.alpha, np.linalg.inv(free.omegas[0]), basis_restriction(s.p1 - 1)[0])
-        return [{"spec": spec, "se": se.tolist(), "loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik), "b": implied_b(free.beta).tolist(), "iters": free.iters}]
+        return [{"spec": spec, "se": se.tolist(), "loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik), "b": implied_b(free.beta).tolist(), "iters": free.iters, "params_free": fit_params(free), "params_one": fit_params(one)}]
 
-    return _per_row(grams, keys, "spec string, loglik_free double, loglik_one double, lr double, b array<double>, se array<double>, iters int, error string", job)
+    return _per_row(grams, keys, f"spec string, loglik_free double, loglik_one double, lr double, b array<double>, se array<double>, iters int, error string, params_free {PARAMS}, params_one {PARAMS}", job)
 
 
 def segment_fits(grams: DataFrame, keys: list[str], s: Shape, segment: str = "segment", spec: str = "regime") -> DataFrame:
     """As spec_fits, with one Gram (and one covariance) a segment."""
-    tail = "spec string, loglik_free double, loglik_one double, lr double, b array<double>, iters int, error string"
+    tail = f"spec string, loglik_free double, loglik_one double, lr double, b array<double>, iters int, error string, params_free {PARAMS}, params_one {PARAMS}"
     names = [*keys, *(x.split()[0] for x in tail.split(", "))]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -333,11 +357,82 @@ def segment_fits(grams: DataFrame, keys: list[str], s: Shape, segment: str = "se
             free, one = both_fits([square(g, s.size) for g in rows["g"]], rows["n"].tolist(), s)
         except (np.linalg.LinAlgError, ValueError) as e:
             return pd.DataFrame([base | {"spec": spec, "error": str(e)}], columns=names, dtype=object)
-        return pd.DataFrame([base | {"spec": spec, "loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik), "b": implied_b(free.beta).tolist(), "iters": free.iters}], columns=names, dtype=object)
+        return pd.DataFrame([base | {"spec": spec, "loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik), "b": implied_b(free.beta).tolist(), "iters": free.iters, "params_free": fit_params(free), "params_one": fit_params(one)}], columns=names, dtype=object)
 
     return grams.groupBy(*keys).applyInPandas(run, ", ".join(filter(None, [_head(grams, keys), tail])))
 
 
+def _near(beta: np.ndarray, h_matrix: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The relations of the affine set H f + h whose span comes nearest to that of beta."""
+    p1, r = beta.shape
+    m = np.hstack([np.kron(np.eye(r), beta), -h_matrix])
+    if np.any(h):
+        x = np.linalg.lstsq(m, h, rcond=None)[0]
+    else:  # without a fixed part the scale is free: the direction that fits best
+        x = np.linalg.svd(m)[2][-1]
+    return (h_matrix @ x[r * r :] + h).reshape(p1, r, order="F")
+
+
+def dimension(alpha: np.ndarray, beta: np.ndarray, p2: int, h_matrix: np.ndarray | None, g_matrix: np.ndarray | None) -> int:
+    """How many directions (alpha beta', psi) can move in, under restrictions of beta and of (alpha, psi)."""
+    (p, r), p1 = alpha.shape, len(beta)
+    by_beta = np.vstack([np.kron(np.eye(p1), alpha)[:, [j * r + k for k in range(r) for j in range(p1)]], np.zeros((p * p2, p1 * r))])
+    by_loadings = np.zeros((p * p1 + p * p2, p * (r + p2)))
+    by_loadings[: p * p1, : p * r] = np.kron(beta, np.eye(p))
+    by_loadings[p * p1 :, p * r :] = np.eye(p * p2)
+    if h_matrix is not None:
+        by_beta = by_beta @ h_matrix
+    if g_matrix is not None:
+        by_loadings = by_loadings @ g_matrix
+    return int(np.linalg.matrix_rank(np.hstack([by_beta, by_loadings]), tol=1e-9 * max(1.0, float(np.abs(beta).max()), float(np.abs(alpha).max()))))
+
+
+RESTRICTION = "name string, h_matrix array<array<double>>, h array<double>, g_matrix array<array<double>>, g array<double>"
+
+
+def restricted_fits(grams: DataFrame, keys: list[str], s: Shape, r: int, restrictions: DataFrame) -> DataFrame:
+    """(keys, name, loglik, loglik_full, lr, df, p, ...): likelihood-ratio tests of given restrictions at rank r.
+
+    restrictions: (keys, RESTRICTION), a row for each system and name: vec(beta) = H f + h and
+    vec(alpha, psi) = G q + g, column by column; a null matrix leaves its part free, one
+    without columns fixes it. The degrees are the difference of the dimensions that the two
+    models can move in, so redundant columns of H and G count nothing. Restrictions that
+    don't fit the shape are rows with an error.
+    """
+    both = tables.joined(restrictions.withColumnRenamed("g", "g_fixed"), grams, keys)
+
+    def matrix(m, v, rows: int) -> tuple[np.ndarray | None, np.ndarray | None]:  # noqa: ANN001
+        if m is None and v is None:
+            return None, None
+        v = np.zeros(rows) if v is None else np.asarray(v, float)
+        m = np.zeros((rows, 0)) if m is None or not len(m) or not len(m[0]) else np.array([list(x) for x in m], float)
+        if m.shape[0] != rows or v.shape != (rows,):
+            raise ValueError(f"a restriction needs {rows} rows, not {m.shape[0]} and {len(v)}")
+        return m, v
+
+    def job(row):  # noqa: ANN001, ANN202
+        try:
+            return [{"name": row.name} | tested(row)]
+        except (np.linalg.LinAlgError, ValueError) as e:
+            return [{"name": row.name, "error": str(e)}]
+
+    def tested(row) -> dict:  # noqa: ANN001
+        g, n = square(row.g, s.size), int(row.n)
+        hm, h = matrix(row.h_matrix, row.h, s.p1 * r)
+        gm, fixed = matrix(row.g_matrix, row.g_fixed, s.p * (r + s.p2))
+        lam, vectors, logdet = johansen(g, n, s)
+        full, beta = rank_loglik(lam, logdet, n, s.p, r), vectors[:, :r]
+        start = beta if hm is None else _near(beta, hm, h)
+        f = fit([g], [n], s, start, hm, h, gm, fixed, tol=1e-11, most=5000, first=None if gm is None else affine_near(loadings_of([g], s, start), gm, fixed))
+        free_alpha = loadings_of([g], s, beta)[:, :r]
+        df = dimension(free_alpha, beta, s.p2, None, None) - dimension(f.alpha, f.beta, s.p2, hm, gm)
+        lr = 2 * (full - f.loglik)
+        return {"loglik": f.loglik, "loglik_full": full, "lr": lr, "df": df, "p": chi2_sf_exact(max(lr, 0.0), df) if df > 0 else None, "iters": f.iters, "converged": f.converged, "params": fit_params(f)}
+
+    tail = f"name string, loglik double, loglik_full double, lr double, df int, p double, iters int, converged boolean, params {PARAMS}, error string"
+    return _per_row(both, keys, tail, job)
+
+
 def companion_roots(grams: DataFrame, keys: list[str], s: Shape, r: int) -> DataFrame:
     """Moduli (falling) of the companion matrix of the rank-r VECM with one lagged difference."""
 

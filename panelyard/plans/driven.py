@@ -297,7 +297,9 @@ def search(start: dict[str, tuple[np.ndarray, int]], s: rank.Shape, model: str,
             if not open_keys:
                 break
         for k in state:
-            results[k] |= {f"loglik_{kind}": last[k], f"converged_{kind}": k not in open_keys}
+            f = state[k]
+            own = {"precisions": [f["m"]], "b": f["b"]} if model == "log-precision" else {"d": f["d"]}
+            results[k] |= {f"loglik_{kind}": last[k], f"converged_{kind}": k not in open_keys, f"params_{kind}": rank.params(f["alpha"], f["beta"], f["psi"], **own)}
             if kind == "free":
                 results[k] |= {"b": rank.implied_b(state[k]["beta"]).tolist(), "nullity": state[k].get("flat")}
     for r in results.values():
@@ -305,7 +307,7 @@ def search(start: dict[str, tuple[np.ndarray, int]], s: rank.Shape, model: str,
     return results
 
 
-FIT = "spec string, loglik_free double, loglik_one double, lr double, b array<double>, nullity int, iters_free int, iters_one int, converged_free boolean, converged_one boolean, error string"
+FIT = f"spec string, loglik_free double, loglik_one double, lr double, b array<double>, nullity int, iters_free int, iters_one int, converged_free boolean, converged_one boolean, error string, params_free {rank.PARAMS}, params_one {rank.PARAMS}"
 FIELDS = [x.split()[0] for x in FIT.split(", ")]
 
 

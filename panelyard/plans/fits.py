@@ -106,7 +106,8 @@ def _scale_one(w: np.ndarray, u: np.ndarray, s: rank.Shape, points: int, tol: fl
 
     The grid tries every start; steps of the search start from the best fit of the grid.
     """
-    u, out = u - u.mean(), {"converged": True}
+    center = float(u.mean())
+    u, out = u - center, {"converged": True}
     hm, h = rank.basis_restriction(s.p1 - 1)
     for kind, every in (("free", rank.fit_free), ("one", rank.fit_one)):
 
@@ -126,13 +127,13 @@ def _scale_one(w: np.ndarray, u: np.ndarray, s: rank.Shape, points: int, tol: fl
         near = (lambda b: rank.fit(*gram(b), warm, hm, h)) if kind == "free" else (lambda b: every(*gram(b)))  # noqa: B023
         b = golden(lambda b: value(lambda: near(b)), max(-5, top - step), min(5, top + step), tol)  # noqa: B023
         best = max(near(b), every(*gram(b)), key=lambda f: f.loglik)
-        out |= {f"loglik_{kind}": best.loglik, f"b_{kind}": b}
+        out |= {f"loglik_{kind}": best.loglik, f"b_{kind}": b, f"params_{kind}": rank.fit_params(best, b=np.array([b]), center=center)}
         if kind == "free":
             out["b"] = rank.implied_b(best.beta).tolist()
     return out | {"lr": 2 * (out["loglik_free"] - out["loglik_one"])}
 
 
-SCALE = "loglik_free double, b_free double, loglik_one double, b_one double, b array<double>, converged boolean, error string, lr double"
+SCALE = f"loglik_free double, b_free double, loglik_one double, b_one double, b array<double>, converged boolean, error string, lr double, params_free {rank.PARAMS}, params_one {rank.PARAMS}"
 
 
 def scale(df: DataFrame, columns: list[str], system: list[str], driver: str, date: str = "d", fixed: list[str] | None = None, rounds: int = 40, points: int = 17, tol: float = 1e-8, long: int = LONG) -> DataFrame:
@@ -140,9 +141,10 @@ def scale(df: DataFrame, columns: list[str], system: list[str], driver: str, dat
 
     A system's answer depends on its own rows alone. Systems of up to `long` rows are searched
     in one task each (a grid, then golden section). For longer ones every (system, restriction)
-    has its own bracket, a row of a small table: each round joins the brackets' grids to the
-    rows, computes the weighted Grams in one pass and closes each bracket around its own best
-    point, until all are no wider than tol or rounds are used up.
+    has its own bracket, part of a row of a small table: each round sums the weighted Grams of
+    all its points in one pass and closes each bracket around its own best point, until all are
+    no wider than tol or rounds are used up. Both find the same place if the profile has one
+    peak between the neighbours of the best of the `points`.
     """
     rows, names, s = design(df, columns, system, date, fixed)
     keys = system or ["whole"]
@@ -165,31 +167,58 @@ def scale(df: DataFrame, columns: list[str], system: list[str], driver: str, dat
     return out.drop("whole")
 
 
+BRACKET = ["lo_free", "hi_free", "lo_one", "hi_one"]
+
+
 def _scale_by_passes(rows: DataFrame, names: list[str], keys: list[str], s: rank.Shape, rounds: int, points: int, tol: float) -> DataFrame:
-    spark = rows.sparkSession
-    mean = rows.groupBy(*keys).agg(F.avg("__v").alias("__mean"))
-    rows = tables.joined(rows, mean, keys).withColumn("__u", F.col("__v") - F.col("__mean")).select(*keys, *names, "__u").persist()
-    both = F.explode(F.array(F.lit("free"), F.lit("one"))).alias("restriction")
-    at = tables.written(rows.select(*keys).distinct().select(*keys, both, F.lit(-5.0).alias("lo"), F.lit(5.0).alias("hi")), "brackets")
-    span, free = 10.0, F.col("restriction") == "free"
+    """As _scale_one for long systems. A round reads the rows once: every batch sums the Grams of
+    all points of its systems' brackets, and a job on those sums closes the brackets."""
+    mean = tables.written(rows.groupBy(*keys).agg(F.avg("__v").alias("__mean")), "means")
+    rows = tables.joined(rows, mean, keys).select(*keys, *names, (F.col("__v") - F.col("__mean")).alias("__u"))
+    half, triangle = s.size * (s.size + 1) // 2, np.triu_indices(s.size)
+    ends = {"free": (s.size + 1, s.size + 2), "one": (s.size + 3, s.size + 4)}
+
+    def kernel(part: np.ndarray) -> np.ndarray:
+        w, u = part[:, : s.size], part[:, s.size]
+        grids = [np.linspace(part[0, lo], part[0, hi], points) for lo, hi in ends.values()]
+        return np.concatenate([[len(part)], *(((w * np.exp(b * u)[:, None]).T @ w)[triangle] for grid in grids for b in grid)])
+
+    def job(row):  # noqa: ANN001, ANN202
+        out, n, sums = {"error": None}, int(row.sums[0]), np.array(row.sums[1:]).reshape(2 * points, half)
+        for turn, (kind, fitted) in enumerate((("free", rank.fit_free), ("one", rank.fit_one))):
+            lo, hi = getattr(row, f"lo_{kind}"), getattr(row, f"hi_{kind}")
+            best, step = None, (hi - lo) / (points - 1)
+            for b, g in zip(np.linspace(lo, hi, points), sums[turn * points :], strict=False):
+                try:
+                    f = fitted([square(g, s.size)], [n], s)
+                except np.linalg.LinAlgError as e:
+                    out["error"] = str(e)
+                    continue
+                if math.isfinite(f.loglik) and (best is None or f.loglik > best[1].loglik):
+                    best = (float(b), f)
+            if best is None:
+                return [out]
+            out |= {f"loglik_{kind}": best[1].loglik, f"b_{kind}": best[0], f"lo_{kind}": max(-5.0, best[0] - step), f"hi_{kind}": min(5.0, best[0] + step)}
+            out[f"params_{kind}"] = rank.fit_params(best[1], b=np.array([best[0]]))
+            if kind == "free":
+                out["b"] = rank.implied_b(best[1].beta).tolist()
+        return [out | {"error": None}]
+
+    at = tables.written(mean.select(*keys, *(F.lit(-5.0 if c.startswith("lo") else 5.0).alias(c) for c in BRACKET)), "brackets")
+    tail = f"{', '.join(f'{c} double' for c in BRACKET)}, loglik_free double, b_free double, loglik_one double, b_one double, b array<double>, error string, params_free {rank.PARAMS}, params_one {rank.PARAMS}"
+    span = 10.0
     for _ in range(rounds):
-        step = (F.col("hi") - F.col("lo")) / (points - 1)
-        grid = at.select(*keys, "restriction", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-        grid = grid.select(*keys, "restriction", (F.col("lo") + F.col("k") * step).alias("bb"))
-        grams = moments.gram_rows(tables.joined(rows, grid, keys), names, [*keys, "restriction", "bb"], F.exp(F.col("bb") * F.col("__u")))
-        grams = grams.repartition(tables.partitions(spark))  # a fit is long, its row short
-        found = F.when(free, F.col("loglik_free")).otherwise(F.col("loglik_one"))
-        each = rank.spec_fits(grams, [*keys, "restriction", "bb"], s, "scale").withColumn("loglik", F.when(~F.isnan(found), found))
-        own = each.groupBy(*keys, "restriction").agg(F.max("loglik").alias("loglik"), F.max_by("bb", "loglik").alias("best"), F.max_by("b", "loglik").alias("b"), F.max("error").alias("error"))
-        near = [F.greatest(F.lit(-5.0), F.col("best") - step).alias("lo"), F.least(F.lit(5.0), F.col("best") + step).alias("hi")]
-        at = tables.written(tables.joined(at.select(*keys, "restriction", "lo", "hi"), own, [*keys, "restriction"]).select(*keys, "restriction", *near, "loglik", "best", "b", "error"), "brackets")
+        own = at.select(*keys, *BRACKET).where("lo_free IS NOT NULL")
+        sums = moments.kernel_sums(tables.joined(rows, own, keys), [*names, "__u", *BRACKET], keys, kernel)
+        before, at = at, tables.written(rank._per_row(tables.joined(sums, own, keys).repartition(tables.partitions(rows.sparkSession)), keys, tail, job), "brackets")
+        tables.dropped(before)
         span *= 2 / (points - 1)  # the widest that a bracket can be now
         if span <= tol:
             break
-    rows.unpersist()
-    pick = [F.max(F.when(F.col("restriction") == k, F.col(c))).alias(f"{a}_{k}") for k in ("free", "one") for a, c in (("loglik", "loglik"), ("b", "best"))]
-    out = at.groupBy(*keys).agg(*pick, F.max(F.when(free, F.col("b"))).alias("b"), F.bool_and(F.coalesce(F.col("hi") - F.col("lo") <= tol, F.lit(False))).alias("converged"), F.max(F.when(F.col("loglik").isNull(), F.col("error"))).alias("error"))
-    return out.withColumn("lr", 2 * (F.col("loglik_free") - F.col("loglik_one")))
+    out = tables.joined(at, mean, keys)
+    closed = F.coalesce((F.col("hi_free") - F.col("lo_free") <= tol) & (F.col("hi_one") - F.col("lo_one") <= tol), F.lit(False))
+    out = out.withColumns({f"params_{k}": F.col(f"params_{k}").withField("center", F.col("__mean")) for k in ("free", "one")} | {"converged": closed, "lr": 2 * (F.col("loglik_free") - F.col("loglik_one"))})
+    return out.drop("__mean", *BRACKET)
 
 
 def ar1(df: DataFrame, columns: list[str], system: list[str], date: str = "d", fixed: list[str] | None = None, tol: float = 1e-8, most: int = 60) -> DataFrame:
@@ -234,10 +263,10 @@ def ar1(df: DataFrame, columns: list[str], system: list[str], date: str = "d", f
             rho = found
             omega, spread = b @ moved(rho) @ b.T / (n - 1), b @ (moved(rho) + (1 - rho * rho) * one) @ b.T
             value = -(n * s.p * math.log(2 * math.pi) + n * np.linalg.slogdet(omega)[1] - s.p * math.log(1 - rho * rho) + np.trace(np.linalg.solve(omega, spread))) / 2
-            out |= {f"loglik_{kind}": float(value), f"rho_{kind}": rho, f"converged_{kind}": abs(gap) <= tol}
+            out |= {f"loglik_{kind}": float(value), f"rho_{kind}": rho, f"converged_{kind}": abs(gap) <= tol, f"params_{kind}": rank.params(f.alpha, f.beta, f.psi, [np.linalg.inv(omega)], rho=rho)}
             if kind == "free":
                 out["b"] = rank.implied_b(f.beta).tolist()
         return [out | {"lr": 2 * (out["loglik_free"] - out["loglik_one"])}]
 
-    tail = "spec string, loglik_free double, loglik_one double, lr double, b array<double>, rho_free double, rho_one double, converged_free boolean, converged_one boolean, error string"
+    tail = f"spec string, loglik_free double, loglik_one double, lr double, b array<double>, rho_free double, rho_one double, converged_free boolean, converged_one boolean, error string, params_free {rank.PARAMS}, params_one {rank.PARAMS}"
     return rank._per_row(moments.kernel_sums(rows, [*names, *lags], keys, kernel), keys, tail, job).drop("whole")

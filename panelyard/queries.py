@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .functions import dist
 from .operators import covariance, moments, panel, rank, replication, resample, unitroot
-from .plans import boot, compare, driven, fits
+from .plans import boot, compare, driven, fits, scoring
 from .sources import panels, results, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -647,6 +647,73 @@ def e18(spark, d):  # noqa: ANN001, ANN201
     return fits.iid(_system(spark, d), L5[:4], [])
 
 
+def _part(a: str, b: str, given: list[str]) -> str:
+    """SQL of the covariance of a and b with `given` and a constant taken out."""
+    return f"(({_det([a, *given], [b, *given])}) / ({_det(given, given)}))"
+
+
+_V = ["y1", "y2", "x1", "x2", "z1", "z2", "s"]
+_PAIR = f"""WITH longq AS (SELECT n_regionkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, substr(o_orderpriority, 1, 1) AS k, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (CAST(100 AS DOUBLE) * count(*)) AS value
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
+  wideq AS (SELECT n_regionkey, d, ln(max(value) FILTER (k = '1')) AS a, ln(max(value) FILTER (k = '2')) AS b FROM longq WHERE k IN ('1', '2', '3') GROUP BY 1, 2 HAVING count(*) = 3),
+  diffq AS (SELECT n_regionkey, d, a - lag(a) OVER w AS y1, b - lag(b) OVER w AS y2, lag(a) OVER w AS x1, lag(b) OVER w AS x2 FROM wideq WINDOW w AS (PARTITION BY n_regionkey ORDER BY d)),
+  desq AS (SELECT *, lag(y1) OVER w AS z1, lag(y2) OVER w AS z2, x2 - x1 AS s FROM diffq WINDOW w AS (PARTITION BY n_regionkey ORDER BY d)),
+  covq AS (SELECT n_regionkey, count(*) AS n, {", ".join(f"covar_pop({a}, {b}) AS c_{a}_{b}" for a in _V for b in _V)} FROM desq WHERE z1 IS NOT NULL GROUP BY 1),
+  part AS (SELECT n_regionkey, n, {", ".join(f"{_part(a, b, ['z1', 'z2'])} AS p_{a}_{b}" for a in _V[:4] for b in _V[:4])}, {", ".join(f"{_part(a, b, ['s', 'z1', 'z2'])} AS o_{a}_{b}" for a in _V[:2] for b in _V[:2])} FROM covq),
+  dets AS (SELECT *, p_y1_y1 * p_y2_y2 - p_y1_y2 * p_y1_y2 AS d00, p_x1_x1 * p_x2_x2 - p_x1_x2 * p_x1_x2 AS d11, p_y1_x1 * p_y2_x2 - p_y1_x2 * p_y2_x1 AS d01, o_y1_y1 * o_y2_y2 - o_y1_y2 * o_y1_y2 AS done FROM part),
+  mid AS (SELECT *, (p_y2_y2 * p_y1_x1 * p_y1_x1 - 2 * p_y1_y2 * p_y1_x1 * p_y2_x1 + p_y1_y1 * p_y2_x1 * p_y2_x1) / d00 AS m11, (p_y2_y2 * p_y1_x2 * p_y1_x2 - 2 * p_y1_y2 * p_y1_x2 * p_y2_x2 + p_y1_y1 * p_y2_x2 * p_y2_x2) / d00 AS m22,
+    (p_y2_y2 * p_y1_x1 * p_y1_x2 - p_y1_y2 * (p_y1_x1 * p_y2_x2 + p_y1_x2 * p_y2_x1) + p_y1_y1 * p_y2_x1 * p_y2_x2) / d00 AS m12 FROM dets),
+  eig AS (SELECT *, (p_x2_x2 * m11 - 2 * p_x1_x2 * m12 + p_x1_x1 * m22) / d11 AS tr, d01 * d01 / (d00 * d11) AS de FROM mid),
+  pairq AS (SELECT n_regionkey, n, -n / 2.0::DOUBLE * (2 * (1 + ln(2 * pi())) + ln(d00) + ln(1 - (tr + sqrt(tr * tr - 4 * de)) / 2)) AS free, -n / 2.0::DOUBLE * (2 * (1 + ln(2 * pi())) + ln(done)) AS one FROM eig)"""
+
+
+@query("e18_fit_iid_pairs", _PAIR + " SELECT n_regionkey, round(free, 4) AS loglik_free, round(one, 4) AS loglik_one, round(2 * (free - one), 4) AS lr FROM pairq")
+def e18_pairs(spark, d):  # noqa: ANN001, ANN201
+    found = fits.iid(_region_system(spark, d).drop(L5[2]), L5[:2], ["n_regionkey"])
+    return rounded(found.select("n_regionkey", "loglik_free", "loglik_one", "lr"), "loglik_free", "loglik_one", "lr", digits=4)
+
+
+@query("e27_scored_rows", _PAIR + " SELECT n_regionkey, 'one' AS restriction, n, round(one, 4) AS loglik FROM pairq UNION ALL SELECT n_regionkey, 'free', n, round(free, 4) FROM pairq")
+def e27_scored(spark, d):  # noqa: ANN001, ANN201
+    """Rows under the parameters of their region's own fit; the densities add up to the fit's likelihood."""
+    rows, system = _region_system(spark, d).drop(L5[2]), ["n_regionkey"]
+    found = tables.written(fits.iid(rows, L5[:2], system), "fits")
+    parts = [scoring.loglik(scoring.score(rows, L5[:2], system, found, "iid", kind)).select(*system, F.lit(kind).alias("restriction"), "n", F.round("loglik", 4).alias("loglik")) for kind in ("one", "free")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("e17_restrictions", _PAIR + """ SELECT n_regionkey, 'unit' AS name, round(one, 4) AS loglik, round(2 * (free - one), 4) AS lr, 1 AS df FROM pairq UNION ALL SELECT n_regionkey, 'none', round(free, 4), CAST(0 AS DOUBLE), 0 FROM pairq""")
+def e17_restrictions(spark, d):  # noqa: ANN001, ANN201
+    """Given restrictions of each region's relation, from one table: none, and the spread itself."""
+    system = ["n_regionkey"]
+    rows, names, s = fits.design(_region_system(spark, d).drop(L5[2]), L5[:2], system)
+    given = [("none", None, None, None, None), ("unit", [[], []], [-1.0, 1.0], None, None)]
+    listed = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(None).cast("array<array<double>>").alias("h_matrix") if m is None else F.array(*(F.array().cast("array<double>") for _ in m)).alias("h_matrix"), F.lit(None).cast("array<double>").alias("h") if h is None else F.array(*map(F.lit, h)).alias("h"), F.lit(None).cast("array<array<double>>").alias("g_matrix"), F.lit(None).cast("array<double>").alias("g")) for n, m, h, _, _ in given))
+    table_of = rows.select(*system).distinct().select(*system, F.explode(listed).alias("r")).select(*system, "r.*")
+    found = rank.restricted_fits(moments.gram_rows(rows, names, system), system, s, 1, table_of)
+    return found.select(*system, "name", F.round("loglik", 4).alias("loglik"), (F.round(F.abs("lr"), 4) + 0.0).alias("lr"), "df")
+
+
+@query("e28_scored_models")
+def e28_models(spark, d):  # noqa: ANN001, ANN201
+    """Every model's fits of each region, and the same likelihoods from rows scored under them."""
+    system = ["n_regionkey"]
+    base = _region_system(spark, d)
+    rows = tables.written(panel.volatility_driver(base, L5[:3], system), "rows")
+    made = {
+        "iid": fits.iid(rows, L5[:3], system), "regime": fits.regime(rows, L5[:3], system, [25, 50]), "scale": fits.scale(rows, L5[:3], system, "v"), "ar1": fits.ar1(rows, L5[:3], system),
+        **{m: driven.fit(rows, L5[:3], system, "v", m) for m in ("quadratic-factor", "log-precision")},
+    }
+    out = None
+    for model, fitted in made.items():
+        found = tables.written(fitted.select(*system, "loglik_free", "params_free", "params_one"), "fits")
+        scored = scoring.score(rows, L5[:3], system, found, model, breaks=[25, 50])
+        both = tables.joined(scoring.loglik(scored), scoring.standard_errors(scored).select(*system, "se"), system)
+        one = tables.joined(both, found.select(*system, F.col("loglik_free").alias("fitted")), system).select(*system, F.lit(model).alias("spec"), "n", "loglik", "fitted", "se")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("e19_fit_regime")
 def e19(spark, d):  # noqa: ANN001, ANN201
     return fits.regime(_system(spark, d), L5[:4], [], [120, 240])

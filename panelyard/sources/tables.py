@@ -29,6 +29,16 @@ def written(df: DataFrame, stem: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    spark = df.sparkSession
+    at = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in at:
+        if f"{shared_dir(spark).split('://')[-1].rstrip('/')}/" in f"{folder}/":
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
