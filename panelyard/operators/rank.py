@@ -408,7 +408,8 @@ def restricted_fits(grams: DataFrame, keys: list[str], s: Shape, r: int, restric
         m = np.zeros((rows, 0)) if m is None or not len(m) or not len(m[0]) else np.array([list(x) for x in m], float)
         if m.shape[0] != rows or v.shape != (rows,):
             raise ValueError(f"a restriction needs {rows} rows, not {m.shape[0]} and {len(v)}")
-        return m, v
+        axes, size, _ = np.linalg.svd(m, full_matrices=False)  # redundant columns go
+        return axes[:, size > 1e-10 * max(size.max(initial=0.0), 1e-300)], v
 
     def job(row):  # noqa: ANN001, ANN202
         try:
