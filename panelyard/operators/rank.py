@@ -384,7 +384,9 @@ def dimension(alpha: np.ndarray, beta: np.ndarray, p2: int, h_matrix: np.ndarray
         by_beta = by_beta @ h_matrix
     if g_matrix is not None:
         by_loadings = by_loadings @ g_matrix
-    return int(np.linalg.matrix_rank(np.hstack([by_beta, by_loadings]), tol=1e-9 * max(1.0, float(np.abs(beta).max()), float(np.abs(alpha).max()))))
+    both = np.hstack([by_beta, by_loadings])
+    length = np.linalg.norm(both, axis=0)  # lengths of directions say nothing about their number
+    return int(np.linalg.matrix_rank(both / np.where(length > 0, length, 1), tol=1e-7))
 
 
 RESTRICTION = "name string, h_matrix array<array<double>>, h array<double>, g_matrix array<array<double>>, g array<double>"
