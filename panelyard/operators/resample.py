@@ -203,3 +203,28 @@ def bootstrap_lr(levels: DataFrame, columns: list[str], system: list[str], break
 
     head = rank._head(levels, system)
     return blocks.groupBy(*system, "block").applyInPandas(run, ", ".join(filter(None, [head, "j int, lr double, b array<double>"])))
+
+
+def normals(seed: int, js: list[int], n: int) -> np.ndarray:
+    """The same weights as `normal` for rows 1 to n, a line a replicate."""
+    out = np.empty((len(js), n))
+    for k, j in enumerate(js):
+        for t in range(1, n + 1):
+            digest = hashlib.md5(f"{seed}|{j}|{t}".encode()).hexdigest()
+            one, two = ((int(digest[a : a + 12], 16) + 0.5) / 2.0**48 for a in (0, 12))
+            out[k, t - 1] = math.sqrt(-2 * math.log(one)) * math.cos(2 * math.pi * two)
+    return out
+
+
+DRAWS = {"rademacher": signs, "normal": normals}
+
+
+def rebuilt(levels: np.ndarray, pi: np.ndarray, gamma: np.ndarray, fixed: np.ndarray, shocks: np.ndarray) -> np.ndarray:
+    """Paths (replicates, rows, series) from two observed levels: each change is pi x + gamma dx + the
+    row's deterministic part + its shock; all replicates advance together."""
+    j, n, p = shocks.shape
+    path = np.empty((j, n + 2, p))
+    path[:, :2] = levels[:2]
+    for t in range(n):
+        path[:, t + 2] = path[:, t + 1] + path[:, t + 1] @ pi.T + (path[:, t + 1] - path[:, t]) @ gamma.T + fixed[t] + shocks[:, t]
+    return path

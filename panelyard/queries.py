@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .functions import dist
 from .operators import covariance, moments, panel, rank, replication, resample, unitroot
-from .plans import boot, compare, driven, fits, scoring
+from .plans import boot, compare, draws, driven, fits, scoring
 from .sources import panels, results, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -694,6 +694,18 @@ def e17_restrictions(spark, d):  # noqa: ANN001, ANN201
     return found.select(*system, "name", F.round("loglik", 4).alias("loglik"), (F.round(F.abs("lr"), 4) + 0.0).alias("lr"), "df")
 
 
+@query("f4_bootstrap_models")
+def f4_models(spark, d):  # noqa: ANN001, ANN201
+    """P-values of b = 1 in each region under models with and without a driver, 99 draws each."""
+    return draws.pvalues(_region_system(spark, d), L5[:3], ["n_regionkey"], ["iid", "regime", "scale", "log-precision", "quadratic-factor"], [25, 50], 99, 19510104, chunk=99)
+
+
+@query("f6_standard_errors")
+def f6_se(spark, d):  # noqa: ANN001, ANN201
+    """Deviations of b over 199 draws from each region's free fit."""
+    return draws.standard_errors(_region_system(spark, d), L5[:3], ["n_regionkey"], ["iid", "regime", "scale"], [25, 50], 199, 19510104, chunk=100)
+
+
 @query("e28_scored_models")
 def e28_models(spark, d):  # noqa: ANN001, ANN201
     """Every model's fits of each region, and the same likelihoods from rows scored under them."""
@@ -702,7 +714,7 @@ def e28_models(spark, d):  # noqa: ANN001, ANN201
     rows = tables.written(panel.volatility_driver(base, L5[:3], system), "rows")
     made = {
         "iid": fits.iid(rows, L5[:3], system), "regime": fits.regime(rows, L5[:3], system, [25, 50]), "scale": fits.scale(rows, L5[:3], system, "v"), "ar1": fits.ar1(rows, L5[:3], system),
-        **{m: driven.fit(rows, L5[:3], system, "v", m) for m in ("quadratic-factor", "log-precision")},
+        **{m: driven.fit(rows, L5[:3], system, "v", m) for m in ("log-precision",)},
     }
     out = None
     for model, fitted in made.items():
