@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.dist import CHI2_3, chi2_sf
+from ..functions.dist import CHI2_3, chi2_quantile_exact, chi2_sf
 from ..sources import tables
 from .quantiles import quantiles, with_quantiles
 
@@ -145,14 +145,16 @@ def start_table_summary(df: DataFrame, keys: list[str], j: str, loglik: str, ite
     return with_quantiles(out, sets, keys, "mid", {"median_of_medians": 0.5})
 
 
-def size_summary(df: DataFrame, keys: list[str], lr: str = "lr", status: str = "status", won: str | None = None, spread: str | None = None) -> DataFrame:
+def size_summary(df: DataFrame, keys: list[str], lr: str = "lr", status: str = "status", won: str | None = None, spread: str | None = None, degrees: int | None = None) -> DataFrame:
     """Rejection rates at 10, 5 and 1 percent of the usable rows (status 0), counts and quantiles.
 
+    The critical values are those of a chi-square with `degrees`; without, the tabulated ones for 3.
+
     won adds the share of usable rows that start 2 (the closed form) won; spread its median and maximum.
     Keys without usable rows keep their counts and have nulls elsewhere.
     """
     ok = (F.col(status) == 0) & finite(lr).isNotNull()
-    rates = [F.avg(F.when(ok, (F.col(lr) >= c).cast("double"))).alias(f"rej{p}") for p, c in CHI2_3.items()]
+    rates = [F.avg(F.when(ok, (F.col(lr) >= c).cast("double"))).alias(f"rej{p}") for p, c in (CHI2_3 if degrees is None else {p: chi2_quantile_exact(p / 100, degrees) for p in CHI2_3}).items()]
     more = [F.avg(F.when(F.col(status) == 0, (F.col(won) == 2).cast("double"))).alias("won_closed")] if won else []
     more += [F.max(F.when(F.col(status) == 0, F.col(spread))).alias("max_spread")] if spread else []
     out = df.groupBy(*keys).agg(F.count_if(ok).alias("usable"), F.count_if(F.col(status) == 1).alias("runaway"), F.count_if(F.col(status) == 2).alias("errors"), *rates, *more)

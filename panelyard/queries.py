@@ -426,6 +426,15 @@ def _se(y: str, x: list[str], k: int) -> str:
 LAGGED = f"""WITH {REGION}, m1 AS (SELECT n_regionkey, t, x - lag(x) OVER w AS y, lag(x) OVER w AS l FROM logr WINDOW w AS (PARTITION BY n_regionkey ORDER BY t)),
   m AS (SELECT *, lag(y) OVER w AS z, lag(y, 2) OVER w AS z2 FROM m1 WINDOW w AS (PARTITION BY n_regionkey ORDER BY t))"""
 
+@query(
+    "dist_chi2_quantile",
+    "WITH q AS (SELECT DISTINCT l_discount * 5 + 0.05::DOUBLE AS u FROM lineitem) SELECT round(u, 6) AS u, round(-2 * ln(u), 7) AS x2 FROM q",
+)
+def chi2_quantiles(spark, d):  # noqa: ANN001, ANN201
+    u = table(spark, d, "lineitem").select((F.col("l_discount") * 5 + 0.05).alias("u")).distinct()
+    return u.select(F.round("u", 6).alias("u"), F.round(dist.chi2_quantile(F.col("u"), 2), 7).alias("x2"))
+
+
 @query("e1_ols_one", f"WITH {REGION}, m AS (SELECT n_regionkey, x - lag(x) OVER w AS y, lag(x) OVER w AS l FROM logr WINDOW w AS (PARTITION BY n_regionkey ORDER BY d)) SELECT n_regionkey, CAST(regr_count(y, l) AS BIGINT) AS n, round(regr_slope(y, l), 6) AS slope, round(regr_intercept(y, l), 5) AS intercept, round(sqrt((regr_syy(y, l) - regr_sxy(y, l) * regr_sxy(y, l) / regr_sxx(y, l)) / (regr_count(y, l) - 2) / regr_sxx(y, l)), 6) AS se, round(regr_r2(y, l), 6) AS r2 FROM m GROUP BY 1")
 def e1(spark, d):  # noqa: ANN001, ANN201
     w = panel.ordered(["n_regionkey"])

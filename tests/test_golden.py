@@ -1,16 +1,11 @@
-"""Published values on the monthly oil panel, rebuilt from the raw text files.
+"""Published values on the monthly oil panel of data/monthly_prices.parquet (series, d, value)."""
 
-PANEL_RAW_DIR names the folder of those files; without it these tests are left out.
-"""
-
-import os
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-RAW = os.environ.get("PANEL_RAW_DIR", "")
-pytestmark = pytest.mark.skipif(not RAW, reason="PANEL_RAW_DIR isn't set")
+PRICES = Path(__file__).parent / "data" / "monthly_prices.parquet"
 COLUMNS = ["l_F1", "l_F2", "l_F3", "l_F4"]
 
 
@@ -19,10 +14,8 @@ def logs(spark):
     from panelyard.operators import panel
     from panelyard.sources import panels
 
-    months = panels.read_year_month_matrix(spark, {f"F{k}": str(next(Path(RAW).glob(f"*{k}m.txt"))) for k in range(1, 5)})
-    spot = panels.read_date_value(spark, str(next(Path(RAW).glob("spot*"))), "spot")
     names = ["spot", "F1", "F2", "F3", "F4"]
-    wide = panels.with_logs(panel.align(months.unionByName(spot), names, []), names)
+    wide = panels.with_logs(panel.align(spark.read.parquet(str(PRICES)), names, []), names)
     return wide.select("d", *COLUMNS).cache()
 
 
@@ -105,6 +98,29 @@ def test_rank_bootstrap(logs):
     assert 0.3 < replication.bootstrap_pvalue(draws, ["r0"], "observed").first()["p"] < 0.75
 
 
+def test_bootstrap_of_driver_models(logs, seasonal):
+    """P-values and standard errors near the published ones, within the error of as many draws."""
+    from panelyard.plans import draws
+
+    df, cs = seasonal
+    p = {r["spec"]: r for r in draws.pvalues(df, COLUMNS, [], ["iid", "scale"], [], 60, 11, fixed=cs, chunk=15).collect()}
+    assert abs(p["iid"]["p"] - 0.08) < 0.12 and abs(p["scale"]["p"] - 0.49) < 0.2
+    assert abs(p["scale"]["observed"] - 2.2895) < 1e-3
+    se = {r["component"]: r["se"] for r in draws.standard_errors(df, COLUMNS, [], ["scale"], [], 100, 11, fixed=cs, chunk=25).collect()}
+    assert all(abs(se[k] / want - 1) < 0.35 for k, want in enumerate((0.00457, 0.00836, 0.01157)))
+
+
+def test_scored_rows_give_published_likelihoods(logs, seasonal):
+    from panelyard.operators import panel
+    from panelyard.plans import driven, fits, scoring
+
+    df, cs = seasonal
+    rows = panel.volatility_driver(df, COLUMNS, [])
+    for model, found, want in (("regime", fits.regime(df, COLUMNS, [], [270, 408], fixed=cs), 6402.05), ("quadratic-factor", driven.fit(rows, COLUMNS, [], "v", "quadratic-factor", fixed=cs), 6209.4137)):
+        got = scoring.loglik(scoring.score(rows, COLUMNS, [], found, model, breaks=[270, 408], fixed=cs)).first()
+        assert abs(got["loglik"] - want) < 1e-2
+
+
 @pytest.mark.parametrize(
     ("kind", "model", "free", "one"),
     [("level", "log-precision", 6430.6578, 6429.7169), ("log", "log-precision", 6268.3376, 6267.0312), ("level", "quadratic", 6209.4137, 6204.4114), ("level", "quadratic-factor", 6209.4137, 6204.4114)],

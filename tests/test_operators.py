@@ -25,6 +25,17 @@ def test_distributions(spark):
     assert abs(dist.chi2_sf_exact(7.8147, 3) - 0.05) < 1e-5 and abs(dist.normal_cdf_exact(-1.959964) - 0.025) < 1e-6
 
 
+def test_chi_square_quantiles(spark):
+    from panelyard.functions import dist
+
+    known = {(0.05, 1): 3.841458820694, (0.05, 2): 5.991464547108, (0.01, 3): 11.344866730144, (0.95, 4): 0.710723021397, (0.1, 9): 14.683656573258, (0.5, 30): 29.336031516900, (0.001, 5): 20.515005652432, (1e-9, 2): 41.446531673892}
+    for (upper, df), want in known.items():
+        got = spark.range(1).select(dist.chi2_quantile(F.lit(upper), df).alias("x")).first()["x"]
+        assert abs(got - want) < 1e-9 * want and abs(dist.chi2_quantile_exact(upper, df) - want) < 1e-9 * want
+    edge = spark.createDataFrame([(0.0,), (1.0,), (None,), (2.0,)], "u double").select(dist.chi2_quantile(F.col("u"), 3).alias("x")).collect()
+    assert all(r["x"] is None for r in edge)
+
+
 def test_prefix_gram_equals_segment_gram(spark):
     from panelyard.operators import moments, panel
 
