@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import tables
 from . import covariance
 from .quantiles import quantiles
 
@@ -83,6 +84,44 @@ def prefix_gram(df: DataFrame, a: str, b: str, system: list[str], at: list[int]
     return part.join(before, [*system, "__b"]).select(*system, "k", (F.col("before") + F.col("part")).alias("value"))
 
 
+def prefix_gram_rows(pieces: DataFrame, keys: list[str], piece: str = "piece", block: int = 256) -> DataFrame:
+    """(keys, piece, n, g, n_before, before, n_total, total): whole Grams of pieces (n, g) with those of
+    all pieces up to and with each one, and of all.
+
+    Pieces are summed in blocks, a system's blocks are cumulated, and each block cumulates its
+    own pieces from there; no task holds more than a block of pieces or a system's blocks.
+    """
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*keys).schema.fields)
+    own = ", ".join(filter(None, [head, "__b bigint, n bigint, g array<double>"]))
+    stack = lambda part: np.array(part["g"].tolist(), float)
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        first = part.iloc[0]
+        return pd.DataFrame([{**{k: first[k] for k in [*keys, "__b"]}, "n": int(part["n"].sum()), "g": stack(part).sum(0).tolist()}], columns=[*keys, "__b", "n", "g"], dtype=object)
+
+    def cumulated(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__b")
+        ends, counts = stack(part).cumsum(0), part["n"].to_numpy(np.int64).cumsum()
+        out = part[[*keys, "__b"]].astype(object)
+        out["n_start"], out["start"] = [0, *counts[:-1].tolist()], [np.zeros(ends.shape[1]).tolist(), *ends[:-1].tolist()]
+        out["n_total"], out["total"] = int(counts[-1]), [ends[-1].tolist()] * len(part)
+        return out
+
+    def placed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(piece)
+        ends = stack(part).cumsum(0) + np.array(part["start"].iloc[0], float)
+        counts = part["n"].to_numpy(np.int64).cumsum() + int(part["n_start"].iloc[0])
+        out = part[[*keys, piece, "n", "g", "n_total", "total"]].astype(object)
+        out["n_before"], out["before"] = counts.tolist(), ends.tolist()
+        return out[[*keys, piece, "n", "g", "n_before", "before", "n_total", "total"]]
+
+    rows = pieces.withColumn("__b", F.floor(F.col(piece) / block))
+    starts = rows.groupBy(*keys, "__b").applyInPandas(summed, own).groupBy(*keys).applyInPandas(cumulated, ", ".join(filter(None, [head, "__b bigint, n_start bigint, start array<double>, n_total bigint, total array<double>"])))
+    kind = pieces.schema[piece].dataType.simpleString()
+    met = tables.joined(rows, starts, [*keys, "__b"])
+    return met.groupBy(*keys, "__b").applyInPandas(placed, ", ".join(filter(None, [head, f"{piece} {kind}, n bigint, g array<double>, n_before bigint, before array<double>, n_total bigint, total array<double>"])))
+
+
 def lag_gram(df: DataFrame, columns: list[str], lag: int, system: list[str], date: str = "d") -> DataFrame:
     """Sums of column_i at t times column_j at t - lag, all i, j."""
     w = Window.partitionBy(*system).orderBy(date)

@@ -123,11 +123,33 @@ def cap_driver(df: DataFrame, observed: DataFrame, system: list[str], column: st
     return out.withColumn(column, F.least(column, "__top")).drop("__top")
 
 
-def segment(t: Column, breaks: list[int]) -> Column:
-    """Number of the segment, from 0; a break k ends a segment after row k."""
+Breaks = list[int] | tuple[int, ...] | DataFrame
+
+
+def segment(t: Column, breaks: list[int] | Column) -> Column:
+    """Number of the segment, from 0; a break k ends a segment after row k. breaks: a list, or an array column."""
+    if isinstance(breaks, Column):
+        return F.aggregate(breaks, F.lit(0), lambda n, k: n + F.when(t > k, 1).otherwise(0))
     return sum((F.when(t > k, 1).otherwise(0) for k in breaks), F.lit(0))
 
 
+def with_breaks(rows: DataFrame, system: list[str], breaks: Breaks, name: str = "__breaks") -> DataFrame:
+    """rows with their system's breaks as an array: one list for all, or a table (system, breaks)
+    of each one's own; a system that isn't in it has none."""
+    none = F.array().cast("array<int>")
+    if not isinstance(breaks, DataFrame):
+        return rows.withColumn(name, F.array(*map(F.lit, breaks)).cast("array<int>") if len(breaks) else none)
+    own = breaks.select(*system, F.col("breaks").cast("array<int>").alias(name))
+    return tables.joined(rows, own, system, "left").withColumn(name, F.coalesce(name, none))
+
+
+def with_segments(rows: DataFrame, system: list[str], breaks: Breaks, name: str = "segment", t: str = "t") -> DataFrame:
+    """rows with the number of their segment under their system's breaks."""
+    if not isinstance(breaks, DataFrame):
+        return rows.withColumn(name, segment(F.col(t), list(breaks)))
+    return with_breaks(rows, system, breaks).withColumn(name, segment(F.col(t), F.col("__breaks"))).drop("__breaks")
+
+
 def segments_by_range(rows: DataFrame, edges: DataFrame, t: str = "t") -> DataFrame:
     """Rows joined to their segment (lo, hi] by a range condition; edges is a short table."""
     return rows.join(F.broadcast(edges), (F.col(t) > F.col("lo")) & (F.col(t) <= F.col("hi")))

@@ -143,7 +143,7 @@ def replicate(est: Estimator, kind: str | None, w: np.ndarray, levels: np.ndarra
     return np.where(np.isfinite(lr), lr, np.nan), np.where(np.isfinite(value)[:, None], b_of(state), np.nan)
 
 
-def draws(df: DataFrame, columns: list[str], system: list[str], fitted: DataFrame, model: str, b: int, seed: int, under: str = "one", breaks: list[int] | None = None, scheme: str = "rademacher", date: str = "d", fixed: list[str] | None = None, chunk: int = 125, tol: float = 1e-7, most: int = 60, only: DataFrame | None = None) -> DataFrame:
+def draws(df: DataFrame, columns: list[str], system: list[str], fitted: DataFrame, model: str, b: int, seed: int, under: str = "one", breaks: panel.Breaks | None = None, scheme: str = "rademacher", date: str = "d", fixed: list[str] | None = None, chunk: int = 125, tol: float = 1e-7, most: int = 60, only: DataFrame | None = None) -> DataFrame:
     """(system, j, lr, b) of replicates 1 to b of one of MODELS.
 
     fitted: the system's fit with params_free and params_one. under "one" the data are drawn
@@ -161,6 +161,7 @@ def draws(df: DataFrame, columns: list[str], system: list[str], fitted: DataFram
     plan = own.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // chunk))))
     if only is not None:
         plan = tables.joined(plan, only.withColumnRenamed("block", "__block"), keys, "left_semi")
+    plan = panel.with_breaks(plan, system, [] if breaks is None else breaks)
     blocks = data.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // chunk))))
 
     def run(part: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +175,7 @@ def draws(df: DataFrame, columns: list[str], system: list[str], fitted: DataFram
         at = {"free": who["__free"].iloc[0], "one": who["__one"].iloc[0]}
         levels = np.vstack([w[0, s.x] - w[0, s.z][: s.p], w[0, s.x]])  # the two rows before the first change
         weights = resample.DRAWS[scheme](seed, js, len(w))
-        est, out = Estimator(model, s, breaks or [], tol, most), []
+        est, out = Estimator(model, s, [int(k) for k in who["__breaks"].iloc[0]] if model == "regime" else [], tol, most), []
         try:
             lr, bs = replicate(est, kind, w, levels, at, under, weights)
         except np.linalg.LinAlgError:  # one at a time, so that only its own fails
@@ -193,7 +194,7 @@ def draws(df: DataFrame, columns: list[str], system: list[str], fitted: DataFram
     return blocks.groupBy(*keys).cogroup(plan.groupBy(*keys)).applyInPandas(run, schema)
 
 
-def fitted_models(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: list[int], date: str = "d", fixed: list[str] | None = None) -> DataFrame:
+def fitted_models(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: panel.Breaks, date: str = "d", fixed: list[str] | None = None) -> DataFrame:
     """(system, spec, loglik_free, loglik_one, lr, params_free, params_one) of the models."""
     drivers = {k: panel.volatility_driver(df, columns, system, date, k) for k in ("level", "log")}
     out = None
@@ -205,7 +206,7 @@ def fitted_models(df: DataFrame, columns: list[str], system: list[str], models:
     return out
 
 
-def pvalues(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: list[int], b: int, seed: int, date: str = "d", fixed: list[str] | None = None, **more) -> DataFrame:  # noqa: ANN003
+def pvalues(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: panel.Breaks, b: int, seed: int, date: str = "d", fixed: list[str] | None = None, **more) -> DataFrame:  # noqa: ANN003
     """P-values of each system's LR of b = 1 under each model, from draws under b = 1."""
     found = tables.written(fitted_models(df, columns, system, models, breaks, date, fixed), "fits")
     all_draws = None
@@ -219,7 +220,7 @@ def pvalues(df: DataFrame, columns: list[str], system: list[str], models: list[s
     return out
 
 
-def standard_errors(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: list[int], b: int, seed: int, date: str = "d", fixed: list[str] | None = None, **more) -> DataFrame:  # noqa: ANN003
+def standard_errors(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: panel.Breaks, b: int, seed: int, date: str = "d", fixed: list[str] | None = None, **more) -> DataFrame:  # noqa: ANN003
     """(system, spec, component, n, se): deviations of b over draws from each model's free fit."""
     found = tables.written(fitted_models(df, columns, system, models, breaks, date, fixed), "fits")
     out = None

@@ -34,21 +34,24 @@ def iid(df: DataFrame, columns: list[str], system: list[str], date: str = "d", f
     return rank.spec_fits(moments.gram_rows(rows, names, system), system, s)
 
 
-def regime(df: DataFrame, columns: list[str], system: list[str], breaks: list[int], date: str = "d", fixed: list[str] | None = None) -> DataFrame:
+def regime(df: DataFrame, columns: list[str], system: list[str], breaks: panel.Breaks, date: str = "d", fixed: list[str] | None = None) -> DataFrame:
+    """One covariance a segment; breaks: a list for all systems, or a table (system, breaks)."""
     rows, names, s = design(df, columns, system, date, fixed)
-    grams = moments.gram_rows(rows.withColumn("segment", panel.segment(F.col("t"), breaks)), names, [*system, "segment"])
+    grams = moments.gram_rows(panel.with_segments(rows, system, breaks), names, [*system, "segment"])
     return rank.segment_fits(grams, system, s)
 
 
-def break_grid(df: DataFrame, columns: list[str], system: list[str], breaks: tuple[int, int], reach: int, date: str = "d", fixed: list[str] | None = None) -> DataFrame:
+def break_grid(df: DataFrame, columns: list[str], system: list[str], breaks: panel.Breaks, reach: int, date: str = "d", fixed: list[str] | None = None) -> DataFrame:
     """(system, s1, s2, loglik_free, loglik_one, lr, error): both breaks moved by up to `reach` rows.
 
-    One pass sums the rows between neighbouring edges. A task takes a system's pieces and one
+    breaks: two for all systems, or a table (system, breaks) with two of each one's own. One
+    pass sums the rows between neighbouring edges. A task takes a system's pieces and one
     place of the first break, cumulates them, and fits every place of the second.
     """
     rows, names, s = design(df, columns, system, date, fixed)
-    edges = sorted({b + k for b in breaks for k in range(-reach, reach + 1)})
-    pieces = moments.gram_rows(rows.withColumn("piece", panel.segment(F.col("t"), edges)), names, [*system, "piece"])
+    near = F.flatten(F.transform("__breaks", lambda k: F.sequence(k - reach, k + reach)))
+    rows = panel.with_breaks(rows, system, breaks).where(F.size("__breaks") == 2).withColumn("__edges", F.array_sort(F.array_distinct(near)))
+    pieces = moments.gram_rows(rows.withColumn("piece", panel.segment(F.col("t"), F.col("__edges"))), names, [*system, "__breaks", "__edges", "piece"])
     tail = "s2 int, loglik_free double, loglik_one double, lr double, error string"
     keys, steps = [*system, "s1"], range(-reach, reach + 1)
     each = pieces.withColumn("s1", F.explode(F.array(*(F.lit(k) for k in steps)))).repartition(tables.partitions(df.sparkSession), *keys)
@@ -56,6 +59,7 @@ def break_grid(df: DataFrame, columns: list[str], system: list[str], breaks: tup
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         base, out = {c: part[c].iloc[0] for c in keys}, []
+        breaks, edges = part["__breaks"].iloc[0], list(part["__edges"].iloc[0])
         sums, counts = np.zeros((len(edges) + 2, s.size, s.size)), np.zeros(len(edges) + 2, np.int64)
         for piece, g, n in zip(part["piece"], part["g"], part["n"], strict=True):
             sums[piece + 1], counts[piece + 1] = square(g, s.size), n
@@ -75,6 +79,39 @@ def break_grid(df: DataFrame, columns: list[str], system: list[str], breaks: tup
     return each.groupBy(*keys).applyInPandas(run, f"{rank._head(each, keys)}, {tail}")
 
 
+def break_profile(df: DataFrame, columns: list[str], system: list[str], first: int = 12, last: int = 12, step: int = 1, date: str = "d", fixed: list[str] | None = None) -> DataFrame:
+    """(system, k, loglik_free, loglik_one, lr, error): the regime model with one break after row k,
+    for every step-th k from `first` to `last` rows before the end.
+
+    One pass sums the rows between neighbouring cuts; prefix sums of whole Grams then give both
+    sides of every cut, and the cuts are fitted side by side.
+    """
+    rows, names, s = design(df, columns, system, date, fixed)
+    keys = system or ["whole"]
+    rows = rows if system else rows.withColumn("whole", F.lit(0))
+    cut = F.greatest(F.ceil((F.col("t") - first) / step), F.lit(0)).cast("int")
+    sums = moments.prefix_gram_rows(moments.gram_rows(rows.withColumn("piece", cut), names, [*keys, "piece"]), keys)
+    cuts = sums.where(F.col("n_total") - F.col("n_before") >= last).select(*keys, "n_before", "before", "n_total", "total").repartition(tables.partitions(df.sparkSession))
+
+    def job(row):  # noqa: ANN001, ANN202
+        left, whole = square(row.before, s.size), square(row.total, s.size)
+        out = {"k": int(row.n_before)}
+        try:
+            free, one = rank.both_fits([left, whole - left], [int(row.n_before), int(row.n_total - row.n_before)], s, tol=1e-9, most=500)
+        except (np.linalg.LinAlgError, ValueError) as e:
+            return [out | {"error": str(e)}]
+        return [out | {"loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik)}]
+
+    return rank._per_row(cuts, keys, "k int, loglik_free double, loglik_one double, lr double, error string", job).drop("whole")
+
+
+def best_break(profile: DataFrame, system: list[str]) -> DataFrame:
+    """(system, k, loglik, n_cuts): where the free likelihood of a profile is highest; the first of equal ones."""
+    good = profile.where(F.col("loglik_free").isNotNull() & ~F.isnan("loglik_free"))
+    top = F.max(F.struct(F.col("loglik_free").alias("loglik"), (-F.col("k")).alias("less"))).alias("top")
+    return good.groupBy(*system).agg(top, F.count("*").alias("n_cuts")).select(*system, (-F.col("top.less")).alias("k"), F.col("top.loglik").alias("loglik"), "n_cuts")
+
+
 def grid_summary(grid: DataFrame, system: list[str], df: int | None = None) -> DataFrame:
     """Extremes of the LR over a grid; with df, also of its p-value and how many exceed 0.05."""
     p = dist.chi2_sf(F.col("lr"), df) if df else None

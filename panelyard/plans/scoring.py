@@ -56,7 +56,7 @@ def precision(model: str, at: Column, p: int, driver: Column, segment: Column) -
     return [[at["precisions"][0][i][j] for j in cells] for i in cells]
 
 
-def score(df: DataFrame, columns: list[str], system: list[str], fitted: DataFrame, model: str, kind: str = "free", breaks: list[int] | None = None, driver: str = "v", date: str = "d", fixed: list[str] | None = None) -> Scored:
+def score(df: DataFrame, columns: list[str], system: list[str], fitted: DataFrame, model: str, kind: str = "free", breaks: panel.Breaks | None = None, driver: str = "v", date: str = "d", fixed: list[str] | None = None) -> Scored:
     """df's rows under the `kind` (free or one) fits of one model; fitted: a table with
     params_free and params_one of each system. Systems without a fit have no rows."""
     rows, names, s = fits.design(df, columns, system, date, fixed)
@@ -73,7 +73,8 @@ def score(df: DataFrame, columns: list[str], system: list[str], fitted: DataFram
     met = met.withColumns({f"det{i}": parts(i, plain) for i in range(p)})
     met = met.withColumns({f"f{i}": total([at["alpha"][i][k] * F.col(f"__s{k}") for k in range(r)]) + parts(i, lagged) + F.col(f"det{i}") for i in range(p)})
     met = met.withColumns({f"e{i}": F.col(names[i]) - F.col(f"f{i}") for i in range(p)})
-    path = precision(model, at, p, F.col(driver) if driver in df.columns else F.lit(0.0), panel.segment(F.col("t"), breaks or []))
+    met = panel.with_segments(met, system, [] if breaks is None else breaks, "__segment")
+    path = precision(model, at, p, F.col(driver) if driver in df.columns else F.lit(0.0), F.col("__segment"))
     met = met.withColumns({f"w{i}_{j}": path[i][j] for i in range(p) for j in range(i, p)})
     if model == "ar1":
         w = panel.ordered(system, date)

@@ -251,6 +251,31 @@ def b13(spark, d):  # noqa: ANN001, ANN201
     return log5(spark, d).withColumn("segment", panel.segment(F.col("t"), [60, 200])).groupBy("segment").agg(F.count("*").alias("n"), F.min("d").alias("first"))
 
 
+_REGION_BREAKS = [(0, [20, 50]), (1, [30]), (2, [25, 40, 60]), (3, [45, 46])]
+
+
+def _own_breaks(rows: DataFrame) -> DataFrame:
+    """Breaks of each region's own, from a table of them; the last region has none."""
+    listed = F.coalesce(*(F.when(F.col("n_regionkey") == k, F.array(*map(F.lit, ks))) for k, ks in _REGION_BREAKS))
+    return rows.select("n_regionkey").distinct().select("n_regionkey", listed.alias("breaks")).where("breaks IS NOT NULL")
+
+
+@query(
+    "b13_segments_own",
+    f"WITH {REGION}, b AS (SELECT unnest([{', '.join(str(k) for k, ks in _REGION_BREAKS for _ in ks)}]) AS r, unnest([{', '.join(str(x) for _, ks in _REGION_BREAKS for x in ks)}]) AS k), s AS (SELECT n_regionkey, t, d, CAST((SELECT count(*) FROM b WHERE r = n_regionkey AND t > k) AS INTEGER) AS segment FROM logr) SELECT n_regionkey, segment, count(*) AS n, min(d) AS first FROM s GROUP BY 1, 2",
+)
+def b13_own(spark, d):  # noqa: ANN001, ANN201
+    rows = logr(spark, d)
+    return panel.with_segments(rows, ["n_regionkey"], _own_breaks(rows)).groupBy("n_regionkey", "segment").agg(F.count("*").alias("n"), F.min("d").alias("first"))
+
+
+@query("e19_fit_regime_own")
+def e19_own(spark, d):  # noqa: ANN001, ANN201
+    """One job, with breaks of each region's own."""
+    rows = _region_system(spark, d)
+    return fits.regime(rows, L5[:3], ["n_regionkey"], _own_breaks(rows)).drop("params_free", "params_one")
+
+
 @query("b14_break_dates", f"WITH {LOGS} SELECT CAST(t - 1 AS INTEGER) AS k, strftime(d, '%Y-%m') AS break_date FROM log5 WHERE t IN (61, 201)")
 def b14(spark, d):  # noqa: ANN001, ANN201
     return panel.break_dates(log5(spark, d), spark.createDataFrame([(60,), (200,)], "k int"), [])
@@ -818,6 +843,21 @@ def e36(spark, d):  # noqa: ANN001, ANN201
     return sums.withColumn("ll", ll).groupBy("n_regionkey").agg(F.max_by("k", "ll").alias("k"), F.round(F.max("ll"), 6).alias("ll"))
 
 
+@query("e36_best_break")
+def e36_best(spark, d):  # noqa: ANN001, ANN201
+    """The break of each region's whole system that its likelihood likes best."""
+    return fits.best_break(fits.break_profile(_region_system(spark, d), L5[:3], ["n_regionkey"]), ["n_regionkey"])
+
+
+@query("d3_prefix_grams", f"""WITH {REGION}, p AS (SELECT n_regionkey, CAST(floor((t - 1) / 10) AS INTEGER) AS piece, x - 12 AS x FROM logr), g AS (SELECT n_regionkey, piece, count(*) AS n, sum(x * x) AS a, sum(x) AS b FROM p GROUP BY 1, 2)
+  SELECT n_regionkey, piece, n, CAST(sum(n) OVER w AS BIGINT) AS n_before, round(sum(a) OVER w, 6) AS xx, round(sum(b) OVER w, 6) AS x1, round(sum(a) OVER (PARTITION BY n_regionkey), 6) AS total FROM g WINDOW w AS (PARTITION BY n_regionkey ORDER BY piece)""")
+def d3_prefix(spark, d):  # noqa: ANN001, ANN201
+    rows = logr(spark, d).select("n_regionkey", F.floor((F.col("t") - 1) / 10).cast("int").alias("piece"), (F.col("x") - 12).alias("x"), F.lit(1.0).alias("one"))
+    sums = moments.prefix_gram_rows(moments.gram_rows(rows, ["x", "one"], ["n_regionkey", "piece"]), ["n_regionkey"], block=3)
+    at = lambda c, k: F.round(F.col(c)[k], 6)
+    return sums.select("n_regionkey", "piece", "n", "n_before", at("before", 0).alias("xx"), at("before", 1).alias("x1"), at("total", 0).alias("total"))
+
+
 @query("e39_spec_compare", "WITH f AS (SELECT event_type AS spec, max(value) FILTER (event_id % 2 = 0) AS free, avg(value) FILTER (event_id % 2 = 0) AS one, max(value) FILTER (event_id % 2 = 1) AS rfree, avg(value) FILTER (event_id % 2 = 1) AS rone FROM events GROUP BY 1) SELECT spec, round(free - rfree, 6) AS diff_free, round(one - rone, 6) AS diff_one FROM f")
 def e39(spark, d):  # noqa: ANN001, ANN201
     """Fits joined to recorded ones: each half of the events as a table of log-likelihoods."""

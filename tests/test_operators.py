@@ -383,6 +383,47 @@ def test_registry_takes_new_specifications(spark):
         del compare.SPECS["twice"]
 
 
+def test_break_profile_equals_separate_fits(spark):
+    from panelyard.plans import fits
+
+    df, columns = _walk(spark, n=90, p=2, systems=2), ["x0", "x1"]
+    for step in (1, 7):
+        got = {(r["sys"], r["k"]): r for r in fits.break_profile(df, columns, ["sys"], 12, 15, step).collect()}
+        ks = sorted({k for _, k in got})
+        assert ks == list(range(12, 88 - 15 + 1, step)) and len(got) == 2 * len(ks)
+        for k in ks[:: max(1, len(ks) // 3)]:
+            for r in fits.regime(df, columns, ["sys"], [k]).collect():
+                assert abs(got[r["sys"], k]["loglik_free"] - r["loglik_free"]) < 1e-3
+    best = {r["sys"]: r for r in fits.best_break(fits.break_profile(df, columns, ["sys"], 12, 15), ["sys"]).collect()}
+    profile = fits.break_profile(df, columns, ["sys"], 12, 15).collect()
+    for k, r in best.items():
+        assert r["loglik"] == max(x["loglik_free"] for x in profile if x["sys"] == k) and r["n_cuts"] == 62
+    assert fits.break_profile(df.where("false"), columns, ["sys"]).count() == 0
+
+
+def test_systems_have_breaks_of_their_own(spark):
+    from panelyard.operators import panel
+    from panelyard.plans import draws, fits, scoring
+
+    df, columns = _walk(spark, n=160, p=2, systems=3), ["x0", "x1"]
+    names = sorted(r["sys"] for r in df.select("sys").distinct().collect())
+    own = {names[0]: [60, 110], names[1]: [80, 90]}
+    table = spark.createDataFrame(list(own.items()), f"sys {df.schema['sys'].dataType.simpleString()}, breaks array<int>")
+    together = fits.regime(df, columns, ["sys"], table).cache()
+    got = {r["sys"]: r for r in together.collect()}
+    for k in names:  # as one by one; a system that isn't in the table has no break
+        alone = fits.regime(df.where(F.col("sys") == k), columns, ["sys"], own.get(k, [])).first()
+        assert abs(got[k]["loglik_free"] - alone["loglik_free"]) < 1e-6 and len(got[k]["params_free"]["precisions"]) == len(own.get(k, [])) + 1
+    scored = {r["sys"]: r["loglik"] for r in scoring.loglik(scoring.score(df, columns, ["sys"], together, "regime", breaks=table)).collect()}
+    assert all(abs(scored[k] - r["loglik_free"]) < 1e-4 for k, r in got.items())
+    grid = {(r["sys"], r["s1"], r["s2"]): r["loglik_free"] for r in fits.break_grid(df, columns, ["sys"], table, 1).collect()}
+    assert len(grid) == 18 and all(abs(grid[k, 0, 0] - got[k]["loglik_free"]) < 1e-4 for k in own)
+    drawn = draws.draws(df, columns, ["sys"], together, "regime", 2, 3, breaks=table).collect()
+    assert len(drawn) == 6 and all(r["lr"] >= 0 for r in drawn)
+    rows = panel.with_segments(panel.numbered(df, ["sys"]), ["sys"], table).groupBy("sys", "segment").count().collect()
+    assert {(r["sys"], r["segment"]): r["count"] for r in rows if r["sys"] == names[0]} == {(names[0], 0): 60, (names[0], 1): 50, (names[0], 2): 50}
+
+
 def test_break_grid_equals_separate_fits(spark):
     from panelyard.plans import fits
 
