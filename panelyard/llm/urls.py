@@ -35,8 +35,8 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Parts that the pages of one host are dealt over when they meet its rules.
-PARTS = 32
+#: Parts that the pages of one host are dealt over at most when they meet its rules.
+PARTS = 512
 ADDED = ("host", "path", "rule", "verdict")
 LINK, META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
 CANONICAL = r"""(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
@@ -95,25 +95,33 @@ def rules_of(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFram
     return spark.createDataFrame(rules, "r_host string, r_path string, r_verdict string")
 
 
-def matched(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rows (with host and path) plus `hit`: the longest rule that fits, as (size, allow, rule)."""
+def _spread(rows: DataFrame, *first: str) -> Column:
+    """A hash of a row's plain columns."""
+    plain = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return F.xxhash64(*first, *(f.name for f in rows.schema.fields if isinstance(f.dataType, plain) and f.name not in first))
+
+
+def matched(rows: DataFrame, rules: DataFrame, labels: int) -> DataFrame:
+    """rows (with host, path and node) plus `hit`: the longest rule that fits, as (size, allow, rule).
+
+    labels: how many labels the longest host of the rules has; a host's longer tails can't meet one.
+    """
     n = F.size("labels")
-    tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("labels", i, n), "."))
-    hosts = rows.select("host").where("host <> ''").distinct().withColumn("labels", F.split("host", "[.]"))
+    tails = F.transform(F.sequence(F.greatest(n - (labels - 1), F.lit(1)), n), lambda i: F.array_join(F.slice("labels", i, labels), "."))
+    # The pages of a host are dealt over parts, and its rules go to those parts that it has, so
+    # a frequent host is many tasks' work and a rare one costs one row.
+    dealt = rows.withColumn("part", F.pmod(_spread(rows, "node"), F.lit(PARTS)).cast("int"))
+    hosts = dealt.select("host", "part").where("host <> ''").distinct().withColumn("labels", F.slice(F.reverse(F.split("host", "[.]")), 1, labels)).withColumn("labels", F.reverse("labels"))
     one = F.struct((F.length("r_host") + F.length("r_path")).alias("size"), (F.col("r_verdict") == "allow").alias("allow"), F.concat("r_host", "r_path").alias("rule"), F.col("r_path").alias("start"))
-    own = hosts.select("host", F.explode(tails).alias("r_host")).join(rules, "r_host").groupBy("host").agg(F.collect_set(one).alias("rules"))
+    own = hosts.select("host", "part", F.explode(tails).alias("r_host")).join(rules, "r_host").groupBy("host", "part").agg(F.collect_set(one).alias("rules"))
     fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"]))
-    # A host's rules go to each of its parts, so the pages of a frequent host are many tasks' work.
-    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    told = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType)]
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node", *told), F.lit(PARTS)).cast("int"))
     return dealt.join(own, ["host", "part"], "left").withColumn("hit", F.array_max(fits)).drop("rules", "part")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str | None = "html", more: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule and verdict; more: further edges as URLs (a, b)."""
     spark = pages.sparkSession
-    listed = rules_of(spark, rules)
+    listed, labels = rules_of(spark, rules), max((h.count(".") + 1 for h, _, _ in rules), default=1)
     own = F.col(common.quoted(url))
     kept = [c for c in pages.columns if c.lower() not in ADDED]
     named = [f"k{n}" for n in range(len(kept))]  # free of any name used below
@@ -124,9 +132,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
         links = links.unionByName(more.select(address(F.col("a")).alias("a"), address(F.col("b")).alias("b")))
     groups = connected(links)
     as_url = F.concat(F.lit("http://"), F.col("node"))
-    known = matched(groups.select("node", "component", host(as_url).alias("host"), path(as_url).alias("path")), listed)
+    known = matched(groups.select("node", "component", host(as_url).alias("host"), path(as_url).alias("path")), listed, labels)
     verdicts = known.groupBy("component").agg(F.bool_or("hit.allow").alias("some_allow"), F.bool_or(~F.col("hit.allow")).alias("some_block"))
     aliases = groups.join(verdicts, "component").select("node", F.when(~F.coalesce("some_allow", F.lit(False)) & F.coalesce("some_block", F.lit(False)), "block").otherwise("allow").alias("other"))
-    found = matched(rows, listed).join(aliases, "node", "left")
+    # A row without an address has a key of its own, so that many of them don't meet in one task.
+    met = matched(rows, listed, labels)
+    met = met.withColumn("key", F.coalesce("node", F.concat(F.lit("?"), _spread(met, "node").cast("string"))))
+    found = met.join(aliases.withColumnRenamed("node", "key"), "key", "left")
     verdict = F.when(F.col("hit").isNotNull(), F.when(F.col("hit.allow"), "allow").otherwise("block")).otherwise(F.coalesce("other", F.lit("allow")))
     return found.select(*(F.col(n).alias(c) for c, n in zip(kept, named, strict=True)), "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"))

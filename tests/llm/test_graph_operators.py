@@ -240,6 +240,24 @@ def test_stages_pass_extra_columns_of_any_name(spark, tmp_path):
             assert out.select("sig", "grp", "n_words", "pos", "__grp", "IDS").distinct().collect() == [(1, 2, 3, 4, 5, 6)], name
 
 
+def test_url_filters_of_long_hosts_and_missing_urls(spark):
+    """A host of very many labels, one host on many pages, and many pages without URLs."""
+    import time
+
+    from panelyard.llm import urls
+
+    long = ".".join(["a"] * 20_000) + ".example.org"
+    rows = [(0, f"http://{long}/es/x"), (1, f"http://{long}/en/1/x"), (2, "http://example.org/es"), (3, "http://org/"), (4, "http://a.b.example.com/de/")]
+    rows += [(10 + k, None) for k in range(300)] + [(1000 + k, f"http://hot.example.com/fr/{k}") for k in range(300)]
+    began = time.time()
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.RULES, html=None).collect()}
+    assert time.time() - began < 30 and len(got) == len(rows)
+    assert [got[k]["rule"] for k in range(5)] == ["example.org/es/", "example.org/en/1", "org/", "org/", "com/de/"]
+    assert [got[k]["verdict"] for k in range(5)] == ["block", "block", "allow", "allow", "block"]
+    assert all(got[10 + k]["verdict"] == "allow" and got[10 + k]["host"] == "" and got[10 + k]["rule"] is None for k in range(300))
+    assert {got[1000 + k]["rule"] for k in range(300)} == {"com/fr/"}
+
+
 def test_url_filters_take_any_names(spark):
     from panelyard.llm import urls
 
