@@ -6,7 +6,6 @@ Each specification declares which moments it needs; everything else is shared.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..operators import moments, panel, rank
+from ..operators import batched, moments, panel, rank
 from ..operators.unitroot import square
 from ..sources import tables
 from ..sources.tables import LONG, by_length
@@ -121,49 +120,18 @@ def grid_summary(grid: DataFrame, system: list[str], df: int | None = None) -> D
     )
 
 
-def golden(f: Callable[[float], float], lo: float, hi: float, tol: float) -> float:
-    """The place of f's maximum in [lo, hi], where f rises and then falls."""
-    ratio = (math.sqrt(5) - 1) / 2
-    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-    fa, fb = f(a), f(b)
-    while hi - lo > tol:
-        if fa > fb:
-            hi, b, fb = b, a, fa
-            a = hi - ratio * (hi - lo)
-            fa = f(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + ratio * (hi - lo)
-            fb = f(b)
-    return (lo + hi) / 2
-
-
 def _scale_one(w: np.ndarray, u: np.ndarray, s: rank.Shape, points: int, tol: float) -> dict:
     """One system's profile search over b, for both restrictions.
 
-    The grid tries every start; steps of the search start from the best fit of the grid.
+    Given b the likelihood has a closed form (batched.scale_search: a grid, then golden
+    section); relations, loadings and covariance are then fitted at the best b.
     """
     center = float(u.mean())
     u, out = u - center, {"converged": True}
-    hm, h = rank.basis_restriction(s.p1 - 1)
-    for kind, every in (("free", rank.fit_free), ("one", rank.fit_one)):
-
-        def gram(b: float) -> tuple[list[np.ndarray], list[int], rank.Shape]:
-            return [(w * np.exp(b * u)[:, None]).T @ w], [len(w)], s
-
-        def value(f: Callable[[], rank.Fit]) -> float:
-            try:
-                found = f().loglik
-            except np.linalg.LinAlgError:
-                return -math.inf
-            return found if math.isfinite(found) else -math.inf
-
-        grid, step = np.linspace(-5, 5, points), 10 / (points - 1)
-        top = grid[int(np.argmax([value(lambda: every(*gram(b), tol=1e-8)) for b in grid]))]  # noqa: B023
-        warm = every(*gram(top)).beta
-        near = (lambda b: rank.fit(*gram(b), warm, hm, h)) if kind == "free" else (lambda b: every(*gram(b)))  # noqa: B023
-        b = golden(lambda b: value(lambda: near(b)), max(-5, top - step), min(5, top + step), tol)  # noqa: B023
-        best = max(near(b), every(*gram(b)), key=lambda f: f.loglik)
+    for kind, fitted in (("free", rank.fit_free), ("one", rank.fit_one)):
+        _, slope, _ = batched.scale_search(w[None], u[None], s, kind == "free", points, tol)
+        b = float(slope[0])
+        best = fitted([(w * np.exp(b * u)[:, None]).T @ w], [len(w)], s)
         out |= {f"loglik_{kind}": best.loglik, f"b_{kind}": b, f"params_{kind}": rank.fit_params(best, b=np.array([b]), center=center)}
         if kind == "free":
             out["b"] = rank.implied_b(best.beta).tolist()
