@@ -617,9 +617,17 @@ def e10(spark, d):  # noqa: ANN001, ANN201
     return rounded(unitroot.arch_lm(rows, ["n_regionkey"], "d_x"), "lm", digits=5)
 
 
-@query("e10_arch_lm_q")
+_SQ = ["q1", "q2", "q3", "q4"]
+
+
+@query(
+    "e10_arch_lm_q",
+    f"""WITH {REGION}, m AS (SELECT n_regionkey, t, (x - lag(x) OVER (PARTITION BY n_regionkey ORDER BY d)) AS y FROM logr), q AS (SELECT n_regionkey, y * y AS q0, {", ".join(f"lag(y * y, {k}) OVER (PARTITION BY n_regionkey ORDER BY t) AS q{k}" for k in range(1, 5))} FROM m),
+    c AS (SELECT n_regionkey, count(*) AS n, {_covariances("q0", _SQ)} FROM q WHERE q4 IS NOT NULL GROUP BY 1), r AS (SELECT n_regionkey, n * (1 - {_ss("q0", _SQ)} / (n * c_q0_q0)) AS lm FROM c) SELECT n_regionkey, round(lm, 5) AS lm, round(exp(-lm / 2) * (1 + lm / 2), 7) AS p FROM r""",
+)
 def e10_q(spark, d):  # noqa: ANN001, ANN201
-    return unitroot.arch_lm_q(panel.diffs(logr(spark, d), ["x"], ["n_regionkey"]), ["n_regionkey"], 4, "d_x")
+    found = unitroot.arch_lm_q(panel.diffs(logr(spark, d), ["x"], ["n_regionkey"]), ["n_regionkey"], 4, "d_x")
+    return rounded(rounded(found, "lm", digits=5), "p", digits=7)
 
 
 def _system(spark: SparkSession, d: str) -> DataFrame:
@@ -1165,10 +1173,10 @@ def e32(spark, d):  # noqa: ANN001, ANN201
     return rounded(out.select("d", "f0", "f1"), "f0", "f1")
 
 
-@query("e34_validity_screen")
+@query("e34_validity_screen", f"WITH {RES}, w AS (SELECT 60 + v * 6 + v * v * 4 AS a, -5 + v * 5 + v * v * 4 AS b, 50 + v * 4 + v * v * 4 AS c FROM res), s AS (SELECT 2 / (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) AS low FROM w) SELECT round(min(low) / avg(low), 7) AS ratio, min(low) / avg(low) >= 1e-8 AS valid FROM s")
 def e34(spark, d):  # noqa: ANN001, ANN201
     path = covariance.quadratic_path([[60.0, -5.0, 3.0], [-5.0, 50.0, 2.0], [3.0, 2.0, 4.0]], F.col("v"))
-    return covariance.validity_screen(_resid(spark, d), path, [])
+    return rounded(covariance.validity_screen(_resid(spark, d), path, []), "ratio", digits=7)
 
 
 @query("e38_numeraire_compare")
