@@ -333,10 +333,17 @@ def restricted_const(names: list[str], s: Shape) -> tuple[list[str], Shape]:
     return [*names[: s.p + s.p1], "one", *z], Shape(s.p, s.p1 + 1, s.p2 - 1)
 
 
+def enough(n: int, s: Shape) -> None:
+    """With fewer rows than columns the likelihood has no bound, so there is no fit."""
+    if n < s.size:
+        raise ValueError(f"{n} rows are too few for {s.size} columns")
+
+
 def spec_fits(grams: DataFrame, keys: list[str], s: Shape, spec: str = "iid") -> DataFrame:
     """(keys, loglik_free, loglik_one, lr, b, iters) of one Gram a row."""
 
     def job(row):  # noqa: ANN001, ANN202
+        enough(row.n, s)
         free, one = both_fits([square(row.g, s.size)], [row.n], s)
         g = square(row.g, s.size)
         se = info_se(g[np.ix_(s.x, s.x)], free.alpha, np.linalg.inv(free.omegas[0]), basis_restriction(s.p1 - 1)[0])
@@ -421,6 +428,7 @@ def restricted_fits(grams: DataFrame, keys: list[str], s: Shape, r: int, restric
 
     def tested(row) -> dict:  # noqa: ANN001
         g, n = square(row.g, s.size), int(row.n)
+        enough(n, s)
         hm, h = matrix(row.h_matrix, row.h, s.p1 * r)
         gm, fixed = matrix(row.g_matrix, row.g_fixed, s.p * (r + s.p2))
         lam, vectors, logdet = johansen(g, n, s)

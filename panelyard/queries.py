@@ -706,13 +706,13 @@ _PAIR = f"""WITH longq AS (SELECT n_regionkey, CAST(date_trunc('month', o_orderd
   mid AS (SELECT *, (p_y2_y2 * p_y1_x1 * p_y1_x1 - 2 * p_y1_y2 * p_y1_x1 * p_y2_x1 + p_y1_y1 * p_y2_x1 * p_y2_x1) / d00 AS m11, (p_y2_y2 * p_y1_x2 * p_y1_x2 - 2 * p_y1_y2 * p_y1_x2 * p_y2_x2 + p_y1_y1 * p_y2_x2 * p_y2_x2) / d00 AS m22,
     (p_y2_y2 * p_y1_x1 * p_y1_x2 - p_y1_y2 * (p_y1_x1 * p_y2_x2 + p_y1_x2 * p_y2_x1) + p_y1_y1 * p_y2_x1 * p_y2_x2) / d00 AS m12 FROM dets),
   eig AS (SELECT *, (p_x2_x2 * m11 - 2 * p_x1_x2 * m12 + p_x1_x1 * m22) / d11 AS tr, d01 * d01 / (d00 * d11) AS de FROM mid),
-  pairq AS (SELECT n_regionkey, n, -n / 2.0::DOUBLE * (2 * (1 + ln(2 * pi())) + ln(d00) + ln(1 - (tr + sqrt(tr * tr - 4 * de)) / 2)) AS free, -n / 2.0::DOUBLE * (2 * (1 + ln(2 * pi())) + ln(done)) AS one FROM eig)"""
+  pairq AS (SELECT n_regionkey, n, -n / 2.0::DOUBLE * (2 * (1 + ln(2 * pi())) + ln(d00) + ln(1 - (tr + sqrt(tr * tr - 4 * de)) / 2)) AS free, -n / 2.0::DOUBLE * (2 * (1 + ln(2 * pi())) + ln(done)) AS one FROM eig WHERE n >= 7)"""
 
 
 @query("e18_fit_iid_pairs", _PAIR + " SELECT n_regionkey, round(free, 4) AS loglik_free, round(one, 4) AS loglik_one, round(2 * (free - one), 4) AS lr FROM pairq")
 def e18_pairs(spark, d):  # noqa: ANN001, ANN201
     found = fits.iid(_region_system(spark, d).drop(L5[2]), L5[:2], ["n_regionkey"])
-    return rounded(found.select("n_regionkey", "loglik_free", "loglik_one", "lr"), "loglik_free", "loglik_one", "lr", digits=4)
+    return rounded(found.where("error IS NULL").select("n_regionkey", "loglik_free", "loglik_one", "lr"), "loglik_free", "loglik_one", "lr", digits=4)
 
 
 @query("e27_scored_rows", _PAIR + " SELECT n_regionkey, 'one' AS restriction, n, round(one, 4) AS loglik FROM pairq UNION ALL SELECT n_regionkey, 'free', n, round(free, 4) FROM pairq")
@@ -733,7 +733,7 @@ def e17_restrictions(spark, d):  # noqa: ANN001, ANN201
     listed = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(None).cast("array<array<double>>").alias("h_matrix") if m is None else F.array(*(F.array().cast("array<double>") for _ in m)).alias("h_matrix"), F.lit(None).cast("array<double>").alias("h") if h is None else F.array(*map(F.lit, h)).alias("h"), F.lit(None).cast("array<array<double>>").alias("g_matrix"), F.lit(None).cast("array<double>").alias("g")) for n, m, h, _, _ in given))
     table_of = rows.select(*system).distinct().select(*system, F.explode(listed).alias("r")).select(*system, "r.*")
     found = rank.restricted_fits(moments.gram_rows(rows, names, system), system, s, 1, table_of)
-    return found.select(*system, "name", F.round("loglik", 4).alias("loglik"), (F.round(F.abs("lr"), 4) + 0.0).alias("lr"), "df")
+    return found.where("error IS NULL").select(*system, "name", F.round("loglik", 4).alias("loglik"), (F.round(F.abs("lr"), 4) + 0.0).alias("lr"), "df")
 
 
 @query("f4_bootstrap_models")
