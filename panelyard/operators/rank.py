@@ -278,7 +278,21 @@ def fit_free(grams: list[np.ndarray], counts: list[int], s: Shape, one: Fit | No
     return fit(grams, counts, s, one.beta, hm, h, **limits) if one is not None and one.loglik > best.loglik + 1e-8 else best
 
 
+def bounded(grams: list[np.ndarray], counts: list[int], s: Shape) -> None:
+    """A segment whose regressors give some mix of its series exactly has a likelihood without bound, so there is no fit."""
+    for g, n in zip(grams, counts, strict=True):
+        length = np.sqrt(np.diag(g))
+        if not length[s.y].all():
+            raise ValueError("a series doesn't move in a segment")
+        w = s.x + s.z
+        scale = np.where(length[w] > 0, length[w], 1)
+        columns = s.p + int(np.linalg.matrix_rank(g[np.ix_(w, w)] / np.outer(scale, scale), tol=1e-13, hermitian=True))
+        if n < columns:
+            raise ValueError(f"{n} rows of a segment are too few for {columns} independent columns")
+
+
 def both_fits(grams: list[np.ndarray], counts: list[int], s: Shape, **limits: float) -> tuple[Fit, Fit]:
+    bounded(grams, counts, s)
     one = fit_one(grams, counts, s, **limits)
     return fit_free(grams, counts, s, one, **limits), one
 
@@ -362,9 +376,10 @@ def segment_fits(grams: DataFrame, keys: list[str], s: Shape, segment: str = "se
         rows = rows.sort_values(segment)
         try:
             free, one = both_fits([square(g, s.size) for g in rows["g"]], rows["n"].tolist(), s)
+            found = {"loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik), "b": implied_b(free.beta).tolist(), "iters": free.iters, "params_free": fit_params(free), "params_one": fit_params(one)}
         except (np.linalg.LinAlgError, ValueError) as e:
-            return pd.DataFrame([base | {"spec": spec, "error": str(e)}], columns=names, dtype=object)
-        return pd.DataFrame([base | {"spec": spec, "loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik), "b": implied_b(free.beta).tolist(), "iters": free.iters, "params_free": fit_params(free), "params_one": fit_params(one)}], columns=names, dtype=object)
+            found = {"error": str(e)}
+        return pd.DataFrame([base | {"spec": spec} | found], columns=names, dtype=object)
 
     return grams.groupBy(*keys).applyInPandas(run, ", ".join(filter(None, [_head(grams, keys), tail])))
 

@@ -65,8 +65,8 @@ def break_grid(df: DataFrame, columns: list[str], system: list[str], breaks: pan
         sums, counts = sums.cumsum(0), counts.cumsum()
         for s2 in steps:
             row = dict.fromkeys(fields) | base | {"s2": s2}
-            ends = [0, *(sum(e <= c for e in edges) for c in (breaks[0] + int(base["s1"]), breaks[1] + s2)), len(edges) + 1]
-            at = list(zip(ends[:-1], ends[1:], strict=True))
+            ends = [0, *sorted(sum(e <= c for e in edges) for c in (breaks[0] + int(base["s1"]), breaks[1] + s2)), len(edges) + 1]
+            at = [(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True) if counts[b] > counts[a]]
             try:
                 free, one = rank.both_fits([sums[b] - sums[a] for a, b in at], [int(counts[b] - counts[a]) for a, b in at], s, tol=1e-8, most=200)
                 row |= {"loglik_free": free.loglik, "loglik_one": one.loglik, "lr": 2 * (free.loglik - one.loglik)}

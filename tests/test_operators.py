@@ -435,6 +435,32 @@ def test_break_grid_equals_separate_fits(spark):
             assert abs(grid[r["sys"], s1, s2]["loglik_free"] - r["loglik_free"]) < 1e-3 and abs(grid[r["sys"], s1, s2]["loglik_one"] - r["loglik_one"]) < 1e-3
 
 
+def test_segments_that_are_too_short_have_no_fit(spark):
+    from panelyard.plans import fits
+
+    df, columns = _walk(spark, n=160, p=2, systems=3), ["x0", "x1"]  # 158 rows of 7 columns
+    names = sorted(r["sys"] for r in df.select("sys").distinct().collect())
+    own = {names[0]: [45, 46], names[1]: [6], names[2]: [7]}
+    table = spark.createDataFrame(list(own.items()), f"sys {df.schema['sys'].dataType.simpleString()}, breaks array<int>")
+    got = {r["sys"]: r for r in fits.regime(df, columns, ["sys"], table).collect()}
+    assert len(got) == 3 and got[names[0]]["error"].startswith("1 rows") and got[names[1]]["error"].startswith("6 rows")
+    assert all(got[k]["loglik_free"] is None and got[k]["params_free"] is None for k in names[:2])
+    assert got[names[2]]["error"] is None and got[names[2]]["loglik_free"] >= got[names[2]]["loglik_one"] - 1e-6
+    # A series that stands still in a segment can be fitted exactly there.
+    still = df.withColumn("x0", F.when(F.col("d") > F.lit(sorted(r["d"] for r in df.select("d").distinct().collect())[99]), 3.0).otherwise(F.col("x0")))
+    rows = fits.regime(still, columns, ["sys"], [110]).collect()
+    assert len(rows) == 3 and all(r["loglik_free"] is None and r["error"] for r in rows)
+    # Breaks that meet or cross give the segments that they bound, in a grid too.
+    grid = {(r["sys"], r["s1"], r["s2"]): r for r in fits.break_grid(df, columns, ["sys"], (80, 82), 12).where("s1 IN (0, 2, 12) AND s2 IN (-2, -1, 0)").collect()}
+    for s1, s2 in ((12, -2), (12, 0), (2, 0), (0, -1)):
+        for r in fits.regime(df, columns, ["sys"], sorted({80 + s1, 82 + s2})).collect():
+            g = grid[r["sys"], s1, s2]
+            assert (g["error"] is None) == (r["error"] is None) == (abs(80 + s1 - 82 - s2) not in range(1, 7))
+            assert r["error"] or abs(g["loglik_free"] - r["loglik_free"]) < 1e-3
+    profile = {r["k"]: r for r in fits.break_profile(df, columns, ["sys"], 5, 12).where(F.col("sys") == names[0]).collect()}
+    assert profile[6]["error"] and profile[6]["loglik_free"] is None and profile[7]["error"] is None
+
+
 def test_portmanteau_and_arch_equal_their_formulas(spark):
     from panelyard.functions import dist
     from panelyard.operators import unitroot
