@@ -12,7 +12,7 @@ from . import fits
 
 def rank_pvalues(levels: DataFrame, columns: list[str], system: list[str], b: int, seed: int, date: str = "d", chunk: int = 250) -> DataFrame:
     """P-values of the observed trace statistic for every rank r0 from 0 to p - 1, in one job."""
-    draws = None
+    levels, draws = tables.written(levels, "panel"), None
     for r0 in range(len(columns)):
         one = resample.bootstrap_rank(levels, columns, system, r0, b, seed, date, chunk).withColumn("r0", F.lit(r0))
         draws = one if draws is None else draws.unionByName(one)
@@ -26,7 +26,7 @@ def rank_pvalues(levels: DataFrame, columns: list[str], system: list[str], b: in
 
 def lr_pvalues(levels: DataFrame, columns: list[str], system: list[str], breaks: list[int], b: int, seed: int, date: str = "d", chunk: int = 250) -> DataFrame:
     """P-values of each system's LR of b = 1 under the iid and the regime model."""
-    out = None
+    levels, out = tables.written(levels, "panel"), None
     for spec, cuts in (("iid", []), ("regime", breaks)):
         fitted = fits.regime(levels, columns, system, cuts, date) if cuts else fits.iid(levels, columns, system, date)
         observed = fitted.select(*system, F.col("lr").alias("observed"))

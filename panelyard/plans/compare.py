@@ -78,8 +78,13 @@ def spec_fits(df: DataFrame, columns: list[str], system: list[str], breaks: list
 
     All of them use the same rows, as a driver's first value comes with the second lag. p is
     of the chi-square with as many degrees as relations. converged is null where a fit has
-    no such column. A fit that fails is a row with its error.
+    no such column. A fit that fails is a row with its error. What df comes from is read once.
     """
+    return _spec_fits(tables.written(df, "panel"), columns, system, breaks, date, fixed, names)
+
+
+def _spec_fits(df: DataFrame, columns: list[str], system: list[str], breaks: list[int], date: str, fixed: list[str] | None, names: list[str] | None) -> DataFrame:
+    """spec_fits of rows that are cheap to read many times."""
     drivers = {k: panel.volatility_driver(df, columns, system, date, k) for k in ("level", "log")}
     out = None
     for name in names or EIGHT:
@@ -104,9 +109,9 @@ def with_recorded(found: DataFrame, recorded: DataFrame, keys: list[str]) -> Dat
 
 def seasonal_grid(df: DataFrame, columns: list[str], system: list[str], breaks: list[int], kinds: list[str], names: list[str] | None = None, date: str = "d") -> DataFrame:
     """spec_fits with each seasonal block."""
-    out = None
+    df, out = tables.written(df, "panel"), None
     for kind in kinds:
-        one = spec_fits(panel.dummies(df, kind, date), columns, system, breaks, date, panel.seasonal_columns(kind), names)
+        one = _spec_fits(panel.dummies(df, kind, date), columns, system, breaks, date, panel.seasonal_columns(kind), names)
         one = one.withColumn("seasonal", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
@@ -115,7 +120,7 @@ def seasonal_grid(df: DataFrame, columns: list[str], system: list[str], breaks:
 def seasonal_summary(grid: DataFrame, system: list[str]) -> DataFrame:
     """(system, spec, n, spread, n_rejects, gap): the p-values' range over the blocks, how many
     are under 0.05, and the smallest distance to another specification's in the same block."""
-    grid = grid.select(*system, "spec", "seasonal", "p")
+    grid = tables.written(grid.select(*system, "spec", "seasonal", "p"), "grid")  # it is read three times
     other = grid.select(*system, "seasonal", F.col("spec").alias("other"), F.col("p").alias("q"))
     gaps = tables.joined(grid, other, [*system, "seasonal"]).where("spec <> other").groupBy(*system, "spec").agg(F.min(F.abs(F.col("p") - F.col("q"))).alias("gap"))
     own = grid.groupBy(*system, "spec").agg(F.count("p").alias("n"), (F.max("p") - F.min("p")).alias("spread"), F.count_if(F.col("p") < 0.05).alias("n_rejects"))

@@ -196,6 +196,11 @@ def draws(df: DataFrame, columns: list[str], system: list[str], fitted: DataFram
 
 def fitted_models(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: panel.Breaks, date: str = "d", fixed: list[str] | None = None) -> DataFrame:
     """(system, spec, loglik_free, loglik_one, lr, params_free, params_one) of the models."""
+    return _fitted_models(tables.written(df, "panel"), columns, system, models, breaks, date, fixed)
+
+
+def _fitted_models(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: panel.Breaks, date: str, fixed: list[str] | None) -> DataFrame:
+    """fitted_models of rows that are cheap to read many times."""
     drivers = {k: panel.volatility_driver(df, columns, system, date, k) for k in ("level", "log")}
     out = None
     for name in models:
@@ -208,7 +213,8 @@ def fitted_models(df: DataFrame, columns: list[str], system: list[str], models:
 
 def pvalues(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: panel.Breaks, b: int, seed: int, date: str = "d", fixed: list[str] | None = None, **more) -> DataFrame:  # noqa: ANN003
     """P-values of each system's LR of b = 1 under each model, from draws under b = 1."""
-    found = tables.written(fitted_models(df, columns, system, models, breaks, date, fixed), "fits")
+    df = tables.written(df, "panel")
+    found = tables.written(_fitted_models(df, columns, system, models, breaks, date, fixed), "fits")
     all_draws = None
     for name in models:
         one = draws(df, columns, system, found.where(F.col("spec") == name), name, b, seed, "one", breaks, date=date, fixed=fixed, **more).withColumn("spec", F.lit(name))
@@ -222,7 +228,8 @@ def pvalues(df: DataFrame, columns: list[str], system: list[str], models: list[s
 
 def standard_errors(df: DataFrame, columns: list[str], system: list[str], models: list[str], breaks: panel.Breaks, b: int, seed: int, date: str = "d", fixed: list[str] | None = None, **more) -> DataFrame:  # noqa: ANN003
     """(system, spec, component, n, se): deviations of b over draws from each model's free fit."""
-    found = tables.written(fitted_models(df, columns, system, models, breaks, date, fixed), "fits")
+    df = tables.written(df, "panel")
+    found = tables.written(_fitted_models(df, columns, system, models, breaks, date, fixed), "fits")
     out = None
     for name in models:
         one = draws(df, columns, system, found.where(F.col("spec") == name), name, b, seed, "free", breaks, date=date, fixed=fixed, **more).withColumn("spec", F.lit(name))

@@ -435,6 +435,27 @@ def test_break_grid_equals_separate_fits(spark):
             assert abs(grid[r["sys"], s1, s2]["loglik_free"] - r["loglik_free"]) < 1e-3 and abs(grid[r["sys"], s1, s2]["loglik_one"] - r["loglik_one"]) < 1e-3
 
 
+def test_specifications_and_blocks_read_their_source_once(spark, tmp_path):
+    """Every pass reads the panel as written, and the summary the grid as written."""
+    from panelyard.plans import compare
+
+    at = str(tmp_path / "source")
+    _walk(spark, n=120, p=2).withColumn("d", F.date_add(F.lit("2000-01-01").cast("date"), F.col("d") * 30)).write.parquet(at)
+    df, columns = spark.read.parquet(at), ["x0", "x1"]
+    one = compare.spec_fits(df, columns, ["sys"], [60], names=["iid", "regime", "scale"])
+    grid = compare.seasonal_grid(df, columns, ["sys"], [60], ["none", "quarter"], ["regime", "scale"])
+    summary = compare.seasonal_summary(grid, ["sys"])
+    folders = lambda x: {f.rsplit("/", 2)[-2].split("-")[0] for f in x.inputFiles()}
+    assert folders(one) == folders(grid) == {"panel"} and folders(summary) == {"grid"}
+    p = {(r["sys"], r["spec"], r["seasonal"]): r["p"] for r in grid.collect()}
+    got = {(r["sys"], r["spec"]): r for r in summary.collect()}
+    assert len(p) == 8 and len(got) == 4
+    for (k, spec), r in got.items():
+        own = [p[k, spec, x] for x in ("none", "quarter")]
+        other = [p[k, "scale" if spec == "regime" else "regime", x] for x in ("none", "quarter")]
+        assert r["n"] == 2 and abs(r["spread"] - abs(own[0] - own[1])) < 1e-9 and abs(r["gap"] - min(abs(a - b) for a, b in zip(own, other, strict=True))) < 1e-9
+
+
 def test_segments_that_are_too_short_have_no_fit(spark):
     from panelyard.plans import fits
 
