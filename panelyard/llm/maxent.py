@@ -80,10 +80,12 @@ def unsqueeze(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
-def _tokens(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with an end after each text, and where each text starts."""
-    hashes, offsets = packed.word_hashes(text, lower=True)
-    return np.insert(hashes, offsets[1:], END), offsets + np.arange(len(offsets))
+def _tokens(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the words and the end, the place among them of each token (a text's
+    end is its last), and where each text starts."""
+    coded, offsets = packed.words(text, lower=True)
+    unique, place = np.unique(np.append(packed.hash_strings(coded.dictionary), END), return_inverse=True)
+    return unique, np.insert(place[np.asarray(coded.indices)], offsets[1:], place[-1]), offsets + np.arange(len(offsets))
 
 
 def _classes(hist: list, n_classes: int) -> Classes:
@@ -113,9 +115,8 @@ def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
     grouped = docs.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int"))
 
     def emit(key: tuple, rows: pa.Table) -> pa.Table:
-        hashes, offsets = _tokens(rows.column("text"))
+        unique, inverse, offsets = _tokens(rows.column("text"))
         learn = np.repeat(~np.asarray(rows.column("held_out")), np.diff(offsets))
-        unique, inverse = np.unique(hashes, return_inverse=True)
         counts = np.bincount(inverse[learn], minlength=len(unique))
         at = packed.cuts(unique, n)
         sent = packed.shipped(key[0].as_py(), unique, n)
@@ -152,8 +153,7 @@ def _coded(docs: DataFrame, n_classes: int) -> tuple[DataFrame, Classes]:
         classes.mass[r["kind"], r["cell"]] += r["mass"]
 
     def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
-        hashes, offsets = _tokens(rows.column("text"))
-        unique, inverse = np.unique(hashes, return_inverse=True)
+        unique, inverse, offsets = _tokens(rows.column("text"))
         counts, at = np.zeros(len(unique), np.int64), packed.cuts(unique, n)
         for bucket, answer in zip(found.column("bucket").to_pylist(), found.column("answer").to_pylist(), strict=True):
             counts[at[bucket] : at[bucket + 1]] = unsqueeze(answer)
@@ -200,22 +200,54 @@ def features(codes: np.ndarray, starts: np.ndarray, kinds: np.ndarray) -> tuple[
     hashes = (packed.mix(one), skip, pair, packed.mix(one + own + np.uint64(1 << 40)), packed.mix((pair >> np.uint64(24)) + own))
     first, rows = 0, []
     for h, n in zip(hashes, (*ROWS, *CELL_ROWS), strict=True):
-        rows.append((h % np.uint64(n)).astype(np.int64) + first)
+        rows.append((h & np.uint64(n - 1)).astype(np.int64) + first)  # n is a power of two
         first += n
     return np.stack(rows[:3]), np.stack(rows[3:])
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of the outcomes for each token; bias is one line, or one a token."""
-    z = weights[rows[0]]
+def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights for each token and outcome, less each token's highest; bias is
+    one line, or one a token."""
+    z = weights.take(rows[0], 0)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, 0)
     z += bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    top = z[:, 0].copy()
+    for k in range(1, z.shape[1]):  # by columns: lines are too short to go along
+        np.maximum(top, z[:, k], out=top)
+    z -= top[:, None]
     return z
 
 
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    """Log probabilities of the outcomes for each token, or of its outcome y alone."""
+    z = _sums(weights, bias, rows)
+    total = np.log(np.einsum("ij->i", np.exp(z)))
+    return z - total[:, None] if y is None else z[np.arange(len(y)), y] - total
+
+
+def step(w: np.ndarray, scale: np.ndarray, used: np.ndarray, rows: np.ndarray, prior: np.ndarray, y: np.ndarray) -> None:
+    """One gradient step for outcomes y: moves the weights of the rows by their adaptive rates, and
+    counts how often each row was used. Gradients are summed by row with one count of all cells."""
+    grad = _sums(w, prior, rows)
+    np.exp(grad, out=grad)
+    grad /= np.einsum("ij->i", grad)[:, None]
+    grad[np.arange(len(y)), y] -= 1
+    flat, width = grad.ravel().astype(np.float64), w.shape[1]
+    for r in rows:
+        first = int(r.min())
+        n = np.bincount(r - first)
+        own = np.flatnonzero(n)
+        place = np.empty(len(n), np.int64)
+        place[own] = np.arange(0, len(own) * width, width)
+        g = np.bincount((place[r - first][:, None] + np.arange(width)).ravel(), flat, len(own) * width).reshape(-1, width).astype(np.float32)
+        n, own = n[own], own + first
+        scale[own] += np.einsum("ij,ij->i", g, g)
+        used[own] += n
+        g *= (RATE / np.sqrt(scale[own]))[:, None]
+        w[own] = w.take(own, 0) - g
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     """Of SLICE tokens at a time: which text, class, cell, and both kinds of feature rows."""
     ends = np.cumsum(np.asarray(batch.column("n_tokens")))
@@ -282,24 +314,12 @@ def train(coded: DataFrame, classes: Classes, rounds: int = ROUNDS) -> np.ndarra
             w, start = sent.value.copy(), sent.value  # noqa: B023
             scale, used = np.full(len(w), 1e-8, np.float32), np.zeros(len(w), np.float32)
 
-            def step(rows: np.ndarray, prior: np.ndarray, y: np.ndarray) -> None:
-                grad = np.exp(_logits(w, prior, rows))
-                grad[np.arange(len(y)), y] -= 1
-                for r in rows:
-                    order = np.argsort(r, kind="stable")
-                    ranked = r[order]
-                    heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                    own, g = ranked[heads], np.add.reduceat(grad[order], heads)
-                    scale[own] += np.einsum("ij,ij->i", g, g)
-                    used[own] += np.diff(np.concatenate((heads, [len(r)])))
-                    w[own] -= RATE * g / np.sqrt(scale[own])[:, None]
-
             for batch in batches:
                 for _, kind, cell, first, second in _slices(batch):
                     for k in range(0, len(kind), BATCH):
                         at = slice(k, k + BATCH)
-                        step(first[:, at], bias, kind[at])
-                        step(second[:, at], cells[kind[at]], cell[at])
+                        step(w, scale, used, first[:, at], bias, kind[at])
+                        step(w, scale, used, second[:, at], cells.take(kind[at], 0), cell[at])
             for k in range(0, len(w), BLOCK):
                 n = used[k : k + BLOCK]
                 if n.any():
@@ -326,8 +346,7 @@ def score(coded: DataFrame, classes: Classes, weights: np.ndarray) -> DataFrame:
             for text, kind, cell, first, second in _slices(batch):
                 for k in range(0, len(kind), BATCH):
                     at = slice(k, k + BATCH)
-                    line = np.arange(len(kind[at]))
-                    own = _logits(w, bias, first[:, at])[line, kind[at]] + _logits(w, cells[kind[at]], second[:, at])[line, cell[at]]
+                    own = _logits(w, bias, first[:, at], kind[at]) + _logits(w, cells.take(kind[at], 0), second[:, at], cell[at])
                     log += np.bincount(text[at], weights=own, minlength=len(batch))
             total = np.asarray(batch.column("inner")) + log / np.log(10)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(total)], [*kept, "score"])

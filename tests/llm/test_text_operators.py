@@ -361,6 +361,59 @@ def test_model_is_a_distribution():
         assert abs(total - 1) < 1e-4
 
 
+def test_model_steps_equal_their_formula():
+    """A step and its logarithms, against sums written out token by token; rows and outcomes repeat."""
+    import numpy as np
+
+    from panelyard.llm import maxent
+
+    rng, n = np.random.default_rng(8), 700
+    w = rng.normal(size=(sum(maxent.ROWS) + sum(maxent.CELL_ROWS), maxent.CLASSES)).astype(np.float32)
+    w[5, 3] = 200.0  # beyond what exp can hold
+    scale, used = np.full(len(w), 0.5, np.float32), np.zeros(len(w), np.float32)
+    starts = np.cumsum((0, *maxent.ROWS[:-1]))
+    rows = np.stack([a + rng.choice([5, 6, 900, size - 1, *rng.integers(0, size, 300)], n) for a, size in zip(starts, maxent.ROWS, strict=True)])
+    rows[:, 0] = starts + 5
+    y = rng.integers(0, maxent.CLASSES - 1, n)
+    prior = np.append(rng.normal(size=maxent.CLASSES - 1), -np.inf).astype(np.float32)  # the last outcome is empty
+    for bias in (prior, np.tile(prior, (n, 1)) + rng.normal(size=(n, 1)).astype(np.float32)):
+        want, squares, times = w.astype(float), scale.astype(float), used.astype(float)
+        logs = np.zeros(n)
+        for r_of in rows:
+            sums, count = {}, Counter(r_of.tolist())
+            for t in range(n):
+                z = w[rows[:, t]].astype(float).sum(0) + (bias if bias.ndim == 1 else bias[t])
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                logs[t] = z[y[t]] - z.max() - np.log(np.exp(z - z.max()).sum())
+                p[y[t]] -= 1
+                sums[r_of[t]] = sums.get(r_of[t], 0) + p
+            for r, g in sums.items():
+                squares[r] += (g * g).sum()
+                times[r] += count[r]
+                want[r] -= maxent.RATE * g / math.sqrt(squares[r])
+        assert np.allclose(maxent._logits(w, bias, rows, y), logs, rtol=1e-4, atol=1e-4)
+        assert np.allclose(maxent._logits(w, bias, rows)[np.arange(n), y], logs, rtol=1e-4, atol=1e-4)
+        maxent.step(w, scale, used, rows, bias, y)
+        assert np.allclose(w, want, rtol=1e-4, atol=1e-4) and np.allclose(scale, squares, rtol=1e-3) and (used == times).all()
+
+
+def test_model_tokens_are_words_and_ends():
+    import numpy as np
+    import pyarrow as pa
+
+    from panelyard.llm import maxent, packed
+
+    texts = ["a B  b\tA", "", None, "c a", " ", "b b b"]
+    unique, place, offsets = maxent._tokens(pa.chunked_array([texts[:3], texts[3:]], pa.string()))
+    words = [[*SPACE.findall(lower(x or "")), None] for x in texts]
+    hashes = [maxent.END if x is None else packed.hash_strings(pa.array([x]))[0] for line in words for x in line]
+    assert (unique[place] == np.array(hashes, np.uint64)).all() and (np.diff(unique) > 0).all()
+    assert offsets.tolist() == np.cumsum([0, *map(len, words)]).tolist()
+    unique, place, offsets = maxent._tokens(pa.chunked_array([], pa.string()))
+    assert unique.tolist() == [int(maxent.END)] and len(place) == 0 and offsets.tolist() == [0]
+
+
 def test_model_slices_change_nothing(monkeypatch):
     import numpy as np
     import pyarrow as pa
